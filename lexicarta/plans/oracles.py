@@ -123,3 +123,48 @@ UNION ALL SELECT 1, 'flattened', count(*) FROM ({QA_FLAT})
 UNION ALL SELECT 2, 'after_length', count(*) FROM ({QA_CLEAN}) WHERE length(text) >= 20
 UNION ALL SELECT 3, 'after_dedupe', count(*) FROM ({QA_PREPARED})""")
 oracle("head_sample", "SELECT doc_id, substr(text, 1, 200) AS text_head FROM documents ORDER BY doc_id LIMIT 3")
+
+
+# ---------------------------------------------------------------- splits
+
+def split_sql(src: str, stratum: str, n_train_sql: str, labels=("train", "test"), key="doc_id",
+              seed=42) -> str:
+    """Window form of the exact stratified split over ``src``; adds ``split``.
+    ``n_train_sql`` is an expression of the total ``n``."""
+    tr, te = labels
+    return f"""
+WITH base AS (SELECT *, {stratum} AS stratum__, md5('{seed}|' || CAST({key} AS VARCHAR)) AS h__ FROM ({src})),
+cnt AS (SELECT stratum__, count(*) AS c FROM base GROUP BY stratum__),
+tot AS (SELECT sum(c) AS n FROM cnt),
+tr AS (SELECT CAST({n_train_sql} AS BIGINT) AS n_train, n FROM tot),
+alloc AS (SELECT stratum__, c, (c * n_train) // n AS base_i, (c * n_train) % n AS rem, n_train FROM cnt, tr),
+rk AS (SELECT *, row_number() OVER (ORDER BY rem DESC, stratum__ ASC NULLS FIRST) AS rk,
+              n_train - sum(base_i) OVER () AS leftover FROM alloc),
+fin AS (SELECT stratum__, base_i + CASE WHEN rk <= leftover THEN 1 ELSE 0 END AS train_i FROM rk)
+SELECT b.* EXCLUDE (stratum__, h__),
+       CASE WHEN row_number() OVER (PARTITION BY b.stratum__ ORDER BY b.h__, b.{key}) <= f.train_i
+            THEN '{tr}' ELSE '{te}' END AS split
+FROM base b LEFT JOIN fin f ON b.stratum__ IS NOT DISTINCT FROM f.stratum__"""
+
+
+def ceil_test(frac: float) -> str:
+    return f"n - CAST(ceil(CAST({frac} AS DOUBLE) * CAST(n AS DOUBLE)) AS BIGINT)"
+
+
+LABELLED_SPLIT = split_sql(f"SELECT doc_id, label, source FROM ({LABELLED_PREPARED})",
+                           "CAST(label AS VARCHAR) || '_' || source", ceil_test(0.2))
+
+oracle("stratified_split", f"SELECT doc_id, label, source, split FROM ({LABELLED_SPLIT})")
+oracle("stratified_subsample", "SELECT doc_id, label, source FROM (" + split_sql(
+    f"SELECT doc_id, label, source FROM ({LABELLED_PREPARED})", "CAST(label AS VARCHAR)", "least(100, n)")
+    + ") WHERE split = 'train'")
+oracle("validation_split", "SELECT doc_id, label, split FROM (" + split_sql(
+    f"SELECT doc_id, label, source FROM ({LABELLED_SPLIT}) WHERE split = 'train'",
+    "CAST(label AS VARCHAR)", ceil_test(0.1), labels=("train", "val")) + ")")
+oracle("random_split", "SELECT doc_id, split FROM (" + split_sql(
+    "SELECT doc_id, source FROM documents", "'all'",
+    "n - least(greatest(CAST(floor(CAST(0.2 AS DOUBLE) * CAST(n AS DOUBLE)) AS BIGINT), 1), n)",
+    labels=("train", "val")) + ")")
+oracle("shuffled_rank", """
+SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || CAST(doc_id AS VARCHAR)), doc_id) AS shuffle_rank
+FROM documents""")

@@ -158,3 +158,41 @@ def q_row_funnel(spark, sf):
 @query("head_sample")
 def q_head_sample(spark, sf):
     return P.head_sample(T.read_table(spark, sf, "documents"), 3, 200)
+
+
+# ---------------------------------------------------------------- splits
+
+from ..operators import split as S  # noqa: E402
+
+
+@query("stratified_split")
+def q_stratified_split(spark, sf):
+    s = S.stratified_split(labelled_prepared(spark, sf), ("label", "source"), key="doc_id",
+                           test_size=0.2, seed=42)
+    return s.select("doc_id", "label", "source", "split")
+
+
+@query("stratified_subsample")
+def q_stratified_subsample(spark, sf):
+    s = S.stratified_subsample(labelled_prepared(spark, sf), 100, ("label",), key="doc_id", seed=42)
+    return s.select("doc_id", "label", "source")
+
+
+@query("validation_split")
+def q_validation_split(spark, sf):
+    train = S.stratified_split(labelled_prepared(spark, sf), ("label", "source"), key="doc_id",
+                               test_size=0.2, seed=42).where(F.col("split") == "train").drop("split")
+    v = S.validation_split(train, 0.1, ("label",), key="doc_id", seed=42)
+    return v.select("doc_id", "label", "split")
+
+
+@query("random_split")
+def q_random_split(spark, sf):
+    d = T.read_table(spark, sf, "documents").select("doc_id", "source")
+    return S.random_split(d, 0.2, key="doc_id", seed=42).select("doc_id", "split")
+
+
+@query("shuffled_rank")
+def q_shuffled_rank(spark, sf):
+    d = T.read_table(spark, sf, "documents").select("doc_id", "source")
+    return S.shuffled_rank(d, key="doc_id", seed=42).select("doc_id", "shuffle_rank")
