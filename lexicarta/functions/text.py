@@ -82,10 +82,12 @@ def _empty_strings() -> Column:
     return F.array().cast("array<string>")
 
 
-def word_ngrams(tokens, n_min: int, n_max: int) -> Column:
+def word_ngrams(tokens, n_min: int, n_max: int, sep: str = " ") -> Column:
     """All n-grams (n_min..n_max) of a token array joined by one space.
 
     ``sequence(1, 0)`` counts down, so each n is guarded by the array size.
+    Pass a column *reference* (project the tokens first): the array is read
+    inside the lambda, where an expression would be re-evaluated per n-gram.
     """
     w = col_of(tokens)
 
@@ -93,7 +95,7 @@ def word_ngrams(tokens, n_min: int, n_max: int) -> Column:
         return F.when(
             F.size(w) >= n,
             F.transform(F.sequence(F.lit(1), F.size(w) - n + 1),
-                        lambda i: F.array_join(F.slice(w, i, n), " ")),
+                        lambda i: F.array_join(F.slice(w, i, n), sep)),
         ).otherwise(_empty_strings())
 
     return F.flatten(F.transform(F.sequence(F.lit(int(n_min)), F.lit(int(n_max))), grams))
@@ -128,11 +130,24 @@ def char_wb_ngrams(c, n_min: int, n_max: int) -> Column:
     return F.flatten(F.transform(words, per_word))
 
 
-def char_ngrams(c, n_min: int, n_max: int) -> Column:
-    """Character n-grams over the lower-cased text in which runs of two
-    or more whitespace characters became one space."""
-    t = F.regexp_replace(F.lower(col_of(c)), WS_RUN2, " ")
-    return F.when(t.isNull(), _empty_strings()).otherwise(_windows(t, n_min, n_max))
+def char_text(c) -> Column:
+    """Text as the ``char`` analyzer sees it: lower-cased, runs of two or
+    more whitespace characters turned into one space (single ones stay)."""
+    return F.regexp_replace(F.lower(col_of(c)), WS_RUN2, " ")
+
+
+def code_points(c) -> Column:
+    """Array of the text's code points (``(?s).`` matches one code point,
+    surrogate pairs included, newlines included)."""
+    return F.regexp_extract_all(col_of(c), F.lit("(?s)."), 0)
+
+
+def char_ngrams(chars, n_min: int, n_max: int) -> Column:
+    """Character n-grams from the projected ``code_points(char_text)``
+    array.  Windows are ``slice`` + ``array_join`` over the code-point array:
+    ``substring`` would rescan the string from its start for every offset."""
+    chars = col_of(chars)
+    return F.when(chars.isNull(), _empty_strings()).otherwise(word_ngrams(chars, n_min, n_max, sep=""))
 
 
 def with_term_counts(df, arr, out: str = "terms"):
@@ -163,3 +178,11 @@ def with_term_counts(df, arr, out: str = "terms"):
         ),
     ))
     return d.drop(s_name, st_name)
+
+
+def explode_tokens(df, key: str, tokens: Column, carry=(), pos: str = "pos", out: str = "token"):
+    """Long form (key, carry.., pos 0-based, token).  ``posexplode_outer``
+    plus a null filter keeps Catalyst from inferring a ``size(...) > 0``
+    filter that would evaluate the tokeniser twice."""
+    d = df.select(key, *carry, F.posexplode_outer(tokens).alias(pos, out))
+    return d.where(F.col(out).isNotNull())

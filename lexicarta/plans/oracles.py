@@ -168,3 +168,112 @@ oracle("random_split", "SELECT doc_id, split FROM (" + split_sql(
 oracle("shuffled_rank", """
 SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || CAST(doc_id AS VARCHAR)), doc_id) AS shuffle_rank
 FROM documents""")
+
+
+# ---------------------------------------------------------------- tokens, n-grams, vocabulary
+
+def ws_tokens(src: str, key: str = "doc_id", text: str = "text", lower: bool = False) -> str:
+    """(key, pos, token): whitespace tokens, 0-based position."""
+    t = f"lower({text})" if lower else text
+    return f"""SELECT {key}, pos, token FROM (
+  SELECT {key}, unnest(l) AS token, unnest(range(0, len(l))) AS pos FROM (
+    SELECT {key}, list_filter(string_split_regex({t}, '{WS}'), lambda x: x <> '') AS l FROM ({src})))"""
+
+
+def word_tokens(src: str, key: str = "doc_id", text: str = "text") -> str:
+    return f"""SELECT {key}, pos, token FROM (
+  SELECT {key}, unnest(l) AS token, unnest(range(0, len(l))) AS pos FROM (
+    SELECT {key}, regexp_extract_all(lower({text}), '{WORD_TOKEN}') AS l FROM ({src})))"""
+
+
+def word_ngram_terms(src: str, n1: int, n2: int, key: str = "doc_id") -> str:
+    """(key, term) for word n-grams n1..n2 over the word tokens."""
+    leads = []
+    for n in range(1, n2 + 1):
+        parts = ["token"] + [f"lead(token, {k}) OVER w" for k in range(1, n)]
+        leads.append(" || ' ' || ".join(parts) + f" AS g{n}")
+    grams = f"SELECT {key}, {', '.join(leads)} FROM ({word_tokens(src, key)}) WINDOW w AS (PARTITION BY {key} ORDER BY pos)"
+    union = " UNION ALL ".join(f"SELECT {key}, g{n} AS term FROM g WHERE g{n} IS NOT NULL" for n in range(n1, n2 + 1))
+    return f"WITH g AS ({grams}) {union}"
+
+
+def char_wb_terms(src: str, n1: int, n2: int, key: str = "doc_id") -> str:
+    ns = ", ".join(f"({n})" for n in range(n1, n2 + 1))
+    return f"""WITH w AS (SELECT {key}, ' ' || token || ' ' AS p FROM ({ws_tokens(src, key, lower=True)}))
+SELECT {key}, substr(p, i, n) AS term FROM (
+  SELECT {key}, p, n, unnest(range(1, length(p) - n + 2)) AS i FROM w, (VALUES {ns}) ns(n) WHERE length(p) >= n)
+UNION ALL SELECT {key}, p AS term FROM w WHERE length(p) < {n1}"""
+
+
+def char_terms(src: str, n1: int, n2: int, key: str = "doc_id", text: str = "text") -> str:
+    ns = ", ".join(f"({n})" for n in range(n1, n2 + 1))
+    return f"""WITH t AS (SELECT {key}, regexp_replace(lower({text}), '{WS2}', ' ', 'g') AS p FROM ({src}))
+SELECT {key}, substr(p, i, n) AS term FROM (
+  SELECT {key}, p, n, unnest(range(1, length(p) - n + 2)) AS i FROM t, (VALUES {ns}) ns(n) WHERE length(p) >= n)"""
+
+
+def counts_of(terms_sql: str, key: str = "doc_id") -> str:
+    return f"SELECT {key}, term, CAST(count(*) AS INTEGER) AS tf FROM ({terms_sql}) GROUP BY {key}, term"
+
+
+def vocab_sql(fit_src: str, terms_fn, min_df=2, max_df=0.95, max_features=50_000) -> str:
+    """(term, term_idx, tf, df, idf) fitted on ``fit_src`` (doc_id, text)."""
+    maxd = f"CAST({max_df} AS DOUBLE) * n" if isinstance(max_df, float) else str(max_df)
+    lim = f"ORDER BY tf DESC, term LIMIT {max_features}" if max_features else ""
+    return f"""WITH nd AS (SELECT count(*) AS n FROM ({fit_src})),
+st AS (SELECT term, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS df FROM ({counts_of(terms_fn(fit_src))}) GROUP BY term),
+kept AS (SELECT st.* FROM st, nd WHERE df >= {min_df} AND df <= {maxd} {lim})
+SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS term_idx, tf, df,
+       ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf FROM kept, nd"""
+
+
+LABELLED_SPLIT_TEXT = split_sql(f"SELECT doc_id, text, label, source FROM ({LABELLED_PREPARED})",
+                                "CAST(label AS VARCHAR) || '_' || source", ceil_test(0.2))
+TRAIN_DOCS = f"SELECT doc_id, text, label, source FROM ({LABELLED_SPLIT_TEXT}) WHERE split = 'train'"
+TEST_DOCS = f"SELECT doc_id, text, label, source FROM ({LABELLED_SPLIT_TEXT}) WHERE split = 'test'"
+LABELLED_DOCS = f"SELECT doc_id, text, label, source FROM ({LABELLED_PREPARED})"
+
+
+def w12(src):
+    return word_ngram_terms(src, 1, 2)
+
+
+def w13(src):
+    return word_ngram_terms(src, 1, 3)
+
+
+def cwb24(src):
+    return char_wb_terms(src, 2, 4)
+
+
+TFIDF_VOCAB = vocab_sql(TRAIN_DOCS, w12)
+
+
+def tfidf_sql(target: str) -> str:
+    return f"""WITH voc AS ({TFIDF_VOCAB}),
+w AS (SELECT a.doc_id, v.term_idx, (1.0 + ln(a.tf)) * v.idf AS w
+      FROM ({counts_of(w12(target))}) a JOIN voc v ON a.term = v.term),
+nr AS (SELECT doc_id, sqrt(sum(w * w)) AS nr FROM w GROUP BY doc_id)
+SELECT w.doc_id, w.term_idx, round(w.w / nr.nr, 6) AS value FROM w JOIN nr ON w.doc_id = nr.doc_id"""
+
+
+def count_features_sql(terms_fn, target: str) -> str:
+    return f"""WITH voc AS ({vocab_sql(TRAIN_DOCS, terms_fn)})
+SELECT a.doc_id, v.term_idx, CAST(a.tf AS DOUBLE) AS value
+FROM ({counts_of(terms_fn(target))}) a JOIN voc v ON a.term = v.term"""
+
+
+oracle("whitespace_tokens", ws_tokens("SELECT doc_id, text FROM documents"))
+oracle("word_tokens", word_tokens("SELECT doc_id, text FROM documents"))
+oracle("word_ngrams", counts_of(w13(LABELLED_DOCS)))
+oracle("char_wb_ngrams", counts_of(cwb24(LABELLED_DOCS)))
+oracle("char_ngrams", counts_of(char_terms(LABELLED_DOCS, 2, 4)))
+oracle("term_counts", counts_of(w12("SELECT doc_id, text FROM documents")))
+oracle("vocabulary", f"SELECT term, term_idx, tf, df FROM ({TFIDF_VOCAB})")
+oracle("vocabulary_top_k", "SELECT term, term_idx, tf, df FROM ("
+       + vocab_sql("SELECT doc_id, text FROM documents", w12, 2, 0.95, 5000) + ")")
+oracle("idf", f"SELECT term_idx, round(idf, 6) AS idf FROM ({TFIDF_VOCAB})")
+oracle("tfidf", tfidf_sql(TRAIN_DOCS))
+oracle("apply_vocabulary", tfidf_sql(TEST_DOCS))
+oracle("ngram_count_features", count_features_sql(w13, TEST_DOCS))
+oracle("charwb_count_features", count_features_sql(cwb24, TEST_DOCS))

@@ -196,3 +196,100 @@ def q_random_split(spark, sf):
 def q_shuffled_rank(spark, sf):
     d = T.read_table(spark, sf, "documents").select("doc_id", "source")
     return S.shuffled_rank(d, key="doc_id", seed=42).select("doc_id", "shuffle_rank")
+
+
+# ---------------------------------------------------------------- tokens, n-grams, vocabulary
+
+from ..operators import vocab as V  # noqa: E402
+
+
+def labelled_split(spark, sf):
+    return S.stratified_split(labelled_prepared(spark, sf), ("label", "source"), key="doc_id",
+                              test_size=0.2, seed=42)
+
+
+def _train_test(spark, sf):
+    s = labelled_split(spark, sf)
+    return s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
+
+
+@query("whitespace_tokens")
+def q_whitespace_tokens(spark, sf):
+    d = T.read_table(spark, sf, "documents")
+    return X.explode_tokens(d, "doc_id", X.whitespace_tokens("text"))
+
+
+@query("word_tokens")
+def q_word_tokens(spark, sf):
+    d = T.read_table(spark, sf, "documents")
+    return X.explode_tokens(d, "doc_id", X.word_tokens("text"))
+
+
+@query("word_ngrams")
+def q_word_ngrams(spark, sf):
+    return V.term_counts(labelled_prepared(spark, sf), "word", (1, 3))
+
+
+@query("char_wb_ngrams")
+def q_char_wb_ngrams(spark, sf):
+    return V.term_counts(labelled_prepared(spark, sf), "char_wb", (2, 4))
+
+
+@query("char_ngrams")
+def q_char_ngrams(spark, sf):
+    return V.term_counts(labelled_prepared(spark, sf), "char", (2, 4))
+
+
+@query("term_counts")
+def q_term_counts(spark, sf):
+    return V.term_counts(T.read_table(spark, sf, "documents"), "word", (1, 2))
+
+
+def _tfidf_model(spark, sf):
+    train, test = _train_test(spark, sf)
+    return V.TermVectorizer.tfidf(50_000, (1, 2), 0.95, 2).fit(train), train, test
+
+
+@query("vocabulary")
+def q_vocabulary(spark, sf):
+    m, _, _ = _tfidf_model(spark, sf)
+    return m.vocabulary.select("term", "term_idx", "tf", "df")
+
+
+@query("vocabulary_top_k")
+def q_vocabulary_top_k(spark, sf):
+    d = T.read_table(spark, sf, "documents")
+    m = V.TermVectorizer.counts("word", (1, 2), 5_000, 2, 0.95).fit(d)
+    return m.vocabulary.select("term", "term_idx", "tf", "df")
+
+
+@query("idf")
+def q_idf(spark, sf):
+    m, _, _ = _tfidf_model(spark, sf)
+    return m.vocabulary.select("term_idx", r6(F.col("idf")).alias("idf"))
+
+
+@query("tfidf")
+def q_tfidf(spark, sf):
+    m, train, _ = _tfidf_model(spark, sf)
+    return m.transform(train).select("doc_id", "term_idx", r6(F.col("value")).alias("value"))
+
+
+@query("apply_vocabulary")
+def q_apply_vocabulary(spark, sf):
+    m, _, test = _tfidf_model(spark, sf)
+    return m.transform(test).select("doc_id", "term_idx", r6(F.col("value")).alias("value"))
+
+
+@query("ngram_count_features")
+def q_ngram_count_features(spark, sf):
+    train, test = _train_test(spark, sf)
+    m = V.TermVectorizer.counts("word", (1, 3), 50_000, 2, 0.95).fit(train)
+    return m.transform(test).select("doc_id", "term_idx", "value")
+
+
+@query("charwb_count_features")
+def q_charwb_count_features(spark, sf):
+    train, test = _train_test(spark, sf)
+    m = V.TermVectorizer.counts("char_wb", (2, 4), 50_000, 2, 0.95).fit(train)
+    return m.transform(test).select("doc_id", "term_idx", "value")
