@@ -277,3 +277,62 @@ oracle("tfidf", tfidf_sql(TRAIN_DOCS))
 oracle("apply_vocabulary", tfidf_sql(TEST_DOCS))
 oracle("ngram_count_features", count_features_sql(w13, TEST_DOCS))
 oracle("charwb_count_features", count_features_sql(cwb24, TEST_DOCS))
+
+
+# ---------------------------------------------------------------- metrics
+
+PRED_SET = """SELECT d.doc_id, d.source, CAST(l.quality AS INTEGER) AS label,
+       CAST(d.n_chars % 2 AS INTEGER) AS prediction, CAST(d.doc_id % 101 AS DOUBLE) / 100.0 AS probability
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
+
+
+def metrics_sql(src: str, g: str) -> str:
+    """(g, n, accuracy, f1_weighted, f1_macro, precision_weighted,
+    recall_weighted) per value of expression ``g`` over ``src``."""
+    return f"""WITH conf AS (SELECT {g} AS g, label, prediction, count(*) AS n FROM ({src}) GROUP BY ALL),
+t AS (SELECT g, label AS cls, sum(n) AS support, sum(CASE WHEN label = prediction THEN n ELSE 0 END) AS tp
+      FROM conf GROUP BY g, label),
+p AS (SELECT g, prediction AS cls, sum(n) AS pred_n FROM conf GROUP BY g, prediction),
+pc AS (SELECT coalesce(t.g, p.g) AS g, CAST(coalesce(support, 0) AS DOUBLE) AS support,
+              CAST(coalesce(tp, 0) AS DOUBLE) AS tp, CAST(coalesce(pred_n, 0) AS DOUBLE) AS pred_n
+       FROM t FULL OUTER JOIN p ON t.g IS NOT DISTINCT FROM p.g AND t.cls = p.cls),
+pm AS (SELECT g, support, tp,
+              CASE WHEN pred_n > 0 THEN tp / pred_n ELSE 0.0 END AS pr,
+              CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS rc,
+              CASE WHEN pred_n + support > 0 THEN 2.0 * tp / (pred_n + support) ELSE 0.0 END AS f1 FROM pc)
+SELECT g, CAST(sum(support) AS BIGINT) AS n, round(sum(tp) / sum(support), 6) AS accuracy,
+       round(sum(support * f1) / sum(support), 6) AS f1_weighted, round(avg(f1), 6) AS f1_macro,
+       round(sum(support * pr) / sum(support), 6) AS precision_weighted,
+       round(sum(support * rc) / sum(support), 6) AS recall_weighted
+FROM pm GROUP BY g"""
+
+
+def auc_sql(src: str, g: str, score: str = "probability") -> str:
+    return f"""WITH sc AS (SELECT {g} AS g, {score} AS score, count(*) FILTER (WHERE label = 1) AS pos,
+                          count(*) FILTER (WHERE label <> 1) AS neg FROM ({src}) GROUP BY ALL),
+cum AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY g ORDER BY score
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM sc)
+SELECT g, round(CASE WHEN sum(pos) > 0 AND sum(neg) > 0
+                     THEN sum(pos * (below + neg * 0.5)) / (sum(pos) * sum(neg)) END, 6) AS roc_auc
+FROM cum GROUP BY g"""
+
+
+oracle("confusion_matrix", f"""WITH ps AS ({PRED_SET}),
+cls AS (SELECT label AS c FROM ps UNION SELECT prediction FROM ps),
+conf AS (SELECT label, prediction, count(*) AS n FROM ps GROUP BY ALL)
+SELECT a.c AS label, b.c AS prediction, CAST(coalesce(conf.n, 0) AS BIGINT) AS n
+FROM cls a, cls b LEFT JOIN conf ON conf.label = a.c AND conf.prediction = b.c""")
+oracle("classification_metrics", f"""SELECT m.* EXCLUDE (g), a.roc_auc
+FROM ({metrics_sql(PRED_SET, "1")}) m JOIN ({auc_sql(PRED_SET, "1")}) a ON m.g = a.g""")
+oracle("roc_auc", f"SELECT g AS source, roc_auc FROM ({auc_sql(PRED_SET, 'source')})")
+_DOM = f"""SELECT 'domain' AS scope, m.g AS domain, m.* EXCLUDE (g), a.roc_auc
+FROM ({metrics_sql(PRED_SET, "source")}) m JOIN ({auc_sql(PRED_SET, "source")}) a ON m.g = a.g
+WHERE m.g IS NOT NULL"""
+oracle("domain_metrics", _DOM)
+oracle("metrics_report", _DOM + f"""
+UNION ALL SELECT 'overall', CAST(NULL AS VARCHAR), m.* EXCLUDE (g), a.roc_auc
+FROM ({metrics_sql(PRED_SET, "1")}) m JOIN ({auc_sql(PRED_SET, "1")}) a ON m.g = a.g""")
+oracle("results_table", f"""SELECT 'parity_rule' AS model, m.* EXCLUDE (g), a.roc_auc
+FROM ({metrics_sql(PRED_SET, "1")}) m JOIN ({auc_sql(PRED_SET, "1")}) a ON m.g = a.g
+UNION ALL SELECT 'threshold_rule', m.* EXCLUDE (g), CAST(NULL AS DOUBLE)
+FROM ({metrics_sql('SELECT label, CAST(probability >= 0.5 AS INTEGER) AS prediction FROM (' + PRED_SET + ')', "1")}) m""")

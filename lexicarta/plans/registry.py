@@ -293,3 +293,52 @@ def q_charwb_count_features(spark, sf):
     train, test = _train_test(spark, sf)
     m = V.TermVectorizer.counts("char_wb", (2, 4), 50_000, 2, 0.95).fit(train)
     return m.transform(test).select("doc_id", "term_idx", "value")
+
+
+# ---------------------------------------------------------------- metrics
+
+from ..operators import metrics as M  # noqa: E402
+
+_MCOLS = list(M.METRIC_COLUMNS)
+
+
+def _r6_all(df, cols):
+    return df.select(*[r6(F.col(c)).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+@query("confusion_matrix")
+def q_confusion_matrix(spark, sf):
+    return M.confusion_matrix(T.prediction_set(spark, sf))
+
+
+@query("classification_metrics")
+def q_classification_metrics(spark, sf):
+    m = M.classification_metrics(T.prediction_set(spark, sf))
+    return _r6_all(m, _MCOLS + ["roc_auc"])
+
+
+@query("roc_auc")
+def q_roc_auc(spark, sf):
+    a = M.roc_auc(T.prediction_set(spark, sf), ["source"])
+    return a.select("source", r6(F.col("roc_auc")).alias("roc_auc"))
+
+
+@query("domain_metrics")
+def q_domain_metrics(spark, sf):
+    m = M.domain_metrics(T.prediction_set(spark, sf), "source", include_overall=False)
+    return _r6_all(m, _MCOLS + ["roc_auc"])
+
+
+@query("metrics_report")
+def q_metrics_report(spark, sf):
+    m = M.domain_metrics(T.prediction_set(spark, sf), "source", include_overall=True)
+    return _r6_all(m, _MCOLS + ["roc_auc"])
+
+
+@query("results_table")
+def q_results_table(spark, sf):
+    ps = T.prediction_set(spark, sf)
+    a = M.classification_metrics(ps)
+    b = M.classification_metrics(ps.withColumn("prediction", (F.col("probability") >= 0.5).cast("int")), score=None)
+    t = M.results_table({"parity_rule": a, "threshold_rule": b})
+    return _r6_all(t.select("model", "n", *_MCOLS, "roc_auc"), _MCOLS + ["roc_auc"])
