@@ -336,3 +336,97 @@ oracle("results_table", f"""SELECT 'parity_rule' AS model, m.* EXCLUDE (g), a.ro
 FROM ({metrics_sql(PRED_SET, "1")}) m JOIN ({auc_sql(PRED_SET, "1")}) a ON m.g = a.g
 UNION ALL SELECT 'threshold_rule', m.* EXCLUDE (g), CAST(NULL AS DOUBLE)
 FROM ({metrics_sql('SELECT label, CAST(probability >= 0.5 AS INTEGER) AS prediction FROM (' + PRED_SET + ')', "1")}) m""")
+
+
+# ---------------------------------------------------------------- linear models
+
+def linear_sql(x_src: str, y_src: str, kind: str, epochs: int, lr: float, d_src: str, C: float = 1.0):
+    """Chained CTEs of full-batch gradient descent.  ``x_src``: (doc_id, j,
+    x); ``y_src``: (doc_id, y DOUBLE) with every training row; ``d_src``:
+    (j) for every feature index.  Returns (ctes, final weights name,
+    final bias name, list of per-epoch history CTE names)."""
+    ctes = [f"x AS ({x_src})", f"y AS ({y_src})", "nn AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM y)",
+            f"w0 AS (SELECT j, CAST(0.0 AS DOUBLE) AS w FROM ({d_src}))",
+            "b0 AS (SELECT CAST(0.0 AS DOUBLE) AS b)"]
+    hist = []
+    for e in range(epochs):
+        ctes.append(f"""z{e} AS (SELECT y.doc_id, y.y, b{e}.b + coalesce(s.s, 0.0) AS z FROM y CROSS JOIN b{e}
+  LEFT JOIN (SELECT x.doc_id, sum(x.x * w{e}.w) AS s FROM x JOIN w{e} ON x.j = w{e}.j GROUP BY x.doc_id) s
+  ON y.doc_id = s.doc_id)""")
+        if kind == "lr":
+            ctes.append(f"""r{e} AS (SELECT doc_id, y, z, 1.0 / (1.0 + exp(-z)) - y AS r,
+  1.0 / (1.0 + exp(-z)) AS p FROM z{e})""")
+            ctes.append(f"""h{e} AS (SELECT {e} AS epoch,
+  avg(-(y * ln(least(greatest(p, 1e-15), 1 - 1e-15)) + (1 - y) * ln(1 - least(greatest(p, 1e-15), 1 - 1e-15)))) AS loss,
+  avg(CASE WHEN CAST(p >= 0.5 AS DOUBLE) = y THEN 1.0 ELSE 0.0 END) AS accuracy FROM r{e})""")
+            upd_w = f"w.w - {lr} * (coalesce(g.g, 0.0) / nn.n)"
+            upd_b = f"b{e}.b - {lr} * ((SELECT sum(r) FROM r{e}) / nn.n)"
+        else:
+            ctes.append(f"""r{e} AS (SELECT doc_id, y, z, CASE WHEN y = 0 THEN -1.0 ELSE 1.0 END AS ys,
+  (CASE WHEN y = 0 THEN -1.0 ELSE 1.0 END) * (CASE WHEN (CASE WHEN y = 0 THEN -1.0 ELSE 1.0 END) * z < 1
+     THEN 1.0 ELSE 0.0 END) AS r FROM z{e})""")
+            ctes.append(f"""h{e} AS (SELECT {e} AS epoch, avg(greatest(0.0, 1.0 - ys * z)) AS loss,
+  avg(CASE WHEN (CASE WHEN z < 0 THEN 0.0 ELSE 1.0 END) = y THEN 1.0 ELSE 0.0 END) AS accuracy FROM r{e})""")
+            upd_w = f"w.w - {lr} * (-({C} / nn.n) * coalesce(g.g, 0.0) + w.w)"
+            upd_b = f"b{e}.b - {lr} * (-({C} / nn.n) * (SELECT sum(r) FROM r{e}))"
+        ctes.append(f"""w{e + 1} AS (SELECT w.j, {upd_w} AS w FROM w{e} w CROSS JOIN nn
+  LEFT JOIN (SELECT x.j, sum(x.x * r{e}.r) AS g FROM x JOIN r{e} ON x.doc_id = r{e}.doc_id GROUP BY x.j) g
+  ON w.j = g.j)""")
+        ctes.append(f"b{e + 1} AS (SELECT {upd_b} AS b FROM b{e} CROSS JOIN nn)")
+        hist.append(f"h{e}")
+    return ctes, f"w{epochs}", f"b{epochs}", hist
+
+
+DENSE_X = """SELECT vec_id AS doc_id, j, CAST(x AS DOUBLE) AS x FROM (
+  SELECT vec_id, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS j FROM embeddings)"""
+DENSE_Y = "SELECT vec_id AS doc_id, CAST(label % 2 AS DOUBLE) AS y FROM embeddings"
+DENSE_D = f"SELECT DISTINCT j FROM ({DENSE_X})"
+
+
+def _lin(kind: str, what: str) -> str:
+    ctes, w, b, hist = linear_sql(DENSE_X, DENSE_Y, kind, 10, 0.01, DENSE_D)
+    head = "WITH " + ",\n".join(ctes) + "\n"
+    if what == "fit":
+        return head + f"""SELECT CAST(-1 AS INTEGER) AS idx, round(b, 6) AS weight FROM {b}
+UNION ALL SELECT CAST(j AS INTEGER), round(w, 6) FROM {w}"""
+    if what == "history":
+        return head + " UNION ALL ".join(
+            f"SELECT CAST(epoch AS INTEGER) AS epoch, round(loss, 6) AS loss, round(accuracy, 6) AS accuracy FROM {h}"
+            for h in hist)
+    zf = f"""SELECT y.doc_id, {b}.b + coalesce(s.s, 0.0) AS z FROM y CROSS JOIN {b}
+  LEFT JOIN (SELECT x.doc_id, sum(x.x * {w}.w) AS s FROM x JOIN {w} ON x.j = {w}.j GROUP BY x.doc_id) s
+  ON y.doc_id = s.doc_id"""
+    if kind == "lr":
+        return head + f"""SELECT doc_id, round(1.0 / (1.0 + exp(-z)), 6) AS probability,
+  CAST(1.0 / (1.0 + exp(-z)) >= 0.5 AS INTEGER) AS prediction FROM ({zf})"""
+    return head + f"""SELECT doc_id, round(z, 6) AS raw, CASE WHEN z < 0 THEN 0 ELSE 1 END AS prediction FROM ({zf})"""
+
+
+for _k in ("lr", "svm"):
+    oracle(f"{_k}_fit", _lin(_k, "fit"))
+    oracle(f"{_k}_history", _lin(_k, "history"))
+    oracle(f"{_k}_predict", _lin(_k, "predict"))
+
+
+def _tfidf_long(target: str) -> str:
+    return f"""WITH voc AS ({TFIDF_VOCAB}),
+w AS (SELECT a.doc_id, v.term_idx, (1.0 + ln(a.tf)) * v.idf AS w
+      FROM ({counts_of(w12(target))}) a JOIN voc v ON a.term = v.term),
+nr AS (SELECT doc_id, sqrt(sum(w * w)) AS nr FROM w GROUP BY doc_id)
+SELECT w.doc_id, w.term_idx AS j, w.w / nr.nr AS x FROM w JOIN nr ON w.doc_id = nr.doc_id"""
+
+
+def _lr_tfidf() -> str:
+    ctes, w, b, _ = linear_sql(_tfidf_long(TRAIN_DOCS), f"SELECT doc_id, CAST(label AS DOUBLE) AS y FROM ({TRAIN_DOCS})",
+                               "lr", 10, 0.01, f"SELECT term_idx AS j FROM ({TFIDF_VOCAB})")
+    ctes.append(f"xt AS ({_tfidf_long(TEST_DOCS)})")
+    ctes.append(f"yt AS (SELECT doc_id, label FROM ({TEST_DOCS}))")
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT doc_id, label, round(1.0 / (1.0 + exp(-z)), 6) AS probability,
+       CAST(1.0 / (1.0 + exp(-z)) >= 0.5 AS INTEGER) AS prediction
+FROM (SELECT yt.doc_id, yt.label, {b}.b + coalesce(s.s, 0.0) AS z FROM yt CROSS JOIN {b}
+      LEFT JOIN (SELECT xt.doc_id, sum(xt.x * {w}.w) AS s FROM xt JOIN {w} ON xt.j = {w}.j GROUP BY xt.doc_id) s
+      ON yt.doc_id = s.doc_id)"""
+
+
+oracle("lr_tfidf_predict", _lr_tfidf())

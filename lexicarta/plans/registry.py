@@ -342,3 +342,69 @@ def q_results_table(spark, sf):
     b = M.classification_metrics(ps.withColumn("prediction", (F.col("probability") >= 0.5).cast("int")), score=None)
     t = M.results_table({"parity_rule": a, "threshold_rule": b})
     return _r6_all(t.select("model", "n", *_MCOLS, "roc_auc"), _MCOLS + ["roc_auc"])
+
+
+# ---------------------------------------------------------------- linear models
+
+from ..operators import linear as L  # noqa: E402
+
+LIN_EPOCHS, LIN_LR = 10, 0.01  # the training script's defaults
+
+
+def _dense(spark, sf):
+    return T.dense_features(spark, sf)
+
+
+def _fit_dense(spark, sf, kind):
+    return L.fit_linear(kind, _dense(spark, sf), LIN_EPOCHS, LIN_LR, dense_col="features")
+
+
+def _weights(spark, m):
+    return m.weights_frame(spark).select("idx", r6(F.col("weight")).alias("weight"))
+
+
+def _hist(spark, m):
+    return m.history(spark).select("epoch", r6(F.col("loss")).alias("loss"), r6(F.col("accuracy")).alias("accuracy"))
+
+
+@query("lr_fit")
+def q_lr_fit(spark, sf):
+    return _weights(spark, _fit_dense(spark, sf, "lr"))
+
+
+@query("lr_history")
+def q_lr_history(spark, sf):
+    return _hist(spark, _fit_dense(spark, sf, "lr"))
+
+
+@query("lr_predict")
+def q_lr_predict(spark, sf):
+    m = _fit_dense(spark, sf, "lr")
+    p = m.transform(_dense(spark, sf), dense_col="features")
+    return p.select("doc_id", r6(F.col("probability")).alias("probability"), "prediction")
+
+
+@query("svm_fit")
+def q_svm_fit(spark, sf):
+    return _weights(spark, _fit_dense(spark, sf, "svm"))
+
+
+@query("svm_history")
+def q_svm_history(spark, sf):
+    return _hist(spark, _fit_dense(spark, sf, "svm"))
+
+
+@query("svm_predict")
+def q_svm_predict(spark, sf):
+    m = _fit_dense(spark, sf, "svm")
+    p = m.transform(_dense(spark, sf), dense_col="features")
+    return p.select("doc_id", r6(F.col("raw")).alias("raw"), "prediction")
+
+
+@query("lr_tfidf_predict")
+def q_lr_tfidf_predict(spark, sf):
+    vec, train, test = _tfidf_model(spark, sf)
+    x_train = vec.transform_sparse(train, carry=["label"])
+    m = L.fit_linear("lr", x_train, LIN_EPOCHS, LIN_LR, n_features=vec.vocab_size)
+    p = m.transform(vec.transform_sparse(test, carry=["label"]))
+    return p.select("doc_id", "label", r6(F.col("probability")).alias("probability"), "prediction")
