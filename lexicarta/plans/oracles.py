@@ -430,3 +430,37 @@ FROM (SELECT yt.doc_id, yt.label, {b}.b + coalesce(s.s, 0.0) AS z FROM yt CROSS
 
 
 oracle("lr_tfidf_predict", _lr_tfidf())
+
+
+# ---------------------------------------------------------------- token vectors and scoring
+
+DOC_TOKENS = ws_tokens("SELECT doc_id, text FROM documents")
+VEC_TABLE = f"""WITH c AS (SELECT token, count(*) AS n_occ FROM ({DOC_TOKENS}) GROUP BY token),
+top AS (SELECT token, n_occ, row_number() OVER (ORDER BY n_occ DESC, token) - 1 AS rank FROM c
+        QUALIFY rank < (SELECT count(*) FROM embeddings))
+SELECT top.token, CAST(top.rank AS BIGINT) AS rank, top.n_occ, e.embedding AS vec
+FROM top JOIN embeddings e ON e.vec_id = top.rank"""
+TV = f"""SELECT t.doc_id, t.pos, t.token, CAST(v.token IS NOT NULL AS INTEGER) AS in_vocab, v.vec
+FROM ({DOC_TOKENS}) t LEFT JOIN ({VEC_TABLE}) v ON t.token = v.token WHERE t.pos < 100"""
+VSUM = "coalesce(list_sum(list_transform(vec, lambda x: CAST(x AS DOUBLE))), 0.0)"
+
+oracle("vector_table", f"SELECT token, rank, n_occ FROM ({VEC_TABLE})")
+oracle("token_vectors", f"SELECT doc_id, pos, token, in_vocab, round({VSUM}, 6) AS vec_sum FROM ({TV})")
+oracle("padded_sequence", f"""SELECT d.doc_id, 100 AS seq_len, round(coalesce(s.total, 0.0), 6) AS total
+FROM documents d LEFT JOIN (SELECT doc_id, sum({VSUM}) AS total FROM ({TV}) GROUP BY doc_id) s ON d.doc_id = s.doc_id""")
+oracle("mean_pool", f"""WITH tv AS ({TV}),
+n AS (SELECT doc_id, count(*) AS n FROM tv GROUP BY doc_id),
+s AS (SELECT doc_id, dim, sum(CAST(x AS DOUBLE)) AS s FROM (
+        SELECT doc_id, unnest(vec) AS x, unnest(range(0, 64)) AS dim FROM tv WHERE vec IS NOT NULL) GROUP BY doc_id, dim)
+SELECT n.doc_id, CAST(g.dim AS INTEGER) AS dim, round(coalesce(s.s, 0.0) / n.n, 6) AS value
+FROM n CROSS JOIN range(0, 64) g(dim) LEFT JOIN s ON s.doc_id = n.doc_id AND s.dim = g.dim""")
+oracle("softmax_argmax", """SELECT vec_id, round(exp(l0 - m) / (exp(l0 - m) + exp(l1 - m)), 6) AS p0,
+       round(exp(l1 - m) / (exp(l0 - m) + exp(l1 - m)), 6) AS p1,
+       CASE WHEN l1 > l0 THEN 1 ELSE 0 END AS prediction
+FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS l0, CAST(embedding[2] AS DOUBLE) AS l1,
+             CAST(greatest(embedding[1], embedding[2]) AS DOUBLE) AS m FROM embeddings)""")
+oracle("batch_score", """SELECT vec_id, round(exp(l1 - m) / (exp(l0 - m) + exp(l1 - m)), 6) AS p1,
+       CASE WHEN l1 > l0 THEN 1 ELSE 0 END AS prediction
+FROM (SELECT vec_id, l0, l1, greatest(l0, l1) AS m FROM (
+  SELECT vec_id, list_sum(list_transform(embedding[1:32], lambda x: CAST(x AS DOUBLE))) AS l0,
+         list_sum(list_transform(embedding[33:64], lambda x: CAST(x AS DOUBLE))) AS l1 FROM embeddings))""")

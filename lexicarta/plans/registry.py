@@ -408,3 +408,77 @@ def q_lr_tfidf_predict(spark, sf):
     m = L.fit_linear("lr", x_train, LIN_EPOCHS, LIN_LR, n_features=vec.vocab_size)
     p = m.transform(vec.transform_sparse(test, carry=["label"]))
     return p.select("doc_id", "label", r6(F.col("probability")).alias("probability"), "prediction")
+
+
+# ---------------------------------------------------------------- token vectors
+
+from ..operators import scoring as SC  # noqa: E402
+from ..operators import vectors as VE  # noqa: E402
+
+VEC_DIM, MAX_LEN = 64, 100
+
+
+def _vector_table(spark, sf):
+    return VE.vector_table_from_corpus(T.read_table(spark, sf, "documents"), T.read_table(spark, sf, "embeddings"))
+
+
+def _token_vectors(spark, sf, docs=None):
+    docs = docs if docs is not None else T.read_table(spark, sf, "documents").select("doc_id", "text")
+    return VE.token_vectors(docs, _vector_table(spark, sf), VEC_DIM, MAX_LEN)
+
+
+def _vsum(c):
+    return F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double"))
+
+
+@query("vector_table")
+def q_vector_table(spark, sf):
+    return _vector_table(spark, sf).select("token", "rank", "n_occ")
+
+
+@query("token_vectors")
+def q_token_vectors(spark, sf):
+    tv = _token_vectors(spark, sf)
+    return tv.select("doc_id", "pos", "token", "in_vocab", r6(_vsum(F.col("vec"))).alias("vec_sum"))
+
+
+@query("padded_sequence")
+def q_padded_sequence(spark, sf):
+    docs = T.read_table(spark, sf, "documents").select("doc_id", "text")
+    ps = VE.padded_sequence(_token_vectors(spark, sf, docs), VEC_DIM, MAX_LEN, docs=docs)
+    total = F.aggregate(F.col("sequence"), F.lit(0.0), lambda a, v: a + _vsum(v))
+    return ps.select("doc_id", F.size("sequence").alias("seq_len"), r6(total).alias("total"))
+
+
+@query("mean_pool")
+def q_mean_pool(spark, sf):
+    m = VE.mean_pool_long(_token_vectors(spark, sf))
+    return m.select("doc_id", "dim", r6(F.col("value")).alias("value"))
+
+
+# ---------------------------------------------------------------- scoring
+
+@query("softmax_argmax")
+def q_softmax_argmax(spark, sf):
+    e = T.read_table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 2).alias("logits"))
+    s = SC.with_softmax(e, "logits")
+    return s.select("vec_id", r6(F.col("probabilities")[0]).alias("p0"), r6(F.col("probabilities")[1]).alias("p1"),
+                    "prediction")
+
+
+@query("batch_score")
+def q_batch_score(spark, sf):
+    e = T.read_table(spark, sf, "embeddings").select("vec_id", "embedding")
+    s = SC.batch_score(e, SC.half_sum_model(VEC_DIM), "embedding", VEC_DIM, batch_size=32)
+    return s.select("vec_id", r6(F.col("probabilities")[1]).alias("p1"), "prediction")
+
+
+@query("mlp_baseline")
+def q_mlp_baseline(spark, sf):
+    s = labelled_split(spark, sf)
+    pooled = VE.mean_pool(_token_vectors(spark, sf, s.select("doc_id", "text")), VEC_DIM,
+                          docs=s.select("doc_id"))
+    feats = s.select("doc_id", "label", "split").join(pooled, "doc_id")
+    train = feats.where(F.col("split") == "train").drop("split")
+    test = feats.where(F.col("split") == "test").drop("split")
+    return SC.mlp_baseline(train, test).select("doc_id", "label", "prediction")
