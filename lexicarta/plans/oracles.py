@@ -464,3 +464,63 @@ oracle("batch_score", """SELECT vec_id, round(exp(l1 - m) / (exp(l0 - m) + exp(l
 FROM (SELECT vec_id, l0, l1, greatest(l0, l1) AS m FROM (
   SELECT vec_id, list_sum(list_transform(embedding[1:32], lambda x: CAST(x AS DOUBLE))) AS l0,
          list_sum(list_transform(embedding[33:64], lambda x: CAST(x AS DOUBLE))) AS l1 FROM embeddings))""")
+
+
+# ---------------------------------------------------------------- diagnostics
+
+def _edge(k: str) -> str:
+    return f"(CASE WHEN {k} >= 20 THEN hi ELSE CAST({k} AS DOUBLE) * step + lo END)"
+
+
+oracle("probability_histogram", f"""WITH ps AS ({PRED_SET}),
+st0 AS (SELECT label, CAST(min(probability) AS DOUBLE) AS lo0, CAST(max(probability) AS DOUBLE) AS hi0 FROM ps GROUP BY label),
+st AS (SELECT label, CASE WHEN lo0 = hi0 THEN lo0 - 0.5 ELSE lo0 END AS lo,
+              CASE WHEN lo0 = hi0 THEN hi0 + 0.5 ELSE hi0 END AS hi FROM st0),
+st2 AS (SELECT *, (hi - lo) / CAST(20 AS DOUBLE) AS step FROM st),
+a AS (SELECT ps.label, CAST(ps.probability AS DOUBLE) AS p, lo, hi, step,
+             least(CAST(floor((CAST(ps.probability AS DOUBLE) - lo) * (CAST(20 AS DOUBLE) / (hi - lo))) AS INTEGER), 19) AS i
+      FROM ps JOIN st2 ON ps.label = st2.label WHERE ps.probability IS NOT NULL),
+b AS (SELECT label, p, lo, hi, step, CASE WHEN p < {_edge('i')} THEN i - 1 ELSE i END AS i FROM a),
+c AS (SELECT label, CASE WHEN i <> 19 AND p >= {_edge('i + 1')} THEN i + 1 ELSE i END AS i FROM b),
+cnt AS (SELECT label, i AS bin, count(*) AS n FROM c GROUP BY ALL),
+grid AS (SELECT label, lo, hi, step, CAST(unnest(range(0, 20)) AS INTEGER) AS bin FROM st2)
+SELECT grid.label, grid.bin, round({_edge('grid.bin')}, 6) AS bin_lo, round({_edge('grid.bin + 1')}, 6) AS bin_hi,
+       CAST(coalesce(cnt.n, 0) AS BIGINT) AS n
+FROM grid LEFT JOIN cnt ON grid.label = cnt.label AND grid.bin = cnt.bin""")
+
+oracle("box_stats", f"""WITH ps AS (SELECT label, CAST(probability AS DOUBLE) AS v FROM ({PRED_SET}) WHERE probability IS NOT NULL),
+q AS (SELECT label, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3
+      FROM ps GROUP BY label),
+w AS (SELECT q.label, q1, median, q3, q3 - q1 AS iqr,
+             min(CASE WHEN v >= q1 - 1.5 * (q3 - q1) THEN v END) AS wl, max(CASE WHEN v <= q3 + 1.5 * (q3 - q1) THEN v END) AS wh
+      FROM ps JOIN q ON ps.label = q.label GROUP BY ALL),
+w2 AS (SELECT label, q1, median, q3, iqr, CASE WHEN wl IS NULL OR wl > q1 THEN q1 ELSE wl END AS whisker_low,
+              CASE WHEN wh IS NULL OR wh < q3 THEN q3 ELSE wh END AS whisker_high FROM w)
+SELECT w2.label, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(iqr, 6) AS iqr,
+       round(whisker_low, 6) AS whisker_low, round(whisker_high, 6) AS whisker_high,
+       CAST(count(*) FILTER (WHERE v < whisker_low OR v > whisker_high) AS BIGINT) AS n_outliers
+FROM w2 JOIN ps ON ps.label = w2.label GROUP BY ALL""")
+
+
+def _lr_curves() -> str:
+    ctes, _, _, hist = linear_sql(DENSE_X, DENSE_Y, "lr", 10, 0.01, DENSE_D)
+    return "WITH " + ",\n".join(ctes) + "\n" + " UNION ALL ".join(
+        f"SELECT CAST(epoch AS INTEGER) AS epoch, 'loss' AS series, round(loss, 6) AS value FROM {h} "
+        f"UNION ALL SELECT CAST(epoch AS INTEGER), 'accuracy', round(accuracy, 6) FROM {h}" for h in hist)
+
+
+oracle("training_curves", _lr_curves())
+
+HISTORY = """SELECT source AS run, doc_id AS epoch, CAST(n_chars % 1000 AS DOUBLE) / 1000.0 AS val_f1 FROM documents"""
+MARKED = f"""WITH b AS (SELECT *, coalesce(val_f1 > coalesce(max(val_f1) OVER (PARTITION BY run ORDER BY epoch
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1.0), false) AS is_best FROM ({HISTORY})),
+r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY epoch) - 1 AS rk FROM b),
+l AS (SELECT *, coalesce(max(CASE WHEN is_best THEN rk END) OVER (PARTITION BY run ORDER BY epoch
+                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS lb FROM r),
+n AS (SELECT *, CAST(rk - lb AS INTEGER) AS n_no_improve FROM l),
+s AS (SELECT run, min(rk) AS sr, arg_min(epoch, rk) AS stop_epoch FROM n WHERE n_no_improve >= 2 GROUP BY run)
+SELECT n.*, (s.sr IS NULL OR n.rk <= s.sr) AS ran, s.stop_epoch FROM n LEFT JOIN s ON n.run = s.run"""
+oracle("best_epoch", f"SELECT run, epoch, val_f1, is_best FROM ({MARKED})")
+oracle("early_stop", f"SELECT run, epoch, n_no_improve, ran FROM ({MARKED})")
+oracle("run_summary", f"""SELECT run, max(CASE WHEN is_best THEN epoch END) AS best_epoch, round(max(val_f1), 6) AS best_metric,
+       max(stop_epoch) AS stop_epoch, count(*) AS n_epochs_run FROM ({MARKED}) WHERE ran GROUP BY run""")

@@ -482,3 +482,52 @@ def q_mlp_baseline(spark, sf):
     train = feats.where(F.col("split") == "train").drop("split")
     test = feats.where(F.col("split") == "test").drop("split")
     return SC.mlp_baseline(train, test).select("doc_id", "label", "prediction")
+
+
+# ---------------------------------------------------------------- diagnostics
+
+from ..operators import diagnostics as D  # noqa: E402
+
+
+@query("probability_histogram")
+def q_probability_histogram(spark, sf):
+    h = D.probability_histogram(T.prediction_set(spark, sf), "label", "probability", 20)
+    return h.select("label", "bin", r6(F.col("bin_lo")).alias("bin_lo"), r6(F.col("bin_hi")).alias("bin_hi"), "n")
+
+
+@query("box_stats")
+def q_box_stats(spark, sf):
+    b = D.box_stats(T.prediction_set(spark, sf), "label", "probability")
+    cols = ["q1", "median", "q3", "iqr", "whisker_low", "whisker_high"]
+    return b.select("label", *[r6(F.col(c)).alias(c) for c in cols], "n_outliers")
+
+
+@query("training_curves")
+def q_training_curves(spark, sf):
+    m = _fit_dense(spark, sf, "lr")
+    c = D.training_curves(m.history(spark))
+    return c.select("epoch", "series", r6(F.col("value")).alias("value"))
+
+
+def _history(spark, sf):
+    """Epoch history derived from the documents: one run per source,
+    epochs in doc_id order, metric = (n_chars % 1000) / 1000."""
+    d = T.read_table(spark, sf, "documents")
+    return d.select(F.col("source").alias("run"), F.col("doc_id").alias("epoch"),
+                    ((F.col("n_chars") % 1000).cast("double") / F.lit(1000.0)).alias("val_f1"))
+
+
+@query("best_epoch")
+def q_best_epoch(spark, sf):
+    return D.best_and_stop(_history(spark, sf), patience=2).select("run", "epoch", "val_f1", "is_best")
+
+
+@query("early_stop")
+def q_early_stop(spark, sf):
+    return D.best_and_stop(_history(spark, sf), patience=2).select("run", "epoch", "n_no_improve", "ran")
+
+
+@query("run_summary")
+def q_run_summary(spark, sf):
+    s = D.run_summary(D.best_and_stop(_history(spark, sf), patience=2))
+    return s.select("run", "best_epoch", r6(F.col("best_metric")).alias("best_metric"), "stop_epoch", "n_epochs_run")
