@@ -524,3 +524,26 @@ oracle("best_epoch", f"SELECT run, epoch, val_f1, is_best FROM ({MARKED})")
 oracle("early_stop", f"SELECT run, epoch, n_no_improve, ran FROM ({MARKED})")
 oracle("run_summary", f"""SELECT run, max(CASE WHEN is_best THEN epoch END) AS best_epoch, round(max(val_f1), 6) AS best_metric,
        max(stop_epoch) AS stop_epoch, count(*) AS n_epochs_run FROM ({MARKED}) WHERE ran GROUP BY run""")
+
+
+# ---------------------------------------------------------------- datasets
+
+QA_KEYED = f"""SELECT *, CAST(item_id AS VARCHAR) || '-' || CAST(label AS VARCHAR) || '-' || CAST(part AS VARCHAR)
+       || '-' || CAST(idx AS VARCHAR) AS key FROM ({QA_PREPARED})"""
+QA_SPLIT = split_sql(QA_KEYED, "CAST(label AS VARCHAR) || '_' || source", ceil_test(0.2), key="key")
+COMBINED = f"""SELECT 'hc3' AS corpus, item_id, part, idx, CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS BIGINT) AS pos,
+       label, source, split, text, question FROM ({QA_SPLIT})
+UNION ALL SELECT 'turingbench', CAST(NULL AS BIGINT), CAST(NULL AS INTEGER), CAST(NULL AS INTEGER), doc_id, pos,
+       label, source, split, text, CAST(NULL AS VARCHAR) FROM ({MC_PREPARED})"""
+
+oracle("qa_split", f"SELECT item_id, label, part, idx, source, split FROM ({QA_SPLIT})")
+oracle("combined_union", f"""SELECT corpus, item_id, part, idx, doc_id, pos, label, source, split,
+       CAST(length(text) AS INTEGER) AS n_chars, question IS NOT NULL AS has_question FROM ({COMBINED})""")
+oracle("corpus_summary", f"""WITH t AS (
+  SELECT 'hc3' AS dataset, split, label, text FROM ({QA_SPLIT})
+  UNION ALL SELECT 'turingbench', split, label, text FROM ({MC_PREPARED})
+  UNION ALL SELECT 'combined', split, label, text FROM ({COMBINED}))
+SELECT dataset, split, count(*) AS n_rows, count(*) FILTER (WHERE label = 0) AS n_label0,
+       count(*) FILTER (WHERE label = 1) AS n_label1, round(avg(length(text)), 6) AS avg_chars,
+       count(*) FILTER (WHERE text IS NULL) AS n_null_text
+FROM t GROUP BY dataset, split""")

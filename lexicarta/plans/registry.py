@@ -531,3 +531,29 @@ def q_early_stop(spark, sf):
 def q_run_summary(spark, sf):
     s = D.run_summary(D.best_and_stop(_history(spark, sf), patience=2))
     return s.select("run", "best_epoch", r6(F.col("best_metric")).alias("best_metric"), "stop_epoch", "n_epochs_run")
+
+
+# ---------------------------------------------------------------- datasets
+
+from . import catalog as CAT  # noqa: E402
+
+
+@query("qa_split")
+def q_qa_split(spark, sf):
+    return CAT.qa_dataset(spark, sf).select("item_id", "label", "part", "idx", "source", "split")
+
+
+@query("combined_union")
+def q_combined_union(spark, sf):
+    c = CAT.combined_dataset(spark, sf)
+    return c.select("corpus", "item_id", "part", "idx", "doc_id", "pos", "label", "source", "split",
+                    F.length("text").alias("n_chars"), F.col("question").isNotNull().alias("has_question"))
+
+
+@query("corpus_summary")
+def q_corpus_summary(spark, sf):
+    tagged = C.combine({n: CAT.load_dataset(spark, sf, n, register=False) for n in CAT.DATASETS})
+    tagged = tagged.withColumnRenamed("corpus", "dataset")
+    s = P.corpus_summary(tagged, ("dataset", "split"))
+    return s.select("dataset", "split", "n_rows", "n_label0", "n_label1", r6(F.col("avg_chars")).alias("avg_chars"),
+                    "n_null_text")
