@@ -26,6 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .joins import join_small
 
 
@@ -98,14 +99,12 @@ def stratified_split(df: DataFrame, strata: Sequence[str] = ("label", "source"),
         raise ValueError("give test_size, test_rows or train_rows")
     tr, te = labels
     rows = df.withColumn("__stratum", _stratum(strata)).withColumn("__h", _order_hash(key, seed))
-    counts = rows.groupBy(F.col("__stratum").alias("stratum")).agg(F.count(F.lit(1)).alias("c"))
-    if strict:
-        bad = counts.where(F.col("c") < 2).limit(1).collect()
-        if bad:
-            raise ValueError(f"stratum {bad[0]['stratum']!r} has a single member")
-    alloc = allocation(counts, n_train_rule or _n_train_rule(test_size, test_rows, train_rows, min_test))
+    rule = n_train_rule or _n_train_rule(test_size, test_rows, train_rows, min_test)
 
     if method == "window":
+        counts = rows.groupBy(F.col("__stratum").alias("stratum")).agg(F.count(F.lit(1)).alias("c"))
+        _check_strict(counts, strict)
+        alloc = allocation(counts, rule)
         out = join_small(rows, alloc.select(F.col("stratum").alias("__stratum"), "train_i"), "__stratum", "left")
         rn = F.row_number().over(Window.partitionBy("__stratum").orderBy("__h", key))
         out = out.withColumn(split_col, F.when(rn <= F.col("train_i"), F.lit(tr)).otherwise(F.lit(te)))
@@ -114,25 +113,31 @@ def stratified_split(df: DataFrame, strata: Sequence[str] = ("label", "source"),
         raise ValueError(f"unknown method {method!r}")
 
     rows = rows.withColumn("__b", F.substring("__h", 1, int(bucket_hex)))
-    bcnt = rows.groupBy(F.col("__stratum").alias("stratum"), F.col("__b").alias("b")).agg(
-        F.count(F.lit(1)).alias("cnt"))
+    # pass 1 (eager): rows per (stratum, bucket); at most strata x 16^bucket_hex rows
+    bcnt = materialize(rows.groupBy(F.col("__stratum").alias("stratum"), F.col("__b").alias("b"))
+                       .agg(F.count(F.lit(1)).alias("cnt")))
+    counts = bcnt.groupBy("stratum").agg(F.sum("cnt").alias("c"))
+    _check_strict(counts, strict)
+    alloc = allocation(counts, rule)
     w = Window.partitionBy("stratum").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bcnt = (bcnt.join(alloc.select("stratum", "train_i"), "stratum")
-            .withColumn("cum_incl", F.sum("cnt").over(w))
-            .withColumn("cum_before", F.col("cum_incl") - F.col("cnt")))
+    bc = (bcnt.join(F.broadcast(alloc.select("stratum", "train_i")), "stratum")
+          .withColumn("cum_incl", F.sum("cnt").over(w))
+          .withColumn("cum_before", F.col("cum_incl") - F.col("cnt")))
     # boundary bucket: first bucket whose inclusive count reaches train_i
-    bnd = (bcnt.where(F.col("cum_incl") >= F.col("train_i"))
+    bnd = (bc.where(F.col("cum_incl") >= F.col("train_i"))
            .groupBy("stratum")
            .agg(F.min_by(F.struct("b", (F.col("train_i") - F.col("cum_before")).alias("need")), F.col("b")).alias("x"))
            .select(F.col("stratum").alias("__stratum"), F.col("x.b").alias("__bstar"), F.col("x.need").alias("__need")))
-    n_strata = counts.count()
-    # cut-off (hash, key) of the need-th row inside each boundary bucket
+    bnd = materialize(bnd)
+    n_strata = bnd.count()
+    # pass 2 (eager): cut-off (hash, key) of the need-th row of each boundary bucket
     cand = join_small(rows.select("__stratum", "__b", "__h", key), bnd, "__stratum", known_rows=n_strata)
     cand = cand.where((F.col("__b") == F.col("__bstar")) & (F.col("__need") > 0))
     rk = F.row_number().over(Window.partitionBy("__stratum").orderBy("__h", key))
     cut = (cand.withColumn("__rk", rk).where(F.col("__rk") == F.col("__need"))
            .select("__stratum", F.col("__h").alias("__hcut"), F.col(key).alias("__kcut")))
-    thr = bnd.join(cut, "__stratum", "left")
+    thr = materialize(bnd.join(cut, "__stratum", "left"))
+    # pass 3 (lazy): every row against its stratum's cut-off (one row per stratum)
     out = join_small(rows, thr, "__stratum", "left", known_rows=n_strata)
     in_train = ((F.col("__b") < F.col("__bstar"))
                 | ((F.col("__b") == F.col("__bstar")) & F.col("__hcut").isNotNull()
@@ -142,6 +147,13 @@ def stratified_split(df: DataFrame, strata: Sequence[str] = ("label", "source"),
     return out.drop("__stratum", "__h", "__b", "__bstar", "__need", "__hcut", "__kcut")
 
 
+def _check_strict(counts: DataFrame, strict: bool) -> None:
+    if strict:
+        bad = counts.where(F.col("c") < 2).limit(1).collect()
+        if bad:
+            raise ValueError(f"stratum {bad[0]['stratum']!r} has a single member")
+
+
 def stratified_subsample(df: DataFrame, max_samples: int, strata: Sequence[str] = ("label",),
                          key: str = "doc_id", seed: int = 42, **kw) -> DataFrame:
     """M2: keep a stratified sample of ``max_samples`` rows (all rows when

@@ -12,10 +12,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import materialize
 from .joins import join_small
 
 # A 100-d float table of 2M tokens is ~0.9 GB: above that, shuffle instead.
@@ -31,11 +32,11 @@ def vector_table_from_corpus(docs: DataFrame, embeddings: DataFrame, text_col: s
     toks = X.explode_tokens(docs.select("doc_id", text_col), "doc_id", X.whitespace_tokens(text_col))
     counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("n_occ"))
     top = counts.orderBy(F.desc("n_occ"), F.asc("token")).limit(int(k))
-    from pyspark.sql import Window
     ranked = top.withColumn("rank", (F.row_number().over(Window.orderBy(F.desc("n_occ"), F.asc("token"))) - 1)
                             .cast("bigint"))
     emb = embeddings.select(F.col("vec_id").alias("rank"), F.col("embedding").alias("vec"))
-    return ranked.join(emb, "rank").select("token", "rank", "n_occ", "vec")
+    # at most k rows: checkpointed, so its size check and the lookups reuse it
+    return materialize(ranked.join(emb, "rank").select("token", "rank", "n_occ", "vec"))
 
 
 def zeros(dim: int):
@@ -71,27 +72,28 @@ def padded_sequence(tv: DataFrame, dim: int, max_len: int = 100, key: str = "doc
     return g.select(key, F.slice(F.concat(seq, pad), 1, int(max_len)).alias("sequence"))
 
 
-def mean_pool_long(tv: DataFrame, key: str = "doc_id", mask_col: str | None = None) -> DataFrame:
-    """P23 long form (key, dim, value): masked mean of token vectors,
-    denominator clamped at 1e-9 (a fully masked document gives zeros).
-    Map-side partial aggregation reduces each document to ``dim`` partial
-    sums before the shuffle."""
-    m = F.col(mask_col).cast("double") if mask_col else F.lit(1.0)
-    e = tv.select(key, m.alias("__m"), F.posexplode_outer("vec").alias("dim", "__x")).where(F.col("dim").isNotNull())
-    g = e.groupBy(key, "dim").agg(F.sum(F.col("__x").cast("double") * F.col("__m")).alias("__s"),
-                                  F.sum("__m").alias("__n"))
-    return g.select(key, F.col("dim").cast("int").alias("dim"),
-                    (F.col("__s") / F.greatest(F.col("__n"), F.lit(1e-9))).alias("value"))
-
-
 def mean_pool(tv: DataFrame, dim: int, key: str = "doc_id", docs: DataFrame | None = None,
               mask_col: str | None = None) -> DataFrame:
-    """(key, embedding array<double>) per document; documents given in
-    ``docs`` without any token get the zero vector."""
-    long = mean_pool_long(tv, key, mask_col)
-    g = long.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("dim", "value"))).alias("__e"))
-    g = g.select(key, F.col("__e.value").alias("embedding"))
+    """(key, embedding array<double>): masked mean of each
+    document's token vectors, denominator clamped at 1e-9 (a fully masked
+    document gives zeros).  A document has at most ``max_len`` token rows,
+    so its vectors are collected (bounded) and summed in-row in position
+    order; documents given in ``docs`` without tokens get the zero vector."""
+    m = F.col(mask_col).cast("double") if mask_col else F.lit(1.0)
+    g = tv.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", m.alias("m"), F.col("vec").alias("v"))))
+                            .alias("__e"))
+    zero = F.array_repeat(F.lit(0.0), int(dim))
+    sums = F.aggregate("__e", zero, lambda acc, e: F.zip_with(acc, e["v"], lambda a, b: a + b.cast("double") * e["m"]))
+    den = F.aggregate("__e", F.lit(0.0), lambda a, e: a + e["m"])
+    g = g.select(key, sums.alias("__s"), F.greatest(den, F.lit(1e-9)).alias("__d"))
+    g = g.select(key, F.zip_with("__s", F.array_repeat(F.col("__d"), int(dim)), lambda a, d: a / d).alias("embedding"))
     if docs is not None:
-        g = docs.select(key).join(g, key, "left").select(
-            key, F.coalesce("embedding", F.array_repeat(F.lit(0.0), int(dim))).alias("embedding"))
+        g = docs.select(key).join(g, key, "left").select(key, F.coalesce("embedding", zero).alias("embedding"))
     return g
+
+
+def mean_pool_long(tv: DataFrame, dim: int, key: str = "doc_id", mask_col: str | None = None) -> DataFrame:
+    """P23 long form (key, dim, value) of ``mean_pool``."""
+    p = mean_pool(tv, dim, key, mask_col=mask_col)
+    e = p.select(key, F.posexplode_outer("embedding").alias("dim", "value")).where(F.col("dim").isNotNull())
+    return e.select(key, F.col("dim").cast("int").alias("dim"), "value")

@@ -56,12 +56,12 @@ def analyze(df: DataFrame, analyzer: str, ngram_range: Sequence[int], key: str =
     n1, n2 = int(ngram_range[0]), int(ngram_range[1])
     if analyzer == "word":
         d = df.select(key, *carry, X.word_tokens(F.col(text_col)).alias("__tok"))
-        return d.select(key, *carry, X.word_ngrams(F.col("__tok"), n1, n2).alias(out))
+        return X.with_ngrams(d, "__tok", n1, n2, out).select(key, *carry, out)
     if analyzer == "char_wb":
         return df.select(key, *carry, X.char_wb_ngrams(F.col(text_col), n1, n2).alias(out))
     if analyzer == "char":
         d = df.select(key, *carry, X.code_points(X.char_text(F.col(text_col))).alias("__cp"))
-        return d.select(key, *carry, X.char_ngrams(F.col("__cp"), n1, n2).alias(out))
+        return X.with_ngrams(d, "__cp", n1, n2, out, sep="").select(key, *carry, out)
     raise ValueError(f"analyzer must be one of {ANALYZERS}")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import corpus as C
 from ..operators import split as S
+from ..session import materialize
 from ..sources import tables as T
 
 DATASETS = ("hc3", "turingbench", "combined")
@@ -20,7 +21,7 @@ def qa_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     (label x source, 20 % test, seed 42).  The row key is the answer's
     position (item, label, part, index)."""
     qa = C.prepare_qa(T.nested_qa(spark, sf_dir), C.MIN_CHARS_QA)
-    qa = qa.withColumn("key", F.concat_ws("-", "item_id", "label", "part", "idx"))
+    qa = materialize(qa.withColumn("key", F.concat_ws("-", "item_id", "label", "part", "idx")))
     return S.stratified_split(qa, ("label", "source"), key="key", test_size=0.2, seed=42)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import corpus as C
 from ..operators import profile as P
+from ..session import materialize
 from ..sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,9 +42,11 @@ def _docs_with_url(spark, sf):
                     F.concat(F.col("text"), F.lit(" URL_"), F.col("doc_id").cast("string"), F.lit(" end")).alias("text"))
 
 
-def labelled_prepared(spark, sf):
-    """Labelled corpus -> P1 -> length >= 50 -> first-wins dedupe."""
-    return C.prepare_labelled(T.labelled_corpus(spark, sf), C.MIN_CHARS_MULTICLASS)
+def labelled_prepared(spark, sf, checkpoint: bool = False):
+    """Labelled corpus -> P1 -> length >= 50 -> first-wins dedupe.  Flows
+    that scan it several times (split, fit, transform) checkpoint it once."""
+    df = C.prepare_labelled(T.labelled_corpus(spark, sf), C.MIN_CHARS_MULTICLASS)
+    return materialize(df) if checkpoint else df
 
 
 def qa_prepared(spark, sf):
@@ -180,8 +183,7 @@ def q_stratified_subsample(spark, sf):
 
 @query("validation_split")
 def q_validation_split(spark, sf):
-    train = S.stratified_split(labelled_prepared(spark, sf), ("label", "source"), key="doc_id",
-                               test_size=0.2, seed=42).where(F.col("split") == "train").drop("split")
+    train = labelled_split(spark, sf).where(F.col("split") == "train").drop("split")
     v = S.validation_split(train, 0.1, ("label",), key="doc_id", seed=42)
     return v.select("doc_id", "label", "split")
 
@@ -204,8 +206,11 @@ from ..operators import vocab as V  # noqa: E402
 
 
 def labelled_split(spark, sf):
-    return S.stratified_split(labelled_prepared(spark, sf), ("label", "source"), key="doc_id",
-                              test_size=0.2, seed=42)
+    """Prepared corpus with its stratified split, checkpointed: every
+    feature / model flow reads it several times."""
+    s = S.stratified_split(labelled_prepared(spark, sf, checkpoint=True), ("label", "source"), key="doc_id",
+                           test_size=0.2, seed=42)
+    return materialize(s)
 
 
 def _train_test(spark, sf):
@@ -452,7 +457,7 @@ def q_padded_sequence(spark, sf):
 
 @query("mean_pool")
 def q_mean_pool(spark, sf):
-    m = VE.mean_pool_long(_token_vectors(spark, sf))
+    m = VE.mean_pool_long(_token_vectors(spark, sf), VEC_DIM)
     return m.select("doc_id", "dim", r6(F.col("value")).alias("value"))
 
 
@@ -478,7 +483,7 @@ def q_mlp_baseline(spark, sf):
     s = labelled_split(spark, sf)
     pooled = VE.mean_pool(_token_vectors(spark, sf, s.select("doc_id", "text")), VEC_DIM,
                           docs=s.select("doc_id"))
-    feats = s.select("doc_id", "label", "split").join(pooled, "doc_id")
+    feats = materialize(s.select("doc_id", "label", "split").join(pooled, "doc_id"))
     train = feats.where(F.col("split") == "train").drop("split")
     test = feats.where(F.col("split") == "test").drop("split")
     return SC.mlp_baseline(train, test).select("doc_id", "label", "prediction")
