@@ -547,3 +547,7 @@ SELECT dataset, split, count(*) AS n_rows, count(*) FILTER (WHERE label = 0) AS
        count(*) FILTER (WHERE label = 1) AS n_label1, round(avg(length(text)), 6) AS avg_chars,
        count(*) FILTER (WHERE text IS NULL) AS n_null_text
 FROM t GROUP BY dataset, split""")
+
+
+oracle("row_funnel", ORACLES["row_funnel"] + f"""
+UNION ALL SELECT CASE WHEN split = 'train' THEN 4 ELSE 5 END, split, count(*) FROM ({QA_SPLIT}) GROUP BY split""")

@@ -37,11 +37,16 @@ def r6(c) -> F.Column:
 
 def _docs_with_url(spark, sf):
     """Documents with a URL placeholder injected (the data has none)."""
-    d = T.read_table(spark, sf, "documents")
+    d = T.read_text_table(spark, sf, "documents")
     return d.select("doc_id", "source",
                     F.concat(F.col("text"), F.lit(" URL_"), F.col("doc_id").cast("string"), F.lit(" end")).alias("text"))
 
 
+def _qa_dataset(spark, sf):
+    from .catalog import qa_dataset
+    return qa_dataset(spark, sf)
+
+
 def labelled_prepared(spark, sf, checkpoint: bool = False):
     """Labelled corpus -> P1 -> length >= 50 -> first-wins dedupe.  Flows
     that scan it several times (split, fit, transform) checkpoint it once."""
@@ -87,7 +92,7 @@ def q_flatten(spark, sf):
 
 @query("min_length_filter")
 def q_min_length(spark, sf):
-    d = T.read_table(spark, sf, "documents").select("doc_id", X.clean_text("text").alias("text"))
+    d = T.read_text_table(spark, sf, "documents").select("doc_id", X.clean_text("text").alias("text"))
     return C.min_length(d, C.MIN_CHARS_MULTICLASS).select("doc_id", F.length("text").alias("n_chars"))
 
 
@@ -100,7 +105,7 @@ def q_domain_filter(spark, sf):
 
 @query("dedupe_first")
 def q_dedupe_first(spark, sf):
-    d = T.read_table(spark, sf, "documents").select("doc_id", "source", X.clean_text("text").alias("text"))
+    d = T.read_text_table(spark, sf, "documents").select("doc_id", "source", X.clean_text("text").alias("text"))
     out = C.dedupe_first(d, ["doc_id"])
     return out.select("doc_id", "source", F.length("text").alias("n_chars"))
 
@@ -118,7 +123,7 @@ def q_dedupe_per_split(spark, sf):
 
 @query("split_leakage")
 def q_split_leakage(spark, sf):
-    d = T.read_table(spark, sf, "documents").select("doc_id", X.clean_text("text").alias("text"))
+    d = T.read_text_table(spark, sf, "documents").select("doc_id", X.clean_text("text").alias("text"))
     return C.split_leakage(T.given_splits(d)).select(
         "text_key", "n_train", "n_test", F.length("text").alias("n_chars"))
 
@@ -155,7 +160,8 @@ def q_row_funnel(spark, sf):
     flat = C.flatten_qa(nested).withColumn("text", X.clean_text_qa("text"))
     kept = C.min_length(flat, C.MIN_CHARS_QA)
     dedup = C.dedupe_first(kept, ["item_id", "label", "part", "idx"])
-    return P.row_funnel(items, flat, kept, dedup)
+    split = _qa_dataset(spark, sf)
+    return P.row_funnel(items, flat, kept, dedup, split)
 
 
 @query("head_sample")
@@ -170,14 +176,14 @@ from ..operators import split as S  # noqa: E402
 
 @query("stratified_split")
 def q_stratified_split(spark, sf):
-    s = S.stratified_split(labelled_prepared(spark, sf), ("label", "source"), key="doc_id",
+    s = S.stratified_split(labelled_prepared(spark, sf, checkpoint=True), ("label", "source"), key="doc_id",
                            test_size=0.2, seed=42)
     return s.select("doc_id", "label", "source", "split")
 
 
 @query("stratified_subsample")
 def q_stratified_subsample(spark, sf):
-    s = S.stratified_subsample(labelled_prepared(spark, sf), 100, ("label",), key="doc_id", seed=42)
+    s = S.stratified_subsample(labelled_prepared(spark, sf, checkpoint=True), 100, ("label",), key="doc_id", seed=42)
     return s.select("doc_id", "label", "source")
 
 
@@ -220,13 +226,13 @@ def _train_test(spark, sf):
 
 @query("whitespace_tokens")
 def q_whitespace_tokens(spark, sf):
-    d = T.read_table(spark, sf, "documents")
+    d = T.read_text_table(spark, sf, "documents")
     return X.explode_tokens(d, "doc_id", X.whitespace_tokens("text"))
 
 
 @query("word_tokens")
 def q_word_tokens(spark, sf):
-    d = T.read_table(spark, sf, "documents")
+    d = T.read_text_table(spark, sf, "documents")
     return X.explode_tokens(d, "doc_id", X.word_tokens("text"))
 
 
@@ -247,7 +253,7 @@ def q_char_ngrams(spark, sf):
 
 @query("term_counts")
 def q_term_counts(spark, sf):
-    return V.term_counts(T.read_table(spark, sf, "documents"), "word", (1, 2))
+    return V.term_counts(T.read_text_table(spark, sf, "documents"), "word", (1, 2))
 
 
 def _tfidf_model(spark, sf):
@@ -263,7 +269,7 @@ def q_vocabulary(spark, sf):
 
 @query("vocabulary_top_k")
 def q_vocabulary_top_k(spark, sf):
-    d = T.read_table(spark, sf, "documents")
+    d = T.read_text_table(spark, sf, "documents")
     m = V.TermVectorizer.counts("word", (1, 2), 5_000, 2, 0.95).fit(d)
     return m.vocabulary.select("term", "term_idx", "tf", "df")
 
@@ -424,11 +430,11 @@ VEC_DIM, MAX_LEN = 64, 100
 
 
 def _vector_table(spark, sf):
-    return VE.vector_table_from_corpus(T.read_table(spark, sf, "documents"), T.read_table(spark, sf, "embeddings"))
+    return VE.vector_table_from_corpus(T.read_text_table(spark, sf, "documents"), T.read_table(spark, sf, "embeddings"))
 
 
 def _token_vectors(spark, sf, docs=None):
-    docs = docs if docs is not None else T.read_table(spark, sf, "documents").select("doc_id", "text")
+    docs = docs if docs is not None else T.read_text_table(spark, sf, "documents").select("doc_id", "text")
     return VE.token_vectors(docs, _vector_table(spark, sf), VEC_DIM, MAX_LEN)
 
 
@@ -449,7 +455,7 @@ def q_token_vectors(spark, sf):
 
 @query("padded_sequence")
 def q_padded_sequence(spark, sf):
-    docs = T.read_table(spark, sf, "documents").select("doc_id", "text")
+    docs = T.read_text_table(spark, sf, "documents").select("doc_id", "text")
     ps = VE.padded_sequence(_token_vectors(spark, sf, docs), VEC_DIM, MAX_LEN, docs=docs)
     total = F.aggregate(F.col("sequence"), F.lit(0.0), lambda a, v: a + _vsum(v))
     return ps.select("doc_id", F.size("sequence").alias("seq_len"), r6(total).alias("total"))

@@ -16,6 +16,9 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # local runs: small post-shuffle partitions keep every core busy on the
+    # CPU-heavy text stages that follow a dedupe or split shuffle
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256KB",
 }
 
 

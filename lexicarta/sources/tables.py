@@ -14,10 +14,32 @@ from pyspark.sql import functions as F
 TABLES = ("documents", "labels", "conversations", "embeddings", "benchmark", "pages")
 
 
+# Text tables and their keys: per-row work on them is CPU heavy (regex,
+# n-grams), so a scan with fewer splits than cores is spread by key.
+TEXT_TABLES = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id"}
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-repartition by ``key`` only when the scan has fewer partitions
+    than the cluster has cores (a few large row groups).  Inputs with enough
+    splits -- any input at scale -- are left as they are, so no shuffle of
+    the raw text is added there."""
+    spark = df.sparkSession
+    want = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want, key)
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def read_text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Scan of a text table for per-row text work (see ``spread``)."""
+    return spread(read_table(spark, sf_dir, name), TEXT_TABLES[name])
+
+
 def labelled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat labelled corpus: ``documents JOIN labels USING (doc_id)``.
 
@@ -25,7 +47,7 @@ def labelled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     Both sides grow with the data, so no broadcast is forced: AQE turns the
     join into a broadcast at run time only when the labels side is small.
     """
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = read_text_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     return (docs.join(labels, "doc_id")
             .select("doc_id", "text", F.col("label").cast("int").alias("label"), "source",
@@ -33,7 +55,7 @@ def labelled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unlabelled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return read_text_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
 
 
 def nested_qa(spark: SparkSession, sf_dir: str, part_size: int = 256) -> DataFrame:
@@ -45,7 +67,7 @@ def nested_qa(spark: SparkSession, sf_dir: str, part_size: int = 256) -> DataFra
     turns, so no conversation (however long) is collected into one record;
     the (item, label, part, index) order equals the unsliced turn order.
     """
-    conv = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    conv = read_text_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     question = (conv.where(F.col("role") == "user")
                 .groupBy("conv_id")
                 .agg(F.min_by("text", "turn").alias("question")))
@@ -69,7 +91,7 @@ def multiclass_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     text, ``label`` = role (``user`` is the human class); the two supplied
     splits are ``conv_id % 5 = 0`` (test) and the rest (train).  The row key
     is (doc_id = conv_id, pos = turn), which is also the file order."""
-    conv = read_table(spark, sf_dir, "conversations")
+    conv = read_text_table(spark, sf_dir, "conversations")
     return conv.select(
         F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"),
         F.col("text").alias("Generation"),

@@ -56,3 +56,38 @@ def test_stream_clean_and_featurize(spark, scratch):
     out = spark.read.parquet(f"{scratch}/stream_out").collect()
     assert sorted((r["doc_id"], r["value"]) for r in out) == [(1, 1.0), (1, 1.0)]
     assert C.MIN_CHARS_MULTICLASS == 50
+
+
+def test_nested_json_and_multiclass_csv_readers(spark, scratch):
+    import json as _json
+    p = f"{scratch}/hc3.jsonl"
+    with open(p, "w") as f:
+        f.write(_json.dumps({"question": "q1", "source": "finance", "human_answers": ["a  URL_1 b"],
+                             "chatgpt_answers": ["c"]}) + "\n")
+        f.write(_json.dumps({"question": "q2", "source": "open_qa", "human_answers": [], "chatgpt_answers": None}) + "\n")
+    nested = files.read_nested_qa(spark, p, "json")
+    flat = C.flatten_qa(nested).collect()
+    assert sorted((r["text"], r["label"]) for r in flat) == [("a  URL_1 b", 0), ("c", 1)]
+    raw = f"{scratch}/tb"
+    os.makedirs(raw, exist_ok=True)
+    for split in ("train", "test"):
+        with open(f"{raw}/{split}.csv", "w") as f:
+            f.write('Generation,label\n"some text, with comma",human\n"other\ntext",gpt2\n')
+    mc = C.prepare_multiclass(files.read_multiclass_raw(spark, raw), min_chars=5)
+    assert sorted((r["split"], r["label"]) for r in mc.collect()) == [("test", 0), ("test", 1), ("train", 0), ("train", 1)]
+    with pytest.raises(FileNotFoundError):
+        files.read_multiclass_raw(spark, f"{scratch}/nothing")
+
+
+def test_feature_runner_writes_each_kind(spark, scratch):
+    from lexicarta.plans import workflows as W
+    rows = [(i, f"doc number {i % 7} about topic {i % 3} and more words {i % 5}", i % 2, "s", "train" if i % 5 else "test")
+            for i in range(40)]
+    ds = spark.createDataFrame(rows, "doc_id long, text string, label int, source string, split string")
+    vec = spark.createDataFrame([("doc", [1.0, 0.0]), ("about", [0.0, 1.0])], "token string, vec array<float>")
+    out = W.run_features(spark, ds, ["tfidf", "word_ngram", "char_ngram", "mean_pool"], f"{scratch}/feats",
+                         vectors=vec, dim=2)
+    for kind, path in out.items():
+        back = files.load_features(spark, path)
+        assert back.count() == 40, kind
+        assert {r["split"] for r in back.select("split").distinct().collect()} == {"train", "test"}
