@@ -94,28 +94,31 @@ def domain_filter(df: DataFrame, domain: str | None, allowed: Iterable[str] | No
 def prepare_qa(nested: DataFrame, min_chars: int = MIN_CHARS_QA) -> DataFrame:
     """QA path: flatten -> clean (P2) -> min length -> first-wins dedupe.
 
-    The cleaned text is computed once, below the length filter and the
-    dedupe, so the regex work is not repeated.
+    The length test runs after the dedupe: length is a function of the
+    dedupe key (the cleaned text), so whole duplicate groups pass or fail
+    together and the result is the same, while a filter placed before the
+    dedupe is pushed into the scan by Catalyst with the cleaning regex
+    inlined, running it twice per row.
     """
     flat = flatten_qa(nested).withColumn("text", X.clean_text_qa("text"))
-    kept = min_length(flat, min_chars)
-    return dedupe_first(kept, ["item_id", "label", "part", "idx"])
+    return min_length(dedupe_first(flat, ["item_id", "label", "part", "idx"]), min_chars)
 
 
 def prepare_multiclass(raw: DataFrame, min_chars: int = MIN_CHARS_MULTICLASS,
                        order_cols: Sequence[str] = ("doc_id", "pos")) -> DataFrame:
     """Multi-class path, per given split: rename, binarise, clean (P1),
-    min length, dedupe inside each split (cross-split copies survive)."""
+    min length, dedupe inside each split (cross-split copies survive).
+    Length is tested after the dedupe (same rows; see ``prepare_qa``)."""
     df = rename_multiclass(raw).withColumn("text", X.clean_text("text"))
-    df = min_length(df, min_chars)
-    return dedupe_first(df, list(order_cols), scope=["split"])
+    return min_length(dedupe_first(df, list(order_cols), scope=["split"]), min_chars)
 
 
 def prepare_labelled(df: DataFrame, min_chars: int = MIN_CHARS_MULTICLASS,
                      cleaner=X.clean_text) -> DataFrame:
-    """Flat labelled corpus: clean -> min length -> first-wins by doc_id."""
+    """Flat labelled corpus: clean -> min length -> first-wins by doc_id
+    (length tested after the dedupe: same rows; see ``prepare_qa``)."""
     cleaned = df.withColumn("text", cleaner("text"))
-    return dedupe_first(min_length(cleaned, min_chars), ["doc_id"])
+    return min_length(dedupe_first(cleaned, ["doc_id"]), min_chars)
 
 
 def split_leakage(df: DataFrame, text_col: str = "text", split_col: str = "split") -> DataFrame:

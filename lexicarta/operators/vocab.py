@@ -100,7 +100,11 @@ def fit_vocabulary(df: DataFrame, params: VectorizerParams, key: str = "doc_id",
     if params.max_features is not None:
         # TakeOrderedAndProject: each task keeps its top k, no global sort
         kept = kept.orderBy(F.desc("tf"), F.asc("term")).limit(int(params.max_features))
-    vocab = kept.withColumn("term_idx", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
+    if params.max_features is not None:
+        # at most max_features rows: one ordered window is fine
+        vocab = kept.withColumn("term_idx", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
+    else:
+        vocab = _rank_terms(kept)
     if params.tfidf:
         n = float(n_docs)
         if params.smooth_idf:
@@ -118,6 +122,20 @@ def fit_vocabulary(df: DataFrame, params: VectorizerParams, key: str = "doc_id",
     return vocab, n_docs
 
 
+def _rank_terms(kept: DataFrame, prefix_len: int = 3) -> DataFrame:
+    """0-based rank of each term in ascending term order without a global
+    window (an unbounded vocabulary): a term's first code points are a
+    block key monotone in term order; offsets come from the small
+    per-prefix count table, then ranks inside each prefix block."""
+    k = kept.withColumn("__pfx", F.substring("term", 1, prefix_len))
+    pc = k.groupBy("__pfx").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.orderBy("__pfx").rowsBetween(Window.unboundedPreceding, -1)
+    offs = materialize(pc.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n"))
+    k = join_small(k, offs, "__pfx")
+    rn = F.row_number().over(Window.partitionBy("__pfx").orderBy("term"))
+    return k.withColumn("term_idx", (F.col("__off") + rn - 1).cast("int")).drop("__pfx", "__off")
+
+
 class TermVectorizer:
     """X1-X4 estimator: ``fit(train) -> TermVectorizerModel``.
 

@@ -81,7 +81,7 @@ def test_nested_json_and_multiclass_csv_readers(spark, scratch):
 
 def test_feature_runner_writes_each_kind(spark, scratch):
     from lexicarta.plans import workflows as W
-    rows = [(i, f"doc number {i % 7} about topic {i % 3} and more words {i % 5}", i % 2, "s", "train" if i % 5 else "test")
+    rows = [(i, f"doc w{i % 7}x about alpha{i % 3} beta{i % 5} gamma", i % 2, "s", "train" if i % 5 else "test")
             for i in range(40)]
     ds = spark.createDataFrame(rows, "doc_id long, text string, label int, source string, split string")
     vec = spark.createDataFrame([("doc", [1.0, 0.0]), ("about", [0.0, 1.0])], "token string, vec array<float>")

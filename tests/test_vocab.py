@@ -71,3 +71,13 @@ def test_vocabulary_join_is_broadcast(spark, split):
     m = V.TermVectorizer.tfidf().fit(split.where("split = 'train'"))
     plan = m.transform(split)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
+
+
+def test_unbounded_vocabulary_ranks_match_sorted_order(spark):
+    from lexicarta.sources import tables as T
+    from conftest import SF001
+    d = T.read_table(spark, SF001, "documents")
+    m = V.TermVectorizer.counts("word", (1, 2), max_features=None, min_df=1, max_df=1.0).fit(d)
+    rows = m.vocabulary.select("term", "term_idx").collect()
+    by_term = [r["term_idx"] for r in sorted(rows, key=lambda r: r["term"].encode("utf-8"))]
+    assert by_term == list(range(len(rows)))
