@@ -175,13 +175,13 @@ FROM documents""")
 def ws_tokens(src: str, key: str = "doc_id", text: str = "text", lower: bool = False) -> str:
     """(key, pos, token): whitespace tokens, 0-based position."""
     t = f"lower({text})" if lower else text
-    return f"""SELECT {key}, pos, token FROM (
+    return f"""SELECT {key}, CAST(pos AS INTEGER) AS pos, token FROM (
   SELECT {key}, unnest(l) AS token, unnest(range(0, len(l))) AS pos FROM (
     SELECT {key}, list_filter(string_split_regex({t}, '{WS}'), lambda x: x <> '') AS l FROM ({src})))"""
 
 
 def word_tokens(src: str, key: str = "doc_id", text: str = "text") -> str:
-    return f"""SELECT {key}, pos, token FROM (
+    return f"""SELECT {key}, CAST(pos AS INTEGER) AS pos, token FROM (
   SELECT {key}, unnest(l) AS token, unnest(range(0, len(l))) AS pos FROM (
     SELECT {key}, regexp_extract_all(lower({text}), '{WORD_TOKEN}') AS l FROM ({src})))"""
 
