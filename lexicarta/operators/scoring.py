@@ -81,3 +81,25 @@ def mlp_baseline(train: DataFrame, test: DataFrame, features: str = "embedding",
     out = model.transform(te)
     return out.select(*test.columns, F.col("prediction").cast("int").alias("prediction"),
                       vector_to_array("probability")[1].alias("probability")).drop(features)
+
+
+def embed_texts(df: DataFrame, make_encoder_fn: Callable, text_col: str = "text", out: str = "embedding",
+                batch_size: int = 32) -> DataFrame:
+    """X6 with a user encoder (U3): ``make_encoder_fn()`` returns
+    ``encode(texts: np.ndarray[str]) -> np.ndarray[n, dim]``; Spark hands it
+    Arrow batches of ``batch_size`` texts, one encoder instance per Python
+    worker (loaded once, reused across batches)."""
+    from pyspark.ml.functions import predict_batch_udf
+
+    udf = predict_batch_udf(make_encoder_fn, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size)
+    return df.withColumn(out, udf(F.col(text_col)))
+
+
+def length_encoder() -> Callable:
+    """A deterministic toy encoder for examples and tests: [code points,
+    whitespace tokens] of each text."""
+    def make():
+        def encode(texts: np.ndarray) -> np.ndarray:
+            return np.array([[float(len(t)), float(len(t.split()))] for t in texts], dtype=np.float64)
+        return encode
+    return make

@@ -551,3 +551,8 @@ FROM t GROUP BY dataset, split""")
 
 oracle("row_funnel", ORACLES["row_funnel"] + f"""
 UNION ALL SELECT CASE WHEN split = 'train' THEN 4 ELSE 5 END, split, count(*) FROM ({QA_SPLIT}) GROUP BY split""")
+
+
+oracle("text_encoder", f"""SELECT d.doc_id, CAST(length(d.text) AS DOUBLE) AS n_chars,
+       CAST(coalesce(t.n, 0) AS DOUBLE) AS n_tokens
+FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({DOC_TOKENS}) GROUP BY doc_id) t ON d.doc_id = t.doc_id""")

@@ -568,3 +568,10 @@ def q_corpus_summary(spark, sf):
     s = P.corpus_summary(tagged, ("dataset", "split"))
     return s.select("dataset", "split", "n_rows", "n_label0", "n_label1", r6(F.col("avg_chars")).alias("avg_chars"),
                     "n_null_text")
+
+
+@query("text_encoder")
+def q_text_encoder(spark, sf):
+    d = T.read_text_table(spark, sf, "documents").select("doc_id", "text")
+    e = SC.embed_texts(d, SC.length_encoder(), "text", batch_size=64)
+    return e.select("doc_id", F.col("embedding")[0].alias("n_chars"), F.col("embedding")[1].alias("n_tokens"))
