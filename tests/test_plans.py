@@ -32,3 +32,16 @@ def test_no_python_udf_outside_scoring(spark):
             continue
         plan = fn(spark, SF001)._jdf.queryExecution().executedPlan().toString()
         assert "PythonUDF" not in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, name
+
+
+def test_filter_and_columns_reach_the_scan(spark):
+    plan = E.queries()["domain_filter"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(source), EqualTo(source,src3)]" in plan
+    assert "ReadSchema: struct<doc_id:bigint,lang:string,source:string>" in plan
+
+
+def test_text_encoder_matches_python(spark):
+    from lexicarta.operators import scoring as SC
+    df = spark.createDataFrame([(1, "a b  c"), (2, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r["embedding"] for r in SC.embed_texts(df, SC.length_encoder()).collect()}
+    assert got == {1: [6.0, 3.0], 2: [0.0, 0.0]}
