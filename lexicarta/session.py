@@ -62,7 +62,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
                 "spark.checkpoint.dir is not set; point it at shared storage "
                 "(the cluster's checkpoint folder) before fitting models")
         configured = tempfile.mkdtemp(prefix="lexicarta-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
