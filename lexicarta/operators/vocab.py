@@ -31,6 +31,9 @@ from ..session import materialize
 from .joins import DEFAULT_MAX_BROADCAST_ROWS, join_small
 
 ANALYZERS = ("word", "char", "char_wb")
+# Above this many terms the top-k is found from a tf histogram instead of a
+# TakeOrdered (whose single reducer merges k rows from every task).
+TAKE_ORDERED_MAX = 1_000_000
 
 
 @dataclass
@@ -97,10 +100,13 @@ def fit_vocabulary(df: DataFrame, params: VectorizerParams, key: str = "doc_id",
         raise ValueError("max_df corresponds to < documents than min_df")
     stats = corpus_stats(term_counts(df, params.analyzer, params.ngram_range, key, text_col))
     kept = stats.where((F.col("df") >= F.lit(min_doc)) & (F.col("df") <= F.lit(max_doc)))
-    if params.max_features is not None:
-        # TakeOrderedAndProject: each task keeps its top k, no global sort
-        kept = kept.orderBy(F.desc("tf"), F.asc("term")).limit(int(params.max_features))
-    if params.max_features is not None:
+    k = params.max_features
+    if k is not None and k <= TAKE_ORDERED_MAX:
+        # TakeOrderedAndProject: each task keeps its top k, one reducer merges
+        kept = kept.orderBy(F.desc("tf"), F.asc("term")).limit(int(k))
+    elif k is not None:
+        kept = top_k_terms(kept, int(k))
+    if k is not None and k <= TAKE_ORDERED_MAX:
         # at most max_features rows: one ordered window is fine
         vocab = kept.withColumn("term_idx", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
     else:
@@ -122,6 +128,26 @@ def fit_vocabulary(df: DataFrame, params: VectorizerParams, key: str = "doc_id",
     return vocab, n_docs
 
 
+def top_k_terms(stats: DataFrame, k: int) -> DataFrame:
+    """Exact top ``k`` terms by (tf desc, term asc) for a large ``k``.
+
+    A histogram of tf values (one row per distinct frequency) gives the
+    cut-off frequency T; terms above T are all kept, and only the tie group at
+    T is ranked by term (two-level, ``_rank_terms``) to take the remaining
+    slots.  No step gathers k rows per task in one place."""
+    hist = stats.groupBy("tf").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.orderBy(F.desc("tf")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hist = hist.withColumn("cum", F.sum("n").over(w))
+    cut = hist.where(F.col("cum") >= k).orderBy(F.desc("tf")).select("tf", "n", "cum").limit(1).collect()
+    if not cut:
+        return stats  # fewer than k terms
+    t, n_at, cum_at = cut[0]["tf"], cut[0]["n"], cut[0]["cum"]
+    need = k - (cum_at - n_at)
+    above = stats.where(F.col("tf") > F.lit(t))
+    tied = _rank_terms(stats.where(F.col("tf") == F.lit(t))).where(F.col("term_idx") < F.lit(need)).drop("term_idx")
+    return above.unionByName(tied)
+
+
 def _rank_terms(kept: DataFrame, prefix_len: int = 3) -> DataFrame:
     """0-based rank of each term in ascending term order without a global
     window (an unbounded vocabulary): a term's first code points are a
