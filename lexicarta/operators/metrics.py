@@ -21,6 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .joins import join_small
 
 METRIC_COLUMNS = ("accuracy", "f1_weighted", "f1_macro", "precision_weighted", "recall_weighted")
@@ -117,14 +118,37 @@ def roc_auc(df: DataFrame, keys: Sequence[str] = (), label: str = "label", score
     return auc_from_score_counts(score_counts(df, keys, label, score), keys, n_blocks)
 
 
+def prediction_counts(df: DataFrame, keys: Sequence[str] = (), label: str = "label",
+                      prediction: str = "prediction", score: str | None = "probability") -> DataFrame:
+    """The single pass over the predictions: (keys.., label, prediction[,
+    score], n), checkpointed.  Confusion counts and distinct-score counts are
+    both sums over it, so every metric below reads this table, not the data.
+    Its size is bounded by the distinct (group, label, prediction, score)
+    combinations."""
+    cols = [*keys, F.col(label).alias("label"), F.col(prediction).alias("prediction")]
+    if score is not None:
+        cols.append(F.col(score).cast("double").alias("score"))
+    pc = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
+    return materialize(pc)
+
+
+def _conf_of(pc: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return pc.groupBy(*keys, "label", "prediction").agg(F.sum("n").cast("bigint").alias("n"))
+
+
+def _scores_of(pc: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return pc.groupBy(*keys, "score").agg(
+        F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).cast("bigint").alias("pos"),
+        F.sum(F.when(F.col("label") != 1, F.col("n")).otherwise(0)).cast("bigint").alias("neg"))
+
+
 def classification_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction",
                            score: str | None = "probability") -> DataFrame:
-    """A12-A15 over the whole set: one row."""
-    conf = confusion_counts(df, (), label, prediction)
-    m = metrics_from_counts(conf.withColumn("__g", F.lit(1)), ["__g"])
+    """A12-A15 over the whole set: one row, from one pass over the data."""
+    pc = prediction_counts(df, (), label, prediction, score).withColumn("__g", F.lit(1))
+    m = metrics_from_counts(_conf_of(pc, ["__g"]), ["__g"])
     if score is not None:
-        a = roc_auc(df.withColumn("__g", F.lit(1)), ["__g"], label, score)
-        m = m.join(a, "__g")
+        m = m.join(auc_from_score_counts(_scores_of(pc, ["__g"]), ["__g"]), "__g")
     return m.drop("__g")
 
 
@@ -135,24 +159,20 @@ def domain_metrics(df: DataFrame, domain: str = "source", label: str = "label",
 
     Output (scope, domain, n, accuracy, f1_weighted, f1_macro,
     precision_weighted, recall_weighted[, roc_auc]).  Empty domains do not
-    appear (F3); rows with a null domain count only in the overall row,
-    whose counts are summed from the per-domain tables."""
-    conf = confusion_counts(df, [domain], label, prediction)
-    per = metrics_from_counts(conf.where(F.col(domain).isNotNull()).withColumnRenamed(domain, "domain"),
-                              ["domain"])
+    appear (F3); rows with a null domain count only in the overall row.
+    Overall and per-domain numbers are sums over the same checkpointed
+    prediction counts."""
+    pc = prediction_counts(df, [F.col(domain).alias("domain")], label, prediction, score)
+    dom = pc.where(F.col("domain").isNotNull())
+    per = metrics_from_counts(_conf_of(dom, ["domain"]), ["domain"])
     if score is not None:
-        sc = score_counts(df, [domain], label, score)
-        a_dom = auc_from_score_counts(sc.where(F.col(domain).isNotNull()).withColumnRenamed(domain, "domain"),
-                                      ["domain"])
-        per = per.join(a_dom, "domain", "left")
+        per = per.join(auc_from_score_counts(_scores_of(dom, ["domain"]), ["domain"]), "domain", "left")
     out = per.withColumn("scope", F.lit("domain"))
     if include_overall:
-        allc = conf.groupBy("label", "prediction").agg(F.sum("n").cast("bigint").alias("n"))
-        ov = metrics_from_counts(allc.withColumn("__g", F.lit(1)), ["__g"])
+        allp = pc.withColumn("__g", F.lit(1))
+        ov = metrics_from_counts(_conf_of(allp, ["__g"]), ["__g"])
         if score is not None:
-            a_all = auc_from_score_counts(sc.groupBy("score").agg(F.sum("pos").alias("pos"),
-                                                                  F.sum("neg").alias("neg")), [])
-            ov = ov.crossJoin(a_all)
+            ov = ov.join(auc_from_score_counts(_scores_of(allp, ["__g"]), ["__g"]), "__g")
         ov = ov.drop("__g").withColumn("domain", F.lit(None).cast("string")).withColumn("scope", F.lit("overall"))
         out = out.unionByName(ov)
     cols = ["scope", "domain", "n", *METRIC_COLUMNS] + (["roc_auc"] if score is not None else [])
