@@ -14,20 +14,22 @@ from pyspark.sql import functions as F
 TABLES = ("documents", "labels", "conversations", "embeddings", "benchmark", "pages")
 
 
-# Text tables and their keys: per-row work on them is CPU heavy (regex,
-# n-grams), so a scan with fewer splits than cores is spread by key.
-TEXT_TABLES = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id"}
+# Text tables and their unique row keys: per-row work on them is CPU heavy
+# (regex, n-grams), so a scan with fewer splits than cores is spread by key.
+# The key is unique per row, so no hot group can land in one partition.
+TEXT_TABLES = {"documents": ("doc_id",), "conversations": ("conv_id", "turn"), "pages": ("page_id",)}
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-repartition by ``key`` only when the scan has fewer partitions
-    than the cluster has cores (a few large row groups).  Inputs with enough
-    splits -- any input at scale -- are left as they are, so no shuffle of
-    the raw text is added there."""
+def spread(df: DataFrame, key) -> DataFrame:
+    """Hash-repartition by the unique row ``key`` only when the scan has
+    fewer partitions than the cluster has cores (a few large row groups).
+    Inputs with enough splits -- any input at scale -- are left as they
+    are, so no shuffle of the raw text is added there."""
     spark = df.sparkSession
     want = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < want:
-        return df.repartition(want, key)
+        keys = [key] if isinstance(key, str) else list(key)
+        return df.repartition(want, *keys)
     return df
 
 
