@@ -12,20 +12,10 @@ from pyspark.sql import functions as F
 
 from ..schema import col_of
 
-# --- Fixed values that must equal the reference's behaviour ----------------
-# Python's ``\s`` / ``str.split()`` whitespace set (29 code points), written
-# as one explicit class that both Java regex (Spark) and RE2 (DuckDB) read
-# identically: TAB..CR, FS..SPACE, NEL, NBSP, OGHAM SPACE MARK,
-# EN QUAD..HAIR SPACE, LINE SEP, PARAGRAPH SEP, NNBSP, MMSP, IDEOGRAPHIC SPACE.
-WS_CLASS = (r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-            r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+from ..fixed import URL_TOKEN, WORD_TOKEN, WS_CLASS  # noqa: F401  (re-exported)
+
 WS_RUN = WS_CLASS + "+"
 WS_RUN2 = WS_CLASS + "{2,}"
-# URL placeholder token: "URL_" followed by Unicode decimal digits.
-URL_TOKEN = r"URL_\p{Nd}+"
-# Word token: a run of two or more word characters (letters, numbers, "_").
-WORD_TOKEN = r"[\p{L}\p{N}_]{2,}"
-# ---------------------------------------------------------------------------
 
 
 def collapse_ws(c) -> Column:

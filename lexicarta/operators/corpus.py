@@ -8,12 +8,10 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..fixed import MIN_CHARS_MULTICLASS, MIN_CHARS_QA  # noqa: F401  (re-exported)
 from ..functions import text as X
 from ..schema import HUMAN_LABEL
 
-# Minimum cleaned length (code points) of the two reference corpora.
-MIN_CHARS_QA = 20
-MIN_CHARS_MULTICLASS = 50
 
 
 def flatten_qa(nested: DataFrame) -> DataFrame:

@@ -10,13 +10,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import fixed as FX
 from .joins import join_small
 from .scan import add_blocks, prefix_before
 
 
 # ------------------------------------------------------------------ A21
 def probability_histogram(df: DataFrame, group: str = "label", score: str = "probability",
-                          bins: int = 20) -> DataFrame:
+                          bins: int = FX.HISTOGRAM_BINS) -> DataFrame:
     """Per group, ``bins`` equal-width bins over the group's own min..max
     (last bin closed; a constant group spans min-0.5..max+0.5), with the
     same edge correction as the reference's plotting library, so values on
@@ -73,7 +74,8 @@ def exact_quantiles(df: DataFrame, group: str, value: str, qs: Sequence[float] =
     return qv, vc
 
 
-def box_stats(df: DataFrame, group: str = "label", value: str = "probability", whis: float = 1.5) -> DataFrame:
+def box_stats(df: DataFrame, group: str = "label", value: str = "probability",
+              whis: float = FX.BOX_WHISKER_IQR) -> DataFrame:
     """Per group: q1, median, q3, whiskers (most extreme data within
     ``whis`` IQR of the box, never inside the box) and the outlier count."""
     qv, vc = exact_quantiles(df, group, value)
@@ -107,7 +109,7 @@ def training_curves(history: DataFrame, series: Sequence[str] = ("loss", "accura
 
 # ------------------------------------------------------------------ W1, W2, L10
 def best_and_stop(history: DataFrame, run: str = "run", epoch: str = "epoch", metric: str = "val_f1",
-                  patience: int = 2, n_blocks: int = 256) -> DataFrame:
+                  patience: int = FX.EARLY_STOP_PATIENCE, n_blocks: int = 256) -> DataFrame:
     """W1 + W2 per history row: ``is_best`` (metric strictly above every
     earlier one, starting from -1.0; NaN never improves), ``n_no_improve``
     (epochs since the last best), and ``ran`` (false after the epoch at
@@ -115,7 +117,8 @@ def best_and_stop(history: DataFrame, run: str = "run", epoch: str = "epoch", me
     m = F.when(F.isnan(F.col(metric)), F.lit(None).cast("double")).otherwise(F.col(metric).cast("double"))
     d, n_groups = add_blocks(history.withColumn("__m", m), [run], epoch, n_blocks)
     d = prefix_before(d, [run], epoch, F.col("__m"), "max", "__prev", n_groups, n_blocks)
-    d = d.withColumn("is_best", F.coalesce(F.col("__m") > F.coalesce(F.col("__prev"), F.lit(-1.0)), F.lit(False)))
+    d = d.withColumn("is_best", F.coalesce(F.col("__m") > F.coalesce(F.col("__prev"), F.lit(FX.INITIAL_BEST_METRIC)),
+                                           F.lit(False)))
     d = prefix_before(d, [run], epoch, F.lit(1), "sum", "__r", n_groups, n_blocks)
     d = prefix_before(d, [run], epoch, F.when(F.col("is_best"), F.col("__r")), "max", "__lb", n_groups, n_blocks)
     last_best = F.coalesce(F.when(F.col("is_best"), F.col("__r")).otherwise(F.col("__lb")), F.lit(-1))

@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import fixed as FX
+
 BIAS_IDX, LOSS_IDX, CORRECT_IDX = -1, -2, -3
 
 
@@ -54,7 +56,7 @@ def sigmoid(z):
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def clip_probability(p, eps: float = 1e-15):
+def clip_probability(p, eps: float = FX.PROBABILITY_CLIP):
     """P21."""
     return F.least(F.greatest(p, F.lit(eps)), F.lit(1.0 - eps))
 
@@ -130,7 +132,8 @@ class LinearModel:
 class _LinearGD:
     kind = "lr"
 
-    def __init__(self, learning_rate: float = 0.01, epochs: int = 1000, n_features: int | None = None):
+    def __init__(self, learning_rate: float = FX.LEARNING_RATE, epochs: int = FX.EPOCHS_CLASS_DEFAULT,
+                 n_features: int | None = None):
         self.learning_rate = float(learning_rate)
         self.epochs = int(epochs)
         self.n_features = n_features
@@ -154,7 +157,7 @@ class _LinearGD:
             if n == 0:
                 raise ValueError("no training rows")
             w, b = np.zeros(d), 0.0
-            step = max(1, self.epochs // 200)
+            step = max(1, self.epochs // FX.HISTORY_POINTS)
             history = []
             for epoch in range(self.epochs):
                 sums = self._pass(spark, feats, w, b, d)
@@ -216,8 +219,8 @@ class LinearSVMGD(_LinearGD):
     """L3: linear SVM by full-batch subgradient descent."""
     kind = "svm"
 
-    def __init__(self, learning_rate: float = 0.01, epochs: int = 1000, C: float = 1.0,
-                 n_features: int | None = None):
+    def __init__(self, learning_rate: float = FX.LEARNING_RATE, epochs: int = FX.EPOCHS_CLASS_DEFAULT,
+                 C: float = FX.SVM_C, n_features: int | None = None):
         super().__init__(learning_rate, epochs, n_features)
         self.C = float(C)
 
@@ -238,7 +241,8 @@ class LinearSVMGD(_LinearGD):
         return w - self.learning_rate * dw, b - self.learning_rate * db
 
 
-def fit_linear(kind: str, df: DataFrame, epochs: int = 10, learning_rate: float = 0.01,
+def fit_linear(kind: str, df: DataFrame, epochs: int = FX.EPOCHS_SCRIPT_DEFAULT,
+               learning_rate: float = FX.LEARNING_RATE,
                dense_col: str | None = None, label: str = "label", **kw) -> LinearModel:
     est = LogisticRegressionGD(learning_rate, epochs, **kw) if kind == "lr" else LinearSVMGD(learning_rate, epochs, **kw)
     return est.fit(df, label=label, dense_col=dense_col)

@@ -26,6 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import fixed as FX
 from ..session import materialize
 from .joins import join_small
 
@@ -85,8 +86,8 @@ def _n_train_rule(test_size: float | None, test_rows: int | None, train_rows: in
 
 
 def stratified_split(df: DataFrame, strata: Sequence[str] = ("label", "source"), *, key: str = "doc_id",
-                     test_size: float | None = 0.2, test_rows: int | None = None,
-                     train_rows: int | None = None, seed: int = 42, method: str = "bucket",
+                     test_size: float | None = FX.TEST_SIZE, test_rows: int | None = None,
+                     train_rows: int | None = None, seed: int = FX.SEED, method: str = "bucket",
                      bucket_hex: int = 4, strict: bool = False, split_col: str = "split",
                      labels: tuple[str, str] = ("train", "test"), min_test: int | None = None,
                      n_train_rule=None) -> DataFrame:
@@ -162,15 +163,16 @@ def stratified_subsample(df: DataFrame, max_samples: int, strata: Sequence[str]
     return s.where(F.col("split") == "train").drop("split")
 
 
-def validation_split(df: DataFrame, val_ratio: float = 0.1, strata: Sequence[str] = ("label",),
-                     key: str = "doc_id", seed: int = 42, **kw) -> DataFrame:
+def validation_split(df: DataFrame, val_ratio: float = FX.VAL_RATIO, strata: Sequence[str] = ("label",),
+                     key: str = "doc_id", seed: int = FX.SEED, **kw) -> DataFrame:
     """M3: carve a stratified validation set out of a training set;
     ``split`` is 'train' or 'val'."""
     return stratified_split(df, strata, key=key, test_size=val_ratio, seed=seed,
                             labels=("train", "val"), **kw)
 
 
-def random_split(df: DataFrame, val_fraction: float = 0.2, key: str = "doc_id", seed: int = 42,
+def random_split(df: DataFrame, val_fraction: float = FX.RANDOM_VAL_FRACTION, key: str = "doc_id",
+                 seed: int = FX.SEED,
                  **kw) -> DataFrame:
     """M4: unstratified split with ``n_val = max(1, int(fraction * n))``;
     ``split`` is 'train' or 'val'."""

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import fixed as FX
 from ..functions import text as X
 from ..session import materialize
 from .joins import join_small
@@ -43,7 +44,8 @@ def zeros(dim: int):
     return F.array_repeat(F.lit(0.0).cast("float"), int(dim))
 
 
-def token_vectors(docs: DataFrame, vectors: DataFrame, dim: int, max_len: int = 100, key: str = "doc_id",
+def token_vectors(docs: DataFrame, vectors: DataFrame, dim: int, max_len: int = FX.TOKEN_VECTOR_MAX_LEN,
+                  key: str = "doc_id",
                   text_col: str = "text", carry: Sequence[str] = (), n_vectors: int | None = None) -> DataFrame:
     """Whitespace tokens (case kept), first ``max_len`` of each
     document, each looked up in ``vectors`` (token, vec); unknown tokens get
@@ -57,7 +59,7 @@ def token_vectors(docs: DataFrame, vectors: DataFrame, dim: int, max_len: int =
                          F.coalesce(F.col("__vec"), zeros(dim)).alias("vec"))
 
 
-def padded_sequence(tv: DataFrame, dim: int, max_len: int = 100, key: str = "doc_id",
+def padded_sequence(tv: DataFrame, dim: int, max_len: int = FX.TOKEN_VECTOR_MAX_LEN, key: str = "doc_id",
                     docs: DataFrame | None = None) -> DataFrame:
     """Per document an ``array<array<float>>`` of exactly ``max_len``
     vectors (real tokens in order, then zero vectors).  Each document holds at
@@ -85,7 +87,7 @@ def mean_pool(tv: DataFrame, dim: int, key: str = "doc_id", docs: DataFrame | No
     zero = F.array_repeat(F.lit(0.0), int(dim))
     sums = F.aggregate("__e", zero, lambda acc, e: F.zip_with(acc, e["v"], lambda a, b: a + b.cast("double") * e["m"]))
     den = F.aggregate("__e", F.lit(0.0), lambda a, e: a + e["m"])
-    g = g.select(key, sums.alias("__s"), F.greatest(den, F.lit(1e-9)).alias("__d"))
+    g = g.select(key, sums.alias("__s"), F.greatest(den, F.lit(FX.MEAN_POOL_EPS)).alias("__d"))
     g = g.select(key, F.zip_with("__s", F.array_repeat(F.col("__d"), int(dim)), lambda a, d: a / d).alias("embedding"))
     if docs is not None:
         g = docs.select(key).join(g, key, "left").select(key, F.coalesce("embedding", zero).alias("embedding"))

@@ -26,6 +26,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import fixed as FX
 from ..functions import text as X
 from ..session import materialize
 from .joins import DEFAULT_MAX_BROADCAST_ROWS, join_small
@@ -175,14 +176,15 @@ class TermVectorizer:
             raise ValueError(f"analyzer must be one of {ANALYZERS}")
 
     @classmethod
-    def tfidf(cls, max_features: int | None = 50_000, ngram_range=(1, 2), max_df: float = 0.95,
-              min_df: float = 2) -> "TermVectorizer":
+    def tfidf(cls, max_features: int | None = FX.MAX_FEATURES, ngram_range=FX.TFIDF_NGRAM_RANGE,
+              max_df: float = FX.MAX_DF, min_df: float = FX.MIN_DF) -> "TermVectorizer":
         return cls(analyzer="word", ngram_range=tuple(ngram_range), min_df=min_df, max_df=max_df,
                    max_features=max_features, tfidf=True, sublinear_tf=True, smooth_idf=True, norm="l2")
 
     @classmethod
-    def counts(cls, analyzer: str = "word", ngram_range=(1, 3), max_features: int | None = 50_000,
-               min_df: float = 2, max_df: float = 0.95) -> "TermVectorizer":
+    def counts(cls, analyzer: str = "word", ngram_range=FX.WORD_NGRAM_RANGE,
+               max_features: int | None = FX.MAX_FEATURES, min_df: float = FX.MIN_DF,
+               max_df: float = FX.MAX_DF) -> "TermVectorizer":
         return cls(analyzer=analyzer, ngram_range=tuple(ngram_range), min_df=min_df, max_df=max_df,
                    max_features=max_features)
 

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import fixed as FX
 from ..functions import text as X
 from ..operators import corpus as C
 from ..operators import profile as P
@@ -258,7 +259,7 @@ def q_term_counts(spark, sf):
 
 def _tfidf_model(spark, sf):
     train, test = _train_test(spark, sf)
-    return V.TermVectorizer.tfidf(50_000, (1, 2), 0.95, 2).fit(train), train, test
+    return V.TermVectorizer.tfidf().fit(train), train, test
 
 
 @query("vocabulary")
@@ -295,14 +296,14 @@ def q_apply_vocabulary(spark, sf):
 @query("ngram_count_features")
 def q_ngram_count_features(spark, sf):
     train, test = _train_test(spark, sf)
-    m = V.TermVectorizer.counts("word", (1, 3), 50_000, 2, 0.95).fit(train)
+    m = V.TermVectorizer.counts("word", FX.WORD_NGRAM_RANGE).fit(train)
     return m.transform(test).select("doc_id", "term_idx", "value")
 
 
 @query("charwb_count_features")
 def q_charwb_count_features(spark, sf):
     train, test = _train_test(spark, sf)
-    m = V.TermVectorizer.counts("char_wb", (2, 4), 50_000, 2, 0.95).fit(train)
+    m = V.TermVectorizer.counts("char_wb", FX.CHAR_WB_NGRAM_RANGE).fit(train)
     return m.transform(test).select("doc_id", "term_idx", "value")
 
 
@@ -359,7 +360,7 @@ def q_results_table(spark, sf):
 
 from ..operators import linear as L  # noqa: E402
 
-LIN_EPOCHS, LIN_LR = 10, 0.01  # the training script's defaults
+LIN_EPOCHS, LIN_LR = FX.EPOCHS_SCRIPT_DEFAULT, FX.LEARNING_RATE
 
 
 def _dense(spark, sf):
@@ -426,7 +427,7 @@ def q_lr_tfidf_predict(spark, sf):
 from ..operators import scoring as SC  # noqa: E402
 from ..operators import vectors as VE  # noqa: E402
 
-VEC_DIM, MAX_LEN = 64, 100
+VEC_DIM, MAX_LEN = 64, FX.TOKEN_VECTOR_MAX_LEN
 
 
 def _vector_table(spark, sf):

@@ -9,6 +9,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import fixed as FX
 from ..operators import vectors as VE
 from ..operators import vocab as V
 from ..session import materialize
@@ -19,11 +20,11 @@ FEATURE_KINDS = ("tfidf", "word_ngram", "char_ngram", "token_vectors", "mean_poo
 
 def _vectorizer(kind: str) -> V.TermVectorizer:
     if kind == "tfidf":
-        return V.TermVectorizer.tfidf(50_000, (1, 2), 0.95, 2)
+        return V.TermVectorizer.tfidf()
     if kind == "word_ngram":
-        return V.TermVectorizer.counts("word", (1, 3), 50_000, 2, 0.95)
+        return V.TermVectorizer.counts("word", FX.WORD_NGRAM_RANGE)
     if kind == "char_ngram":
-        return V.TermVectorizer.counts("char_wb", (2, 4), 50_000, 2, 0.95)
+        return V.TermVectorizer.counts("char_wb", FX.CHAR_WB_NGRAM_RANGE)
     raise ValueError(kind)
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .fixed import HUMAN_LABEL  # noqa: F401  (re-exported)
+
 # Flat labelled corpus (the reference's processed split).
 LABELLED = T.StructType([
     T.StructField("doc_id", T.LongType(), False),
@@ -55,8 +57,6 @@ HISTORY = T.StructType([
     T.StructField("val_f1", T.DoubleType(), True),
 ])
 
-HUMAN_LABEL = "human"
-
 
 def col_of(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
