@@ -183,20 +183,22 @@ def random_split(df: DataFrame, val_fraction: float = FX.RANDOM_VAL_FRACTION, ke
     return stratified_split(df, (), key=key, seed=seed, labels=("train", "val"), n_train_rule=rule, **kw)
 
 
-def shuffled_rank(df: DataFrame, key: str = "doc_id", seed: int = 42, bucket_hex: int = 4,
-                  rank_col: str = "shuffle_rank") -> DataFrame:
-    """M5: reproducible shuffle.  ``rank`` (1-based) orders rows by
-    ``md5(seed|key)`` then key.  The rank is built from per-bucket counts
-    (16-bit hash prefix, a table of at most 65,536 rows) plus a rank inside
-    each bucket, so no single task sorts the whole input."""
+def shuffled_rank(df: DataFrame, key: str = "doc_id", seed: int = FX.SEED, bucket_hex: int = 4,
+                  rank_col: str = "shuffle_rank", by: Sequence[str] = ()) -> DataFrame:
+    """M5: reproducible shuffle.  ``rank`` (1-based, within each ``by``
+    group, e.g. per split) orders rows by ``md5(seed|key)`` then key.  The
+    rank is built from per-bucket counts (16-bit hash prefix: at most 65,536
+    rows per group) plus a rank inside each bucket, so no single task sorts
+    a whole group."""
+    by = list(by)
     h = _order_hash(key, seed)
     rows = df.withColumn("__h", h).withColumn("__b", F.substring("__h", 1, int(bucket_hex)))
-    bcnt = rows.groupBy("__b").agg(F.count(F.lit(1)).alias("__cnt"))
-    w = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offs = bcnt.withColumn("__off", F.sum("__cnt").over(w) - F.col("__cnt")).select("__b", "__off")
+    bcnt = rows.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__cnt"))
+    w = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offs = bcnt.withColumn("__off", F.sum("__cnt").over(w) - F.col("__cnt")).select(*by, "__b", "__off")
     n_buckets = 16 ** int(bucket_hex)
-    out = join_small(rows, offs, "__b", known_rows=min(n_buckets, 1 << 20))
-    rn = F.row_number().over(Window.partitionBy("__b").orderBy("__h", key))
+    out = join_small(rows, offs, [*by, "__b"], known_rows=None if by else min(n_buckets, 1 << 20))
+    rn = F.row_number().over(Window.partitionBy(*by, "__b").orderBy("__h", key))
     return out.withColumn(rank_col, (F.col("__off") + rn).cast("bigint")).drop("__h", "__b", "__off")
 
 

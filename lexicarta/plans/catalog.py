@@ -31,9 +31,14 @@ def multiclass_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def combined_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R2: both corpora, missing columns NULL, duplicates kept; key
-    (corpus, original key columns)."""
-    return C.combine({"hc3": qa_dataset(spark, sf_dir), "turingbench": multiclass_dataset(spark, sf_dir)})
+    """R2 + M5: both corpora, missing columns NULL, duplicates kept; key
+    (corpus, original key columns) as one ``row_key`` string; the reference
+    shuffles each combined split, which here is a reproducible
+    ``shuffle_rank`` inside each split (seed 42)."""
+    c = C.combine({"hc3": qa_dataset(spark, sf_dir), "turingbench": multiclass_dataset(spark, sf_dir)})
+    c = c.withColumn("row_key", F.concat_ws(":", "corpus",
+                                            F.coalesce(F.col("key"), F.concat_ws("-", "doc_id", "pos"))))
+    return S.shuffled_rank(c, key="row_key", by=["split"])
 
 
 def load_dataset(spark: SparkSession, sf_dir: str, name: str, register: bool = True) -> DataFrame:

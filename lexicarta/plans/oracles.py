@@ -538,7 +538,11 @@ UNION ALL SELECT 'turingbench', CAST(NULL AS BIGINT), CAST(NULL AS INTEGER), CAS
 
 oracle("qa_split", f"SELECT item_id, label, part, idx, source, split FROM ({QA_SPLIT})")
 oracle("combined_union", f"""SELECT corpus, item_id, part, idx, doc_id, pos, label, source, split,
-       CAST(length(text) AS INTEGER) AS n_chars, question IS NOT NULL AS has_question FROM ({COMBINED})""")
+       CAST(length(text) AS INTEGER) AS n_chars, question IS NOT NULL AS has_question,
+       row_number() OVER (PARTITION BY split ORDER BY md5('42|' || row_key), row_key) AS shuffle_rank
+FROM (SELECT *, corpus || ':' || coalesce(CAST(item_id AS VARCHAR) || '-' || CAST(label AS VARCHAR) || '-'
+             || CAST(part AS VARCHAR) || '-' || CAST(idx AS VARCHAR),
+             CAST(doc_id AS VARCHAR) || '-' || CAST(pos AS VARCHAR)) AS row_key FROM ({COMBINED}))""")
 oracle("corpus_summary", f"""WITH t AS (
   SELECT 'hc3' AS dataset, split, label, text FROM ({QA_SPLIT})
   UNION ALL SELECT 'turingbench', split, label, text FROM ({MC_PREPARED})

@@ -559,7 +559,8 @@ def q_qa_split(spark, sf):
 def q_combined_union(spark, sf):
     c = CAT.combined_dataset(spark, sf)
     return c.select("corpus", "item_id", "part", "idx", "doc_id", "pos", "label", "source", "split",
-                    F.length("text").alias("n_chars"), F.col("question").isNotNull().alias("has_question"))
+                    F.length("text").alias("n_chars"), F.col("question").isNotNull().alias("has_question"),
+                    "shuffle_rank")
 
 
 @query("corpus_summary")

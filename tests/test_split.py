@@ -72,3 +72,11 @@ def test_shuffled_rank_is_permutation(spark, corpus):
     r = S.shuffled_rank(corpus)
     ranks = sorted(x["shuffle_rank"] for x in r.select("shuffle_rank").collect())
     assert ranks == list(range(1, corpus.count() + 1))
+
+
+def test_shuffled_rank_per_group(spark):
+    df = spark.createDataFrame([(i, "a" if i % 3 else "b") for i in range(300)], "doc_id long, g string")
+    r = S.shuffled_rank(df, by=["g"], bucket_hex=1).collect()
+    for g in ("a", "b"):
+        ranks = sorted(x["shuffle_rank"] for x in r if x["g"] == g)
+        assert ranks == list(range(1, len(ranks) + 1))
