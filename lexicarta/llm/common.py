@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexicarta.session import ensure_checkpoint_dir
 
@@ -46,6 +47,11 @@ class Staged:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def extended(schema: T.StructType, **added: T.DataType) -> T.StructType:
+    """``schema`` with further columns."""
+    return T.StructType([*schema.fields, *[T.StructField(k, t) for k, t in added.items()]])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -196,7 +202,7 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     m = len(hashes) - k + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
-    out = np.full(m, np.uint64(k) * _K3, np.uint64)
+    out = np.full(m, k * int(_K3) & 0xFFFFFFFFFFFFFFFF, np.uint64)
     for j in range(k):
         out *= _BASE
         out += hashes[j: j + m]

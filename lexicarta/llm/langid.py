@@ -18,8 +18,11 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from lexicarta.llm.common import extended
+
 UNDETERMINED = "und"
 _RESULT = "doc_id bigint, lang_pred string, score double, margin double, rejected boolean"
 
@@ -118,7 +121,5 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
         return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text).mapInArrow(judge, _RESULT)
     clash = {"lang_pred", "score", "margin", "rejected", "__text"} & set(docs.columns)
     narrow = docs.drop(*clash)
-    schema = narrow.schema
-    for name, kind in (("lang_pred", "string"), ("score", "double"), ("margin", "double"), ("rejected", "boolean")):
-        schema = schema.add(name, kind)
-    return narrow.select("*", docs[text_col].cast("string").alias("__text")).mapInArrow(judge, schema)
+    schema = extended(narrow.schema, lang_pred=T.StringType(), score=T.DoubleType(), margin=T.DoubleType(), rejected=T.BooleanType())
+    return docs.select(*narrow.columns, F.col(text_col).cast("string").alias("__text")).mapInArrow(judge, schema)
