@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexicarta.llm import chat, langid, ngram_join, packing, phrase_dedup, sharding, url_filter, winnow
+from lexicarta.llm import ann, chat, langid, ngram_join, packing, phrase_dedup, pitman_yor, sharding, url_filter, winnow
 from lexicarta.llm.common import id_bucket
 
 
@@ -61,6 +61,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = id_bucket(F.col("doc_id")) == 1
+    found = pitman_yor.score(read(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
     return packed.drop("ids")
@@ -77,6 +83,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_chat_format, op3_url_filter, op4_ngram_jaccard_join, op5_sharding, op7_best_fit_packing, op8_decontamination,
-    op9_substring_dedup)}
+    op1_language_id, op2_chat_format, op3_url_filter, op4_ngram_jaccard_join, op5_sharding, op6_lm_scoring, op7_best_fit_packing,
+    op8_decontamination, op9_substring_dedup, op10_nearest_neighbours)}
