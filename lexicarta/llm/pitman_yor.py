@@ -51,8 +51,8 @@ class Settings:
     """Strengths and discounts per level (the corpus restaurant's discount
     comes from its counts); sweeps."""
 
-    document_strength: float = 100.0
-    document_discount: float = 0.5
+    document_strength: float = 20.0
+    document_discount: float = 0.9
     word_strength: float = 10.0
     strength: float = 1.0
     discount: float = 0.5
