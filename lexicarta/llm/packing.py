@@ -33,7 +33,7 @@ FAN_IN = 8
 #: A bin is final when its free space is at most this share of the length.
 NEARLY_FULL = 0.004
 #: Entries of the per-worker table of encoded chunks; it only saves time.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 800_000
 
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 _BIN = "bin_id bigint, fill int, members array<struct<doc_id:bigint, piece:int, start:bigint, length:bigint, ids_crc32:bigint, offset:int, ids:binary>>"
@@ -76,15 +76,24 @@ class ChunkEncoder:
         """Little-endian 32-bit ids of each text."""
         if len(self.table) > CACHE_ENTRIES:
             self.table.clear()
+        table = self.table
         cut = [self.chunks(t) for t in texts]
-        new = list({c for chunks in cut for c in chunks if c not in self.table})
-        for i in range(0, len(new), 20_000):
-            part = new[i: i + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.table[c] = np.array(e.ids, "<u4").tobytes()
-        get = self.table.__getitem__
+        new = {c for chunks in cut for c in chunks if c not in table}
+        # a letter and the full stops or commas after it never share a token
+        halves = {c: (body, c[len(body):]) for c in new if (body := c.rstrip(".,")) != c and body[-1:].isalpha() and body[-1] < "\u0250"}
+        bare = {body for body, _ in halves.values()} | {tail for _, tail in halves.values()} | (new - halves.keys())
+        self._learn([c for c in bare if c not in table])
+        for c, (body, tail) in halves.items():
+            table[c] = table[body] + table[tail]
+        get = table.__getitem__
         return [b"".join(map(get, chunks)) for chunks in cut]
 
+    def _learn(self, chunks: list[str]) -> None:
+        for i in range(0, len(chunks), 20_000):
+            part = chunks[i: i + 20_000]
+            encoded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            self.table.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in encoded)))
+
 
 def encoder(path: str) -> ChunkEncoder:
     """One encoder per worker process and file."""
