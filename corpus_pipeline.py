@@ -1,7 +1,73 @@
-"""Corpus pipeline (placeholder until its stages exist)."""
-STAGES = []
+"""Corpus pipeline: language ID, near-duplicate removal, substring removal,
+benchmark decontamination and packing of ``documents``.
+
+Each stage takes (spark, docs, sf_dir), works on all that the stage before
+kept and returns a DataFrame, which is written as Parquet and read again for
+the next.  All but the last return the columns of ``documents``; packing
+returns one row per packed piece.
+
+Defined cases are those of the operators: rows without a text or a letter go
+at the first stage; repeated rows of one id and text become one document at
+the second; a document whose words all were repeated keeps its row with an
+empty text; empty tables stay empty; further columns of ``documents`` are
+carried along.
+"""
+
+from __future__ import annotations
+
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexicarta.llm import langid, ngram_join, packing, phrase_dedup, winnow
+from lexicarta.llm.common import Staged
+from lexicarta.llm.queries import read, tokenizer_path
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go: no letters, or no language clearly ahead."""
+    model = langid.fit(docs, F.lit(True))
+    return langid.predict(docs, model, keep=True).where(~F.col("rejected")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents stays: the least id."""
+    return ngram_join.keep_one(docs)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of passages that a document with a smaller id has go."""
+    kept = phrase_dedup.remove_repeats(docs)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more stands in benchmark windows go."""
+    return winnow.clean_documents(docs, read(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, tokenizer_path()).drop("ids")
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("substring_dedup", drop_repeated_passages),
+    ("benchmark_decontamination", drop_contaminated),
+    ("best_fit_packing", pack),
+]
+
+#: Compression sizes and token ids have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again."""
+    staged = Staged(spark)
+    steps = [partial(stage, spark, sf_dir=sf_dir) for _, stage in STAGES]
+    docs = read(spark, sf_dir, "documents")
+    for step in steps:
+        docs = staged.write(step(docs))
+    return docs

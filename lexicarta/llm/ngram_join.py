@@ -82,7 +82,7 @@ def _frequent(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, width: int, share: tuple[int, int], frequent: np.ndarray) -> DataFrame:
-    """(doc_id, n, cls, keys, prefix).  Keys and prefix are null on all but
+    """(doc_id, row_hash, n, cls, keys, prefix).  Keys and prefix are null on all but
     the first of a task's equal sets: copies are combined before any shuffle."""
     num, den = share
     shift = np.uint64(64 - COUNTERS.bit_length() + 1)
@@ -111,10 +111,10 @@ def _sets(docs: DataFrame, width: int, share: tuple[int, int], frequent: np.ndar
                 prefix[i] = signed(np.ascontiguousarray(ordered[: size - -(-num * size // den) + 1]))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n), pa.array(signed(cls), pa.int64(), mask=n == 0), pa.array(keys, longs), pa.array(prefix, longs)],
-                names=["doc_id", "n", "cls", "keys", "prefix"])
+                [ids, batch.column(2), pa.array(n), pa.array(signed(cls), pa.int64(), mask=n == 0), pa.array(keys, longs), pa.array(prefix, longs)],
+                names=["doc_id", "row_hash", "n", "cls", "keys", "prefix"])
 
-    return docs.mapInArrow(build, "doc_id bigint, n bigint, cls bigint, keys array<bigint>, prefix array<bigint>")
+    return docs.mapInArrow(build, "doc_id bigint, row_hash bigint, n bigint, cls bigint, keys array<bigint>, prefix array<bigint>")
 
 
 def _candidate_sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
@@ -303,11 +303,13 @@ def _tile_pairs(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 100),
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, cls, component_id) of every document; two sets
+    """(doc_id, row_hash, n_shingles, group, component_id) of every document;
+    ``group`` is one number per component, null without shingles.  Two sets
     are linked when ``share[1] * intersection >= share[0] * union``."""
     spark = docs.sparkSession
     staged = Staged(spark)
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                       F.xxhash64(text_col).alias("row_hash"))
     frequent = _frequent(docs, width)
     sets = staged.write(_sets(docs, width, share, frequent))
     firsts = sets.where("prefix is not null")
@@ -335,6 +337,20 @@ def jaccard_components(docs: DataFrame, width: int = 5, share: tuple[int, int] =
 
     rooted = reps.join(final, reps["cls"] == final["node"], "left").select("cls", "doc_id", F.coalesce("root", "cls").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = rooted.join(least, "root").select("cls", "component_id")
-    return (sets.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(named, "cls", "left")
-            .select("doc_id", "n_shingles", "cls", F.coalesce("component_id", "doc_id").alias("component_id")))
+    named = rooted.join(least, "root").select("cls", F.col("root").alias("group"), "component_id")
+    return (sets.select("doc_id", "row_hash", F.col("n").alias("n_shingles"), "cls").join(named, "cls", "left")
+            .select("doc_id", "row_hash", "n_shingles", "group", F.coalesce("component_id", "doc_id").alias("component_id")))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each component: the least id's (nulls
+    last).  Documents without shingles stay; repeated rows of one id and text
+    are one document."""
+    found = Staged(docs.sparkSession).write(jaccard_components(docs, id_col=id_col, text_col=text_col, **options))
+    first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_hash"))
+    least = found.where("group is not null").groupBy("group").agg(F.min(first).alias("x")).select("x.doc_id", "x.row_hash")
+    stay = least.unionByName(found.where("group is null").select("doc_id", "row_hash").distinct())
+    stay = stay.select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash"))
+    marked = docs.withColumn("__own", F.xxhash64(text_col))
+    kept = marked.join(stay, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left_semi")
+    return kept.dropDuplicates([id_col, "__own"]).drop("__own")

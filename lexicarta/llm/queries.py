@@ -36,7 +36,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
                                   F.lit(PROBE).alias("text"))
     segs = chat.segments(rows.unionByName(probe), tokenizer_path())
-    return chat.digest(segs, tokenizer_path())
+    return chat.digest(segs, tokenizer_path()).drop("n_tokens")
 
 
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))

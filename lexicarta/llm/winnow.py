@@ -118,3 +118,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, k: int =
     return out.select("doc_id", "row_hash", F.col("n_words").cast("bigint").alias("n_words"), n_hit.cast("bigint").alias("n_hit"),
                       F.size(items_).cast("bigint").alias("n_items"), items_.alias("items"),
                       ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the contaminated ones."""
+    bad = (decontaminate(docs, items, id_col=id_col, text_col=text_col, **options).where("contaminated")
+           .select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash")).distinct())
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash")), "left_anti")
