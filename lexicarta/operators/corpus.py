@@ -85,7 +85,7 @@ def domain_filter(df: DataFrame, domain: str | None, allowed: Iterable[str] | No
     if allowed is not None:
         allowed = sorted(set(allowed))
         if domain not in allowed:
-            raise ValueError(f"Unknown domain '{domain}'. Valid options: {allowed}")
+            raise ValueError(f"no domain named {domain!r}; known domains are {', '.join(allowed)}")
     return df.where(F.col(source_col) == F.lit(domain))
 
 

@@ -47,7 +47,7 @@ def as_sparse(df: DataFrame, dense_col: str | None = None) -> DataFrame:
 def dot(indices: str = "indices", values: str = "values", w: str = "__w", b: str = "__b"):
     """In-row ``b + sum(values[k] * w[indices[k]])`` (``w`` is a column)."""
     s = F.aggregate(F.arrays_zip(F.col(indices).alias("i"), F.col(values).alias("v")), F.lit(0.0),
-                    lambda acc, e: acc + e["v"] * F.coalesce(F.element_at(F.col(w), e["i"] + 1), F.lit(0.0)))
+                    lambda acc, e: acc + e["v"] * F.coalesce(F.get(F.col(w), e["i"]), F.lit(0.0)))
     return F.col(b) + s
 
 

@@ -29,8 +29,9 @@ METRIC_COLUMNS = ("accuracy", "f1_weighted", "f1_macro", "precision_weighted", "
 
 def confusion_counts(df: DataFrame, keys: Sequence[str] = (), label: str = "label",
                      prediction: str = "prediction") -> DataFrame:
-    """(keys.., label, prediction, n) for the pairs that occur."""
-    return df.groupBy(*keys, label, prediction).agg(F.count(F.lit(1)).alias("n"))
+    """(keys.., label, prediction, n) for the pairs that occur.  Rows with a
+    null label or prediction are no pairs (see ``excluded_rows``)."""
+    return df.where(F.col(label).isNotNull() & F.col(prediction).isNotNull()).groupBy(*keys, label, prediction).agg(F.count(F.lit(1)).alias("n"))
 
 
 def confusion_matrix(df: DataFrame, keys: Sequence[str] = (), label: str = "label",
@@ -47,6 +48,18 @@ def confusion_matrix(df: DataFrame, keys: Sequence[str] = (), label: str = "labe
     return out.select(*keys, label, prediction, F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"))
 
 
+def _scored(score: str):
+    return F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))
+
+
+def excluded_rows(df: DataFrame, label: str = "label", prediction: str = "prediction", score: str | None = "probability") -> DataFrame:
+    """One row of counts: what the metrics leave out (null label or
+    prediction) and what only the AUC leaves out (null or NaN score)."""
+    unusable = F.col(label).isNull() | F.col(prediction).isNull()
+    unranked = ~unusable & ~_scored(score) if score is not None else F.lit(False)
+    return df.agg(F.count_if(unusable).alias("n_unusable"), F.count_if(unranked).alias("n_unranked"))
+
+
 def metrics_from_counts(conf: DataFrame, keys: Sequence[str]) -> DataFrame:
     """A12-A14 from (keys.., label, prediction, n)."""
     keys = list(keys)
@@ -77,8 +90,9 @@ def metrics_from_counts(conf: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def score_counts(df: DataFrame, keys: Sequence[str] = (), label: str = "label",
                  score: str = "probability") -> DataFrame:
-    """(keys.., score, pos, neg): one row per distinct score of a group."""
-    return df.groupBy(*keys, F.col(score).alias("score")).agg(
+    """(keys.., score, pos, neg): one row per distinct score of a group.  Rows
+    with a null label or a null or NaN score cannot be ranked and are left out."""
+    return df.where(F.col(label).isNotNull() & _scored(score)).groupBy(*keys, F.col(score).alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
 
 
@@ -128,8 +142,8 @@ def prediction_counts(df: DataFrame, keys: Sequence[str] = (), label: str = "lab
     cols = [*keys, F.col(label).alias("label"), F.col(prediction).alias("prediction")]
     if score is not None:
         cols.append(F.col(score).cast("double").alias("score"))
-    pc = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
-    return materialize(pc)
+    used = df.where(F.col(label).isNotNull() & F.col(prediction).isNotNull())
+    return materialize(used.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")))
 
 
 def _conf_of(pc: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -137,7 +151,7 @@ def _conf_of(pc: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _scores_of(pc: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return pc.groupBy(*keys, "score").agg(
+    return pc.where(_scored("score")).groupBy(*keys, "score").agg(
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).cast("bigint").alias("pos"),
         F.sum(F.when(F.col("label") != 1, F.col("n")).otherwise(0)).cast("bigint").alias("neg"))
 
@@ -148,7 +162,7 @@ def classification_metrics(df: DataFrame, label: str = "label", prediction: str
     pc = prediction_counts(df, (), label, prediction, score).withColumn("__g", F.lit(1))
     m = metrics_from_counts(_conf_of(pc, ["__g"]), ["__g"])
     if score is not None:
-        m = m.join(auc_from_score_counts(_scores_of(pc, ["__g"]), ["__g"]), "__g")
+        m = m.join(auc_from_score_counts(_scores_of(pc, ["__g"]), ["__g"]), "__g", "left")
     return m.drop("__g")
 
 
@@ -172,7 +186,7 @@ def domain_metrics(df: DataFrame, domain: str = "source", label: str = "label",
         allp = pc.withColumn("__g", F.lit(1))
         ov = metrics_from_counts(_conf_of(allp, ["__g"]), ["__g"])
         if score is not None:
-            ov = ov.join(auc_from_score_counts(_scores_of(allp, ["__g"]), ["__g"]), "__g")
+            ov = ov.join(auc_from_score_counts(_scores_of(allp, ["__g"]), ["__g"]), "__g", "left")
         ov = ov.drop("__g").withColumn("domain", F.lit(None).cast("string")).withColumn("scope", F.lit("overall"))
         out = out.unionByName(ov)
     cols = ["scope", "domain", "n", *METRIC_COLUMNS] + (["roc_auc"] if score is not None else [])

@@ -95,11 +95,27 @@ def embed_texts(df: DataFrame, make_encoder_fn: Callable, text_col: str = "text"
     return df.withColumn(out, udf(F.col(text_col)))
 
 
-def length_encoder() -> Callable:
-    """A deterministic toy encoder for examples and tests: [code points,
-    whitespace tokens] of each text."""
+def count_encoder() -> Callable:
+    """A deterministic NumPy encoder for examples and tests: [code points,
+    spaces] of each text."""
     def make():
         def encode(texts: np.ndarray) -> np.ndarray:
-            return np.array([[float(len(t)), float(len(t.split()))] for t in texts], dtype=np.float64)
+            t = np.asarray(texts, dtype=np.dtypes.StringDType())
+            return np.stack([np.strings.str_len(t), np.strings.count(t, " ")], axis=1).astype(np.float64)
         return encode
     return make
+
+
+def mlp_model(hidden: np.ndarray, out: np.ndarray) -> Callable:
+    """One tanh layer of given weights (d x h) and a linear layer (h x k)."""
+    def make():
+        def predict(x: np.ndarray) -> np.ndarray:
+            return np.tanh(np.asarray(x, dtype=np.float64).reshape(-1, hidden.shape[0]) @ hidden) @ out
+        return predict
+    return make
+
+
+def example_mlp_weights(dim: int, units: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Weights from a rule: ((3 i + 5 j) mod 7 - 3) / 2 and (j + 2 k) mod 5 - 2."""
+    i, j, k = np.arange(dim)[:, None], np.arange(units), np.arange(2)
+    return ((3 * i + 5 * j[None, :]) % 7 - 3) / 2, ((j[:, None] + 2 * k[None, :]) % 5 - 2).astype(float)

@@ -36,16 +36,15 @@ def _order_hash(key: str, seed: int):
 
 
 def _stratum(strata: Sequence[str]):
-    if not strata:
-        return F.lit("all")
-    if len(strata) == 1:
-        return F.col(strata[0]).cast("string")
+    """Stratum key, never null: rows with a null part form one stratum, whose
+    key '' sorts first; all other keys get a prefix, which keeps their order
+    and lets the plain equality joins below match every row."""
     parts = []
     for i, c in enumerate(strata):
         if i:
             parts.append(F.lit("_"))
         parts.append(F.col(c).cast("string"))
-    return F.concat(*parts)
+    return F.coalesce(F.concat(F.lit("="), *parts), F.lit(""))
 
 
 def allocation(counts: DataFrame, n_train_expr) -> DataFrame:

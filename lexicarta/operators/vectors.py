@@ -74,28 +74,39 @@ def padded_sequence(tv: DataFrame, dim: int, max_len: int = FX.TOKEN_VECTOR_MAX_
     return g.select(key, F.slice(F.concat(seq, pad), 1, int(max_len)).alias("sequence"))
 
 
-def mean_pool(tv: DataFrame, dim: int, key: str = "doc_id", docs: DataFrame | None = None,
-              mask_col: str | None = None) -> DataFrame:
-    """(key, embedding array<double>): masked mean of each
-    document's token vectors, denominator clamped at 1e-9 (a fully masked
-    document gives zeros).  A document has at most ``max_len`` token rows,
-    so its vectors are collected (bounded) and summed in-row in position
-    order; documents given in ``docs`` without tokens get the zero vector."""
-    m = F.col(mask_col).cast("double") if mask_col else F.lit(1.0)
-    g = tv.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", m.alias("m"), F.col("vec").alias("v"))))
-                            .alias("__e"))
+def mean_pool(docs: DataFrame, vectors: DataFrame, dim: int, keys: Sequence[str] = ("doc_id",), text_col: str = "text",
+              mask=None) -> DataFrame:
+    """(keys.., embedding array<double>): mean of the vectors of all
+    whitespace tokens of each document, denominator clamped at 1e-9.
+
+    ``mask`` is a condition on the column ``token``: tokens that fail it count
+    neither above nor below.  Unknown tokens are zero vectors; a document
+    without (unmasked) tokens is the zero vector.  Equal tokens of a document
+    are counted first and every task adds its vectors up before the
+    exchange, so a document costs one vector per task, not one per token.
+    ``keys`` must identify a document."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    keys = list(keys)
+    toks = X.explode_tokens(docs, keys[0], X.whitespace_tokens(text_col), keys[1:])
+    if mask is not None:
+        toks = toks.where(mask)
+    counts = toks.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("__n"))
+    total = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
+    known = counts.join(vectors.select("token", F.col("vec").alias("__vec")), "token")
+    vec = array_to_vector(F.transform("__vec", lambda x: x.cast("double")))
+    sums = (known.select(*keys, vec.alias("__v"), F.col("__n").cast("double").alias("__w")).groupBy(*keys)
+            .agg(Summarizer.sum(F.col("__v"), F.col("__w")).alias("__s"))
+            .select(*keys, vector_to_array("__s").alias("__s")))
     zero = F.array_repeat(F.lit(0.0), int(dim))
-    sums = F.aggregate("__e", zero, lambda acc, e: F.zip_with(acc, e["v"], lambda a, b: a + b.cast("double") * e["m"]))
-    den = F.aggregate("__e", F.lit(0.0), lambda a, e: a + e["m"])
-    g = g.select(key, sums.alias("__s"), F.greatest(den, F.lit(FX.MEAN_POOL_EPS)).alias("__d"))
-    g = g.select(key, F.zip_with("__s", F.array_repeat(F.col("__d"), int(dim)), lambda a, d: a / d).alias("embedding"))
-    if docs is not None:
-        g = docs.select(key).join(g, key, "left").select(key, F.coalesce("embedding", zero).alias("embedding"))
-    return g
+    out = docs.select(*keys).join(total, keys, "left").join(sums, keys, "left")
+    den = F.greatest(F.coalesce(F.col("__total").cast("double"), F.lit(0.0)), F.lit(FX.MEAN_POOL_EPS))
+    out = out.select(*keys, F.coalesce("__s", zero).alias("__s"), den.alias("__d"))
+    return out.select(*keys, F.zip_with("__s", F.array_repeat(F.col("__d"), int(dim)), lambda a, d: a / d).alias("embedding"))
 
 
-def mean_pool_long(tv: DataFrame, dim: int, key: str = "doc_id", mask_col: str | None = None) -> DataFrame:
-    """P23 long form (key, dim, value) of ``mean_pool``."""
-    p = mean_pool(tv, dim, key, mask_col=mask_col)
-    e = p.select(key, F.posexplode_outer("embedding").alias("dim", "value")).where(F.col("dim").isNotNull())
-    return e.select(key, F.col("dim").cast("int").alias("dim"), "value")
+def mean_pool_long(pooled: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """P23 long form (keys.., dim, value) of ``mean_pool``."""
+    e = pooled.select(*keys, F.posexplode_outer("embedding").alias("dim", "value")).where(F.col("dim").isNotNull())
+    return e.select(*keys, F.col("dim").cast("int").alias("dim"), "value")

@@ -265,9 +265,10 @@ FROM ({counts_of(terms_fn(target))}) a JOIN voc v ON a.term = v.term"""
 
 oracle("whitespace_tokens", ws_tokens("SELECT doc_id, text FROM documents"))
 oracle("word_tokens", word_tokens("SELECT doc_id, text FROM documents"))
-oracle("word_ngrams", counts_of(w13(LABELLED_DOCS)))
-oracle("char_wb_ngrams", counts_of(cwb24(LABELLED_DOCS)))
-oracle("char_ngrams", counts_of(char_terms(LABELLED_DOCS, 2, 4)))
+ALL_DOCS = "SELECT doc_id, text FROM documents"
+oracle("word_ngrams", counts_of(w13(ALL_DOCS)))
+oracle("char_wb_ngrams", counts_of(cwb24(ALL_DOCS)))
+oracle("char_ngrams", counts_of(char_terms(ALL_DOCS, 2, 4)))
 oracle("term_counts", counts_of(w12("SELECT doc_id, text FROM documents")))
 oracle("vocabulary", f"SELECT term, term_idx, tf, df FROM ({TFIDF_VOCAB})")
 oracle("vocabulary_top_k", "SELECT term, term_idx, tf, df FROM ("
@@ -448,17 +449,30 @@ oracle("vector_table", f"SELECT token, rank, n_occ FROM ({VEC_TABLE})")
 oracle("token_vectors", f"SELECT doc_id, pos, token, in_vocab, round({VSUM}, 6) AS vec_sum FROM ({TV})")
 oracle("padded_sequence", f"""SELECT d.doc_id, 100 AS seq_len, round(coalesce(s.total, 0.0), 6) AS total
 FROM documents d LEFT JOIN (SELECT doc_id, sum({VSUM}) AS total FROM ({TV}) GROUP BY doc_id) s ON d.doc_id = s.doc_id""")
-oracle("mean_pool", f"""WITH tv AS ({TV}),
+
+
+def pooled_sql(keep: str) -> str:
+    """Mean over all tokens of a document that satisfy ``keep``, long form."""
+    return f"""WITH tv AS (SELECT t.doc_id, t.token, v.vec FROM ({DOC_TOKENS}) t LEFT JOIN ({VEC_TABLE}) v ON t.token = v.token WHERE {keep}),
 n AS (SELECT doc_id, count(*) AS n FROM tv GROUP BY doc_id),
 s AS (SELECT doc_id, dim, sum(CAST(x AS DOUBLE)) AS s FROM (
         SELECT doc_id, unnest(vec) AS x, unnest(range(0, 64)) AS dim FROM tv WHERE vec IS NOT NULL) GROUP BY doc_id, dim)
-SELECT n.doc_id, CAST(g.dim AS INTEGER) AS dim, round(coalesce(s.s, 0.0) / n.n, 6) AS value
-FROM n CROSS JOIN range(0, 64) g(dim) LEFT JOIN s ON s.doc_id = n.doc_id AND s.dim = g.dim""")
-oracle("softmax_argmax", """SELECT vec_id, round(exp(l0 - m) / (exp(l0 - m) + exp(l1 - m)), 6) AS p0,
-       round(exp(l1 - m) / (exp(l0 - m) + exp(l1 - m)), 6) AS p1,
-       CASE WHEN l1 > l0 THEN 1 ELSE 0 END AS prediction
-FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS l0, CAST(embedding[2] AS DOUBLE) AS l1,
-             CAST(greatest(embedding[1], embedding[2]) AS DOUBLE) AS m FROM embeddings)""")
+SELECT d.doc_id, CAST(g.dim AS INTEGER) AS dim, coalesce(s.s, 0.0) / greatest(coalesce(n.n, 0), 1e-9) AS value
+FROM documents d CROSS JOIN range(0, 64) g(dim) LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN s ON s.doc_id = d.doc_id AND s.dim = g.dim"""
+
+
+oracle("mean_pool", f"SELECT doc_id, dim, round(value, 6) AS value FROM ({pooled_sql('true')})")
+oracle("mean_pool_masked", f"SELECT doc_id, dim, round(value, 6) AS value FROM ({pooled_sql('length(t.token) > 1')})")
+oracle("softmax_argmax", """WITH l AS (
+  SELECT vec_id, list_transform(CASE WHEN vec_id % 2 = 1 THEN list_concat(embedding, embedding) ELSE embedding END, lambda x: CAST(x AS DOUBLE)) AS l
+  FROM embeddings),
+e AS (SELECT vec_id, l, list_transform(l, lambda x: exp(x - list_max(l))) AS e FROM l)
+SELECT vec_id, CAST(len(e) AS INTEGER) AS n_classes, round(e[1] / list_sum(e), 6) AS p_first, round(e[-1] / list_sum(e), 6) AS p_last,
+       round(1.0 / list_sum(e), 6) AS p_max, CAST(list_position(l, list_max(l)) - 1 AS INTEGER) AS prediction FROM e""")
+oracle("mlp_baseline", f"""WITH p AS ({pooled_sql('true')}),
+h AS (SELECT doc_id, j, tanh(sum(value * ((3 * dim + 5 * j) % 7 - 3) / 2.0)) AS h FROM p CROSS JOIN range(0, 4) u(j) GROUP BY doc_id, j),
+o AS (SELECT doc_id, k, sum(h * ((j + 2 * k) % 5 - 2)) AS z FROM h CROSS JOIN range(0, 2) c(k) GROUP BY doc_id, k)
+SELECT doc_id, round(1.0 / (1.0 + exp(sum(CASE k WHEN 0 THEN z ELSE -z END))), 6) AS p1 FROM o GROUP BY doc_id""")
 oracle("batch_score", """SELECT vec_id, round(exp(l1 - m) / (exp(l0 - m) + exp(l1 - m)), 6) AS p1,
        CASE WHEN l1 > l0 THEN 1 ELSE 0 END AS prediction
 FROM (SELECT vec_id, l0, l1, greatest(l0, l1) AS m FROM (
@@ -557,6 +571,30 @@ oracle("row_funnel", ORACLES["row_funnel"] + f"""
 UNION ALL SELECT CASE WHEN split = 'train' THEN 4 ELSE 5 END, split, count(*) FROM ({QA_SPLIT}) GROUP BY split""")
 
 
-oracle("text_encoder", f"""SELECT d.doc_id, CAST(length(d.text) AS DOUBLE) AS n_chars,
-       CAST(coalesce(t.n, 0) AS DOUBLE) AS n_tokens
-FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({DOC_TOKENS}) GROUP BY doc_id) t ON d.doc_id = t.doc_id""")
+oracle("text_encoder", """SELECT doc_id, CAST(length(text) AS DOUBLE) AS n_chars,
+       CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) AS n_spaces FROM documents""")
+oracle("null_source_split", "SELECT doc_id, source, split FROM (" + split_sql(
+    "SELECT doc_id, lang, CASE WHEN doc_id % 4 <> 0 THEN source END AS source FROM documents", "lang || '_' || source", ceil_test(0.2)) + ")")
+
+
+def _tfidf_evaluate(kind: str) -> str:
+    """Fit, score the test split, then overall and per-source metrics."""
+    ctes, w, b, _ = linear_sql(_tfidf_long(TRAIN_DOCS), f"SELECT doc_id, CAST(label AS DOUBLE) AS y FROM ({TRAIN_DOCS})",
+                               kind, 10, 0.01, f"SELECT term_idx AS j FROM ({TFIDF_VOCAB})")
+    ctes.append(f"xt AS ({_tfidf_long(TEST_DOCS)})")
+    ctes.append(f"yt AS (SELECT doc_id, label, source FROM ({TEST_DOCS}))")
+    positive = "1.0 / (1.0 + exp(-z)) >= 0.5" if kind == "lr" else "z >= 0"
+    ctes.append(f"""scored AS (
+  SELECT label, source, CAST({positive} AS INTEGER) AS prediction, round(z, 9) AS score
+  FROM (SELECT yt.doc_id, yt.label, yt.source, {b}.b + coalesce(s.s, 0.0) AS z FROM yt CROSS JOIN {b}
+        LEFT JOIN (SELECT xt.doc_id, sum(xt.x * {w}.w) AS s FROM xt JOIN {w} ON xt.j = {w}.j GROUP BY xt.doc_id) s ON yt.doc_id = s.doc_id))""")
+    src = "SELECT * FROM scored"
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT 'domain' AS scope, m.g AS domain, m.* EXCLUDE (g), a.roc_auc
+FROM ({metrics_sql(src, "source")}) m JOIN ({auc_sql(src, "source", "score")}) a ON m.g = a.g
+UNION ALL SELECT 'overall', CAST(NULL AS VARCHAR), m.* EXCLUDE (g), a.roc_auc
+FROM ({metrics_sql(src, "1")}) m JOIN ({auc_sql(src, "1", "score")}) a ON m.g = a.g"""
+
+
+for _k in ("lr", "svm"):
+    oracle(f"{_k}_tfidf_evaluate", _tfidf_evaluate(_k))

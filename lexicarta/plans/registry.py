@@ -239,17 +239,17 @@ def q_word_tokens(spark, sf):
 
 @query("word_ngrams")
 def q_word_ngrams(spark, sf):
-    return V.term_counts(labelled_prepared(spark, sf), "word", (1, 3))
+    return V.term_counts(T.read_text_table(spark, sf, "documents"), "word", (1, 3))
 
 
 @query("char_wb_ngrams")
 def q_char_wb_ngrams(spark, sf):
-    return V.term_counts(labelled_prepared(spark, sf), "char_wb", (2, 4))
+    return V.term_counts(T.read_text_table(spark, sf, "documents"), "char_wb", (2, 4))
 
 
 @query("char_ngrams")
 def q_char_ngrams(spark, sf):
-    return V.term_counts(labelled_prepared(spark, sf), "char", (2, 4))
+    return V.term_counts(T.read_text_table(spark, sf, "documents"), "char", (2, 4))
 
 
 @query("term_counts")
@@ -422,6 +422,34 @@ def q_lr_tfidf_predict(spark, sf):
     return p.select("doc_id", "label", r6(F.col("probability")).alias("probability"), "prediction")
 
 
+def _evaluate_tfidf(spark, sf, kind):
+    """Fit on the train split, score the test split, then all metrics."""
+    vec, train, test = _tfidf_model(spark, sf)
+    m = L.fit_linear(kind, vec.transform_sparse(train, carry=["label"]), LIN_EPOCHS, LIN_LR, n_features=vec.vocab_size)
+    p = m.transform(vec.transform_sparse(test, carry=["label", "source"]))
+    # equal margins must tie in the ranking, whatever the order of summation
+    p = materialize(p.select("label", "source", "prediction", F.round("raw", 9).alias("score")))
+    return _r6_all(M.domain_metrics(p, "source", score="score"), _MCOLS + ["roc_auc"])
+
+
+@query("lr_tfidf_evaluate")
+def q_lr_tfidf_evaluate(spark, sf):
+    return _evaluate_tfidf(spark, sf, "lr")
+
+
+@query("svm_tfidf_evaluate")
+def q_svm_tfidf_evaluate(spark, sf):
+    return _evaluate_tfidf(spark, sf, "svm")
+
+
+@query("null_source_split")
+def q_null_source_split(spark, sf):
+    """Every fourth source taken away: rows with a null stratum keep the rule."""
+    d = T.read_table(spark, sf, "documents").select("doc_id", "lang", F.when(F.col("doc_id") % 4 != 0, F.col("source")).alias("source"))
+    s = S.stratified_split(d, ("lang", "source"), key="doc_id", test_size=0.2, seed=42)
+    return s.select("doc_id", "source", "split")
+
+
 # ---------------------------------------------------------------- token vectors
 
 from ..operators import scoring as SC  # noqa: E402
@@ -464,18 +492,30 @@ def q_padded_sequence(spark, sf):
 
 @query("mean_pool")
 def q_mean_pool(spark, sf):
-    m = VE.mean_pool_long(_token_vectors(spark, sf), VEC_DIM)
+    """All tokens of every document; documents without tokens give zeros."""
+    docs = T.read_text_table(spark, sf, "documents").select("doc_id", "text")
+    m = VE.mean_pool_long(VE.mean_pool(docs, _vector_table(spark, sf), VEC_DIM))
     return m.select("doc_id", "dim", r6(F.col("value")).alias("value"))
 
 
+@query("mean_pool_masked")
+def q_mean_pool_masked(spark, sf):
+    """Only tokens of two letters or more count."""
+    docs = T.read_text_table(spark, sf, "documents").select("doc_id", "text")
+    m = VE.mean_pool(docs, _vector_table(spark, sf), VEC_DIM, mask=F.length("token") > 1)
+    return VE.mean_pool_long(m).select("doc_id", "dim", r6(F.col("value")).alias("value"))
+
+
 # ---------------------------------------------------------------- scoring
 
 @query("softmax_argmax")
 def q_softmax_argmax(spark, sf):
-    e = T.read_table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 2).alias("logits"))
-    s = SC.with_softmax(e, "logits")
-    return s.select("vec_id", r6(F.col("probabilities")[0]).alias("p0"), r6(F.col("probabilities")[1]).alias("p1"),
-                    "prediction")
+    """Whole vectors as logits; odd rows twice over, so that every maximum ties."""
+    twice = F.when(F.col("vec_id") % 2 == 1, F.concat("embedding", "embedding")).otherwise(F.col("embedding"))
+    s = SC.with_softmax(T.read_table(spark, sf, "embeddings").select("vec_id", twice.alias("logits")), "logits")
+    p = F.col("probabilities")
+    return s.select("vec_id", F.size(p).alias("n_classes"), r6(p[0]).alias("p_first"), r6(F.element_at(p, -1)).alias("p_last"),
+                    r6(F.array_max(p)).alias("p_max"), "prediction")
 
 
 @query("batch_score")
@@ -487,13 +527,12 @@ def q_batch_score(spark, sf):
 
 @query("mlp_baseline")
 def q_mlp_baseline(spark, sf):
-    s = labelled_split(spark, sf)
-    pooled = VE.mean_pool(_token_vectors(spark, sf, s.select("doc_id", "text")), VEC_DIM,
-                          docs=s.select("doc_id"))
-    feats = materialize(s.select("doc_id", "label", "split").join(pooled, "doc_id"))
-    train = feats.where(F.col("split") == "train").drop("split")
-    test = feats.where(F.col("split") == "test").drop("split")
-    return SC.mlp_baseline(train, test).select("doc_id", "label", "prediction")
+    """Pooled document vectors through a multilayer perceptron with given
+    weights (training it is tested on its own)."""
+    docs = T.read_text_table(spark, sf, "documents").select("doc_id", "text")
+    pooled = VE.mean_pool(docs, _vector_table(spark, sf), VEC_DIM)
+    s = SC.batch_score(pooled, SC.mlp_model(*SC.example_mlp_weights(VEC_DIM)), "embedding", VEC_DIM, batch_size=512)
+    return s.select("doc_id", r6(F.col("probabilities")[1]).alias("p1"))
 
 
 # ---------------------------------------------------------------- diagnostics
@@ -575,5 +614,5 @@ def q_corpus_summary(spark, sf):
 @query("text_encoder")
 def q_text_encoder(spark, sf):
     d = T.read_text_table(spark, sf, "documents").select("doc_id", "text")
-    e = SC.embed_texts(d, SC.length_encoder(), "text", batch_size=64)
-    return e.select("doc_id", F.col("embedding")[0].alias("n_chars"), F.col("embedding")[1].alias("n_tokens"))
+    e = SC.embed_texts(d, SC.count_encoder(), "text", batch_size=64)
+    return e.select("doc_id", F.col("embedding")[0].alias("n_chars"), F.col("embedding")[1].alias("n_spaces"))

@@ -29,9 +29,10 @@ def _vectorizer(kind: str) -> V.TermVectorizer:
 
 
 def extract(dataset: DataFrame, kind: str, vectors: DataFrame | None = None, dim: int | None = None,
-            max_len: int = 100) -> DataFrame:
+            max_len: int = FX.TOKEN_VECTOR_MAX_LEN) -> DataFrame:
     """Features of one kind for a dataset with a ``split`` column; the
-    vocabulary is fitted on the train split only (X4).  Output keeps
+    vocabulary is fitted on the train split only (X4).  ``max_len`` cuts the
+    token sequences only; pooling reads all tokens.  Output keeps
     ``doc_id``, ``label`` and ``split`` beside the features."""
     carry = ["label", "split"]
     if kind in ("tfidf", "word_ngram", "char_ngram"):
@@ -39,12 +40,13 @@ def extract(dataset: DataFrame, kind: str, vectors: DataFrame | None = None, dim
         return model.transform_sparse(dataset, carry=carry)
     if vectors is None or dim is None:
         raise ValueError(f"{kind} needs a vector table and its dimension")
-    tv = VE.token_vectors(dataset, vectors, dim, max_len, carry=carry)
     if kind == "token_vectors":
-        return tv
+        return VE.token_vectors(dataset, vectors, dim, max_len, carry=carry)
     if kind == "mean_pool":
-        pooled = VE.mean_pool(tv, dim, docs=dataset.select("doc_id"))
-        return dataset.select("doc_id", *carry).join(pooled, "doc_id")
+        # ids need only be unique inside a split
+        keys = ["doc_id", "split"]
+        pooled = VE.mean_pool(dataset, vectors, dim, keys=keys)
+        return dataset.select(*keys, "label").join(pooled, keys)
     raise ValueError(f"kind must be one of {FEATURE_KINDS}")
 
 

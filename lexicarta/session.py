@@ -16,9 +16,6 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # local runs: small post-shuffle partitions keep every core busy on the
-    # CPU-heavy text stages that follow a dedupe or split shuffle
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256KB",
 }
 
 
@@ -39,17 +36,14 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
-def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting it from
     ``spark.checkpoint.dir`` when the context has none yet.
 
-    On a cluster the folder must be shared storage named by the session
-    config; only a local-mode session (tests, bench) may fall back to a
-    fresh scratch folder.
+    The folder must be shared storage named by the session's configuration;
+    a local session (tests, bench) names a scratch folder itself.  A local
+    master without one gets a folder under the working user's temporary
+    directory, which all its threads share.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -57,7 +51,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not _is_local(spark):
+        if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError(
                 "spark.checkpoint.dir is not set; point it at shared storage "
                 "(the cluster's checkpoint folder) before fitting models")

@@ -32,43 +32,67 @@ def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
             .option("escape", '"').option("quote", '"').csv(path))
 
 
+def _with_positions(df: DataFrame, name: str, start: int) -> tuple[DataFrame, int]:
+    """``df`` with the row position, from ``start`` on, and the row count.
+
+    Spark packs files into tasks by size, so the order of tasks is not the
+    order of files.  Inside a file the running id does rise with the rows:
+    counts per (file, task) give every piece its offset, pieces ordered by
+    file path and first id."""
+    marked = df.withColumn("__file", F.input_file_name()).withColumn("__mono", F.monotonically_increasing_id())
+    marked = marked.withColumn("__task", F.shiftright("__mono", 33))
+    # one row per file piece
+    pieces = sorted(marked.groupBy("__file", "__task").agg(F.count("*").alias("n"), F.min("__mono").alias("lo")).collect(),
+                    key=lambda r: (r["__file"], r["lo"]))
+    offsets, at = [], start
+    for r in pieces:
+        offsets.append((r["__file"], r["__task"], at - r["lo"]))
+        at += r["n"]
+    table = df.sparkSession.createDataFrame(offsets, "__file string, __task bigint, __shift bigint")
+    out = marked.join(table, ["__file", "__task"]).withColumn(name, F.col("__mono") + F.col("__shift"))
+    return out.drop("__file", "__task", "__mono", "__shift"), at - start
+
+
 def read_split_csvs(spark: SparkSession, base: str, name: str) -> DataFrame:
     """``{base}/{name}_train.csv`` and ``_test.csv`` as one DataFrame with
     a ``split`` column; a missing file is an error.  ``doc_id`` is the row
-    position inside its file (the reference's only identity), assigned at
-    the scan where file order is still known."""
-    out = None
+    position (the reference's only identity): train rows first, then test
+    rows, so ids are unique over both splits."""
+    out, taken = None, 0
     for split in ("train", "test"):
         path = f"{base.rstrip('/')}/{name}_{split}.csv"
         _require(spark, path, f"{split.capitalize()} split")
-        df = read_csv(spark, path, SPLIT_CSV).withColumn("split", F.lit(split))
-        df = df.withColumn("doc_id", F.monotonically_increasing_id())
+        df, n = _with_positions(read_csv(spark, path, SPLIT_CSV).withColumn("split", F.lit(split)), "doc_id", taken)
+        taken += n
         out = df if out is None else out.unionByName(df)
     return out
 
 
 def read_multiclass_raw(spark: SparkSession, base: str) -> DataFrame:
     """Raw ``train.csv`` / ``test.csv`` (``Generation``, ``label``) with a
-    literal ``split`` per file and a file-order key (doc_id, pos=0)."""
-    out = None
+    literal ``split`` per file and a file-order key (doc_id, pos=0), unique
+    over both splits."""
+    out, taken = None, 0
     for split in ("train", "test"):
         path = f"{base.rstrip('/')}/{split}.csv"
         _require(spark, path, "Missing split file")
-        df = (read_csv(spark, path, MULTICLASS_RAW).withColumn("split", F.lit(split))
-              .withColumn("doc_id", F.monotonically_increasing_id()).withColumn("pos", F.lit(0).cast("bigint")))
+        df, n = _with_positions(read_csv(spark, path, MULTICLASS_RAW).withColumn("split", F.lit(split)), "doc_id", taken)
+        df = df.withColumn("pos", F.lit(0).cast("bigint"))
+        taken += n
         out = df if out is None else out.unionByName(df)
     return out
 
 
 def read_nested_qa(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """S3: nested Q&A records; a source without ``item_id``/``part`` gets
-    part 0 and an id from the file order."""
+    part 0 and an id from the file order (sources with ids keep them; a
+    source that has them on some rows only is refused by the key's users)."""
     fields = [f for f in NESTED_QA.fields if f.name not in ("item_id", "part")]
     from pyspark.sql import types as T
     schema = T.StructType(fields + [T.StructField("item_id", T.LongType(), True),
                                     T.StructField("part", T.IntegerType(), True)])
-    df = spark.read.schema(schema).format(fmt).load(path)
-    return df.select(F.coalesce("item_id", F.monotonically_increasing_id()).alias("item_id"),
+    df, _ = _with_positions(spark.read.schema(schema).format(fmt).load(path), "__position", 0)
+    return df.select(F.coalesce("item_id", "__position").alias("item_id"),
                      F.coalesce("part", F.lit(0)).alias("part"), "question", "source",
                      "human_answers", "chatgpt_answers")
 

@@ -14,23 +14,9 @@ from pyspark.sql import functions as F
 TABLES = ("documents", "labels", "conversations", "embeddings", "benchmark", "pages")
 
 
-# Text tables and their unique row keys: per-row work on them is CPU heavy
-# (regex, n-grams), so a scan with fewer splits than cores is spread by key.
-# The key is unique per row, so no hot group can land in one partition.
-TEXT_TABLES = {"documents": ("doc_id",), "conversations": ("conv_id", "turn"), "pages": ("page_id",)}
-
-
-def spread(df: DataFrame, key) -> DataFrame:
-    """Hash-repartition by the unique row ``key`` only when the scan has
-    fewer partitions than the cluster has cores (a few large row groups).
-    Inputs with enough splits -- any input at scale -- are left as they
-    are, so no shuffle of the raw text is added there."""
-    spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        keys = [key] if isinstance(key, str) else list(key)
-        return df.repartition(want, *keys)
-    return df
+# Unset (the default): scans keep their splits.  A local run over a one-row-group
+# file may ask for at least so many partitions.
+MIN_SCAN_PARTITIONS = "spark.lexicarta.minScanPartitions"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,8 +24,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan of a text table for per-row text work (see ``spread``)."""
-    return spread(read_table(spark, sf_dir, name), TEXT_TABLES[name])
+    """Scan of a text table; the splits are the files' own unless the session
+    sets ``MIN_SCAN_PARTITIONS``."""
+    df = read_table(spark, sf_dir, name)
+    wanted = int(spark.conf.get(MIN_SCAN_PARTITIONS, "0"))
+    return df.repartition(wanted) if wanted else df
 
 
 def labelled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
