@@ -127,7 +127,7 @@ def split_leakage(df: DataFrame, text_col: str = "text", split_col: str = "split
     return (df.groupBy(key.alias("text_key"))
             .agg(F.count_if(F.col(split_col) == "train").alias("n_train"),
                  F.count_if(F.col(split_col) == "test").alias("n_test"),
-                 F.min(F.col(text_col)).alias("text"))
+                 F.min(F.length(text_col)).alias("n_chars"))
             .where((F.col("n_train") > 0) & (F.col("n_test") > 0)))
 
 

@@ -32,9 +32,6 @@ from ..session import materialize
 from .joins import DEFAULT_MAX_BROADCAST_ROWS, join_small
 
 ANALYZERS = ("word", "char", "char_wb")
-# Above this many terms the top-k is found from a tf histogram instead of a
-# TakeOrdered (whose single reducer merges k rows from every task).
-TAKE_ORDERED_MAX = 1_000_000
 
 
 @dataclass
@@ -98,20 +95,13 @@ def fit_vocabulary(df: DataFrame, params: VectorizerParams, key: str = "doc_id",
     max_doc = _doc_bound(params.max_df, n_docs)
     min_doc = _doc_bound(params.min_df, n_docs)
     if max_doc < min_doc:
-        raise ValueError("max_df corresponds to < documents than min_df")
+        raise ValueError(f"no document frequency lies between {min_doc} and {max_doc}")
     stats = corpus_stats(term_counts(df, params.analyzer, params.ngram_range, key, text_col))
     kept = stats.where((F.col("df") >= F.lit(min_doc)) & (F.col("df") <= F.lit(max_doc)))
     k = params.max_features
-    if k is not None and k <= TAKE_ORDERED_MAX:
-        # TakeOrderedAndProject: each task keeps its top k, one reducer merges
-        kept = kept.orderBy(F.desc("tf"), F.asc("term")).limit(int(k))
-    elif k is not None:
-        kept = top_k_terms(kept, int(k))
-    if k is not None and k <= TAKE_ORDERED_MAX:
-        # at most max_features rows: one ordered window is fine
-        vocab = kept.withColumn("term_idx", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
-    else:
-        vocab = _rank_terms(kept)
+    if k is not None:
+        kept = top_k_terms(materialize(kept), int(k))
+    vocab = _rank_terms(kept)
     if params.tfidf:
         n = float(n_docs)
         if params.smooth_idf:
@@ -125,17 +115,18 @@ def fit_vocabulary(df: DataFrame, params: VectorizerParams, key: str = "doc_id",
     if checkpoint:
         vocab = materialize(vocab)
         if vocab.isEmpty():
-            raise ValueError("After pruning, no terms remain. Try a lower min_df or a higher max_df.")
+            raise ValueError(f"no term is in {min_doc} to {max_doc} documents")
     return vocab, n_docs
 
 
 def top_k_terms(stats: DataFrame, k: int) -> DataFrame:
-    """Exact top ``k`` terms by (tf desc, term asc) for a large ``k``.
+    """Exact top ``k`` terms by (tf desc, term asc), one plan for every ``k``.
 
     A histogram of tf values (one row per distinct frequency) gives the
     cut-off frequency T; terms above T are all kept, and only the tie group at
     T is ranked by term (two-level, ``_rank_terms``) to take the remaining
-    slots.  No step gathers k rows per task in one place."""
+    slots.  No step gathers k rows per task in one place.  ``stats`` is read
+    three times: pass a materialised table."""
     hist = stats.groupBy("tf").agg(F.count(F.lit(1)).alias("n"))
     w = Window.orderBy(F.desc("tf")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hist = hist.withColumn("cum", F.sum("n").over(w))
@@ -149,18 +140,22 @@ def top_k_terms(stats: DataFrame, k: int) -> DataFrame:
     return above.unionByName(tied)
 
 
-def _rank_terms(kept: DataFrame, prefix_len: int = 3) -> DataFrame:
+def _rank_terms(kept: DataFrame) -> DataFrame:
     """0-based rank of each term in ascending term order without a global
-    window (an unbounded vocabulary): a term's first code points are a
-    block key monotone in term order; offsets come from the small
-    per-prefix count table, then ranks inside each prefix block."""
-    k = kept.withColumn("__pfx", F.substring("term", 1, prefix_len))
-    pc = k.groupBy("__pfx").agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.orderBy("__pfx").rowsBetween(Window.unboundedPreceding, -1)
-    offs = materialize(pc.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n"))
-    k = join_small(k, offs, "__pfx")
-    rn = F.row_number().over(Window.partitionBy("__pfx").orderBy("term"))
-    return k.withColumn("term_idx", (F.col("__off") + rn - 1).cast("int")).drop("__pfx", "__off")
+    window: terms are dealt into ranges of about equal size, a rank inside
+    each range is shifted by the sizes of the ranges before it (one number
+    per range)."""
+    dealt = materialize(kept.repartitionByRange("term").withColumn("__range", F.spark_partition_id()))
+    at, shifts = 0, []
+    for r in sorted(dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect()):
+        shifts += [F.lit(r["__range"]), F.lit(at)]
+        at += r["n"]
+    if not shifts:
+        return dealt.withColumn("term_idx", F.lit(0)).drop("__range")
+    if at > 2**31 - 1:
+        raise ValueError(f"{at} terms do not fit an int index; give max_features or a higher min_df")
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy("term"))
+    return dealt.withColumn("term_idx", (F.create_map(*shifts)[F.col("__range")] + inside - 1).cast("int")).drop("__range")
 
 
 class TermVectorizer:

@@ -126,7 +126,7 @@ def q_dedupe_per_split(spark, sf):
 def q_split_leakage(spark, sf):
     d = T.read_text_table(spark, sf, "documents").select("doc_id", X.clean_text("text").alias("text"))
     return C.split_leakage(T.given_splits(d)).select(
-        "text_key", "n_train", "n_test", F.length("text").alias("n_chars"))
+        "text_key", "n_train", "n_test", "n_chars")
 
 
 # ---------------------------------------------------------------- profiles
