@@ -112,10 +112,14 @@ def scan(queries: np.ndarray, vectors: np.ndarray, limit2: np.ndarray) -> tuple[
     found = [], []
     for lo in range(0, len(vectors), 1024):
         part = vectors[lo: lo + 1024]
-        x, y = queries[:, :BLOCK], part[:, :BLOCK]
-        dist = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
-        done = min(BLOCK, d)
-        q, v = np.nonzero(_keep(dist, done, d, limit2[:, None]))
+        dist, done = np.zeros((len(queries), len(part))), 0
+        alive = np.ones(dist.shape, bool)
+        while done < d and alive.mean() > 0.2:  # most are alive: whole blocks by one product
+            x, y = queries[:, done: done + BLOCK], part[:, done: done + BLOCK]
+            dist += (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
+            done = min(done + BLOCK, d)
+            alive &= _keep(dist, done, d, limit2[:, None])
+        q, v = np.nonzero(alive)
         dist = dist[q, v]
         while done < d and len(q):
             step = slice(done, done + BLOCK)
