@@ -1,10 +1,9 @@
 """Shared helpers: staged tables in the cluster's shared folder, vectorised
-word hashing over Arrow text columns, and bounded counter tables."""
+word hashing over Arrow text columns."""
 
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -234,48 +233,3 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
-
-
-def unsigned(x: np.ndarray) -> np.ndarray:
-    return x.view(np.uint64)
-
-
-# -------------------------------------------------- bounded counter tables
-
-COUNTER_SEGMENTS = 16
-
-
-def emit_counters(table: np.ndarray) -> pa.RecordBatch:
-    """One packed row per segment of a task's counter table."""
-    size = len(table) // COUNTER_SEGMENTS
-    blobs = [zlib.compress(table[i * size:(i + 1) * size].astype("<u4").tobytes(), 1) for i in range(COUNTER_SEGMENTS)]
-    return pa.RecordBatch.from_arrays([pa.array(range(COUNTER_SEGMENTS), pa.int32()), pa.array(blobs, pa.binary())],
-                                      names=["segment", "blob"])
-
-
-COUNTER_SCHEMA = "segment int, blob binary"
-
-
-def sum_counters(parts: DataFrame, size: int) -> np.ndarray:
-    """Sum the tasks' counter tables segment by segment on the executors and
-    return the table.  Its ``size`` is a fixed parameter, whatever the data."""
-    width = size // COUNTER_SEGMENTS
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for segment, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                part = np.frombuffer(zlib.decompress(blob.as_py()), "<u4")
-                if segment in sums:
-                    sums[segment] += part
-                else:
-                    sums[segment] = part.astype(np.uint64)
-        for segment, total in sums.items():
-            packed = zlib.compress(np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([packed], pa.binary())],
-                                             names=["segment", "blob"])
-
-    out = np.zeros(size, np.uint32)
-    for row in parts.repartition(COUNTER_SEGMENTS, "segment").mapInArrow(add, COUNTER_SCHEMA).collect():
-        out[row.segment * width:(row.segment + 1) * width] = np.frombuffer(zlib.decompress(bytes(row.blob)), "<u4")
-    return out

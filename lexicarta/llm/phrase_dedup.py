@@ -11,11 +11,12 @@ words also start in a document with a smaller id is removed.
    ``2 * width - PHRASE`` words).  Equal passages become one class with its
    smallest document.
 3. Passages are sharded by their phrase, so all windows with equal words
-   meet in one shard.  A shard compiles an Aho-Corasick automaton over the
-   aligned blocks of ``width // 2`` words of its passages (every window holds
-   such a block whole) and streams all its passages through it; every hit
-   is extended word by word, and a common run of ``width`` words or more with
-   a passage of a smaller document is covered.
+   meet in one shard.  A shard confirms which windows recur in another
+   document and takes each at its smallest document alone; it compiles an
+   Aho-Corasick automaton over the aligned blocks of ``width // 2`` words of
+   those runs (every window holds such a block whole) and streams all its
+   passages through it; every hit is extended word by word, and a common run
+   of ``width`` words or more with a smaller document is covered.
 4. Occurrences of a passage class in its later documents are covered whole.
 
 Defined cases: a null text has no words and stays null; an empty text stays
@@ -34,11 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexicarta.llm.common import Staged, extended, grams, iter_words, mix, shuffle_partitions, signed, sliding_argmin
+from lexicarta.llm.common import Staged, Words, extended, grams, iter_words, mix, shuffle_partitions, signed, sliding_argmin
 
 PHRASE = 8
-#: Words of passages that one automaton holds at a time.
-AUTOMATON_WORDS = 400_000
+#: Bytes of passages that one automaton takes at a time, whole phrases always.
+AUTOMATON_BYTES = 2 << 20
 #: Bits of the filter of recurring phrases: a fixed size, any answer is safe.
 FILTER_BITS = 1 << 25
 
@@ -142,32 +143,59 @@ def _passages(docs: DataFrame, width: int, recurring: bytes) -> DataFrame:
             .mapInArrow(find, "phrase bigint, doc_id bigint, row_hash bigint, at int, words int, passage binary"))
 
 
+def _recurring(words, docs: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+    """(class, from, to): runs of windows that recur in another document, each
+    window at its first class only (the one with the smallest document)."""
+    flat = grams(words.hashes, width)
+    owner = np.repeat(np.arange(len(words.per_doc)), words.per_doc)
+    start = np.flatnonzero(owner[: len(flat)] == owner[width - 1:])
+    if not len(start):
+        return []
+    value, doc = flat[start], docs[owner[start]]
+    order = np.lexsort((start, doc, value))
+    heads = np.flatnonzero(np.concatenate([[True], value[order][1:] != value[order][:-1]]))
+    again = np.maximum.reduceat(doc[order], heads) > doc[order[heads]]
+    place = np.sort(start[order[heads[again]]])
+    if not len(place):
+        return []
+    cut = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1] + 1) | (owner[place[1:]] != owner[place[:-1]]), [True]]))
+    first, last = place[cut[:-1]], place[cut[1:] - 1]
+    base = words.offsets[owner[first]]
+    return list(zip(owner[first].tolist(), (first - base).tolist(), (last - base + width).tolist()))
+
+
 def _covered(classes: DataFrame, width: int) -> DataFrame:
-    """(phrase, class_id, from, to): runs of words of a passage class that
-    also stand in a passage of a smaller document."""
+    """(class_id, lo, hi): runs of words of a passage class that also stand
+    in a passage of a smaller document."""
     block = width // 2
 
-    def search(group):
-        """``group``: [(class id, smallest document, words)] of whole phrases."""
+    def search(ids, docs, passages):
+        """Passages of whole phrases."""
         import ahocorasick
 
-        number: dict[bytes, int] = {}
-        texts = [tuple(number.setdefault(w, len(number)) for w in words) for _, _, words in group]
+        # all words of the batch are one run, as short as the passages are
+        parts = list(iter_words(pa.array(passages, pa.binary()), lower=False))
+        words = Words(0, np.concatenate([w.per_doc for w in parts]), None, None, np.concatenate([w.hashes for w in parts]), None)
+        docs = np.array(docs)
+        number = np.unique(words.hashes, return_inverse=True)[1].tolist()
+        edges = words.offsets.tolist()
+        texts = [tuple(number[a:b]) for a, b in zip(edges, edges[1:])]
         found: dict[tuple, list] = {}
-        for k, text in enumerate(texts):
-            for at in range(0, len(text) - block + 1, block):
-                found.setdefault(text[at: at + block], []).append((group[k][1], k, at))
+        for k, lo, hi in _recurring(words, docs, width):
+            for at in range(lo, hi - block + 1, block):
+                found.setdefault(texts[k][at: at + block], []).append((int(docs[k]), k, at, lo, hi))
+        if not found:
+            return
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for key, places in found.items():
             places.sort()
             automaton.add_word(key, places)
         automaton.make_automaton()
         for k, text in enumerate(texts):
-            class_id, own, _ = group[k]
-            runs: list[list[int]] = []
+            own, runs = docs[k], []
             for end, places in automaton.iter(text):
                 at = end - block + 1
-                for first, other, there in places:
+                for first, other, there, lo, hi in places:
                     if first >= own:
                         break
                     # all windows that hold this block are covered already
@@ -175,39 +203,45 @@ def _covered(classes: DataFrame, width: int) -> DataFrame:
                         break
                     that = texts[other]
                     i, j = at, there
-                    while i > 0 and j > 0 and text[i - 1] == that[j - 1]:
+                    while i > 0 and j > lo and text[i - 1] == that[j - 1]:
                         i, j = i - 1, j - 1
                     x, y = end + 1, there + block
-                    while x < len(text) and y < len(that) and text[x] == that[y]:
+                    while x < len(text) and y < hi and text[x] == that[y]:
                         x, y = x + 1, y + 1
                     if x - i >= width:
                         runs.append([i, x])
             for a, b in _merged(runs):
-                yield class_id, a, b
+                yield ids[k], a, b
 
     def stream(batches):
-        held, group, phrase, size = [], [], None, 0
+        held, size = ([], [], []), 0
+        group, phrase = ([], [], []), None
 
         def flush():
-            rows = list(search(held))
+            rows = list(search(*held))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in
                                                   enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["class_id", "lo", "hi"])
 
+        def close():
+            nonlocal size
+            if len(group[0]) > 1:  # a lone class has no smaller passage to match
+                for h, g in zip(held, group):
+                    h.extend(g)
+                size += sum(map(len, group[2]))
+
         for batch in batches:
-            for p, c, d, text in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for p, *row in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 if p != phrase:
-                    if len(group) > 1:  # a lone class has no smaller passage to match
-                        held += group
-                        size += sum(len(g[2]) for g in group)
-                    group, phrase = [], p
-                    if size > AUTOMATON_WORDS:
+                    close()
+                    group, phrase = ([], [], []), p
+                    if size > AUTOMATON_BYTES:
                         yield from flush()
-                        held, size = [], 0
-                group.append((c, d, text.split(b" ")))
-        if len(group) > 1:
-            held += group
-        if held:
+                        held, size = ([], [], []), 0
+                for g, value in zip(group, row):
+                    g.append(value)
+        close()
+        if held[0]:
             yield from flush()
 
     sharded = classes.select("phrase", "class_id", "first_doc", "passage").repartition(shuffle_partitions(classes.sparkSession), "phrase")
@@ -236,9 +270,10 @@ def repeated_spans(docs: DataFrame, staged: Staged, width: int = 50) -> DataFram
     firsts = classes.select("class_id", "first_doc")
     covered = staged.write(_covered(classes, width))
     # later documents of a class lose the whole passage, its first document what smaller passages cover
-    placed = places.join(firsts, "class_id")
+    # all three grow with the corpus: one plan for every size, skewed classes are split at run time
+    placed = places.join(firsts.hint("merge"), "class_id")
     later = placed.where("doc_id > first_doc").select("doc_id", "row_hash", F.col("at").alias("lo"), (F.col("at") + F.col("words")).alias("hi"))
-    own = (placed.where("doc_id = first_doc").join(covered, "class_id")
+    own = (placed.where("doc_id = first_doc").join(covered.hint("merge"), "class_id")
            .select("doc_id", "row_hash", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi")))
     spread = later.unionByName(own).repartition(shuffle_partitions(docs.sparkSession), "doc_id", "row_hash")
 
@@ -312,5 +347,5 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
 
     marked = base.withColumn("__id", F.col(id_col).cast("bigint")).withColumn("__row_hash", F.xxhash64(text_col))
     spans = spans.select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__row_hash"), F.col("spans").alias("__spans"))
-    joined = marked.join(spans, ["__id", "__row_hash"], "left").select(*base.columns, "__spans")
+    joined = marked.join(spans.hint("merge"), ["__id", "__row_hash"], "left").select(*base.columns, "__spans")
     return joined.mapInArrow(rewrite, schema)

@@ -90,8 +90,10 @@ def test_jaccard_does_not_depend_on_the_counters(spark, rows, monkeypatch):
     same(got.collect(), components(rows))
 
 
-def test_jaccard_second_round_alone_finds_all(spark, rows, monkeypatch):
-    """Without first-round links the tiles must find every link."""
+@pytest.mark.parametrize("small", [2, 32])
+def test_jaccard_second_round_alone_finds_all(spark, rows, monkeypatch, small):
+    """Without first-round links the second round must find every link, in
+    small tiles and in large ones."""
     real, calls = ngram_join._links, []
 
     def links(pairs, sets, share):
@@ -100,10 +102,26 @@ def test_jaccard_second_round_alone_finds_all(spark, rows, monkeypatch):
         return found.limit(0) if len(calls) == 1 else found
 
     monkeypatch.setattr(ngram_join, "_links", links)
+    monkeypatch.setattr(ngram_join, "SMALL_TILE", small)
     got = ngram_join.jaccard_components(frame(spark, rows)).select("doc_id", "n_shingles", "component_id")
     same(got.collect(), components(rows))
 
 
+def test_jaccard_near_copies_below_the_threshold(spark):
+    """A group of copies with so many edits that only some pairs are linked."""
+    rng = random.Random(9)
+    base = prose(rng, 150, 10_000)
+    texts = []
+    for _ in range(150):
+        t = list(base)
+        for _ in range(rng.randrange(1, 9)):
+            t[rng.randrange(len(t))] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(t))
+    rows = list(enumerate(texts))
+    got = ngram_join.jaccard_components(docs_frame(spark, texts)).select("doc_id", "n_shingles", "component_id")
+    same(got.collect(), components(rows))
+
+
 def test_keep_one_of_each_group(spark, rows):
     kept = ngram_join.keep_one(frame(spark, rows))
     assert kept.columns == frame(spark, rows).columns
@@ -127,7 +145,7 @@ def test_substring_removal(spark, rows):
 
 
 def test_substring_removal_with_small_automata(spark, rows, monkeypatch):
-    monkeypatch.setattr(phrase_dedup, "AUTOMATON_WORDS", 1)
+    monkeypatch.setattr(phrase_dedup, "AUTOMATON_BYTES", 1)
     found = phrase_dedup.remove_repeats(frame(spark, rows)).collect()
     same([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found], repeats(rows))
 
