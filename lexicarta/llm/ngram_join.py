@@ -2,14 +2,17 @@
 share, and the groups that these links make.
 
 Sets are compared in size-banded tiles.  A tile holds the sets that share
-one shingle of their prefix and whose sizes lie in the same or the next band
-(two linked sets differ in size by at most the threshold).  The prefix is the
-part of a set, under one global order, of which two linked sets must share a
-shingle; shingles that are frequent by a counter table come last in that
-order, so common passages open no tiles.  Inside a tile, bit counts of hashed
-bitmap signatures bound the overlap from above; survivors are settled by
-intersecting the sorted arrays.  Every step is exact: whatever the counters
-say, any fixed order gives the same links.
+one shingle of their prefix, in the order of size; each is compared with the
+band of sizes that can still be linked to it.  The prefix is the part of a
+set, under one global order, of which two linked sets must share a shingle;
+shingles that are frequent by a counter table come last in that order, so
+common passages open no tiles.  Inside a tile, bit counts of hashed bitmap
+signatures bound the overlap from above; survivors are settled by
+intersecting the sorted arrays.  In a first round every member of a tile
+proposes its likeliest partner, a second compares all that no link
+connects yet, so a group of near copies does not become all its pairs.
+Every step is exact: whatever the counters say, any fixed order gives the
+same links.
 
 Sets are 64-bit hashes of shingles; a class is one distinct set (exact and
 same-word copies collapse before any tile is built).
@@ -23,21 +26,22 @@ columns are ignored.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexicarta.llm.common import (COUNTER_SCHEMA, Staged, emit_counters, grams, iter_words, mix, shuffle_partitions, signed,
-                                  sum_counters)
+from lexicarta.llm.common import Staged, grams, iter_words, mix, shuffle_partitions, signed
 from lexicarta.llm.components import connected_components
 
 #: Counters of the frequency table and of the candidate filter: fixed size.
-COUNTERS = 1 << 20
+COUNTERS, SEGMENTS = 1 << 22, 16
 FILTER_BITS = 1 << 23
-SIGNATURE_BYTES = 256
-#: Independent smallest-hash keys for the first round of links.
-KEYS = 4
+SIGNATURE_BYTES = 128
+#: Larger tiles are compared in blocks.
+SMALL_TILE = 32
 
 
 def shingle_sets(texts: pa.Array, width: int):
@@ -60,67 +64,100 @@ def _class_of(tokens: np.ndarray) -> np.uint64:
 
 
 def _frequent(docs: DataFrame, width: int) -> np.ndarray:
-    """Bit per counter: its shingles are frequent.  Counts cover all texts."""
+    """Bit per counter: its shingles are frequent.  Counts cover all texts;
+    tasks' tables are summed and judged segment by segment on the executors,
+    and only the bits come back."""
     shift = np.uint64(64 - COUNTERS.bit_length() + 1)
+    part = COUNTERS // SEGMENTS
 
     def count(batches):
         table = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
             for words in iter_words(batch.column(0), lower=True):
-                offsets = words.offsets
                 flat = grams(words.hashes, width)
-                if not len(flat):
-                    continue
-                doc = np.repeat(np.arange(len(words.per_doc)), words.per_doc)
-                inside = doc[: len(flat)] == doc[width - 1:]
-                table += np.bincount((flat[inside] >> shift).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-        yield emit_counters(table)
+                if len(flat):
+                    doc = np.repeat(np.arange(len(words.per_doc)), words.per_doc)
+                    inside = doc[: len(flat)] == doc[width - 1:]
+                    np.add.at(table, (flat[inside] >> shift).astype(np.int64), np.uint32(1))
+        for k in range(SEGMENTS):
+            yield _segment(k, zlib.compress(table[k * part:(k + 1) * part].tobytes(), 1))
+
+    def judge(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                table = sums.setdefault(k, np.zeros(part, np.uint64))
+                table += np.frombuffer(zlib.decompress(blob.as_buffer()), np.uint32)
+        for k, table in sums.items():
+            mean = float(table.mean())
+            yield _segment(k, np.packbits(table > mean + 8 * mean ** 0.5 + 4).tobytes())
+
+    rows = (docs.select("text").mapInArrow(count, "segment int, blob binary").repartition(SEGMENTS, "segment")
+            .mapInArrow(judge, "segment int, blob binary").collect())
+    found = {r.segment: bytes(r.blob) for r in rows}
+    return np.unpackbits(np.frombuffer(b"".join(found.get(k, bytes(part // 8)) for k in range(SEGMENTS)), np.uint8)).astype(bool)
+
+
+def _segment(k: int, blob: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob], pa.binary())], names=["segment", "blob"])
+
+
+def _signature(tokens: np.ndarray) -> bytes:
+    """Hashed bitmap: each bit is the parity of the shingles that map to it.
+    Larger sets get more bits, by doubling."""
+    size = 8 * SIGNATURE_BYTES
+    while size < len(tokens):
+        size *= 2
+    places = (mix(tokens) & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits(np.bincount(places, minlength=size).astype(np.uint8) & 1).tobytes()
+
 
-    table = sum_counters(docs.select("text").mapInArrow(count, COUNTER_SCHEMA), COUNTERS)
-    mean = float(table.mean())
-    return table > mean + 8 * mean ** 0.5 + 32
+def _folded(signature: bytes, size: int) -> np.ndarray:
+    """The signature with fewer bits: halves laid over each other."""
+    bits = np.frombuffer(signature, np.uint64)
+    return np.bitwise_xor.reduce(bits.reshape(-1, size // 8), axis=0)
 
 
 def _sets(docs: DataFrame, width: int, share: tuple[int, int], frequent: np.ndarray) -> DataFrame:
-    """(doc_id, row_hash, n, cls, keys, prefix).  Keys and prefix are null on all but
-    the first of a task's equal sets: copies are combined before any shuffle."""
+    """(doc_id, row_hash, n, cls, prefix, signature).  The last two are null
+    on all but the first of a task's equal sets: copies are combined before
+    any shuffle."""
     num, den = share
     shift = np.uint64(64 - COUNTERS.bit_length() + 1)
-    seeds = mix(np.arange(1, KEYS + 1, dtype=np.uint64))
-    bits = np.packbits(frequent).tobytes()
+    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent).tobytes())
 
     def build(batches):
-        hot = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
+        hot = np.unpackbits(np.frombuffer(bits.value, np.uint8)).astype(bool)
         seen = set()
         for batch in batches:
             ids = batch.column(0)
             n = np.zeros(batch.num_rows, np.int64)
             cls = np.zeros(batch.num_rows, np.uint64)
-            keys, prefix = [None] * batch.num_rows, [None] * batch.num_rows
+            prefix, signature = ([None] * batch.num_rows for _ in range(2))
             for i, tokens in shingle_sets(batch.column(1), width):
                 size = len(tokens)
                 n[i], cls[i] = size, _class_of(tokens)
                 if cls[i] in seen:
                     continue
                 seen.add(cls[i])
-                least = [int(mix(tokens ^ s).min()) & ((1 << 62) - 1) | k << 62 for k, s in enumerate(seeds)]
-                keys[i] = signed(np.array(least, np.uint64))
                 late = hot[(tokens >> shift).astype(np.int64)]
                 ordered = np.concatenate([tokens[~late], tokens[late]])
                 # two linked sets share at least ceil(num * size / den) of this one's shingles
                 prefix[i] = signed(np.ascontiguousarray(ordered[: size - -(-num * size // den) + 1]))
+                signature[i] = _signature(tokens)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [ids, batch.column(2), pa.array(n), pa.array(signed(cls), pa.int64(), mask=n == 0), pa.array(keys, longs), pa.array(prefix, longs)],
-                names=["doc_id", "row_hash", "n", "cls", "keys", "prefix"])
+                [ids, batch.column(2), pa.array(n), pa.array(signed(cls), pa.int64(), mask=n == 0), pa.array(prefix, longs),
+                 pa.array(signature, pa.binary())], names=["doc_id", "row_hash", "n", "cls", "prefix", "signature"])
 
-    return docs.mapInArrow(build, "doc_id bigint, row_hash bigint, n bigint, cls bigint, keys array<bigint>, prefix array<bigint>")
+    return docs.mapInArrow(build, "doc_id bigint, row_hash bigint, n bigint, cls bigint, prefix array<bigint>, "
+                                  "signature binary")
 
 
 def _candidate_sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
-    """Signature and sorted array of the classes in ``reps(doc_id)``, from
-    the texts.  A fixed-size filter spares the other documents the work; the
-    few that slip through are joined away later."""
+    """(cls, tokens): sorted arrays of the classes in ``reps(doc_id)``, from
+    the texts.  A fixed-size filter spares the other documents the work; what
+    slips through is joined away later, or gives a link twice."""
     def fold(ids):
         return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS.bit_length() + 1)).astype(np.int64)
 
@@ -129,18 +166,18 @@ def _candidate_sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             at = fold(batch.column(0).to_numpy(zero_copy_only=False))
             np.bitwise_or.at(table, at >> 5, np.uint32(1) << (at & 31).astype(np.uint32))
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([table.tobytes()], pa.binary())], names=["segment", "blob"])
+        yield _segment(0, table.tobytes())
 
     def merge(batches):
         table = np.zeros(FILTER_BITS // 32, np.uint32)
         for batch in batches:
             for blob in batch.column(1):
                 table |= np.frombuffer(blob.as_py(), np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([table.tobytes()], pa.binary())], names=["segment", "blob"])
+        yield _segment(0, table.tobytes())
 
-    marked = reps.select("doc_id").where("doc_id is not null").mapInArrow(mark, COUNTER_SCHEMA)
+    marked = reps.select("doc_id").where("doc_id is not null").mapInArrow(mark, "segment int, blob binary")
     table = np.zeros(FILTER_BITS // 32, np.uint32)
-    for row in marked.repartition(8).mapInArrow(merge, COUNTER_SCHEMA).collect():
+    for row in marked.repartition(8).mapInArrow(merge, "segment int, blob binary").collect():
         table |= np.frombuffer(bytes(row.blob), np.uint32)
     packed = table.tobytes()
 
@@ -154,55 +191,174 @@ def _candidate_sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
             if not keep.any():
                 continue
             texts = batch.column(1).filter(pa.array(keep))
-            rows = [], [], [], []
-            size = 0
+            found, size = [], 0
             for _, tokens in shingle_sets(texts, width):
-                cls = _class_of(tokens)
+                cls = int(_class_of(tokens).view(np.int64))
                 if cls in seen:
                     continue
                 seen.add(cls)
-                places = np.unique((mix(tokens) & np.uint64(8 * SIGNATURE_BYTES - 1)).astype(np.int64))
-                signature = np.zeros(8 * SIGNATURE_BYTES, np.uint8)
-                signature[places] = 1
-                for column, value in zip(rows, (int(cls.view(np.int64)), len(tokens), np.packbits(signature).tobytes(), tokens.tobytes())):
-                    column.append(value)
+                found.append((cls, tokens.tobytes()))
                 size += 8 * len(tokens)
                 if size > 8 << 20:
-                    yield _set_batch(rows)
-                    rows, size = ([], [], [], []), 0
-            if rows[0]:
-                yield _set_batch(rows)
-
-    return docs.mapInArrow(build, "cls bigint, n bigint, signature binary, tokens binary")
-
-
-def _set_batch(rows) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))],
-                                      names=["cls", "n", "signature", "tokens"])
-
-
-_POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-
-
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), width)
-
-
-def _links(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) of classes that are linked: signatures first, then
-    the arrays of what their bit counts cannot rule out."""
+                    yield _token_batch(found)
+                    found, size = [], 0
+            if found:
+                yield _token_batch(found)
+
+    return docs.select("doc_id", "text").mapInArrow(build, "cls bigint, tokens binary")
+
+
+def _token_batch(found) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([t for _, t in found], pa.binary())],
+                                      names=["cls", "tokens"])
+
+
+def _whole_runs(batches, width: int):
+    """Column lists cut so that rows with an equal first column stay
+    together; the rows come sorted by it."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(width)]
+        if held is not None:
+            new = [np.concatenate([h, x]) for h, x in zip(held, new)]
+        cut = int(np.searchsorted(new[0], new[0][-1], "left"))
+        held = [x[cut:] for x in new]
+        if cut:
+            yield [x[:cut] for x in new]
+    if held is not None:
+        yield held
+
+
+def _tiles(rows: DataFrame) -> DataFrame:
+    """(tile, cls, n): the members of every tile, ``rows(token, cls, n)``.
+
+    A tile is the set of classes that share a shingle of their prefixes;
+    shingles with the same members are one tile, named by a hash of them."""
+
+    def gather(batches):
+        for token, cls, n in _whole_runs(batches, 3):
+            first = np.concatenate([[True], (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])])  # copies are neighbours
+            token, cls, n = token[first], cls[first], n[first]
+            heads = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            sizes = np.diff(np.concatenate([heads, [len(token)]]))
+            name = mix(np.add.reduceat(mix(cls.view(np.uint64)), heads) + sizes.astype(np.uint64))
+            once = np.zeros(len(heads), bool)
+            once[np.unique(name, return_index=True)[1]] = True
+            keep = np.repeat(once & (sizes > 1), sizes)
+            tile = np.repeat(signed(name), sizes)[keep]
+            for at in range(0, len(tile), 100_000):
+                part = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(tile[part]), pa.array(cls[keep][part]), pa.array(n[keep][part])],
+                                                 names=["tile", "cls", "n"])
+
+    spread = rows.select("token", "cls", "n").repartition(shuffle_partitions(rows.sparkSession), "token")
+    return spread.sortWithinPartitions("token", "n", "cls").mapInArrow(gather, "tile bigint, cls bigint, n int").distinct()
+
+
+def _possible(members: DataFrame, share: tuple[int, int], first: bool) -> DataFrame:
+    """The pairs (a, b) of ``members(tile, cls, n, root, signature)`` with
+    different roots that bit counts cannot rule out.
+
+    A bit in which two signatures differ stands for a shingle of one side
+    alone, so intersection <= (sizes - differing bits) / 2.  A tile is
+    compared in the order of size, each member with those up to the largest
+    size that can be linked.  In the first round every member proposes its
+    likeliest partner only (per block of a large tile); the second compares
+    all that are not connected by then."""
     num, den = share
 
-    def bound(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            sa, sb = _matrix(batch.column(4), SIGNATURE_BYTES), _matrix(batch.column(5), SIGNATURE_BYTES)
-            # every bit of one side that the other lacks stands for a shingle that the other lacks
-            most = np.minimum(na - _POPCOUNT[sa & ~sb].sum(1, dtype=np.int64), nb - _POPCOUNT[sb & ~sa].sum(1, dtype=np.int64))
-            keep = pa.array((den + num) * most >= num * (na + nb))
-            yield batch.select([0, 1]).filter(keep)
+    def passing(n, x, y, i, j):
+        sizes = n[i] + n[j]
+        most = (sizes - np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)) // 2
+        return most, (den + num) * most >= num * sizes
+
+    def small(tile, n, root, bits):
+        last = np.searchsorted(tile, tile, "right")
+        ahead = np.arange(len(tile))
+        for lag in range(1, SMALL_TILE):
+            ahead = ahead[ahead + lag < last[ahead]]
+            ahead = ahead[n[ahead + lag] * num <= n[ahead] * den]
+            if not len(ahead):
+                return
+            for at in range(0, len(ahead), 50_000):
+                i = ahead[at: at + 50_000]
+                i = i[root[i] != root[i + lag]]
+                most, ok = passing(n, bits[i], bits[i + lag], i, i + lag)
+                yield i[ok], i[ok] + lag, most[ok]
+
+    def large(n, root, bits):
+        for lo in range(0, len(n), 64):
+            i = np.arange(lo, min(lo + 64, len(n)))
+            end = int(np.searchsorted(n, n[i[-1]] * den // num, "right"))
+            for at in range(lo, end, 2048):
+                j = np.arange(at, min(at + 2048, end))
+                most, ok = passing(n, bits[i][:, None], bits[j][None, :], i[:, None], j[None, :])
+                ok &= (j[None, :] > i[:, None]) & (root[i][:, None] != root[j][None, :])
+                p, q = np.nonzero(ok)
+                yield i[p], j[q], most[p, q]
+
+    def likeliest(i, j, most):
+        """The partner with the largest bound of every ``i``."""
+        order = np.lexsort((j, -most, i))
+        i, j = i[order], j[order]
+        head = np.ones(len(i), bool)
+        head[1:] = i[1:] != i[:-1]
+        return i[head], j[head]
+
+    def compare(batches):
+        for tile, cls, n, root, signature in _whole_runs(batches, 5):
+            n = n.astype(np.int64)
+            length = np.fromiter(map(len, signature), np.int64, len(signature))
+            bits = np.empty((len(signature), SIGNATURE_BYTES // 8), np.uint64)
+            short = length == SIGNATURE_BYTES
+            bits[short] = np.frombuffer(b"".join(signature[short]), np.uint64).reshape(-1, SIGNATURE_BYTES // 8)
+            for k in np.flatnonzero(~short).tolist():
+                bits[k] = _folded(signature[k], SIGNATURE_BYTES)
+
+            def finer(i, j):
+                """Of the pairs that pass, those of two long signatures that pass at full length."""
+                keep = np.ones(len(i), bool)
+                for k in np.flatnonzero(~short[i] & ~short[j]).tolist():
+                    x, y = signature[i[k]], signature[j[k]]
+                    size = min(len(x), len(y))
+                    differ = int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum())
+                    sizes = int(n[i[k]] + n[j[k]])
+                    keep[k] = (den + num) * ((sizes - differ) // 2) >= num * sizes
+                return keep
+
+            heads = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
+            sizes = np.diff(np.concatenate([heads, [len(tile)]]))
+            few = np.flatnonzero(np.repeat(sizes <= SMALL_TILE, sizes))
+            near = list(small(tile[few], n[few], root[few], bits[few]))
+            found = []
+            if near:
+                i, j, most = (np.concatenate([x[k] for x in near]) for k in range(3))
+                keep = finer(few[i], few[j])
+                i, j, most = i[keep], j[keep], most[keep]
+                found = [(few[x], few[y]) for x, y in [likeliest(i, j, most) if first else (i, j)]]
+            for h, m in zip(heads[sizes > SMALL_TILE].tolist(), sizes[sizes > SMALL_TILE].tolist()):
+                own = slice(h, h + m)
+                for i, j, most in large(n[own], root[own], bits[own]):
+                    keep = finer(i + h, j + h)
+                    i, j = likeliest(i[keep], j[keep], most[keep]) if first else (i[keep], j[keep])
+                    found.append((i + h, j + h))
+            if found:
+                a, b = cls[np.concatenate([i for i, _ in found])], cls[np.concatenate([j for _, j in found])]
+                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+                for at in range(0, len(both), 100_000):
+                    part = both[at: at + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], names=["a", "b"])
+
+    spread = (members.select("tile", "cls", "n", "root", "signature")
+              .repartition(shuffle_partitions(members.sparkSession), "tile").sortWithinPartitions("tile", "n", "cls"))
+    return spread.mapInArrow(compare, "a bigint, b bigint").distinct()
+
+
+def _links(possible: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The pairs whose sorted arrays intersect in the wanted share."""
+    num, den = share
 
     def settle(batches):
         for batch in batches:
@@ -216,89 +372,9 @@ def _links(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFra
                 keep[i] = den * common >= num * (len(x) + len(y) - common)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
-    def sides(p, column):
-        left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col(column).alias("xa"))
-        right = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col(column).alias("xb"))
-        return p.join(left, "a").join(right, "b")
-
-    possible = sides(pairs, "signature").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(bound, "a bigint, b bigint")
-    return sides(possible, "tokens").select("a", "b", "xa", "xb").mapInArrow(settle, "a bigint, b bigint")
-
-
-def _tile_pairs(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Pairs of classes of different roots that meet in a tile.
-
-    ``rows(token, root, cls, n)``: all rows of a token come together, in the
-    order of size; each is compared with those after it up to the largest
-    size that can still be linked."""
-    num, den = share
-
-    def tile(token, root, cls, n):
-        """Pairs inside complete runs of tokens."""
-        cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        runs = np.diff(np.concatenate([cuts, [len(token)]]))
-        mixed = np.minimum.reduceat(root, cuts) != np.maximum.reduceat(root, cuts)
-        rows_in = np.repeat(mixed, runs)
-        if not rows_in.any():
-            return
-        token, root, cls, n = token[rows_in], root[rows_in], cls[rows_in], n[rows_in]
-        run = np.cumsum(np.concatenate([[True], token[1:] != token[:-1]])) - 1
-        # the end, inside its run, of the sizes that each row can be linked to
-        last = np.searchsorted(run, run, "right")
-        limit = n * den // num
-        ahead = np.arange(len(n)) + 1
-        for lag in range(1, len(n)):
-            ahead = np.flatnonzero(np.arange(len(n)) + lag < last) if lag == 1 else ahead[ahead + lag < last[ahead]]
-            ahead = ahead[n[ahead + lag] <= limit[ahead]]
-            if not len(ahead):
-                break
-            other = ahead + lag
-            differ = root[ahead] != root[other]
-            if differ.any():
-                yield cls[ahead[differ]], cls[other[differ]]
-
-    def meet(batches):
-        held = None
-        found, size = [], 0
-
-        def flush():
-            a = np.concatenate([x for x, _ in found])
-            b = np.concatenate([y for _, y in found])
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            for at in range(0, len(both), 100_000):
-                part = both[at: at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], names=["a", "b"])
-
-        def runs():
-            nonlocal held
-            for batch in batches:
-                new = [batch.column(k).to_numpy() for k in range(4)]
-                if not batch.num_rows:
-                    continue
-                if held is not None:
-                    new = [np.concatenate([h, x]) for h, x in zip(held, new)]
-                # equal classes of one token are neighbours
-                first = np.concatenate([[True], (new[0][1:] != new[0][:-1]) | (new[2][1:] != new[2][:-1])])
-                new = [x[first] for x in new]
-                cut = int(np.searchsorted(new[0], new[0][-1], "left"))
-                held = [x[cut:] for x in new]
-                if cut:
-                    yield [x[:cut] for x in new]
-            if held is not None:
-                yield held
-
-        for part in runs():
-            for a, b in tile(*part):
-                found.append((a, b))
-                size += len(a)
-                if size > 500_000:
-                    yield from flush()
-                    found, size = [], 0
-        if found:
-            yield from flush()
-
-    spread = rows.select("token", "root", "cls", "n").repartition(shuffle_partitions(rows.sparkSession), "token")
-    return spread.sortWithinPartitions("token", "n", "cls").mapInArrow(meet, "a bigint, b bigint").distinct()
+    left = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("xa"))
+    right = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("xb"))
+    return possible.join(left, "a").join(right, "b").select("a", "b", "xa", "xb").mapInArrow(settle, "a bigint, b bigint")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 100),
@@ -310,29 +386,29 @@ def jaccard_components(docs: DataFrame, width: int = 5, share: tuple[int, int] =
     staged = Staged(spark)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        F.xxhash64(text_col).alias("row_hash"))
-    frequent = _frequent(docs, width)
-    sets = staged.write(_sets(docs, width, share, frequent))
-    firsts = sets.where("prefix is not null")
-    reps = staged.write(sets.where("cls is not null").groupBy("cls", "n").agg(F.min("doc_id").alias("doc_id")))
-
-    # first round: every class against the least class with the same smallest hash
-    keyed = firsts.select("cls", F.explode("keys").alias("key")).distinct()
-    leaders = keyed.groupBy("key").agg(F.min("cls").alias("a"), F.count("*").alias("m")).where("m > 1").select("key", "a")
-    pairs = staged.write(keyed.join(leaders, "key").where("cls <> a").select("a", F.col("cls").alias("b")).distinct())
-    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    known = staged.write(_candidate_sets(docs, reps.join(ends, "cls", "left_semi"), width).dropDuplicates(["cls"]))
-    near = staged.write(_links(pairs, known, share))
-    for used in (3, 4):
-        staged.drop(used)
-    roots = connected_components(near, staged)
-
-    # second round: tiles, only between classes that no link connects yet
-    tiles = (firsts.join(roots, firsts["cls"] == roots["node"], "left")
-             .select(F.explode("prefix").alias("token"), F.coalesce("root", "cls").alias("root"), "cls", F.col("n").cast("int").alias("n")))
-    pairs = staged.write(_tile_pairs(tiles, share))
-    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    more = staged.write(_candidate_sets(docs, reps.join(ends, "cls", "left_semi"), width).dropDuplicates(["cls"]))
-    far = staged.write(_links(pairs, more, share))
+    wide = staged.write(_sets(docs, width, share, _frequent(docs, width)))
+    firsts = wide.where("prefix is not null")
+    sets = staged.write(wide.select("doc_id", "row_hash", "n", "cls"))
+    reps = staged.write(sets.where("cls is not null").groupBy("cls", "n").agg(F.min("doc_id").alias("doc_id"))
+                        .join(firsts.select("cls", "signature").dropDuplicates(["cls"]), "cls"))
+
+    signatures = reps.select("cls", "signature")
+    tiles = staged.write(_tiles(firsts.select(F.explode("prefix").alias("token"), "cls", F.col("n").cast("int").alias("n"))))
+    staged.drop(1)  # prefixes have become tiles
+
+    def links(members: DataFrame, first: bool) -> DataFrame:
+        possible = staged.write(_possible(members.join(signatures.hint("merge"), "cls"), share, first))
+        ends = possible.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        arrays = staged.write(_candidate_sets(docs, reps.select("cls", "doc_id").join(ends, "cls", "left_semi"), width))
+        found = staged.write(_links(possible, arrays, share))
+        staged.drop(staged.count - 1)
+        return found
+
+    roots = connected_components(links(tiles.withColumn("root", F.col("cls")), True), staged)
+    # what is connected by now needs no further link: tiles with two roots or more are compared again
+    rooted = tiles.join(roots, tiles["cls"] == roots["node"], "left").select("tile", "cls", "n", F.coalesce("root", "cls").alias("root"))
+    mixed = rooted.groupBy("tile").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("tile")
+    far = links(rooted.join(mixed, "tile", "left_semi"), False)
     final = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(far), staged)
 
     rooted = reps.join(final, reps["cls"] == final["node"], "left").select("cls", "doc_id", F.coalesce("root", "cls").alias("root"))
@@ -352,5 +428,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     stay = least.unionByName(found.where("group is null").select("doc_id", "row_hash").distinct())
     stay = stay.select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash"))
     marked = docs.withColumn("__own", F.xxhash64(text_col))
-    kept = marked.join(stay, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left_semi")
-    return kept.dropDuplicates([id_col, "__own"]).drop("__own")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash"))
+    kept = marked.join(stay, same, "left_semi")
+    repeated = (found.groupBy(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash")).agg(F.count("*").alias("__n"))
+                .where("__n > 1").drop("__n"))
+    if repeated.isEmpty():  # ids are unique: no text is moved again
+        return kept.drop("__own")
+    once = kept.join(repeated, same, "left_semi").dropDuplicates([id_col, "__own"])
+    return kept.join(repeated, same, "left_anti").unionByName(once).drop("__own")

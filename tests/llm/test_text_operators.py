@@ -122,6 +122,22 @@ def test_jaccard_near_copies_below_the_threshold(spark):
     same(got.collect(), components(rows))
 
 
+def test_jaccard_of_large_sets(spark):
+    """Sets with longer signatures, near the threshold on both sides."""
+    rng = random.Random(11)
+    base = prose(rng, 2600, 10**6)
+    texts = []
+    for edits in (0, 5, 40, 55, 58, 60, 62, 65, 120, 900):
+        t = list(base)
+        for k in rng.sample(range(len(t)), edits):
+            t[k] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(t[: 2600 - edits]))
+    texts += [" ".join(prose(rng, 1500, 10**6) + base[:400]), " ".join(prose(rng, 40, 10**6) + base[:400])]
+    rows = list(enumerate(texts))
+    got = ngram_join.jaccard_components(docs_frame(spark, texts)).select("doc_id", "n_shingles", "component_id")
+    same(got.collect(), components(rows))
+
+
 def test_keep_one_of_each_group(spark, rows):
     kept = ngram_join.keep_one(frame(spark, rows))
     assert kept.columns == frame(spark, rows).columns
