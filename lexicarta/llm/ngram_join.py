@@ -40,6 +40,8 @@ from lexicarta.llm.components import connected_components
 COUNTERS, SEGMENTS = 1 << 22, 16
 FILTER_BITS = 1 << 23
 SIGNATURE_BYTES = 128
+#: Bits per shingle of the fine signatures, which pairs pass before their arrays are moved.
+FINE = 4
 #: Larger tiles are compared in blocks.
 SMALL_TILE = 32
 
@@ -102,11 +104,11 @@ def _segment(k: int, blob: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob], pa.binary())], names=["segment", "blob"])
 
 
-def _signature(tokens: np.ndarray) -> bytes:
+def _signature(tokens: np.ndarray, per_shingle: int = 1) -> bytes:
     """Hashed bitmap: each bit is the parity of the shingles that map to it.
-    Larger sets get more bits, by doubling."""
+    Larger sets get more bits, by doubling, at least so many per shingle."""
     size = 8 * SIGNATURE_BYTES
-    while size < len(tokens):
+    while size < per_shingle * len(tokens):
         size *= 2
     places = (mix(tokens) & np.uint64(size - 1)).astype(np.int64)
     return np.packbits(np.bincount(places, minlength=size).astype(np.uint8) & 1).tobytes()
@@ -118,6 +120,11 @@ def _folded(signature: bytes, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(bits.reshape(-1, size // 8), axis=0)
 
 
+def _differing(x: bytes, y: bytes) -> int:
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum())
+
+
 def _sets(docs: DataFrame, width: int, share: tuple[int, int], frequent: np.ndarray) -> DataFrame:
     """(doc_id, row_hash, n, cls, prefix, signature).  The last two are null
     on all but the first of a task's equal sets: copies are combined before
@@ -155,8 +162,8 @@ def _sets(docs: DataFrame, width: int, share: tuple[int, int], frequent: np.ndar
 
 
 def _candidate_sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
-    """(cls, tokens): sorted arrays of the classes in ``reps(doc_id)``, from
-    the texts.  A fixed-size filter spares the other documents the work; what
+    """(cls, tokens, fine): sorted arrays and fine signatures of the classes
+    in ``reps(doc_id)``, from the texts.  A fixed-size filter spares the other documents the work; what
     slips through is joined away later, or gives a link twice."""
     def fold(ids):
         return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS.bit_length() + 1)).astype(np.int64)
@@ -197,7 +204,7 @@ def _candidate_sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
                 if cls in seen:
                     continue
                 seen.add(cls)
-                found.append((cls, tokens.tobytes()))
+                found.append((cls, tokens.tobytes(), _signature(tokens, FINE)))
                 size += 8 * len(tokens)
                 if size > 8 << 20:
                     yield _token_batch(found)
@@ -205,12 +212,12 @@ def _candidate_sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
             if found:
                 yield _token_batch(found)
 
-    return docs.select("doc_id", "text").mapInArrow(build, "cls bigint, tokens binary")
+    return docs.select("doc_id", "text").mapInArrow(build, "cls bigint, tokens binary, fine binary")
 
 
 def _token_batch(found) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([t for _, t in found], pa.binary())],
-                                      names=["cls", "tokens"])
+    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))],
+                                      names=["cls", "tokens", "fine"])
 
 
 def _whole_runs(batches, width: int):
@@ -321,11 +328,8 @@ def _possible(members: DataFrame, share: tuple[int, int], first: bool) -> DataFr
                 """Of the pairs that pass, those of two long signatures that pass at full length."""
                 keep = np.ones(len(i), bool)
                 for k in np.flatnonzero(~short[i] & ~short[j]).tolist():
-                    x, y = signature[i[k]], signature[j[k]]
-                    size = min(len(x), len(y))
-                    differ = int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum())
                     sizes = int(n[i[k]] + n[j[k]])
-                    keep[k] = (den + num) * ((sizes - differ) // 2) >= num * sizes
+                    keep[k] = (den + num) * ((sizes - _differing(signature[i[k]], signature[j[k]])) // 2) >= num * sizes
                 return keep
 
             heads = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
@@ -357,9 +361,17 @@ def _possible(members: DataFrame, share: tuple[int, int], first: bool) -> DataFr
 
 
 def _links(possible: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """The pairs whose sorted arrays intersect in the wanted share."""
+    """The pairs whose sorted arrays intersect in the wanted share.  Fine
+    signatures, a sixteenth of the arrays' size, go ahead of the arrays."""
     num, den = share
 
+    def bound(batches):
+        for batch in batches:
+            sizes = [x + y for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            keep = [(den + num) * ((n - _differing(x, y)) // 2) >= num * n
+                    for n, x, y in zip(sizes, batch.column(4).to_pylist(), batch.column(5).to_pylist())]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
     def settle(batches):
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
@@ -372,9 +384,14 @@ def _links(possible: DataFrame, sets: DataFrame, share: tuple[int, int]) -> Data
                 keep[i] = den * common >= num * (len(x) + len(y) - common)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
-    left = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("xa"))
-    right = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("xb"))
-    return possible.join(left, "a").join(right, "b").select("a", "b", "xa", "xb").mapInArrow(settle, "a bigint, b bigint")
+    def sides(pairs, column):
+        size = (F.octet_length("tokens") / 8).cast("bigint")
+        left = sets.select(F.col("cls").alias("a"), size.alias("na"), F.col(column).alias("xa"))
+        right = sets.select(F.col("cls").alias("b"), size.alias("nb"), F.col(column).alias("xb"))
+        return pairs.join(left, "a").join(right, "b")
+
+    close = sides(possible, "fine").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(bound, "a bigint, b bigint").distinct()
+    return sides(close, "tokens").select("a", "b", "xa", "xb").mapInArrow(settle, "a bigint, b bigint")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 100),
