@@ -9,7 +9,9 @@ expressions only.
 
 Defined cases: a null url or one without ``://`` has an empty host and path
 and is judged as the host ''; a host without a dot is its own domain and
-suffix; no outcomes at all give the flat prior and allow; a page labelled
+suffix; a host without a labelled page is judged by its domain's rate, else
+its suffix's, else the base rate; no outcomes at all give the flat prior and
+allow, without a bound; a page labelled
 twice counts once, as bad if any label is; null labels count for nothing;
 empty tables give no rows; other columns are ignored.
 """
@@ -71,14 +73,15 @@ def _strength(groups: DataFrame) -> float:
 
 
 def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
-    """``outcomes(host, bad)``, one row per labelled page: (host, n, bad,
-    rate, low) with the posterior mean and its lower bound.
+    """``outcomes(host, bad)``, one row per page, ``bad`` null where it has no
+    label: (host, n, bad, rate, low) with the posterior mean and its lower
+    bound, of every host; hosts without a label (n = 0) weigh nothing.
 
     Counts are pre-aggregated; every further step is one row per host,
     domain or suffix.  Only four numbers come to the driver."""
     rate = lambda strength: (F.lit(strength) * F.col("parent") + F.col("bad")) / (F.lit(strength) + F.col("n"))
     domain, suffix = host_levels(F.col("host"))
-    hosts = (outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("bigint")).alias("bad"))
+    hosts = (outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("bigint")), F.lit(0)).alias("bad"))
              .withColumn("domain", domain).withColumn("suffix", suffix))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     base = ((total.bad or 0) + 0.5) / ((total.n or 0) + 1.0)
@@ -96,7 +99,8 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     found, strength = level("host", domains, "domain")
     weight = F.lit(strength) + F.col("n")
     spread = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (weight + 1))
-    return found.select("host", "n", "bad", "rate", (F.col("rate") - F.lit(z) * spread).alias("low"))
+    low = F.when(F.lit(bool(total.n)), F.col("rate") - F.lit(z) * spread)
+    return found.select("host", "n", "bad", "rate", low.alias("low"))
 
 
 def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Rules, max_bad: float = 0.25, z: float = 1.645,
@@ -107,8 +111,8 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Rules, max_bad: fl
     key that adaptive execution splits on the side of the pages."""
     urls = pages.select(F.col(id_col).alias("page_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     known = outcomes.where("bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    labelled = urls.select("page_id", "host").distinct().join(known, "page_id").select("host", "bad")
-    reputation = host_reputation(labelled, z)
+    judged = urls.select("page_id", "host").distinct().join(known, "page_id", "left").select("host", "bad")
+    reputation = host_reputation(judged, z)
     rule, action = rule_columns(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("low") > max_bad, "block").otherwise("allow")
     return (urls.join(reputation.select("host", "low"), "host", "left")

@@ -173,6 +173,18 @@ def test_reputation_shrinks_and_blocks(spark):
     assert all(0 < r.rate < 1 for r in rep.values())
 
 
+def test_host_without_a_label_is_judged_by_its_domain(spark):
+    """Unlabelled hosts: of a bad domain blocked, of a good domain or of an
+    unknown suffix (here the base rate, low) allowed."""
+    urls = [f"http://h{k % 4}.spam.org/{k}" for k in range(80)] + [f"http://h{k % 4}.site.org/{k}" for k in range(400)]
+    new = ["http://new.spam.org/x", "http://new.site.org/x", "http://new.else.xyz/x"]
+    pages = spark.createDataFrame(list(enumerate(urls + new)), "page_id long, url string")
+    outcomes = spark.createDataFrame([(k, k < 80) for k in range(len(urls))], "page_id long, bad boolean")
+    got = {r.host: (r.verdict, r.low) for r in url_filter.filter_urls(pages, outcomes, ()).collect() if r.host.startswith("new")}
+    assert {h: v for h, (v, _) in got.items()} == {"new.spam.org": "block", "new.site.org": "allow", "new.else.xyz": "allow"}
+    assert all(low is not None for _, low in got.values())
+
+
 def test_host_levels(spark):
     hosts = ["a.b.example.com", "example.com", "x.co.uk", "www.x.co.uk", "co.uk", "localhost", ""]
     d, s = url_filter.host_levels(F.col("h"))
