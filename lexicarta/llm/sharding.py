@@ -1,16 +1,19 @@
 """Sharding by balanced label propagation.
 
 Documents linked by an equal text should share a shard.  Every linked
-document starts on a hashed shard; in each round a group's members move
-towards the shard that holds most of their neighbours, as far as that
-shard's quota lets them.  Unlinked documents then fill every shard to its
-exact row count, so counts differ by one at most.  DataFrame expressions
-only.
+document starts on a hashed shard; in each round the groups that are not
+settled propose the shard with room that holds most of their members, later
+a shard drawn by its room, and settle there whole as far as its quota lets
+them, until all are settled or no shard has room.  Groups that are large
+against a shard (at most 64 per shard) come after the small ones, whole
+where they fit, else cut over what is left.  Unlinked documents then fill
+every shard to its exact row count, so counts differ by one at most.
+DataFrame expressions only.
 
 Defined cases: a null text has no bytes (size 1, crc of the empty text) and
 links with nothing; empty texts are equal texts; repeated rows and ids are
-documents of their own; a null id is hashed as null; a group larger than a
-shard is cut; an empty table gives no rows; other columns are ignored.
+documents of their own; a null id is hashed as null; a group that no shard
+has room for is cut; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from lexicarta.llm.common import Staged
 
 #: Rows that one ranking window should hold at most, on average.
 RANK_ROWS = 50_000
+#: Buckets in which a shard's proposers are summed.
+EDGE_BUCKETS = 1024
 
 
 def _u(*columns) -> Column:
@@ -45,7 +50,72 @@ def _ranked(rows: DataFrame, keys: list[str], bucket: Column, order: list, n: in
             .withColumn(name, F.col("__offset") + F.col("__rank") - 1).drop("__bucket", "__rank", "__offset"))
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _propose(free: list[int], number: int) -> Column:
+    """A shard with room for the group, null if none has: the one that holds
+    most of its members, in later rounds one drawn by the shards' room."""
+    options = []
+    for s, room in enumerate(free):
+        first = F.get("members", F.lit(s)) if number == 0 else F.log(_u(F.lit(number), "link", F.lit(s)) + 1e-300) / max(1, room)
+        options.append(F.when(F.col("group_rows") <= room,
+                              F.struct(first.cast("double").alias("pull"), F.xxhash64("link", F.lit(s)).alias("tie"), F.lit(s).alias("shard"))))
+    return F.array_max(F.array(*options))["shard"]
+
+
+def _settle(staged: Staged, groups: DataFrame, free: list[int]) -> DataFrame:
+    """(link, shard) of the small groups that find room whole; ``free`` is
+    reduced by their rows.
+
+    In a round a shard accepts its proposers in hashed order until its room
+    is used: sums per bucket (a bounded number) name the bucket at the edge,
+    and only the groups of that one are summed one by one."""
+    settled, number = None, 0
+    while True:
+        asking = (groups.withColumn("shard", _propose(free, number)).where("shard is not null")
+                  .withColumn("turn", F.xxhash64(F.lit(number), "link")).withColumn("bucket", F.pmod("turn", F.lit(EDGE_BUCKETS))))
+        asking = staged.write(asking)
+        sums = asking.groupBy("shard", "bucket").agg(F.sum("group_rows").alias("n")).orderBy("shard", "bucket").collect()
+        if not sums:
+            return settled
+        edge, room = [EDGE_BUCKETS] * len(free), list(free)
+        for r in sums:
+            if edge[r.shard] == EDGE_BUCKETS:
+                if r.n <= room[r.shard]:
+                    room[r.shard] -= r.n
+                else:
+                    edge[r.shard] = r.bucket
+        of = lambda values: F.get(F.array(*[F.lit(x) for x in values]), F.col("shard"))
+        running = F.sum("group_rows").over(Window.partitionBy("shard").orderBy("turn", "link"))
+        last = asking.where(F.col("bucket") == of(edge)).withColumn("upto", running).where(F.col("upto") <= of(room))
+        accepted = asking.where(F.col("bucket") < of(edge)).unionByName(last.drop("upto")).select("link", "shard", "group_rows")
+        accepted = staged.write(accepted)
+        for r in accepted.groupBy("shard").agg(F.sum("group_rows").alias("n")).collect():  # one row per shard
+            free[r.shard] -= r.n
+        settled = accepted if settled is None else settled.unionByName(accepted)
+        if all(x == EDGE_BUCKETS for x in edge):
+            return settled
+        groups, number = staged.write(groups.join(accepted.select("link"), "link", "left_anti")), number + 1
+
+
+def _deal(large: list, free: list[int]) -> list[tuple]:
+    """(link, low, high, shard): the places of each large group's members per
+    shard.  Groups that fit a shard go first, the largest ahead."""
+    most, out = max(free, default=0), []
+    for r in sorted(large, key=lambda r: (r.group_rows > most, -r.group_rows, r.link)):
+        fits = [s for s, room in enumerate(free) if room >= r.group_rows]
+        if fits:
+            order = [max(fits, key=lambda s: (r.members[s], free[s], -s))]
+        else:
+            order = sorted(range(len(free)), key=lambda s: (-free[s], s))
+        low = 0
+        for s in order:
+            n = min(free[s], r.group_rows - low)
+            if n > 0:
+                out.append((r.link, low, low + n, s))
+                free[s], low = free[s] - n, low + n
+    return out
+
+
+def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, link, group_rows, shard, slot)."""
     staged = Staged(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -55,40 +125,34 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 3, id_col: s
         F.when(F.col(text_col).isNotNull(), F.xxhash64(text, F.crc32(text.cast("binary")))).alias("link")))
     total = rows.count()
     goal = [total // shards + (s < total % shards) for s in range(shards)]
-    groups = rows.where("link is not null").groupBy("link").agg(F.count("*").alias("group_rows")).where("group_rows > 1")
     start = F.pmod(F.xxhash64("doc_id", "link"), F.lit(shards)).cast("int")
-    linked = staged.write(rows.join(groups, "link").withColumn("shard", start))
-    for number in range(rounds):
-        cells = linked.groupBy("link", "shard", "group_rows").agg(F.count("*").alias("n"))
-        best = cells.groupBy("link", "group_rows").agg(
-            F.max_by("shard", F.struct("n", F.xxhash64("link", "shard"))).alias("target"), F.sum("n").alias("all"), F.max("n").alias("stay"))
-        best = staged.write(best)
-        quota = {r.target: r for r in best.groupBy("target").agg(
-            F.sum("stay").alias("stay"), F.sum(F.col("all") - F.col("stay")).alias("move")).collect()}  # one row per shard
-        shares = [1.0 if (q := quota.get(s)) is None or not q.move else min(1.0, max(0.0, (goal[s] - q.stay) / q.move)) for s in range(shards)]
-        share = F.get(F.array(*[F.lit(x) for x in shares]), F.col("target"))
-        # small groups move whole; of a group that is large against a shard, the quota's share of members
-        large = F.col("group_rows") * 64 > total // shards
-        moves = F.when(large, _u(F.lit(number), "doc_id", "link")).otherwise(_u(F.lit(number), "link")) < share
-        linked = staged.write(linked.join(best.select("link", "target"), "link")
-                              .withColumn("shard", F.when(moves, F.col("target")).otherwise(F.col("shard"))).drop("target"))
+    groups = staged.write(rows.where("link is not null").withColumn("start", start).groupBy("link").agg(
+        F.count("*").alias("group_rows"), F.array(*[F.count_if(F.col("start") == s) for s in range(shards)]).alias("members"))
+        .where("group_rows > 1"))
+    is_large = F.col("group_rows") * 64 > total // shards
+    free = list(goal)
+    settled = _settle(staged, groups.where(~is_large), free)
+    pieces = _deal(groups.where(is_large).collect(), free)  # at most 64 groups a shard
     buckets = max(8, -(-total // (shards * RANK_ROWS)))
     spread = lambda salt: F.pmod(F.xxhash64(F.lit(salt), "doc_id", "link"), F.lit(buckets))
     order = [F.xxhash64("doc_id", "link"), "doc_id", "link"]
-    # a shard keeps its goal's worth of linked documents, members of large groups last
-    late = (F.col("group_rows") * 64 > total // shards).cast("bigint") * buckets
-    placed = _ranked(linked, ["shard"], late + spread(1), order, total, "place")
-    limit = F.get(F.array(*[F.lit(g) for g in goal]), F.col("shard"))
-    placed = staged.write(placed.withColumn("kept", F.col("place") < limit))
-    kept = placed.where("kept").drop("place", "kept")
-    held = {r.shard: r.n for r in kept.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    keep = ["doc_id", "size", "text_crc32", "link", "group_rows", "shard"]
+    members = _ranked(rows.join(F.broadcast(groups.where(is_large).select("link", "group_rows")), "link"), ["link"], spread(1), order, total, "place")
+    plan = rows.sparkSession.createDataFrame(pieces, "link bigint, low bigint, high bigint, shard int").withColumnRenamed("link", "group")
+    held = members.join(F.broadcast(plan), (F.col("link") == F.col("group")) & (F.col("place") >= F.col("low")) & (F.col("place") < F.col("high")))
+    kept = held.select(*keep)
+    unsettled = groups.where(~is_large)
+    if settled is not None:
+        kept = kept.unionByName(rows.join(settled, "link").select(*keep))
+        unsettled = unsettled.join(settled.select("link"), "link", "left_anti")
+    kept = staged.write(kept)
     single = (rows.join(groups.select("link"), "link", "left_anti").select("doc_id", "size", "text_crc32", "link")
               .withColumn("group_rows", F.lit(1).cast("bigint")))
-    pool = single.unionByName(placed.where("not kept").select(*single.columns))
+    pool = single.unionByName(rows.join(unsettled, "link").select(*single.columns))
     pool = _ranked(pool.withColumn("one", F.lit(0)), ["one"], spread(2), order, total, "place")
     ends, at = [], 0
     for s in range(shards):
-        at += goal[s] - held.get(s, 0)
+        at += free[s]
         ends.append(at)
     shard = reduce(lambda c, s: F.when(F.col("place") < ends[s], s).otherwise(c), reversed(range(shards)), F.lit(shards - 1))
     filled = pool.withColumn("shard", shard.cast("int")).drop("one", "place")

@@ -224,6 +224,17 @@ def test_sharding_is_even_gapless_and_keeps_groups(spark, hot):
     assert len(cut) <= 3
 
 
+@pytest.mark.parametrize("hot, groups, single", [(2666, 500, 3334), (2666, 1333, 2)])
+def test_a_hot_group_cuts_no_small_group(spark, hot, groups, single):
+    texts = ["hot"] * hot + [f"group {k}" for k in range(groups)] * 4 + [f"unique {k}" for k in range(single)]
+    shards, counts = defaultdict(set), defaultdict(int)
+    for r in sharding.shard_documents(docs_frame(spark, texts)).collect():
+        shards[texts[r.doc_id]].add(r.shard)
+        counts[r.shard] += 1
+    assert sum(counts.values()) == len(texts) and max(counts.values()) - min(counts.values()) <= 1
+    assert not [t for t, s in shards.items() if len(s) > 1 and t != "hot"]
+
+
 def test_sharding_few_and_no_rows(spark):
     assert sharding.shard_documents(docs_frame(spark, ["x"]).limit(0)).count() == 0
     few = sharding.shard_documents(docs_frame(spark, ["a", "a", None])).collect()
