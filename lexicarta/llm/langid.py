@@ -44,27 +44,31 @@ def fit(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str =
 
     The sample is the documented bound: per language the ``4 * dict_bytes /
     excerpt_bytes`` distinct texts with the smallest hash, an excerpt of each,
-    ``dict_bytes`` in total.  Counting is partial-aggregated and only rows
-    under the hash threshold are ranked, so no language lands in one task.
+    ``dict_bytes`` in total.  The hash threshold comes from the number of
+    distinct text hashes, so copies thin nothing.  Counting is partial-
+    aggregated and only rows under the threshold are ranked, so no language
+    lands in one task.
     """
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
         (F.shiftrightunsigned(F.xxhash64(text_col), 1) / F.lit(float(1 << 63))).alias("u"))
     wanted = 4 * dict_bytes // excerpt_bytes
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    hashes = rows.groupBy("lang", "u").agg(F.count("*").alias("n"))
+    found = hashes.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).collect()
+    counts = {r.lang: r.n for r in found}
     if not counts:
         return LanguageModel({}, chunk_bytes, min_margin=min_margin)
-    limits = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4.0 * wanted / n))])
+    limits = F.create_map(*[F.lit(x) for r in found for x in (r.lang, min(1.0, 4.0 * wanted / r.texts))])
     sample = (rows.where(F.col("u") <= limits[F.col("lang")])
               .select("lang", "u", F.substring("text", 1, excerpt_bytes).alias("text")).distinct()
               .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("u", "text")))
               .where(F.col("rank") <= wanted))
-    found: dict[str, list] = {}
+    excerpts: dict[str, list] = {}
     for r in sample.collect():
-        found.setdefault(r.lang, []).append((r.rank, r.text.lower().encode()[:excerpt_bytes]))
+        excerpts.setdefault(r.lang, []).append((r.rank, r.text.lower().encode()[:excerpt_bytes]))
     # the most useful content of a raw dictionary is at its end
     dictionaries = {lang: b"\n".join(t for _, t in sorted(parts, reverse=True))[-dict_bytes:]
-                    for lang, parts in sorted(found.items(), key=lambda x: (-counts[x[0]], x[0]))}
+                    for lang, parts in sorted(excerpts.items(), key=lambda x: (-counts[x[0]], x[0]))}
     return LanguageModel({k: v for k, v in dictionaries.items() if len(v) >= 8}, chunk_bytes, min_margin=min_margin)
 
 

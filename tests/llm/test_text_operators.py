@@ -273,3 +273,16 @@ def test_bucket_rule(spark):
     ids = [0, 1, 77, None, -5]
     got = spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", id_bucket(F.col("doc_id")).alias("b")).collect()
     same(got, [(i, bucket(i)) for i in ids])
+
+
+def test_language_of_copies_keeps_its_dictionary(spark):
+    """Languages of thousands of copies of a few texts: every distinct text
+    is in the dictionary."""
+    texts, langs = [], []
+    for lang in range(6):
+        for k in range(3):
+            texts += [f"language {lang} text {k}"] * 1000
+            langs += [f"l{lang}"] * 1000
+    model = langid.fit(docs_frame(spark, texts, langs=langs), F.lit(True))
+    assert {g: sorted(d.decode().split("\n")) for g, d in model.dictionaries.items()} == {
+        f"l{g}": [f"language {g} text {k}" for k in range(3)] for g in range(6)}
