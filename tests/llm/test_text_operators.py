@@ -286,3 +286,34 @@ def test_language_of_copies_keeps_its_dictionary(spark):
     model = langid.fit(docs_frame(spark, texts, langs=langs), F.lit(True))
     assert {g: sorted(d.decode().split("\n")) for g, d in model.dictionaries.items()} == {
         f"l{g}": [f"language {g} text {k}" for k in range(3)] for g in range(6)}
+
+
+def test_language_model_knows_one_and_two_preceding_words(spark):
+    """The same words in trained and other order, no word twice."""
+    chain = [f"w{k}" for k in range(40)]
+    train = [" ".join(chain)] * 30 + ["left middle east", "right middle west"] * 30
+    held = [" ".join(chain[10:20]), " ".join(chain[19:9:-1]), "left middle east", "left middle west"]
+    n = len(train)
+    found = pitman_yor.score(docs_frame(spark, train + held), F.col("doc_id") < n).collect()
+    score = {r.doc_id - n: r.score for r in found}
+    assert score[0] > score[1] + 5  # one preceding word
+    assert score[2] > score[3] + 0.5  # two
+
+
+def test_context_tables_are_the_parents_customers(spark):
+    """After any number of seatings: tables per dish lie between one and its
+    customers, and all tables of a level are its parents' customers."""
+    from lexicarta.llm.common import Staged
+
+    s = pitman_yor.Settings()
+    rng = random.Random(4)
+    docs = docs_frame(spark, [" ".join(prose(rng, 120, 12)) for _ in range(20)])
+    by_chunk = docs.selectExpr("0 as chunk", "true as train", "text").repartition(1, "chunk")
+    staged = Staged(spark)
+    one, two = pitman_yor._context_levels(staged, pitman_yor._chunk_contexts(by_chunk, 2), s)
+    assert two.rows.agg(F.sum("n")).first()[0] == 20 * 121
+    prior = one.rows.select("c1", "h").distinct().withColumn("p", F.lit(0.05))
+    two.rows = staged.write(two.seated(two.weighed(two.rows, prior, s), s, 0))
+    seated = two.rows.agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.min(F.col("n") - F.col("t")).alias("least"), F.min("t").alias("t1")).first()
+    assert seated.least >= 0 and seated.t1 == 1 and two.rows.count() < seated.t < seated.n == 20 * 121
+    assert pitman_yor._customers(two).agg(F.sum("n")).first()[0] == seated.t
