@@ -221,9 +221,12 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     """Pack pieces (at most ``capacity`` long) into sequences: the pieces
     with (sequence_id, offset).
 
-    Rounds go on while the underfull bins still shrink; every task packs at
-    most ``ITEMS_PER_TASK`` items at a time, and a task's bins are merged
-    with those of ``FAN_IN`` - 1 others in the next round.
+    Rounds go on until one task has merged all that is left, or nothing at
+    all was merged or taken out in as few tasks as the items allow; every
+    task packs at most ``ITEMS_PER_TASK`` items at a time, and a task's bins
+    are merged with those of ``FAN_IN`` - 1 others in the next round.  Bins
+    are taken out early when nearly full, or when their free space is below
+    the smallest fill that remains.
     """
     spark = pieces.sparkSession
     staged = Staged(spark)
@@ -236,10 +239,11 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
         needed = max(1, -(-left // ITEMS_PER_TASK))
         tasks = needed if tasks is None else max(needed, tasks // FAN_IN)
         bins = staged.write(_pack_round(items, tasks, capacity, number))
-        final = F.col("fill") >= capacity - spare
+        least = bins.where(F.col("fill") < capacity - spare).agg(F.min("fill").alias("n")).first().n or 0
+        final = (F.col("fill") >= capacity - spare) | (F.col("fill") > capacity - least)
         count = bins.where(~final).count()
-        # a lone task has merged all that is left; bins that no longer shrink stay as they are
-        if tasks == 1 or count > 0.98 * left:
+        # a lone task has merged all that is left
+        if tasks == 1 or count == left and tasks == needed:
             done.append(bins)
             break
         done.append(bins.where(final))

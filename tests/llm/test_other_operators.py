@@ -134,6 +134,20 @@ def test_items_that_cannot_share_a_bin(spark, monkeypatch):
     assert check_packing(packing.pack_pieces(pieces, 1000).collect(), 1000) == 100
 
 
+def test_few_pieces_that_still_fit_meet(spark, monkeypatch):
+    """Six pieces in different tasks fit in pairs, among hundreds that fit
+    with nothing."""
+    monkeypatch.setattr(packing, "ITEMS_PER_TASK", 40)
+    lengths = [600] * 300
+    for k in range(6):
+        lengths.insert(47 * k + k, 420)
+    rows = [(k, 0, 0, n, 0, None) for k, n in enumerate(lengths)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    packed = packing.pack_pieces(pieces, 1000).collect()
+    assert sorted(r.doc_id for r in packed) == list(range(306))
+    assert check_packing(packed, 1000) == 303
+
+
 def test_best_fit_is_best_fit():
     bins, offsets = packing.best_fit(np.array([6, 5, 4, 3, 2]), 10)
     assert bins.tolist() == [0, 1, 0, 1, 1] and offsets.tolist() == [0, 0, 6, 5, 8]
