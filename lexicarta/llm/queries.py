@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexicarta.llm import ann, chat, langid, ngram_join, packing, phrase_dedup, pitman_yor, sharding, url_filter, winnow
+from lexicarta.llm import (
+    alignment, ann, chat, hard_negatives, langid, minhash_join, ngram_join, packing, phrase_dedup, pitman_yor, sharding, url_filter, winnow)
 from lexicarta.llm.common import id_bucket
 
 
@@ -87,6 +88,19 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, moved)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_chat_format, op3_url_filter, op4_ngram_jaccard_join, op5_sharding, op6_lm_scoring, op7_best_fit_packing,
-    op8_decontamination, op9_substring_dedup, op10_nearest_neighbours)}
+    op8_decontamination, op9_substring_dedup, op10_nearest_neighbours, op11_minhash_dedup, op12_tokenizer_alignment, op13_hard_negatives)}
