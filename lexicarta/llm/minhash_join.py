@@ -16,9 +16,9 @@ every member is compared with its bucket's most central member, then the
 members that are not connected yet propose their likeliest partner, last all
 pairs that no link connects are judged.  Buckets are cut into blocks, and
 pairs of blocks are dealt over the tasks, so no bucket is one task's.  Inside
-a block, pairs pass by size, by distance of signatures, and by a bound on the
-overlap from hashed bitmaps; what passes is confirmed on the full sets, made
-again from the two whole texts.
+a block, pairs pass by size, by distance of signatures (under the first chunk
+in which they meet only), and by a bound on the overlap from hashed bitmaps;
+what passes is confirmed on the full sets, made again from the whole texts.
 
 Defined cases: a null or empty text, or one of separators alone, has no
 shingles and no links; a text shorter than a shingle is one shingle; repeated
@@ -38,7 +38,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexicarta.llm.common import Staged, grams, iter_words, mix, shuffle_partitions, signed
-from lexicarta.llm.components import connected_components
 
 #: Places of a signature, places of a chunk, places left out of a key.
 HASHES, CHUNK, ERRORS = 60, 5, 1
@@ -46,7 +45,7 @@ CHUNKS = HASHES // CHUNK
 #: Signatures that differ in at most so many places always meet.
 LIMIT = (ERRORS + 1) * CHUNKS - 1
 #: Bitmap bits per shingle, and its least and greatest size in bits.
-BITS, LEAST_BITS, MOST_BITS = 4, 512, 1 << 14
+BITS, LEAST_BITS, MOST_BITS = 4, 1 << 10, 1 << 14
 #: Members of a block of a bucket.
 BLOCK = 512
 _TOKENS = 1 << 14
@@ -86,7 +85,8 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 def keys(places: np.ndarray) -> np.ndarray:
     """All keys of every signature: per chunk, a hash of the places that are
-    kept, for each choice of the places left out."""
+    kept, for each choice of the places left out; key k belongs to chunk
+    k % CHUNKS."""
     salted = mix((places.astype(np.uint64).reshape(-1, CHUNKS, CHUNK) + np.uint64(1)) * _SALT)
     total = salted.sum(2)
     out = []
@@ -104,12 +104,16 @@ def bitmap(tokens: np.ndarray) -> bytes:
     return np.packbits(np.bincount(at, minlength=size).astype(np.uint8) & 1).tobytes()
 
 
+def folded(bits: bytes, size: int = LEAST_BITS // 64) -> np.ndarray:
+    """The bitmap laid over itself until it has ``size`` 64-bit words."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint64).reshape(-1, size), 0)
+
+
 def differing(x: bytes, y: bytes) -> int:
     """Bits that differ once the longer bitmap is folded to the shorter: at
     most the number of shingles that one side has alone."""
     size = min(len(x), len(y)) // 8
-    x, y = (np.bitwise_xor.reduce(np.frombuffer(v, np.uint64).reshape(-1, size), 0) for v in (x, y))
-    return int(np.bitwise_count(x ^ y).sum())
+    return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
 
 
 def _class_of(tokens: np.ndarray) -> np.uint64:
@@ -159,16 +163,18 @@ def _matrix(column) -> np.ndarray:
 
 
 def _filed(classes: DataFrame) -> DataFrame:
-    """(key, cls): every class under all its keys."""
+    """(key, chunk, cls): every class under all its keys."""
     def emit(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
                 found = signed(keys(_matrix(part.column(1).to_pylist())))
                 cls = part.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), pa.array(np.repeat(cls, found.shape[1]))], names=["key", "cls"])
+                chunk = np.tile(np.arange(found.shape[1], dtype=np.int8) % CHUNKS, len(cls))
+                yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), pa.array(chunk), pa.array(np.repeat(cls, found.shape[1]))],
+                                                 names=["key", "chunk", "cls"])
 
-    return classes.select("cls", "places").mapInArrow(emit, "key bigint, cls bigint")
+    return classes.select("cls", "places").mapInArrow(emit, "key bigint, chunk tinyint, cls bigint")
 
 
 def _runs(batches, width: int):
@@ -193,13 +199,16 @@ def _linkable(n_a, n_b, share):
 
 
 def _in_blocks(members: DataFrame, share: tuple[int, int], likeliest: bool) -> DataFrame:
-    """Pairs (a, b) of ``members(key, cls, size, n, root, places, bits)``
-    with different roots that sizes, signatures and bitmaps let through."""
+    """Pairs (a, b) of ``members(key, chunk, cls, size, n, root, places,
+    bits)`` with different roots that sizes, signatures and bitmaps let
+    through.  A pair is judged under its first common chunk: the bucket of
+    that chunk's key is named by the key of its least chunk."""
     num, den = share
 
     def compare(batches):
-        for tile, cls, n, root, block, places, bits in _runs(batches, 7):
+        for tile, cls, n, root, block, chunk, places, bits in _runs(batches, 8):
             sig = _matrix(places)
+            least = np.stack([folded(x) for x in bits])
             last = np.searchsorted(tile, tile, "right")
             ahead, lag, found = np.arange(len(tile)), 0, []
             while len(ahead):
@@ -209,8 +218,15 @@ def _in_blocks(members: DataFrame, share: tuple[int, int], likeliest: bool) -> D
                 i = i[_linkable(n[i], n[i + lag], share)]
                 for at in range(0, len(i), 20_000):
                     p = i[at: at + 20_000]
-                    apart = (sig[p] != sig[p + lag]).sum(1)
-                    for x, d in zip(p[apart <= LIMIT].tolist(), apart[apart <= LIMIT].tolist()):
+                    broken = sig[p] != sig[p + lag]
+                    apart = broken.sum(1)
+                    near = apart <= LIMIT
+                    p, apart = p[near], apart[near]
+                    met = broken[near].reshape(-1, CHUNKS, CHUNK).sum(2) <= ERRORS
+                    total = n[p] + n[p + lag]
+                    most = (total - np.bitwise_count(least[p] ^ least[p + lag]).sum(1, dtype=np.int64)) // 2
+                    good = (met.argmax(1) == chunk[p]) & ((den + num) * most >= num * total)
+                    for x, d in zip(p[good].tolist(), apart[good].tolist()):
                         total = int(n[x] + n[x + lag])
                         if (den + num) * ((total - differing(bits[x], bits[x + lag])) // 2) >= num * total:
                             found.append((x, x + lag, d))
@@ -234,7 +250,7 @@ def _in_blocks(members: DataFrame, share: tuple[int, int], likeliest: bool) -> D
     # rows of a block meet each other in its own tile, and those of another block in the tile of both
     dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "cls", "n", "root",
                          F.when(F.col("own") == F.col("other"), F.xxhash64("cls")).otherwise(F.col("own").cast("bigint")).alias("block"),
-                         "places", "bits")
+                         "chunk", "places", "bits")
     spread = dealt.repartition(shuffle_partitions(members.sparkSession), "tile").sortWithinPartitions("tile", "cls")
     return spread.mapInArrow(compare, "a bigint, b bigint").distinct()
 
@@ -285,6 +301,31 @@ def _confirmed(pairs: DataFrame, bodies: DataFrame, width: int, share: tuple[int
             .mapInArrow(settle, "a bigint, b bigint"))
 
 
+def _tops(parents: DataFrame, staged: Staged) -> DataFrame:
+    """(node, root) of the forest ``parents(a, b)``, one parent a node, by
+    pointer doubling."""
+    now = staged.write(parents.select(F.col("a").alias("node"), F.col("b").alias("root")))
+    while True:
+        above = now.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        now = staged.write(now.join(above, "root", "left").select("node", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        if now.where("moved").isEmpty():
+            return now.select("node", "root")
+
+
+def _merged(roots: DataFrame, links: DataFrame, staged: Staged) -> DataFrame:
+    """``roots(node, root)`` of the forest after the ``links(a, b)``: roots
+    hang themselves below their least neighbour until no link leaves a tree."""
+    while True:
+        left, right = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b"))
+        ends = links.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("root_a", "a").alias("x"), F.coalesce("root_b", "b").alias("y"))
+        links = staged.write(ends.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+        if links.isEmpty():
+            return roots
+        tops = _tops(links.groupBy("a").agg(F.min("b").alias("b")), staged)
+        above = tops.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        roots = staged.write(roots.join(above, "root", "left").select("node", F.coalesce("next", "root").alias("root")).unionByName(tops))
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, share: tuple[int, int] = (80, 100), id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document.  Two sets
@@ -296,37 +337,35 @@ def near_duplicates(docs: DataFrame, width: int = 4, share: tuple[int, int] = (8
     wide = staged.write(_sets(docs, width))
     sets = staged.write(wide.select("doc_id", "row_hash", "n", "cls"))
     # a class stands for all documents with its set; its text is that of its least document
-    least = sets.where("cls is not null").groupBy("cls", "n").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "row_hash")).alias("rep"))
-    classes = staged.write(least.select("cls", "n", "least_id", "rep.*").join(
-        wide.where("places is not null").dropDuplicates(["cls"]).select("cls", "places", "bits"), "cls"))
+    classes = staged.write(wide.where("cls is not null").groupBy("cls", "n").agg(
+        F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "row_hash")).alias("rep"), F.max("places").alias("places"),
+        F.max("bits").alias("bits")).select("cls", "n", "least_id", "rep.*", "places", "bits"))
     staged.drop(1)
 
     filed = _filed(classes)
-    same = filed.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("cls")).alias("who")).where("size > 1")
-    buckets = same.groupBy("size", "who").agg(F.min("key").alias("key")).select("key", "size")
+    same = filed.groupBy("key").agg(F.count("*").alias("size"), F.min("chunk").alias("chunk"), F.bit_xor(F.xxhash64("cls")).alias("who")).where("size > 1")
+    buckets = same.groupBy("size", "who").agg(F.min(F.struct("chunk", "key")).alias("x")).select("x.key", "size")
     members = staged.write(filed.join(buckets, "key"))
     signs = classes.select("cls", "n", "places", "bits")
 
-    wanted = classes.join(members.select("cls").distinct(), "cls", "left_semi").select("cls", "doc_id", "row_hash")
+    degrees = members.groupBy("cls").agg(F.sum(F.col("size") - 1).alias("degree"))
+    wanted = staged.write(classes.join(degrees, "cls").select("cls", "degree", "doc_id", "row_hash"))
     same_row = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.row_hash") == F.col("w.row_hash"))
     bodies = staged.write(docs.alias("d").join(wanted.alias("w"), same_row).select("cls", "text").dropDuplicates(["cls"]))
 
-    # 1: every member and its bucket's most central member
-    central = members.groupBy("cls").agg(F.sum(F.col("size") - 1).alias("degree"))
-    hubs = members.join(central, "cls").groupBy("key").agg(F.max(F.struct("degree", "cls")).alias("hub")).select("key", F.col("hub.cls").alias("b"))
-    spokes = members.select("key", F.col("cls").alias("a")).join(hubs, "key").where("a <> b").select("a", "b").distinct()
+    # 1: every member and its bucket's most central member; that order makes the links a forest
+    hubs = members.join(wanted.select("cls", "degree"), "cls").groupBy("key").agg(F.max(F.struct("degree", "cls")).alias("hub"))
+    spokes = members.join(hubs, "key").select(F.col("cls").alias("a"), F.col("hub.cls").alias("b")).where("a <> b").distinct()
     nearest = _near(spokes, signs, share).groupBy("a").agg(F.min(F.struct("apart", "b")).alias("x")).select("a", "x.b")
-    links = staged.write(_confirmed(nearest, bodies, width, share))
-    roots = connected_components(links, staged)
+    roots = _tops(_confirmed(nearest, bodies, width, share), staged)
 
     # 2 and 3: what no link connects yet
     for likeliest in (True, False):
-        rooted = members.join(roots, members["cls"] == roots["node"], "left").select("key", "cls", "size", F.coalesce("root", "cls").alias("root"))
+        rooted = members.join(roots, members["cls"] == roots["node"], "left").select("key", "chunk", "cls", "size", F.coalesce("root", "cls").alias("root"))
         mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-        open_ = staged.write(rooted.join(mixed, "key", "left_semi").join(signs, "cls"))
-        pairs = staged.write(_in_blocks(open_, share, likeliest))
+        pairs = staged.write(_in_blocks(rooted.join(mixed, "key", "left_semi").join(signs, "cls"), share, likeliest))
         links = staged.write(_confirmed(pairs, bodies, width, share))
-        roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links), staged)
+        roots = _merged(roots, links, staged)
 
     rooted = classes.join(roots, classes["cls"] == roots["node"], "left").select("cls", "least_id", F.coalesce("root", "cls").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("cls", "component_id")
