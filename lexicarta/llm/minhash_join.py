@@ -48,6 +48,8 @@ LIMIT = (ERRORS + 1) * CHUNKS - 1
 BITS, LEAST_BITS, MOST_BITS = 4, 1 << 10, 1 << 14
 #: Members of a block of a bucket.
 BLOCK = 512
+#: Greatest size of the bitmap of wanted texts: 16 MB.
+MOST_MARKS = 1 << 27
 _TOKENS = 1 << 14
 
 _rng = np.random.default_rng(20)
@@ -301,6 +303,31 @@ def _confirmed(pairs: DataFrame, bodies: DataFrame, width: int, share: tuple[int
             .mapInArrow(settle, "a bigint, b bigint"))
 
 
+def _marked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``docs(doc_id, text, row_hash)`` without most rows whose hash is not
+    in ``wanted``: a bitmap of 16 bits and more a row, up to ``MOST_MARKS``
+    bits; what slips through is joined away."""
+    size = 64
+    while size < min(16 * wanted.count(), MOST_MARKS):
+        size *= 2
+    slot = F.shiftrightunsigned("row_hash", 65 - size.bit_length())
+    places = wanted.select(F.shiftright(slot, 6).alias("word"), slot.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    words = places.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    found = words.toArrow()
+    table = np.zeros(size // 64, np.uint64)
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    marks = docs.sparkSession.sparkContext.broadcast(table)
+    shift = np.uint64(65 - size.bit_length())
+
+    def pick(batches):
+        for batch in batches:
+            at = batch.column(2).to_numpy().view(np.uint64) >> shift
+            keep = marks.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)
+            yield batch.filter(pa.array(keep.astype(bool)))
+
+    return docs.mapInArrow(pick, docs.schema)
+
+
 def _tops(parents: DataFrame, staged: Staged) -> DataFrame:
     """(node, root) of the forest ``parents(a, b)``, one parent a node, by
     pointer doubling."""
@@ -346,12 +373,12 @@ def near_duplicates(docs: DataFrame, width: int = 4, share: tuple[int, int] = (8
     same = filed.groupBy("key").agg(F.count("*").alias("size"), F.min("chunk").alias("chunk"), F.bit_xor(F.xxhash64("cls")).alias("who")).where("size > 1")
     buckets = same.groupBy("size", "who").agg(F.min(F.struct("chunk", "key")).alias("x")).select("x.key", "size")
     members = staged.write(filed.join(buckets, "key"))
-    signs = classes.select("cls", "n", "places", "bits")
 
     degrees = members.groupBy("cls").agg(F.sum(F.col("size") - 1).alias("degree"))
-    wanted = staged.write(classes.join(degrees, "cls").select("cls", "degree", "doc_id", "row_hash"))
+    wanted = staged.write(classes.join(degrees, "cls").drop("least_id"))
+    signs = wanted.select("cls", "n", "places", "bits")
     same_row = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.row_hash") == F.col("w.row_hash"))
-    bodies = staged.write(docs.alias("d").join(wanted.alias("w"), same_row).select("cls", "text").dropDuplicates(["cls"]))
+    bodies = staged.write(_marked(docs, wanted).alias("d").join(wanted.select("cls", "doc_id", "row_hash").alias("w"), same_row).select("cls", "text").dropDuplicates(["cls"]))
 
     # 1: every member and its bucket's most central member; that order makes the links a forest
     hubs = members.join(wanted.select("cls", "degree"), "cls").groupBy("key").agg(F.max(F.struct("degree", "cls")).alias("hub"))
