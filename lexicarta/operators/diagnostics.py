@@ -7,12 +7,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import fixed as FX
+from ..session import materialize
 from .joins import join_small
-from .scan import add_blocks, prefix_before
+
+
+def usable_scores(df: DataFrame, group: str, score: str) -> DataFrame:
+    """(group, v) of the rows whose score is a number: null and NaN have no
+    place on an axis (``excluded_scores`` counts them)."""
+    v = F.col(score).cast("double")
+    return df.select(group, v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+
+
+def excluded_scores(df: DataFrame, group: str = "label", score: str = "probability") -> DataFrame:
+    """(group, excluded_rows): rows that the figures leave out."""
+    v = F.col(score).cast("double")
+    return df.groupBy(group).agg(F.count_if(v.isNull() | F.isnan(v)).alias("excluded_rows"))
 
 
 # ------------------------------------------------------------------ A21
@@ -21,16 +37,17 @@ def probability_histogram(df: DataFrame, group: str = "label", score: str = "pro
     """Per group, ``bins`` equal-width bins over the group's own min..max
     (last bin closed; a constant group spans min-0.5..max+0.5), with the
     same edge correction as the reference's plotting library, so values on
-    an edge land where it puts them.  Dense: empty bins have count 0."""
-    st = df.groupBy(group).agg(F.min(score).cast("double").alias("__lo0"), F.max(score).cast("double").alias("__hi0"))
+    an edge land where it puts them.  Dense: empty bins have count 0.  Null
+    and NaN scores are left out."""
+    rows = usable_scores(df, group, score).withColumnRenamed("v", "__p")
+    st = rows.groupBy(group).agg(F.min("__p").alias("__lo0"), F.max("__p").alias("__hi0"))
     same = F.col("__lo0") == F.col("__hi0")
     st = st.select(group,
                    F.when(same, F.col("__lo0") - 0.5).otherwise(F.col("__lo0")).alias("lo"),
                    F.when(same, F.col("__hi0") + 0.5).otherwise(F.col("__hi0")).alias("hi"))
     st = st.withColumn("step", (F.col("hi") - F.col("lo")) / F.lit(float(bins)))
     n_groups = st.count()
-    d = join_small(df.select(group, F.col(score).cast("double").alias("__p")).where(F.col("__p").isNotNull()),
-                   st, group, known_rows=n_groups)
+    d = join_small(rows, st, group, known_rows=n_groups)
 
     def edge(k):
         return F.when(k >= bins, F.col("hi")).otherwise(k.cast("double") * F.col("step") + F.col("lo"))
@@ -49,55 +66,104 @@ def probability_histogram(df: DataFrame, group: str = "label", score: str = "pro
 
 
 # ------------------------------------------------------------------ A22
-def exact_quantiles(df: DataFrame, group: str, value: str, qs: Sequence[float] = (0.25, 0.5, 0.75),
-                    n_blocks: int = 256) -> tuple[DataFrame, DataFrame]:
-    """Linear-interpolation quantiles (the plotting library's default) per
-    group, exactly, without holding a group in one task: distinct values
-    with counts, a two-level running count, then the two order statistics
-    around ``q * (n - 1)`` are picked from the running counts.
-    Returns (quantiles (group, q, value), distinct-value counts)."""
-    vc = df.where(F.col(value).isNotNull()).groupBy(group, F.col(value).cast("double").alias("v")).agg(
-        F.count(F.lit(1)).alias("cnt"))
-    vb, n_groups = add_blocks(vc, [group], "v", n_blocks)
-    vcum = prefix_before(vb, [group], "v", F.col("cnt"), "sum", "cum", n_groups, n_blocks).drop("__blk")
-    n = vc.groupBy(group).agg(F.sum("cnt").alias("n"))
-    tq = n.select(group, F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"), "n")
-    tq = tq.withColumn("h", F.col("q") * (F.col("n") - 1).cast("double"))
-    tq = tq.select(group, "q", F.floor("h").cast("bigint").alias("rlo"), F.ceil("h").cast("bigint").alias("rhi"),
-                   (F.col("h") - F.floor("h")).alias("frac"))
-    j = join_small(vcum, tq, group, known_rows=n_groups * len(qs))
-    hit_lo = (F.col("cum") <= F.col("rlo")) & (F.col("rlo") < F.col("cum") + F.col("cnt"))
-    hit_hi = (F.col("cum") <= F.col("rhi")) & (F.col("rhi") < F.col("cum") + F.col("cnt"))
-    picked = j.where(hit_lo | hit_hi).groupBy(group, "q", "frac").agg(
-        F.max(F.when(hit_lo, F.col("v"))).alias("vlo"), F.max(F.when(hit_hi, F.col("v"))).alias("vhi"))
-    qv = picked.select(group, "q", (F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("frac")).alias("value"))
-    return qv, vc
-
-
-def box_stats(df: DataFrame, group: str = "label", value: str = "probability",
-              whis: float = FX.BOX_WHISKER_IQR) -> DataFrame:
+#: Bits of a value that each narrowing pass settles.
+_PASSES = (22, 21, 21)
+
+
+def _with_bits(values: DataFrame, group: str) -> DataFrame:
+    """``values(group, v)`` with ``bits``: longs in the order of the doubles."""
+    def work(batches):
+        for batch in batches:
+            v = batch.column(1).to_numpy(zero_copy_only=False) + 0.0  # one zero
+            raw = v.view(np.int64)
+            bits = raw ^ ((raw >> np.int64(63)) & np.int64(0x7FFFFFFFFFFFFFFF))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(v), pa.array(bits)], names=[group, "v", "bits"])
+
+    schema = T.StructType([values.schema[group], T.StructField("v", T.DoubleType()), T.StructField("bits", T.LongType())])
+    return values.select(group, "v").mapInArrow(work, schema)
+
+
+def order_statistics(values: DataFrame, group: str, ranks) -> DataFrame:
+    """(group, n, rank, v) for each 0-based rank of the array column
+    ``ranks(n)``, exactly and without a table of the values.
+
+    ``values(group, v, bits)`` is read once per pass.  A pass counts the rows
+    of each candidate interval by the next bits of the value and narrows every
+    rank to one sub-interval; the last leaves one value.  Counts are combined
+    in the tasks; between passes there is one row per group and rank."""
+    shift = 64
+    targets = None
+    for width in _PASSES:
+        shift -= width
+        bucket = F.shiftright("bits", shift).alias("bucket")
+        if targets is None:
+            counts = values.groupBy(group, bucket).agg(F.count(F.lit(1)).alias("cnt"))
+            parent = [group]
+        else:
+            inside = targets.select(group, F.col("bucket").alias("parent")).distinct()
+            rows = join_small(values.withColumn("parent", F.shiftright("bits", shift + width)), inside, [group, "parent"], known_rows=n_targets)
+            counts = rows.groupBy(group, "parent", bucket).agg(F.count(F.lit(1)).alias("cnt"), F.max("v").alias("v"))
+            parent = [group, "parent"]
+        before = Window.partitionBy(*parent).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("before", F.coalesce(F.sum("cnt").over(before), F.lit(0)))
+        if targets is None:
+            counts = counts.withColumn("n", F.sum("cnt").over(Window.partitionBy(group)))
+            found = counts.select(group, "n", "bucket", "before", "cnt", F.explode(F.array_distinct(ranks(F.col("n")))).alias("rank"), F.lit(0).cast("bigint").alias("base"))
+        else:
+            old = targets.withColumnRenamed("bucket", "parent")
+            found = join_small(counts, old, [group, "parent"], known_rows=n_targets)
+        place = F.col("rank") - F.col("base")
+        hit = (F.col("before") <= place) & (place < F.col("before") + F.col("cnt"))
+        value = [F.col("v")] if "v" in found.columns else []
+        targets = materialize(found.where(hit).select(group, "n", "rank", (F.col("base") + F.col("before")).alias("base"), "bucket", *value))
+        n_targets = targets.count()
+        targets = targets if shift == 0 else targets.select(group, "n", "rank", "base", "bucket")
+    return targets.select(group, "n", "rank", "v")
+
+
+def quantiles(values: DataFrame, group: str, qs: Sequence[float]) -> DataFrame:
+    """(group, q array): linear-interpolation quantiles (the plotting
+    library's default) of ``values(group, v, bits)`` by selection."""
+    place = lambda n, q: F.lit(float(q)) * (n - 1).cast("double")
+    ranks = lambda n: F.array(*[f(place(n, q)).cast("bigint") for q in qs for f in (F.floor, F.ceil)])
+    found = order_statistics(values, group, ranks)
+    table = found.groupBy(group).agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
+    def value(q):
+        h = place(F.col("n"), q)
+        lo, hi = F.col("at")[F.floor(h).cast("bigint")], F.col("at")[F.ceil(h).cast("bigint")]
+        return lo + (hi - lo) * (h - F.floor(h))
+    return table.select(group, F.array(*[value(q) for q in qs]).alias("q"))
+
+
+def box_stats(df: DataFrame, group: str = "label", value: str = "probability", whis: float = FX.BOX_WHISKER_IQR,
+              accuracy: int | None = None) -> DataFrame:
     """Per group: q1, median, q3, whiskers (most extreme data within
-    ``whis`` IQR of the box, never inside the box) and the outlier count."""
-    qv, vc = exact_quantiles(df, group, value)
-    piv = qv.groupBy(group).agg(F.max(F.when(F.col("q") == 0.25, F.col("value"))).alias("q1"),
-                                F.max(F.when(F.col("q") == 0.5, F.col("value"))).alias("median"),
-                                F.max(F.when(F.col("q") == 0.75, F.col("value"))).alias("q3"))
-    piv = piv.withColumn("iqr", F.col("q3") - F.col("q1"))
-    lo_f = F.col("q1") - F.lit(whis) * F.col("iqr")
-    hi_f = F.col("q3") + F.lit(whis) * F.col("iqr")
-    j = vc.join(F.broadcast(piv), group)  # one row per group
+    ``whis`` IQR of the box, never inside the box) and the outlier count.
+    Null and NaN values are left out.
+
+    Quartiles are exact (three narrowing passes), or with ``accuracy`` come
+    from a mergeable sketch in one pass: values whose rank is within
+    ``n / accuracy`` of the quartile's, without interpolation.  Whiskers and
+    outliers are exact for the quartiles found, from one more pass."""
+    rows = usable_scores(df, group, value)
+    if accuracy is None:
+        rows = materialize(_with_bits(rows, group))  # three narrow columns, read by every pass
+        box = quantiles(rows, group, (0.25, 0.5, 0.75))
+    else:
+        box = rows.groupBy(group).agg(F.percentile_approx("v", [0.25, 0.5, 0.75], int(accuracy)).alias("q"))
+    q = F.col("q")
+    box = materialize(box.select(group, q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), (q[2] - q[0]).alias("iqr")))
+    j = join_small(rows.select(group, "v"), box, group)
+    lo_f, hi_f = F.col("q1") - F.lit(whis) * F.col("iqr"), F.col("q3") + F.lit(whis) * F.col("iqr")
+    v = F.col("v")
     w = j.groupBy(group, "q1", "median", "q3", "iqr").agg(
-        F.min(F.when(F.col("v") >= lo_f, F.col("v"))).alias("__wl"),
-        F.max(F.when(F.col("v") <= hi_f, F.col("v"))).alias("__wh"))
-    w = w.select(group, "q1", "median", "q3", "iqr",
-                 F.when(F.col("__wl").isNull() | (F.col("__wl") > F.col("q1")), F.col("q1"))
-                  .otherwise(F.col("__wl")).alias("whisker_low"),
-                 F.when(F.col("__wh").isNull() | (F.col("__wh") < F.col("q3")), F.col("q3"))
-                  .otherwise(F.col("__wh")).alias("whisker_high"))
-    fl = vc.join(F.broadcast(w.select(group, "whisker_low", "whisker_high")), group).groupBy(group).agg(
-        F.sum(F.when((F.col("v") < F.col("whisker_low")) | (F.col("v") > F.col("whisker_high")), F.col("cnt"))
-              .otherwise(0)).cast("bigint").alias("n_outliers"))
-    return w.join(fl, group)
+        F.min(F.when(v >= lo_f, v)).alias("wl"), F.max(F.when(v <= hi_f, v)).alias("wh"),
+        F.count_if(v < lo_f).alias("below_fence"), F.count_if(v < F.col("q1")).alias("below_box"),
+        F.count_if(v > hi_f).alias("above_fence"), F.count_if(v > F.col("q3")).alias("above_box"))
+    no_low, no_high = F.col("wl").isNull() | (F.col("wl") > F.col("q1")), F.col("wh").isNull() | (F.col("wh") < F.col("q3"))
+    outliers = F.when(no_low, F.col("below_box")).otherwise(F.col("below_fence")) + F.when(no_high, F.col("above_box")).otherwise(F.col("above_fence"))
+    return w.select(group, "q1", "median", "q3", "iqr", F.when(no_low, F.col("q1")).otherwise(F.col("wl")).alias("whisker_low"),
+                    F.when(no_high, F.col("q3")).otherwise(F.col("wh")).alias("whisker_high"), outliers.cast("bigint").alias("n_outliers"))
 
 
 # ------------------------------------------------------------------ R5
@@ -109,26 +175,45 @@ def training_curves(history: DataFrame, series: Sequence[str] = ("loss", "accura
 
 # ------------------------------------------------------------------ W1, W2, L10
 def best_and_stop(history: DataFrame, run: str = "run", epoch: str = "epoch", metric: str = "val_f1",
-                  patience: int = FX.EARLY_STOP_PATIENCE, n_blocks: int = 256) -> DataFrame:
+                  patience: int = FX.EARLY_STOP_PATIENCE) -> DataFrame:
     """W1 + W2 per history row: ``is_best`` (metric strictly above every
     earlier one, starting from -1.0; NaN never improves), ``n_no_improve``
     (epochs since the last best), and ``ran`` (false after the epoch at
-    which ``patience`` consecutive non-improvements stopped the run)."""
+    which ``patience`` consecutive non-improvements stopped the run).
+
+    One scan of composable summaries: the greatest metric so far with the
+    place of its first occurrence is that of two neighbouring stretches put
+    together by the greater (ties: the earlier).  Rows are dealt by ranges of
+    (run, epoch), so no task holds a run; a task scans its stretch, the
+    stretches' summaries (a row per run and range) are scanned by run, and
+    both are put together per row.  The first stop is the least of the
+    stretches' first stops.  Epochs must be unique within a run; rows without
+    a run are no history."""
     m = F.when(F.isnan(F.col(metric)), F.lit(None).cast("double")).otherwise(F.col(metric).cast("double"))
-    d, n_groups = add_blocks(history.withColumn("__m", m), [run], epoch, n_blocks)
-    d = prefix_before(d, [run], epoch, F.col("__m"), "max", "__prev", n_groups, n_blocks)
-    d = d.withColumn("is_best", F.coalesce(F.col("__m") > F.coalesce(F.col("__prev"), F.lit(FX.INITIAL_BEST_METRIC)),
-                                           F.lit(False)))
-    d = prefix_before(d, [run], epoch, F.lit(1), "sum", "__r", n_groups, n_blocks)
-    d = prefix_before(d, [run], epoch, F.when(F.col("is_best"), F.col("__r")), "max", "__lb", n_groups, n_blocks)
-    last_best = F.coalesce(F.when(F.col("is_best"), F.col("__r")).otherwise(F.col("__lb")), F.lit(-1))
-    d = d.withColumn("n_no_improve", (F.col("__r") - last_best).cast("int"))
-    stop = (d.where(F.col("n_no_improve") >= patience).groupBy(run)
-            .agg(F.min_by(F.struct(F.col("__r").alias("__sr"), F.col(epoch).alias("stop_epoch")), F.col("__r")).alias("__s"))
-            .select(run, "__s.*"))
-    d = join_small(d, stop, run, "left", known_rows=n_groups)
-    d = d.withColumn("ran", F.col("__sr").isNull() | (F.col("__r") <= F.col("__sr")))
-    return d.drop("__m", "__prev", "__lb", "__sr", "__blk").withColumnRenamed("__r", "rank")
+    d = history.where(F.col(run).isNotNull()).withColumn("__m", m).repartitionByRange(run, epoch).withColumn("__part", F.spark_partition_id())
+    inside = Window.partitionBy(run, "__part").orderBy(epoch).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("__r", F.row_number().over(Window.partitionBy(run, "__part").orderBy(epoch)) - 1)
+    top = F.struct(F.col("__m").alias("m"), (-F.col("__part")).alias("part"), (-F.col("__r")).alias("place"))
+    d = d.withColumn("__top", F.max(top).over(inside))
+
+    earlier = Window.partitionBy(run).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = d.groupBy(run, "__part").agg(F.count(F.lit(1)).alias("__n"), F.max("__top").alias("__t"))
+    parts = parts.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    whole = lambda t: F.struct(t["m"].alias("m"), t["part"].alias("part"), t["place"].alias("place"),
+                               (F.col("__before") - t["place"]).alias("rank"))
+    parts = parts.withColumn("__earlier", F.max(whole(F.col("__t"))).over(earlier)).select(run, "__part", "__before", "__earlier")
+    d = d.join(parts, [run, "__part"])
+    d = d.withColumn("__top", F.greatest("__earlier", whole(F.col("__top")))).withColumn("rank", F.col("__before") + F.col("__r"))
+    last = F.when(F.col("__top.m") > F.lit(FX.INITIAL_BEST_METRIC), F.col("__top.rank")).otherwise(F.lit(-1))
+    d = d.withColumn("__last", last).withColumn("is_best", F.col("__last") == F.col("rank"))
+    d = d.withColumn("n_no_improve", (F.col("rank") - F.col("__last")).cast("int")).drop("__m", "__r", "__top", "__before", "__earlier", "__last")
+
+    stopped = F.when(F.col("n_no_improve") >= patience, F.struct(F.col("rank").alias("stop_rank"), F.col(epoch).alias("stop_epoch")))
+    stops = d.groupBy(run, "__part").agg(F.min(stopped).alias("__stop"))
+    stops = stops.select(run, "__part", F.min("__stop").over(Window.partitionBy(run)).alias("__stop"))
+    d = d.join(stops, [run, "__part"])
+    ran = F.col("__stop").isNull() | (F.col("rank") <= F.col("__stop.stop_rank"))
+    return d.withColumn("stop_epoch", F.col("__stop.stop_epoch")).withColumn("ran", ran).drop("__stop", "__part")
 
 
 def run_summary(marked: DataFrame, run: str = "run", epoch: str = "epoch", metric: str = "val_f1") -> DataFrame:

@@ -7,14 +7,12 @@ regularised): ``m = y*z < 1`` with y in {-1, +1},
 Weights start at zero; history (loss, accuracy) is measured before the
 update of every ``max(1, epochs // 200)``-th epoch.
 
-Plan per epoch: the cached features are joined to a one-row broadcast
-holding ``w`` (bounded by the vocabulary size) and ``b``; ``z`` is an in-row
-dot product (no shuffle); every row emits its gradient entries plus three
-scalar entries (bias gradient, loss, correct); one ``groupBy(idx)`` with
-map-side partial aggregation sums them, so the shuffle carries at most
-(d + 3) rows per task and the driver receives d + 3 numbers.  Features
-are persisted with MEMORY_AND_DISK, so a lost executor only recomputes
-its partitions.
+Plan: rows become matrix blocks once (``operators/blocks.py``), kept with
+MEMORY_AND_DISK, so a lost executor only recomputes its partitions.  Each
+epoch is one pass over the blocks: products of a block with the weights, one
+array of (d + 3) sums per task (gradient, bias gradient, loss, correct), a
+tree of bounded fan-in that merges the arrays, and an update on the driver.
+No row is made per feature value.
 
 Input layouts: sparse rows (``indices array<int>``, ``values
 array<double>``) or a dense ``array<float|double>`` column (L6).
@@ -23,15 +21,14 @@ array<double>``) or a dense ``array<float|double>`` column (L6).
 from __future__ import annotations
 
 import json
+
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import fixed as FX
-
-BIAS_IDX, LOSS_IDX, CORRECT_IDX = -1, -2, -3
+from . import blocks as B
 
 
 def as_sparse(df: DataFrame, dense_col: str | None = None) -> DataFrame:
@@ -138,78 +135,63 @@ class _LinearGD:
         self.epochs = int(epochs)
         self.n_features = n_features
 
-    # per-row scalar entries: (residual used for the gradient, loss, correct)
-    def _row_terms(self, z, y):
-        raise NotImplementedError
+    #: (z, y) -> per-row arrays: residual of the gradient, loss, correct
+    _row_terms = None
 
     def _update(self, w, b, g, gb, n):
         raise NotImplementedError
 
     def fit(self, df: DataFrame, label: str = "label", dense_col: str | None = None) -> LinearModel:
-        spark = df.sparkSession
-        feats = as_sparse(df, dense_col).select("indices", "values", F.col(label).cast("double").alias("__y"))
-        feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
+        """Rows without a label take no part."""
+        blocks = B.build(df, label, None if dense_col else "indices", dense_col or "values")
         try:
-            stats = feats.agg(F.count(F.lit(1)).alias("n"),
-                              F.max(F.array_max("indices")).alias("mx")).first()
-            n = int(stats["n"])
-            d = self.n_features if self.n_features is not None else int((stats["mx"] if stats["mx"] is not None else -1) + 1)
-            if n == 0:
+            seen = B.shape(blocks)
+            if seen.n == 0:
                 raise ValueError("no training rows")
+            n, d = seen.n, self.n_features if self.n_features is not None else seen.width
             w, b = np.zeros(d), 0.0
             step = max(1, self.epochs // FX.HISTORY_POINTS)
             history = []
             for epoch in range(self.epochs):
-                sums = self._pass(spark, feats, w, b, d)
-                g = sums[:d]
-                gb, loss, correct = sums[d], sums[d + 1], sums[d + 2]
+                sums = B.total(blocks, _pass_terms, (w, b, self._row_terms), seen.parts)
+                gb, loss, correct = sums[d:]
                 if epoch % step == 0:
                     history.append((int(epoch), float(loss / n), float(correct / n)))
-                w, b = self._update(w, b, g, gb, n)
+                w, b = self._update(w, b, sums[:d], gb, n)
             params = {"learning_rate": self.learning_rate, "epochs": self.epochs, "n_features": d}
             params.update(self._extra_params())
             return LinearModel(self.kind, w, b, params, history)
         finally:
-            feats.unpersist()
+            blocks.unpersist()
 
     def _extra_params(self) -> dict:
         return {}
 
-    def _pass(self, spark: SparkSession, feats: DataFrame, w: np.ndarray, b: float, d: int) -> np.ndarray:
-        """One distributed pass: gradient sums, bias sum, loss and correct
-        counts, as a (d + 3)-vector."""
-        x = feats.crossJoin(F.broadcast(_weights_row(spark, w, b))).withColumn("__z", dot())
-        r, loss, correct = self._row_terms(F.col("__z"), F.col("__y"))
-        x = x.select("indices", "values", r.alias("__r"), loss.alias("__loss"), correct.alias("__ok"))
-        # r is passed as an array so it is evaluated once per row, not per element
-        grads = F.zip_with("values", F.array_repeat(F.col("__r"), F.size("values")), lambda v, rr: v * rr)
-        entries = F.concat(
-            F.arrays_zip(F.col("indices").alias("i"), grads.alias("g")),
-            F.array(F.struct(F.lit(BIAS_IDX).alias("i"), F.col("__r").alias("g")),
-                    F.struct(F.lit(LOSS_IDX).alias("i"), F.col("__loss").alias("g")),
-                    F.struct(F.lit(CORRECT_IDX).alias("i"), F.col("__ok").alias("g"))))
-        e = x.select(F.inline_outer(entries)).where(F.col("i").isNotNull())
-        rows = e.groupBy("i").agg(F.sum("g").alias("g")).collect()  # at most d + 3 rows
-        out = np.zeros(d + 3)
-        for row in rows:
-            i = row["i"]
-            if i >= 0:
-                out[i] = row["g"]
-            else:
-                out[d - 1 - i] = row["g"]  # -1 -> d, -2 -> d+1, -3 -> d+2
-        return out
+
+def _pass_terms(block: B.Block, parameters) -> np.ndarray:
+    """(d + 3) sums of one block: gradient, bias gradient, loss, correct."""
+    w, b, row_terms = parameters
+    r, loss, correct = row_terms(block.times(w) + b, block.y)
+    return np.concatenate([block.transposed_times(r, len(w)), [r.sum(), loss.sum(), correct.sum()]])
+
+
+def _lr_terms(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):  # exp(-z) may overflow to infinity: p = 0
+        p = 1.0 / (1.0 + np.exp(-z))
+    pc = np.clip(p, FX.PROBABILITY_CLIP, 1.0 - FX.PROBABILITY_CLIP)
+    return p - y, -(y * np.log(pc) + (1.0 - y) * np.log(1.0 - pc)), (p >= 0.5) == y
+
+
+def _svm_terms(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ys = np.where(y == 0, -1.0, 1.0)
+    return ys * (ys * z < 1), np.maximum(0.0, 1.0 - ys * z), (z >= 0) == y
 
 
 class LogisticRegressionGD(_LinearGD):
     """L1: logistic regression, class defaults lr 0.01 and 1000 epochs."""
     kind = "lr"
 
-    def _row_terms(self, z, y):
-        p = sigmoid(z)
-        pc = clip_probability(p)
-        loss = -(y * F.log(pc) + (F.lit(1.0) - y) * F.log(F.lit(1.0) - pc))
-        correct = ((p >= 0.5).cast("double") == y).cast("double")
-        return p - y, loss, correct
+    _row_terms = staticmethod(_lr_terms)
 
     def _update(self, w, b, g, gb, n):
         return w - self.learning_rate * (g / n), b - self.learning_rate * (gb / n)
@@ -227,13 +209,7 @@ class LinearSVMGD(_LinearGD):
     def _extra_params(self) -> dict:
         return {"C": self.C}
 
-    def _row_terms(self, z, y):
-        ys = to_pm1(y)
-        m = F.when(ys * z < 1, F.lit(1.0)).otherwise(F.lit(0.0))
-        loss = F.greatest(F.lit(0.0), F.lit(1.0) - ys * z)
-        pred = F.when(z < 0, F.lit(0.0)).otherwise(F.lit(1.0))
-        correct = (pred == y).cast("double")
-        return ys * m, loss, correct
+    _row_terms = staticmethod(_svm_terms)
 
     def _update(self, w, b, g, gb, n):
         dw = -(self.C / n) * g + w

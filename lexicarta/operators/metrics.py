@@ -8,10 +8,12 @@ is 0; weighted averages use the true support; macro F1 is the plain mean
 over the classes; ROC-AUC counts ties as one half and is NULL for a group
 with a single true class (the library raises there).
 
-Plan: one pass over the predictions builds (group, label, prediction)
-counts with map-side partial aggregation; everything else is computed on
-those few rows.  The overall group is derived from the per-domain counts,
-so overall and per-domain metrics share that single pass.
+Plan: one pass over the predictions builds (group, label, prediction, score)
+counts with map-side partial aggregation, checkpointed; everything else is
+computed on those rows.  For the AUC they are dealt once by ranges of the
+score: a task ranks its range alone, for every group and for all of them, and
+the ranges' totals are the offsets between tasks.  Overall and per-domain
+metrics share the pass, the ranges and the plan.
 """
 
 from __future__ import annotations
@@ -22,7 +24,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .joins import join_small
 
 METRIC_COLUMNS = ("accuracy", "f1_weighted", "f1_macro", "precision_weighted", "recall_weighted")
 
@@ -61,17 +62,15 @@ def excluded_rows(df: DataFrame, label: str = "label", prediction: str = "predic
 
 
 def metrics_from_counts(conf: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """A12-A14 from (keys.., label, prediction, n)."""
+    """A12-A14 from (keys.., label, prediction, n).  Every count is one row of
+    its true class and one of its predicted class; both sums by class and by
+    group use the one exchange by group."""
     keys = list(keys)
-    true_side = conf.groupBy(*keys, F.col("label").alias("cls")).agg(
-        F.sum("n").alias("support"),
-        F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)).alias("tp"))
-    pred_side = conf.groupBy(*keys, F.col("prediction").alias("cls")).agg(F.sum("n").alias("pred_n"))
-    per_class = true_side.join(pred_side, [*keys, "cls"], "full_outer").select(
-        *keys, "cls",
-        F.coalesce("support", F.lit(0)).cast("double").alias("support"),
-        F.coalesce("tp", F.lit(0)).cast("double").alias("tp"),
-        F.coalesce("pred_n", F.lit(0)).cast("double").alias("pred_n"))
+    side = lambda cls, support, tp, pred: F.struct(cls.alias("cls"), support.alias("support"), tp.alias("tp"), pred.alias("pred_n"))
+    n, none = F.col("n").cast("double"), F.lit(0.0)
+    true_side = side(F.col("label"), n, F.when(F.col("label") == F.col("prediction"), n).otherwise(none), none)
+    sides = conf.repartition(*keys).select(*keys, F.inline(F.array(true_side, side(F.col("prediction"), none, none, n))))
+    per_class = sides.groupBy(*keys, "cls").agg(*[F.sum(c).alias(c) for c in ("support", "tp", "pred_n")])
     prec = F.when(F.col("pred_n") > 0, F.col("tp") / F.col("pred_n")).otherwise(F.lit(0.0))
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
     den = F.col("pred_n") + F.col("support")
@@ -96,40 +95,48 @@ def score_counts(df: DataFrame, keys: Sequence[str] = (), label: str = "label",
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
 
 
-def auc_from_score_counts(sc: DataFrame, keys: Sequence[str], n_blocks: int = 1024) -> DataFrame:
+def _dealt_by_score(rows: DataFrame) -> DataFrame:
+    """Rows dealt by ranges of the score; ``__part`` numbers the ranges in
+    rising order.  Equal scores share a range."""
+    return rows.repartitionByRange("score").withColumn("__part", F.spark_partition_id())
+
+
+def _range_sums(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys.., __part, p, n, u) of ``ranked(keys.., __part, score, pos,
+    neg)``: positives, negatives, and the pairs won inside the range
+    (W3: ``pos * (neg below + neg / 2)``)."""
+    w = Window.partitionBy(*keys, "__part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("neg").over(w), F.lit(0)).cast("double")
+    won = F.col("pos") * (below + F.col("neg") * F.lit(0.5))
+    return (ranked.select(*keys, "__part", "pos", "neg", won.alias("won")).groupBy(*keys, "__part")
+            .agg(F.sum("pos").cast("double").alias("p"), F.sum("neg").cast("double").alias("n"), F.sum("won").alias("u")))
+
+
+def _auc_from_ranges(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys.., roc_auc): the negatives of the ranges before are the offset of
+    a range; a few rows per group."""
+    w = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(w), F.lit(0.0))
+    won = sums.select(*keys, "p", "n", (F.col("u") + F.col("p") * before).alias("won"))
+    pairs = F.sum("p") * F.sum("n")
+    return won.groupBy(*keys).agg(F.when(pairs > 0, F.sum("won") / pairs).alias("roc_auc"))
+
+
+def auc_from_score_counts(sc: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Exact ROC-AUC (ties count one half) per group from distinct-score
     counts: AUC = sum(pos * (neg below + neg / 2)) / (P * N).
 
-    The "negatives below" prefix sum is two-level, so no task holds all the
-    scores of a group: approximate quantiles cut each group's scores into
-    ``n_blocks`` ordered blocks, block totals are cumulated over the small
-    (group, block) table, and the rest is a running sum inside each block.
-    The cut points only balance the work; the result is exact for any cuts.
-    """
-    keys = list(keys)
-    qs = [i / n_blocks for i in range(1, n_blocks)]
-    bounds = sc.groupBy(*keys).agg(F.percentile_approx("score", qs, 1000).alias("__bounds"))
-    n_groups = bounds.count()
-    g = join_small(sc, bounds, keys, known_rows=n_groups) if keys else sc.crossJoin(F.broadcast(bounds))
-    g = g.withColumn("__blk", F.size(F.filter("__bounds", lambda b: b < F.col("score")))).drop("__bounds")
-    bt = g.groupBy(*keys, "__blk").agg(F.sum("neg").alias("__bneg"))
-    wb = Window.partitionBy(*keys).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
-    bt = bt.withColumn("__before", F.coalesce(F.sum("__bneg").over(wb), F.lit(0))).drop("__bneg")
-    g = join_small(g, bt, [*keys, "__blk"], known_rows=n_groups * n_blocks)
-    wi = Window.partitionBy(*keys, "__blk").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.col("__before") + F.coalesce(F.sum("neg").over(wi), F.lit(0))
-    g = g.withColumn("__below", below.cast("double"))
-    agg = g.groupBy(*keys).agg(
-        F.sum(F.col("pos") * (F.col("__below") + F.col("neg") * F.lit(0.5))).alias("__u"),
-        F.sum("pos").cast("double").alias("__p"), F.sum("neg").cast("double").alias("__n"))
-    auc = F.when((F.col("__p") > 0) & (F.col("__n") > 0), F.col("__u") / (F.col("__p") * F.col("__n")))
-    return agg.select(*keys, auc.alias("roc_auc"))
-
-
-def roc_auc(df: DataFrame, keys: Sequence[str] = (), label: str = "label", score: str = "probability",
-            n_blocks: int = 1024) -> DataFrame:
+    No task holds all the scores of a group: each ranks one range of scores,
+    and ranges are put together by their totals.  ``sc`` is read twice (the
+    ranges are found from a sample): pass a materialised table."""
+    keys = list(keys) or ["__all"]
+    ranked = _dealt_by_score(sc if keys != ["__all"] else sc.withColumn("__all", F.lit(1)))
+    return _auc_from_ranges(_range_sums(ranked, keys), keys).drop("__all")
+
+
+def roc_auc(df: DataFrame, keys: Sequence[str] = (), label: str = "label", score: str = "probability") -> DataFrame:
     """ROC-AUC of ``score`` (probability of class 1) per group."""
-    return auc_from_score_counts(score_counts(df, keys, label, score), keys, n_blocks)
+    return auc_from_score_counts(materialize(score_counts(df, keys, label, score)), keys)
 
 
 def prediction_counts(df: DataFrame, keys: Sequence[str] = (), label: str = "label",
@@ -146,24 +153,42 @@ def prediction_counts(df: DataFrame, keys: Sequence[str] = (), label: str = "lab
     return materialize(used.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")))
 
 
-def _conf_of(pc: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return pc.groupBy(*keys, "label", "prediction").agg(F.sum("n").cast("bigint").alias("n"))
-
-
-def _scores_of(pc: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return pc.where(_scored("score")).groupBy(*keys, "score").agg(
-        F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).cast("bigint").alias("pos"),
-        F.sum(F.when(F.col("label") != 1, F.col("n")).otherwise(0)).cast("bigint").alias("neg"))
+#: Group names of the tables behind a report: all rows, or one domain.
+_OVERALL, _DOMAIN = "o", "d"
+
+
+def _report(pc: DataFrame, domains: bool, overall: bool, scored: bool) -> DataFrame:
+    """(scope, domain, metrics..) from ``prediction_counts`` by domain."""
+    def groups(by_domain: DataFrame, all_rows: DataFrame) -> DataFrame:
+        parts = []
+        if domains:
+            parts.append(by_domain.where(F.col("domain").isNotNull()).withColumn("g", F.concat(F.lit(_DOMAIN), F.col("domain").cast("string"))))
+        if overall:
+            parts.append(all_rows.withColumn("g", F.lit(_OVERALL)))
+        columns = ["g", *[c for c in all_rows.columns if c != "domain"]]
+        return parts[0].select(columns) if len(parts) == 1 else parts[0].select(columns).unionByName(parts[1].select(columns))
+
+    conf = pc.groupBy("domain", "label", "prediction").agg(F.sum("n").cast("bigint").alias("n"))
+    out = metrics_from_counts(groups(conf, conf), ["g"])
+    if scored:
+        dealt = _dealt_by_score(pc.where(_scored("score")).select("domain", "label", "score", "n"))
+        is_positive = F.col("label") == 1
+        # sums by (range, score) need no further exchange
+        ranked = dealt.groupBy("domain", "__part", "score").agg(
+            F.sum(F.when(is_positive, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(is_positive, F.lit(0)).otherwise(F.col("n"))).alias("neg"))
+        together = ranked.groupBy("__part", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        sums = groups(_range_sums(ranked, ["domain"]), _range_sums(together, []))
+        out = out.join(_auc_from_ranges(sums, ["g"]), "g", "left")
+    name = F.when(F.col("g") != _OVERALL, F.substring("g", 2, 1 << 30))
+    columns = [*METRIC_COLUMNS, *(["roc_auc"] if scored else [])]
+    return out.select(F.when(name.isNull(), F.lit("overall")).otherwise(F.lit("domain")).alias("scope"), name.alias("domain"), "n", *columns)
 
 
 def classification_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction",
                            score: str | None = "probability") -> DataFrame:
     """A12-A15 over the whole set: one row, from one pass over the data."""
-    pc = prediction_counts(df, (), label, prediction, score).withColumn("__g", F.lit(1))
-    m = metrics_from_counts(_conf_of(pc, ["__g"]), ["__g"])
-    if score is not None:
-        m = m.join(auc_from_score_counts(_scores_of(pc, ["__g"]), ["__g"]), "__g", "left")
-    return m.drop("__g")
+    pc = prediction_counts(df, (), label, prediction, score).withColumn("domain", F.lit(None).cast("string"))
+    return _report(pc, False, True, score is not None).drop("scope", "domain")
 
 
 def domain_metrics(df: DataFrame, domain: str = "source", label: str = "label",
@@ -175,22 +200,9 @@ def domain_metrics(df: DataFrame, domain: str = "source", label: str = "label",
     precision_weighted, recall_weighted[, roc_auc]).  Empty domains do not
     appear (F3); rows with a null domain count only in the overall row.
     Overall and per-domain numbers are sums over the same checkpointed
-    prediction counts."""
-    pc = prediction_counts(df, [F.col(domain).alias("domain")], label, prediction, score)
-    dom = pc.where(F.col("domain").isNotNull())
-    per = metrics_from_counts(_conf_of(dom, ["domain"]), ["domain"])
-    if score is not None:
-        per = per.join(auc_from_score_counts(_scores_of(dom, ["domain"]), ["domain"]), "domain", "left")
-    out = per.withColumn("scope", F.lit("domain"))
-    if include_overall:
-        allp = pc.withColumn("__g", F.lit(1))
-        ov = metrics_from_counts(_conf_of(allp, ["__g"]), ["__g"])
-        if score is not None:
-            ov = ov.join(auc_from_score_counts(_scores_of(allp, ["__g"]), ["__g"]), "__g", "left")
-        ov = ov.drop("__g").withColumn("domain", F.lit(None).cast("string")).withColumn("scope", F.lit("overall"))
-        out = out.unionByName(ov)
-    cols = ["scope", "domain", "n", *METRIC_COLUMNS] + (["roc_auc"] if score is not None else [])
-    return out.select(*cols)
+    prediction counts and the same ranges of scores."""
+    pc = prediction_counts(df, [F.col(domain).cast("string").alias("domain")], label, prediction, score)
+    return _report(pc, True, include_overall, score is not None)
 
 
 def evaluate(predictions: DataFrame, label: str = "label", prediction: str = "prediction",

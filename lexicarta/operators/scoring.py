@@ -1,7 +1,8 @@
 """Scoring with user-supplied models: softmax / argmax over logits,
 batched NumPy models through ``predict_batch_udf`` (Arrow batches, one
-model instance per Python worker), and an MLP baseline from Spark ML.
-This is the only module that runs Python inside tasks."""
+model instance per Python worker), an MLP baseline from Spark ML, and a
+network of one tanh layer trained by full-batch back-propagation over matrix
+blocks (``operators/blocks.py``)."""
 
 from __future__ import annotations
 
@@ -12,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import blocks as B
+
 
 def softmax(logits) -> F.Column:
     """exp(x - max) / sum(exp(x - max)).  The max is taken once and
@@ -119,3 +122,41 @@ def example_mlp_weights(dim: int, units: int = 4) -> tuple[np.ndarray, np.ndarra
     """Weights from a rule: ((3 i + 5 j) mod 7 - 3) / 2 and (j + 2 k) mod 5 - 2."""
     i, j, k = np.arange(dim)[:, None], np.arange(units), np.arange(2)
     return ((3 * i + 5 * j[None, :]) % 7 - 3) / 2, ((j[:, None] + 2 * k[None, :]) % 5 - 2).astype(float)
+
+
+def network_terms(block: B.Block, weights: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Sums of one block: gradients of both layers, cross-entropy, correct."""
+    hidden, out = weights
+    a = np.tanh(block.times(hidden))
+    z = a @ out
+    z = z - z.max(1, keepdims=True)
+    log_p = z - np.log(np.exp(z).sum(1, keepdims=True))
+    y = block.y.astype(np.int64)
+    error = np.exp(log_p)
+    error[np.arange(len(y)), y] -= 1.0
+    back = (error @ out.T) * (1.0 - a * a)
+    return np.concatenate([block.transposed_times(back, len(hidden)).ravel(), (a.T @ error).ravel(),
+                           [-log_p[np.arange(len(y)), y].sum(), (z.argmax(1) == y).sum()]])
+
+
+def train_network(train: DataFrame, features: str, label: str, hidden: np.ndarray, out: np.ndarray, epochs: int,
+                  learning_rate: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, float, float]]]:
+    """Full-batch gradient descent on the cross-entropy of
+    ``softmax(tanh(X hidden) out)`` from the given start weights; labels are
+    0..k-1, rows without one take no part.  Returns both layers and the
+    history (epoch, loss, accuracy), measured before each update."""
+    blocks = B.build(train, label, None, features)
+    try:
+        seen = B.shape(blocks)
+        if seen.n == 0:
+            raise ValueError("no training rows")
+        history = []
+        for epoch in range(int(epochs)):
+            sums = B.total(blocks, network_terms, (hidden, out), seen.parts)
+            loss, correct = sums[-2:]
+            history.append((epoch, float(loss / seen.n), float(correct / seen.n)))
+            step = learning_rate * sums[:-2] / seen.n
+            hidden, out = hidden - step[: hidden.size].reshape(hidden.shape), out - step[hidden.size:].reshape(out.shape)
+        return hidden, out, history
+    finally:
+        blocks.unpersist()

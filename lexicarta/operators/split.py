@@ -105,7 +105,7 @@ def stratified_split(df: DataFrame, strata: Sequence[str] = ("label", "source"),
         counts = rows.groupBy(F.col("__stratum").alias("stratum")).agg(F.count(F.lit(1)).alias("c"))
         _check_strict(counts, strict)
         alloc = allocation(counts, rule)
-        out = join_small(rows, alloc.select(F.col("stratum").alias("__stratum"), "train_i"), "__stratum", "left")
+        out = join_small(rows, alloc.select(F.col("stratum").alias("__stratum"), "train_i"), "__stratum", "left", known_rows=counts.count())
         rn = F.row_number().over(Window.partitionBy("__stratum").orderBy("__h", key))
         out = out.withColumn(split_col, F.when(rn <= F.col("train_i"), F.lit(tr)).otherwise(F.lit(te)))
         return out.drop("__stratum", "__h", "train_i")

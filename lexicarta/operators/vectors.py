@@ -4,7 +4,7 @@ zeros, optional zero padding, masked mean pooling.
 Long form is the canonical layout: (doc_id, pos, token, in_vocab, vec).
 Only real tokens are stored; padding is produced on request.  The lookup
 is a left join on ``token``: broadcast when the vector table is under a
-checked row bound, otherwise a shuffle join whose hot tokens (one word
+bound in bytes, otherwise a shuffle join whose hot tokens (one word
 can hold a third of all rows) are split by AQE's skew-join handling.
 """
 
@@ -20,9 +20,6 @@ from ..functions import text as X
 from ..session import materialize
 from .joins import join_small
 
-# A 100-d float table of 2M tokens is ~0.9 GB: above that, shuffle instead.
-MAX_BROADCAST_VECTORS = 2_000_000
-
 
 def vector_table_from_corpus(docs: DataFrame, embeddings: DataFrame, text_col: str = "text") -> DataFrame:
     """S12 stand-in: the most frequent whitespace tokens of ``docs`` (count
@@ -53,7 +50,7 @@ def token_vectors(docs: DataFrame, vectors: DataFrame, dim: int, max_len: int =
     toks = X.explode_tokens(docs, key, X.truncate(X.whitespace_tokens(text_col), max_len), carry)
     v = vectors.select("token", F.col("vec").alias("__vec"))
     n = n_vectors if n_vectors is not None else v.count()
-    joined = join_small(toks, v, "token", "left", max_rows=MAX_BROADCAST_VECTORS, known_rows=n)
+    joined = join_small(toks, v, "token", "left", known_rows=n, elements=dim)
     return joined.select(key, *carry, "pos", "token",
                          F.col("__vec").isNotNull().cast("int").alias("in_vocab"),
                          F.coalesce(F.col("__vec"), zeros(dim)).alias("vec"))
@@ -81,28 +78,28 @@ def mean_pool(docs: DataFrame, vectors: DataFrame, dim: int, keys: Sequence[str]
 
     ``mask`` is a condition on the column ``token``: tokens that fail it count
     neither above nor below.  Unknown tokens are zero vectors; a document
-    without (unmasked) tokens is the zero vector.  Equal tokens of a document
-    are counted first and every task adds its vectors up before the
-    exchange, so a document costs one vector per task, not one per token.
-    ``keys`` must identify a document."""
+    without (unmasked) tokens is the zero vector.  Equal tokens are counted
+    inside the document's row; their vectors are looked up and added in the
+    same task (or, beyond the broadcast bound, where the tokens' vectors lie),
+    so a document crosses the network as one vector per task and no token row
+    is shuffled by document.  ``keys`` must identify a document."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
     keys = list(keys)
-    toks = X.explode_tokens(docs, keys[0], X.whitespace_tokens(text_col), keys[1:])
+    d = X.with_term_counts(docs.select(*keys, X.whitespace_tokens(text_col).alias("__tokens")), "__tokens", "__bag")
+    # an entry without a token keeps documents without any
+    none = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).alias("tf")))
+    rows = d.select(*keys, F.inline_outer(F.concat(F.coalesce("__bag", F.array().cast("array<struct<term:string,tf:int>>")), none)))
+    rows = rows.withColumnRenamed("term", "token")
     if mask is not None:
-        toks = toks.where(mask)
-    counts = toks.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
-    known = counts.join(vectors.select("token", F.col("vec").alias("__vec")), "token")
-    vec = array_to_vector(F.transform("__vec", lambda x: x.cast("double")))
-    sums = (known.select(*keys, vec.alias("__v"), F.col("__n").cast("double").alias("__w")).groupBy(*keys)
-            .agg(Summarizer.sum(F.col("__v"), F.col("__w")).alias("__s"))
-            .select(*keys, vector_to_array("__s").alias("__s")))
-    zero = F.array_repeat(F.lit(0.0), int(dim))
-    out = docs.select(*keys).join(total, keys, "left").join(sums, keys, "left")
-    den = F.greatest(F.coalesce(F.col("__total").cast("double"), F.lit(0.0)), F.lit(FX.MEAN_POOL_EPS))
-    out = out.select(*keys, F.coalesce("__s", zero).alias("__s"), den.alias("__d"))
+        rows = rows.where(mask | F.col("token").isNull())
+    known = join_small(rows, vectors.select("token", F.col("vec").alias("__vec")), "token", "left", known_rows=vectors.count(), elements=int(dim))
+    vec = array_to_vector(F.transform(F.coalesce("__vec", zeros(dim)), lambda x: x.cast("double")))
+    counted = F.sum(F.when(F.col("token").isNotNull(), F.col("tf")).otherwise(0))
+    sums = (known.select(*keys, "token", "tf", vec.alias("__v"), F.col("tf").cast("double").alias("__w")).groupBy(*keys)
+            .agg(Summarizer.sum(F.col("__v"), F.col("__w")).alias("__s"), counted.cast("double").alias("__total")))
+    out = sums.select(*keys, vector_to_array("__s").alias("__s"), F.greatest(F.col("__total"), F.lit(FX.MEAN_POOL_EPS)).alias("__d"))
     return out.select(*keys, F.zip_with("__s", F.array_repeat(F.col("__d"), int(dim)), lambda a, d: a / d).alias("embedding"))
 
 

@@ -27,9 +27,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import fixed as FX
+from ..functions import grams as G
 from ..functions import text as X
 from ..session import materialize
-from .joins import DEFAULT_MAX_BROADCAST_ROWS, join_small
+from .joins import join_small
 
 ANALYZERS = ("word", "char", "char_wb")
 
@@ -68,7 +69,10 @@ def analyze(df: DataFrame, analyzer: str, ngram_range: Sequence[int], key: str =
 
 def term_counts(df: DataFrame, analyzer: str = "word", ngram_range=(1, 1), key: str = "doc_id",
                 text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
-    """(key, term, tf) for every term of every document; no shuffle."""
+    """(key, term, tf) for every term of every document; no shuffle.
+    Character n-grams are counted as packed codes (``functions/grams.py``)."""
+    if analyzer in ("char", "char_wb"):
+        return G.document_counts(df, analyzer, int(ngram_range[0]), int(ngram_range[1]), [key, *carry], text_col)
     d = analyze(df, analyzer, ngram_range, key, text_col, carry)
     d = X.with_term_counts(d, "__terms", "__bag")
     # inline_outer + null filter: a plain inline makes Catalyst infer a
@@ -96,7 +100,10 @@ def fit_vocabulary(df: DataFrame, params: VectorizerParams, key: str = "doc_id",
     min_doc = _doc_bound(params.min_df, n_docs)
     if max_doc < min_doc:
         raise ValueError(f"no document frequency lies between {min_doc} and {max_doc}")
-    stats = corpus_stats(term_counts(df, params.analyzer, params.ngram_range, key, text_col))
+    if params.analyzer in ("char", "char_wb"):
+        stats = G.corpus_counts(df, params.analyzer, int(params.ngram_range[0]), int(params.ngram_range[1]), text_col)
+    else:
+        stats = corpus_stats(term_counts(df, params.analyzer, params.ngram_range, key, text_col))
     kept = stats.where((F.col("df") >= F.lit(min_doc)) & (F.col("df") <= F.lit(max_doc)))
     k = params.max_features
     if k is not None:
@@ -206,10 +213,7 @@ class TermVectorizerModel:
 
     def _vocab_join(self, rows: DataFrame) -> DataFrame:
         v = self.vocabulary.select("term", "term_idx", "idf")
-        bound = self.params.max_features
-        if bound is not None and bound <= DEFAULT_MAX_BROADCAST_ROWS:
-            return rows.join(F.broadcast(v), "term")
-        return join_small(rows, v, "term", known_rows=self.vocab_size)
+        return join_small(rows, v, "term", known_rows=self.params.max_features or self.vocab_size)
 
     def term_rows(self, df: DataFrame, key: str = "doc_id", text_col: str = "text",
                   carry: Sequence[str] = ()) -> DataFrame:

@@ -469,10 +469,32 @@ oracle("softmax_argmax", """WITH l AS (
 e AS (SELECT vec_id, l, list_transform(l, lambda x: exp(x - list_max(l))) AS e FROM l)
 SELECT vec_id, CAST(len(e) AS INTEGER) AS n_classes, round(e[1] / list_sum(e), 6) AS p_first, round(e[-1] / list_sum(e), 6) AS p_last,
        round(1.0 / list_sum(e), 6) AS p_max, CAST(list_position(l, list_max(l)) - 1 AS INTEGER) AS prediction FROM e""")
-oracle("mlp_baseline", f"""WITH p AS ({pooled_sql('true')}),
-h AS (SELECT doc_id, j, tanh(sum(value * ((3 * dim + 5 * j) % 7 - 3) / 2.0)) AS h FROM p CROSS JOIN range(0, 4) u(j) GROUP BY doc_id, j),
-o AS (SELECT doc_id, k, sum(h * ((j + 2 * k) % 5 - 2)) AS z FROM h CROSS JOIN range(0, 2) c(k) GROUP BY doc_id, k)
-SELECT doc_id, round(1.0 / (1.0 + exp(sum(CASE k WHEN 0 THEN z ELSE -z END))), 6) AS p1 FROM o GROUP BY doc_id""")
+
+
+def _network(epochs: int, lr: float) -> str:
+    """Chained CTEs of full-batch back-propagation (one tanh layer of four
+    units, softmax over two classes) over the pooled vectors."""
+    ctes = [f"p AS MATERIALIZED ({pooled_sql('true')})", "t AS (SELECT p.*, l.quality AS y FROM p JOIN labels l USING (doc_id))",
+            "nn AS (SELECT CAST(count(DISTINCT doc_id) AS DOUBLE) AS n FROM t)",
+            "u0 AS (SELECT dim, j, ((3 * dim + 5 * j) % 7 - 3) / 2.0 AS w FROM range(0, 64) a(dim), range(0, 4) b(j))",
+            "v0 AS (SELECT j, k, CAST((j + 2 * k) % 5 - 2 AS DOUBLE) AS w FROM range(0, 4) a(j), range(0, 2) b(k))"]
+    for e in range(epochs):
+        ctes += [
+            f"h{e} AS MATERIALIZED (SELECT doc_id, y, j, tanh(sum(value * w)) AS h FROM t JOIN u{e} USING (dim) GROUP BY doc_id, y, j)",
+            f"z{e} AS (SELECT doc_id, y, k, sum(h * w) AS z FROM h{e} JOIN v{e} USING (j) GROUP BY doc_id, y, k)",
+            f"""q{e} AS MATERIALIZED (SELECT doc_id, k, (exp(z - max(z) OVER d) / sum(exp(z - m)) OVER d - CAST(y = k AS INTEGER)) / n AS q
+  FROM (SELECT *, max(z) OVER (PARTITION BY doc_id) AS m FROM z{e}), nn WINDOW d AS (PARTITION BY doc_id))""",
+            f"""g{e} AS MATERIALIZED (SELECT doc_id, j, (1 - h * h) * sum(q * w) AS g FROM h{e} JOIN q{e} USING (doc_id) JOIN v{e} USING (j, k)
+  GROUP BY doc_id, j, h)""",
+            f"u{e + 1} AS MATERIALIZED (SELECT dim, j, w - {lr} * sum(value * g) AS w FROM u{e} JOIN t USING (dim) JOIN g{e} USING (doc_id, j) GROUP BY dim, j, w)",
+            f"v{e + 1} AS MATERIALIZED (SELECT j, k, w - {lr} * sum(h * q) AS w FROM v{e} JOIN h{e} USING (j) JOIN q{e} USING (doc_id, k) GROUP BY j, k, w)"]
+    return "WITH " + ",\n".join(ctes) + f""",
+h AS (SELECT doc_id, j, tanh(sum(value * w)) AS h FROM p JOIN u{epochs} USING (dim) GROUP BY doc_id, j),
+o AS (SELECT doc_id, k, sum(h * w) AS z FROM h JOIN v{epochs} USING (j) GROUP BY doc_id, k)
+SELECT doc_id, round(1.0 / (1.0 + exp(sum(CASE k WHEN 0 THEN z ELSE -z END))), 6) AS p1 FROM o GROUP BY doc_id"""
+
+
+oracle("mlp_baseline", _network(3, 0.5))
 oracle("batch_score", """SELECT vec_id, round(exp(l1 - m) / (exp(l0 - m) + exp(l1 - m)), 6) AS p1,
        CASE WHEN l1 > l0 THEN 1 ELSE 0 END AS prediction
 FROM (SELECT vec_id, l0, l1, greatest(l0, l1) AS m FROM (

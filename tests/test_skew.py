@@ -28,7 +28,7 @@ def test_dominant_domain_auc_equals_evaluator(spark):
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
     rows = [(i % 2 if i % 3 else 1, (i * 7919 % 1000) / 1000.0, "hot" if i % 9 else "cold") for i in range(9000)]
     df = spark.createDataFrame(rows, "label int, probability double, source string")
-    ours = {r["source"]: r["roc_auc"] for r in M.roc_auc(df, ["source"], n_blocks=16).collect()}
+    ours = {r["source"]: r["roc_auc"] for r in M.roc_auc(df, ["source"]).collect()}
     ev = BinaryClassificationEvaluator(numBins=0, rawPredictionCol="probability")
     hot = df.where("source = 'hot'").withColumn("label", F.col("label").cast("double"))
     assert abs(ours["hot"] - ev.evaluate(hot)) < 1e-12
@@ -37,7 +37,7 @@ def test_dominant_domain_auc_equals_evaluator(spark):
 def test_long_run_scans_match_plain_windows(spark):
     vals = [((i * 37) % 101) / 100.0 for i in range(3000)]
     df = spark.createDataFrame([("long", i, v) for i, v in enumerate(vals)], "run string, epoch int, val_f1 double")
-    m = {r["epoch"]: r for r in D.best_and_stop(df, patience=3, n_blocks=8).collect()}
+    m = {r["epoch"]: r for r in D.best_and_stop(df, patience=3).collect()}
     best, no_imp, stop = -1.0, 0, None
     for e, v in enumerate(vals):
         is_best = v > best
