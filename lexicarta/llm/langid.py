@@ -47,7 +47,8 @@ def fit(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str =
     ``dict_bytes`` in total.  The hash threshold comes from the number of
     distinct text hashes, so copies thin nothing.  Counting is partial-
     aggregated and only rows under the threshold are ranked, so no language
-    lands in one task.
+    lands in one task.  A language whose whole sample is under 8 bytes (the
+    least that a dictionary can be) has no dictionary and is never predicted.
     """
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),

@@ -443,13 +443,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_hash"))
     least = found.where("group is not null").groupBy("group").agg(F.min(first).alias("x")).select("x.doc_id", "x.row_hash")
     stay = least.unionByName(found.where("group is null").select("doc_id", "row_hash").distinct())
-    stay = stay.select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash"))
-    marked = docs.withColumn("__own", F.xxhash64(text_col))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash"))
-    kept = marked.join(stay, same, "left_semi")
-    repeated = (found.groupBy(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash")).agg(F.count("*").alias("__n"))
-                .where("__n > 1").drop("__n"))
+    # names are qualified: the caller's columns may have any name
+    same = F.col(f"d.`{id_col}`").eqNullSafe(F.col("s.doc_id")) & (F.xxhash64(F.col(f"d.`{text_col}`")) == F.col("s.row_hash"))
+
+    def joined(left, right, how):
+        return left.alias("d").join(right.alias("s"), same, how)
+
+    kept = joined(docs, stay, "left_semi")
+    repeated = found.groupBy("doc_id", "row_hash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     if repeated.isEmpty():  # ids are unique: no text is moved again
-        return kept.drop("__own")
-    once = kept.join(repeated, same, "left_semi").dropDuplicates([id_col, "__own"])
-    return kept.join(repeated, same, "left_anti").unionByName(once).drop("__own")
+        return kept
+    once = joined(kept, repeated, "left_semi").dropDuplicates([id_col, text_col])
+    return joined(kept, repeated, "left_anti").unionByName(once)

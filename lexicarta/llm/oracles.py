@@ -136,24 +136,27 @@ ruled AS (
   FROM urls LEFT JOIN rules ON (host = domain OR ends_with(host, '.' || domain)) AND starts_with(path, prefix) GROUP BY ALL),
 bad AS (
   SELECT doc_id AS page_id, max(toxic = 1 OR quality = 0) AS bad FROM labels WHERE (toxic = 1 OR quality = 0) IS NOT NULL GROUP BY 1),
+named AS (
+  SELECT DISTINCT page_id, host, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\.$', '') AS name FROM urls),
 hosts AS (
-  SELECT host, string_split(host, '.')[-1] AS suffix,
-         CASE WHEN contains(host, '.') THEN string_split(host, '.')[-2] || '.' || string_split(host, '.')[-1] ELSE host END AS domain,
-         CAST(count(*) AS DOUBLE) AS n, CAST(sum(bad::INT) AS DOUBLE) AS k FROM (SELECT DISTINCT page_id, host FROM urls) JOIN bad USING (page_id)
-  GROUP BY host),
+  SELECT name, CASE WHEN regexp_full_match(name, '[0-9]+(\.[0-9]+){3}') OR starts_with(name, '[') THEN name ELSE string_split(name, '.')[-1] END AS suffix,
+         CASE WHEN regexp_full_match(name, '[0-9]+(\.[0-9]+){3}') OR starts_with(name, '[') OR NOT contains(name, '.') THEN name
+              ELSE string_split(name, '.')[-2] || '.' || string_split(name, '.')[-1] END AS domain,
+         CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad::INT), 0) AS DOUBLE) AS k
+  FROM (SELECT DISTINCT page_id, name FROM named) LEFT JOIN bad USING (page_id) GROUP BY name),
 base AS (SELECT (coalesce(sum(k), 0) + 0.5) / (coalesce(sum(n), 0) + 1) AS p FROM hosts),
 s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT p FROM base) AS p FROM hosts GROUP BY 1),
-s1 AS (SELECT coalesce(sum(n * pow(k / n - p, 2) - p * (1 - p)) / nullif(sum((n - 1) * p * (1 - p)), 0), 0) AS rho FROM s0),
+s1 AS (SELECT coalesce(sum(n * pow(k / n - p, 2) - p * (1 - p)) / nullif(sum((n - 1) * p * (1 - p)), 0), 0) AS rho FROM s0 WHERE n > 0),
 s2 AS (SELECT suffix, (m * p + k) / (m + n) AS rate FROM s0, (SELECT 1 / least(0.5, greatest(0.001, rho)) - 1 AS m FROM s1)),
 d0 AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k, any_value(rate) AS p FROM hosts JOIN s2 USING (suffix) GROUP BY 1, 2),
-d1 AS (SELECT coalesce(sum(n * pow(k / n - p, 2) - p * (1 - p)) / nullif(sum((n - 1) * p * (1 - p)), 0), 0) AS rho FROM d0),
+d1 AS (SELECT coalesce(sum(n * pow(k / n - p, 2) - p * (1 - p)) / nullif(sum((n - 1) * p * (1 - p)), 0), 0) AS rho FROM d0 WHERE n > 0),
 d2 AS (SELECT domain, (m * p + k) / (m + n) AS rate FROM d0, (SELECT 1 / least(0.5, greatest(0.001, rho)) - 1 AS m FROM d1)),
-h0 AS (SELECT host, n, k, rate AS p FROM hosts JOIN d2 USING (domain)),
-h1 AS (SELECT coalesce(sum(n * pow(k / n - p, 2) - p * (1 - p)) / nullif(sum((n - 1) * p * (1 - p)), 0), 0) AS rho FROM h0),
-h2 AS (SELECT host, (m * p + k) / (m + n) AS rate, m + n AS w FROM h0, (SELECT 1 / least(0.5, greatest(0.001, rho)) - 1 AS m FROM h1))
-SELECT page_id, ruled.host, path, rule,
-       coalesce(action, CASE WHEN rate - 1.645 * sqrt(rate * (1 - rate) / (w + 1)) > 0.25 THEN 'block' ELSE 'allow' END) AS verdict
-FROM ruled LEFT JOIN h2 USING (host)
+h0 AS (SELECT name, n, k, rate AS p FROM hosts JOIN d2 USING (domain)),
+h1 AS (SELECT coalesce(sum(n * pow(k / n - p, 2) - p * (1 - p)) / nullif(sum((n - 1) * p * (1 - p)), 0), 0) AS rho FROM h0 WHERE n > 0),
+h2 AS (SELECT name, (m * p + k) / (m + n) AS rate, m + n AS w FROM h0, (SELECT 1 / least(0.5, greatest(0.001, rho)) - 1 AS m FROM h1))
+SELECT page_id, host, path, rule,
+       coalesce(action, CASE WHEN rate - 1.645 * sqrt(rate * (1 - rate) / (w + 1)) > p THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled JOIN (SELECT DISTINCT page_id, host, name FROM named) USING (page_id, host) LEFT JOIN h2 USING (name), base
 """
 
 ORACLES: dict[str, str] = {

@@ -6,7 +6,8 @@ Pieces are packed best-fit-decreasing inside every partition; nearly full
 bins are final, underfull bins travel on as items and are packed again with
 the bins of neighbouring partitions, round after round (tree merge).
 
-Defined cases: a null or empty text is the end id alone; repeated rows and
+Defined cases: a null or empty text is the end id alone; the string of a
+special token in a text becomes that token's id; repeated rows and
 ids are packed as separate documents; an empty table gives no rows; columns
 other than the id and the text are ignored.
 """
@@ -47,14 +48,14 @@ class ChunkEncoder:
 
     A token never crosses a single space between two non-space characters
     (the space opens the next token), so a text cut there gives the same ids
-    as the whole text.
+    as the whole text.  The file's special tokens hold no space: their
+    strings in a text stay inside a chunk and become their one id.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.table: dict[str, bytes] = {}
 
     def chunks(self, text: str) -> list[str]:

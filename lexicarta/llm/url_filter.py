@@ -4,12 +4,14 @@ Outcomes of labelled pages (bad or not) are counted per host, registered
 domain and suffix.  Each level's rate is shrunk towards its parent's by a
 beta prior whose strength is estimated from the spread between the groups of
 that level (beta-binomial moments).  A page is blocked when the lower
-posterior bound of its host's bad rate exceeds a limit.  DataFrame
-expressions only.
+posterior bound of its host's bad rate exceeds the base rate of all labelled
+pages by a factor.  DataFrame expressions only.
 
 Defined cases: a null url or one without ``://`` has an empty host and path
-and is judged as the host ''; a host without a dot is its own domain and
-suffix; a host without a labelled page is judged by its domain's rate, else
+and is judged as the host ''; user, port and a final dot belong to the host
+that is returned, but not to the name that is judged; an address in numbers
+or brackets is its own domain and suffix; a host without a dot is its own
+domain and suffix; a host without a labelled page is judged by its domain's rate, else
 its suffix's, else the base rate; no outcomes at all give the flat prior and
 allow, without a bound; a page labelled
 twice counts once, as bad if any label is; null labels count for nothing;
@@ -51,8 +53,20 @@ def rule_columns(host: Column, path: Column, rules: Rules) -> tuple[Column, Colu
     return rule, action
 
 
+def host_name(host: Column) -> Column:
+    """The name or address in a host: without user, port and final dot."""
+    bare = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+    return F.regexp_replace(bare, r"\.$", "")
+
+
 def host_levels(host: Column) -> tuple[Column, Column]:
-    """(registered domain, suffix) of a host."""
+    """(registered domain, suffix) of a name; an address is both itself."""
+    address = host.rlike(r"^[0-9]+(\.[0-9]+){3}$") | F.startswith(host, F.lit("["))
+    domain, suffix = _name_levels(host)
+    return F.when(address, host).otherwise(domain), F.when(address, host).otherwise(suffix)
+
+
+def _name_levels(host: Column) -> tuple[Column, Column]:
     last2 = F.substring_index(host, ".", -2)
     two = last2.isin(*TWO_LABEL_SUFFIXES) & (F.substring_index(host, ".", -3) != last2)
     suffix = F.when(two, last2).otherwise(F.substring_index(host, ".", -1))
@@ -74,8 +88,9 @@ def _strength(groups: DataFrame) -> float:
 
 def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     """``outcomes(host, bad)``, one row per page, ``bad`` null where it has no
-    label: (host, n, bad, rate, low) with the posterior mean and its lower
-    bound, of every host; hosts without a label (n = 0) weigh nothing.
+    label: (host, n, bad, rate, low, base) with the posterior mean and its
+    lower bound, of every host, and the base rate; hosts without a label
+    (n = 0) weigh nothing.
 
     Counts are pre-aggregated; every further step is one row per host,
     domain or suffix.  Only four numbers come to the driver."""
@@ -100,20 +115,23 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     weight = F.lit(strength) + F.col("n")
     spread = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (weight + 1))
     low = F.when(F.lit(bool(total.n)), F.col("rate") - F.lit(z) * spread)
-    return found.select("host", "n", "bad", "rate", low.alias("low"))
+    return found.select("host", "n", "bad", "rate", low.alias("low"), F.lit(base).alias("base"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Rules, max_bad: float = 0.25, z: float = 1.645,
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Rules, excess: float = 1.0, z: float = 1.645,
                 id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, low).  ``outcomes(page_id, bad)``.
+    A host is blocked when its lower bound exceeds ``excess`` times the base
+    rate.
 
     The pages meet their host's row in an equi-join; a hot host is a skewed
     key that adaptive execution splits on the side of the pages."""
     urls = pages.select(F.col(id_col).alias("page_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     known = outcomes.where("bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    judged = urls.select("page_id", "host").distinct().join(known, "page_id", "left").select("host", "bad")
+    urls = urls.withColumn("name", host_name(F.col("host")))
+    judged = urls.select("page_id", "name").distinct().join(known, "page_id", "left").select(F.col("name").alias("host"), "bad")
     reputation = host_reputation(judged, z)
     rule, action = rule_columns(F.col("host"), F.col("path"), rules)
-    method = F.when(F.col("low") > max_bad, "block").otherwise("allow")
-    return (urls.join(reputation.select("host", "low"), "host", "left")
+    method = F.when(F.col("low") > F.lit(excess) * F.col("base"), "block").otherwise("allow")
+    return (urls.join(reputation.select(F.col("host").alias("name"), "low", "base"), "name", "left")
             .select("page_id", "host", "path", rule.alias("rule"), F.coalesce(action, method).alias("verdict"), "low"))

@@ -123,5 +123,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, k: int =
 def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the contaminated ones."""
     bad = (decontaminate(docs, items, id_col=id_col, text_col=text_col, **options).where("contaminated")
-           .select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash")).distinct())
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash")), "left_anti")
+           .select("doc_id", "row_hash").distinct())
+    # names are qualified: the caller's columns may have any name
+    same = F.col(f"d.`{id_col}`").eqNullSafe(F.col("b.doc_id")) & (F.xxhash64(F.col(f"d.`{text_col}`")) == F.col("b.row_hash"))
+    return docs.alias("d").join(bad.alias("b"), same, "left_anti")

@@ -207,12 +207,37 @@ def test_host_levels(spark):
                    ("localhost", "localhost"), ("", "")]
 
 
+def test_ports_users_and_addresses(spark):
+    """They are returned with the host but not judged as names."""
+    hosts = ["u:p@host0.bad.net:8080", "10.1.2.3", "10.1.2.3:80", "[::1]:80", "x.org.", "1.2.3.org", ":80"]
+    name = url_filter.host_name(F.col("h"))
+    got = [tuple(r) for r in spark.createDataFrame([(h,) for h in hosts], "h string").select(name, *url_filter.host_levels(name)).collect()]
+    assert got == [("host0.bad.net", "bad.net", "net"), ("10.1.2.3",) * 3, ("10.1.2.3",) * 3, ("[::1]",) * 3, ("x.org", "x.org", "org"),
+                   ("1.2.3.org", "3.org", "org"), ("", "", "")]
+    urls = [f"http://bad.net:{k}/" for k in range(60)] + ["http://me@bad.net/new"] + [f"http://good.net/{k}" for k in range(200)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    outcomes = spark.createDataFrame([(k, k < 60) for k in range(len(urls)) if k != 60], "page_id long, bad boolean")
+    found = {r.page_id: r for r in url_filter.filter_urls(pages, outcomes, ()).collect()}
+    assert found[60].host == "me@bad.net" and all(found[k].verdict == ("block" if k <= 60 else "allow") for k in found)
+
+
 def test_url_filter_is_native(spark):
     pages = spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string")
     plan = url_filter.filter_urls(pages, spark.createDataFrame([(1, True)], "page_id long, bad boolean"), RULES)
     assert "Python" not in plan._jdf.queryExecution().toString()
 
 
+def test_special_tokens_in_texts_are_one_id(spark):
+    """The contract's call on whole texts: default handling of special tokens."""
+    plain = Tokenizer.from_file(BPE)
+    texts = ["x<|endoftext|>y", "<|endoftext|>", "a <|endoftext|> b", "a.<|endoftext|>,b <|endoftext|><|endoftext|> .", "<|endoftext|>..", "<|endoftext| >",
+             "\n<|endoftext|>\n  <|endoftext|>  ", "w<|endoftext|>., é<|endoftext|>é.,"]
+    got = {r.doc_id: r for r in packing.pack_documents(docs_frame(spark, texts), BPE).collect()}
+    for k, t in enumerate(texts):
+        ids = [*plain.encode(t, add_special_tokens=False).ids, packing.END_ID]
+        assert (got[k].length, got[k].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 # ---------------------------------------------------------------- sharding
 
 

@@ -17,7 +17,7 @@ TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 def test_registration():
     names = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert set(QUERIES) <= set(names) and "pipeline" in names and set(ORACLES) <= set(__spark_entry__.oracle_sql())
 
 
@@ -75,9 +75,13 @@ def test_pipeline_runs_whole(spark):
 
 def test_pipeline_on_odd_rows(spark):
     docs = docs_frame(spark, [None, "", "12", "a b c", "a b c", "the word " * 80], langs=[None, "en", "en", "en", "de", "en"])
-    docs = docs.withColumn("score", F.lit(1)).withColumn("spans", F.lit("x"))
+    extra = {"score": 1, "margin": "m", "n_words": -7, "lang_pred": "q", "__id": 5, "__hash": "h", "__own": 9, "row_hash": 3, "__text": "t", "carried_2": 8, "spans": "x"}
+    for name, value in extra.items():
+        docs = docs.withColumn(name, F.lit(value))
     for _, stage in corpus_pipeline.STAGES[:4]:
+        kinds = docs.dtypes
         docs = stage(spark, docs, SF)
-        assert docs.columns[-2:] == ["score", "spans"]
+        assert docs.dtypes == kinds
+        assert {tuple(r)[5:] for r in docs.collect()} == {tuple(extra.values())}
     assert corpus_pipeline.pack(spark, docs, SF).count() > 0
     assert corpus_pipeline.pack(spark, docs.limit(0), SF).count() == 0

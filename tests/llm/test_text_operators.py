@@ -317,3 +317,17 @@ def test_context_tables_are_the_parents_customers(spark):
     seated = two.rows.agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.min(F.col("n") - F.col("t")).alias("least"), F.min("t").alias("t1")).first()
     assert seated.least >= 0 and seated.t1 == 1 and two.rows.count() < seated.t < seated.n == 20 * 121
     assert pitman_yor._customers(two).agg(F.sum("n")).first()[0] == seated.t
+
+
+def test_filters_keep_columns_of_any_name(spark):
+    """Working columns never meet the caller's, whatever they are called."""
+    rng = random.Random(12)
+    texts = [" ".join(prose(rng, 40)) for _ in range(6)] * 2
+    docs = docs_frame(spark, texts).withColumn("row_hash", F.lit(1)).withColumn("n", F.lit("n"))
+    for name in ("__id", "__hash", "__own", "group"):
+        docs = docs.withColumn(name, F.lit(name))
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == list(range(6))
+    items = spark.createDataFrame([(1, texts[0])], "item_id long, text string")
+    clean = winnow.clean_documents(docs, items).collect()
+    assert sorted(r.doc_id for r in clean) == [k for k in range(12) if k % 6] and all(r["__own"] == "__own" for r in clean)
