@@ -9,12 +9,14 @@ returns one row per packed piece.
 Defined cases are those of the operators: rows without a text or a letter go
 at the first stage; repeated rows of one id and text become one document at
 the second; a document whose words all were repeated keeps its row with an
-empty text; empty tables stay empty; further columns of ``documents`` are
-carried along.
+empty text; empty tables stay empty; further columns of ``documents``,
+whatever their names, are carried along with their values (``n_chars`` is
+counted again at the third stage).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,26 +27,40 @@ from lexicarta.llm.common import Staged
 from lexicarta.llm.queries import read, tokenizer_path
 
 
+def carried(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all columns but the ``used`` ones under generated names,
+    so that no operator's working column meets one of the caller's, and the
+    way back to the caller's columns."""
+    names = {c: c if c in used else f"carried_{i}" for i, c in enumerate(docs.columns)}
+    back = lambda df: df.select(*[F.col(new).alias(old) for old, new in names.items()])
+    return docs.select(*[F.col(f"`{old}`").alias(new) for old, new in names.items()]), back
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go: no letters, or no language clearly ahead."""
+    docs, back = carried(docs, "doc_id", "text", "lang")
     model = langid.fit(docs, F.lit(True))
-    return langid.predict(docs, model, keep=True).where(~F.col("rejected")).select(*docs.columns)
+    return back(langid.predict(docs, model, keep=True).where(~F.col("rejected")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents stays: the least id."""
-    return ngram_join.keep_one(docs)
+    docs, back = carried(docs, "doc_id", "text")
+    return back(ngram_join.keep_one(docs))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that a document with a smaller id has go."""
-    kept = phrase_dedup.remove_repeats(docs)
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    kind = docs.schema["n_chars"].dataType
+    docs, back = carried(docs, "doc_id", "text")
+    kept = back(phrase_dedup.remove_repeats(docs))
+    return kept.withColumn("n_chars", F.length("text").cast(kind))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more stands in benchmark windows go."""
-    return winnow.clean_documents(docs, read(spark, sf_dir, "benchmark"))
+    docs, back = carried(docs, "doc_id", "text")
+    return back(winnow.clean_documents(docs, read(spark, sf_dir, "benchmark")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
