@@ -1,14 +1,19 @@
 """Sharding by balanced label propagation.
 
 Documents linked by an equal text should share a shard.  Every linked
-document starts on a hashed shard; in each round the groups that are not
-settled propose the shard with room that holds most of their members, later
-a shard drawn by its room, and settle there whole as far as its quota lets
-them, until all are settled or no shard has room.  Groups that are large
-against a shard (at most 64 per shard) come after the small ones, whole
-where they fit, else cut over what is left.  Unlinked documents then fill
-every shard to its exact row count, so counts differ by one at most.
-DataFrame expressions only.
+document starts on a hashed shard.  In each round a join brings every document
+the shards of its neighbours; those that do not stand where most of them stand
+ask to move there.  As many move from one shard to another as move back, and
+beyond that as many as the target has room for, so quotas hold throughout.
+Rounds go on while the number of cut edges (linked pairs in different shards)
+falls.
+
+Groups then settle: each on the shard that holds most of its members, as far
+as its quota lets it, the refused ones on a shard drawn by its room, until all
+are settled or no shard has room.  Groups that are large against a shard (at
+most 64 per shard) come after the small ones, whole where they fit, else cut
+over what is left.  Unlinked documents fill every shard to its exact row
+count, so counts differ by one at most.  DataFrame expressions only.
 
 Defined cases: a null text has no bytes (size 1, crc of the empty text) and
 links with nothing; empty texts are equal texts; repeated rows and ids are
@@ -28,6 +33,8 @@ from lexicarta.llm.common import Staged
 
 #: Rows that one ranking window should hold at most, on average.
 RANK_ROWS = 50_000
+#: Most rounds of propagation.
+ROUNDS = 8
 #: Buckets in which a shard's proposers are summed.
 EDGE_BUCKETS = 1024
 
@@ -50,6 +57,47 @@ def _ranked(rows: DataFrame, keys: list[str], bucket: Column, order: list, n: in
             .withColumn(name, F.col("__offset") + F.col("__rank") - 1).drop("__bucket", "__rank", "__offset"))
 
 
+def cut_edges(counts: DataFrame) -> int:
+    """Linked pairs in different shards, from ``counts(link, shard, n)``."""
+    pairs = counts.groupBy("link").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+    return int(pairs.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0)
+
+
+def _allowed(flow: dict[tuple[int, int], int], held: dict[int, int], goal: list[int]) -> dict[tuple[int, int], int]:
+    """Moves from shard to shard: exchanges, then what the target has room for."""
+    out = {(a, b): min(n, flow.get((b, a), 0)) for (a, b), n in flow.items()}
+    room = {s: max(0, goal[s] - held.get(s, 0)) for s in range(len(goal))}
+    for (a, b), n in sorted(flow.items()):
+        more = min(n - out[a, b], room[b])
+        out[a, b] += more
+        room[b] -= more
+    return out
+
+
+def propagate(staged: Staged, state: DataFrame, goal: list[int], rounds: int = ROUNDS) -> tuple[DataFrame, list[int]]:
+    """``state(row, link, shard)`` after the rounds, and the cut edges before
+    each round and at the end.  Only sums per pair of shards come to the
+    driver."""
+    state, cuts = staged.write(state), []
+    while True:
+        counts = staged.write(state.groupBy("link", "shard").agg(F.count("*").alias("n")))
+        cuts.append(cut_edges(counts))
+        if cuts[-1] == 0 or len(cuts) > rounds or len(cuts) > 1 and cuts[-1] >= cuts[-2]:
+            return state, cuts
+        wish = counts.groupBy("link").agg(F.max(F.struct("n", F.xxhash64("link", "shard").alias("tie"), "shard")).alias("x"))
+        movers = state.join(wish.select("link", F.col("x.shard").alias("to")), "link").where("shard <> to")
+        movers = staged.write(movers)
+        flow = {(r.shard, r.to): r.n for r in movers.groupBy("shard", "to").agg(F.count("*").alias("n")).collect()}
+        held = {r.shard: r.n for r in counts.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+        allowed = _allowed(flow, held, goal)
+        limit = F.create_map(*[F.lit(x) for (a, b), n in allowed.items() for x in (a * len(goal) + b, n)])
+        buckets = max(8, -(-sum(flow.values()) // RANK_ROWS))
+        # the members of a group stand together in the order of moves
+        ranked = _ranked(movers, ["shard", "to"], F.pmod(F.xxhash64("link", F.lit(len(cuts))), F.lit(buckets)), ["link", "row"], 0, "turn")
+        moved = ranked.where(F.col("turn") < limit[F.col("shard") * len(goal) + F.col("to")]).select("row", "to")
+        state = staged.write(state.join(moved, "row", "left").select("row", "link", F.coalesce("to", "shard").alias("shard")))
+
+
 def _propose(free: list[int], number: int) -> Column:
     """A shard with room for the group, null if none has: the one that holds
     most of its members, in later rounds one drawn by the shards' room."""
@@ -119,19 +167,23 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     """(doc_id, size, text_crc32, link, group_rows, shard, slot)."""
     staged = Staged(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = staged.write(docs.select(
+    rows = staged.write(docs.withColumn("__row", F.monotonically_increasing_id()).select(
+        F.col("__row").alias("row"),
         F.col(id_col).cast("bigint").alias("doc_id"), (F.octet_length(text) + 1).cast("bigint").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.when(F.col(text_col).isNotNull(), F.xxhash64(text, F.crc32(text.cast("binary")))).alias("link")))
     total = rows.count()
     goal = [total // shards + (s < total % shards) for s in range(shards)]
     start = F.pmod(F.xxhash64("doc_id", "link"), F.lit(shards)).cast("int")
-    groups = staged.write(rows.where("link is not null").withColumn("start", start).groupBy("link").agg(
-        F.count("*").alias("group_rows"), F.array(*[F.count_if(F.col("start") == s) for s in range(shards)]).alias("members"))
-        .where("group_rows > 1"))
+    members = F.array(*[F.count_if(F.col("shard") == s) for s in range(shards)]).alias("members")
+    groups = staged.write(rows.where("link is not null").withColumn("shard", start).groupBy("link").agg(
+        F.count("*").alias("group_rows"), members).where("group_rows > 1"))
     is_large = F.col("group_rows") * 64 > total // shards
     free = list(goal)
-    settled = _settle(staged, groups.where(~is_large), free)
+    small = groups.where(~is_large).select("link", "group_rows")
+    state, _ = propagate(staged, rows.join(small.select("link"), "link").select("row", "link", start.alias("shard")), goal)
+    moved = staged.write(state.groupBy("link").agg(members).join(small, "link"))
+    settled = _settle(staged, moved, free)
     pieces = _deal(groups.where(is_large).collect(), free)  # at most 64 groups a shard
     buckets = max(8, -(-total // (shards * RANK_ROWS)))
     spread = lambda salt: F.pmod(F.xxhash64(F.lit(salt), "doc_id", "link"), F.lit(buckets))

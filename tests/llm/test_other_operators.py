@@ -1,6 +1,7 @@
 """Chat formatting, packing, URL filter, sharding and nearest neighbours."""
 
 import hashlib
+import itertools
 import random
 import zlib
 from collections import defaultdict
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lexicarta.llm import ann, chat, packing, sharding, url_filter
+from lexicarta.llm.common import Staged
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -241,6 +243,28 @@ def test_special_tokens_in_texts_are_one_id(spark):
 # ---------------------------------------------------------------- sharding
 
 
+def test_propagation_moves_documents_to_their_neighbours(spark):
+    """Cut edges fall from round to round, as counted by brute force; quotas
+    hold; no document appears or vanishes."""
+    rng = random.Random(3)
+    rows = [(k, rng.randrange(60), rng.randrange(8)) for k in range(400)]
+    state, goal = spark.createDataFrame(rows, "row long, link long, shard int").repartition(4), [56] * 8
+    moved, cuts = sharding.propagate(Staged(spark), state, goal)
+    moved = [tuple(r) for r in moved.collect()]
+
+    def cut(rows):
+        by = defaultdict(list)
+        for _, link, shard in rows:
+            by[link].append(shard)
+        return sum(a != b for g in by.values() for a, b in itertools.combinations(g, 2))
+
+    assert sorted((r, g) for r, g, _ in moved) == sorted((r, g) for r, g, _ in rows)
+    assert cuts[0] == cut(rows) and cuts[-1] == cut(moved) and len(cuts) > 2
+    assert all(a > b for a, b in zip(cuts, cuts[1:-1])) and cuts[-1] < cuts[0] / 4
+    before, after = ([sum(s == k for _, _, s in x) for k in range(8)] for x in (rows, moved))
+    assert all(b <= max(a, g) for a, b, g in zip(before, after, goal))
+
+
 @pytest.mark.parametrize("hot", [0, 70])
 def test_sharding_is_even_gapless_and_keeps_groups(spark, hot):
     rng = random.Random(hot)
