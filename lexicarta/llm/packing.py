@@ -40,15 +40,16 @@ _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigi
 _BIN = "bin_id bigint, fill int, members array<struct<doc_id:bigint, piece:int, start:bigint, length:bigint, ids_crc32:bigint, offset:int, ids:binary>>"
 
 _encoders: dict[str, ChunkEncoder] = {}
-_LOOSE_SPACE = re.compile(r"\s\s|^\s|\s$|[^\S ]")
+#: Other white space than single spaces and line ends between words, or the mark that cuts are made with.
+_LOOSE_SPACE = re.compile(r"\s\s|^\s|\s$|[^\S \n]|\0")
 
 
 class ChunkEncoder:
     """Ids of a byte-level BPE file, through a table of encoded chunks.
 
     A token never crosses a single space between two non-space characters
-    (the space opens the next token), so a text cut there gives the same ids
-    as the whole text.  The file's special tokens hold no space: their
+    (the space opens the next token), nor a single line end (a token of its
+    own), so a text cut there gives the same ids as the whole text.  The file's special tokens hold no space: their
     strings in a text stay inside a chunk and become their one id.
     """
 
@@ -59,10 +60,9 @@ class ChunkEncoder:
         self.table: dict[str, bytes] = {}
 
     def chunks(self, text: str) -> list[str]:
-        parts = text.split(" ")
-        first, rest = parts[0], parts[1:]
         if not _LOOSE_SPACE.search(text):
-            return [first, *[" " + p for p in rest]]
+            return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+        first, *rest = text.split(" ")
         out, open_ = [], first
         for p in rest:
             if open_ and p and not open_[-1].isspace() and not p[0].isspace():
