@@ -79,15 +79,18 @@ class ChunkEncoder:
             self.table.clear()
         table = self.table
         cut = [self.chunks(t) for t in texts]
-        new = {c for chunks in cut for c in chunks if c not in table}
+        found = [list(map(table.get, chunks)) for chunks in cut]
+        open_ = [k for k, ids in enumerate(found) if None in ids]
+        new = {c for k in open_ for c, ids in zip(cut[k], found[k]) if ids is None}
         # a letter and the full stops or commas after it never share a token
         halves = {c: (body, c[len(body):]) for c in new if (body := c.rstrip(".,")) != c and body[-1:].isalpha() and body[-1] < "\u0250"}
         bare = {body for body, _ in halves.values()} | {tail for _, tail in halves.values()} | (new - halves.keys())
         self._learn([c for c in bare if c not in table])
         for c, (body, tail) in halves.items():
             table[c] = table[body] + table[tail]
-        get = table.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in cut]
+        for k in open_:
+            found[k] = map(table.__getitem__, cut[k])
+        return [b"".join(ids) for ids in found]
 
     def _learn(self, chunks: list[str]) -> None:
         for i in range(0, len(chunks), 20_000):
