@@ -6,10 +6,19 @@ becomes partition pruning."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator, Sequence
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..operators.joins import join_small
 from ..schema import MULTICLASS_RAW, NESTED_QA, SPLIT_CSV
+from ..session import materialize, staged_table
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -25,32 +34,134 @@ def _require(spark: SparkSession, path: str, what: str) -> None:
 
 
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Header CSV with quoted multi-line fields (as pandas writes them).
-    Multi-line CSV cannot be split inside a file, which is why Parquet is
-    the form to keep at scale."""
+    """Header CSV with quoted multi-line fields by Spark's own reader, which
+    gives a whole file to one task.  ``read_csv_records`` reads the same
+    records with as many tasks as the files have splits."""
     return (spark.read.schema(schema).option("header", True).option("multiLine", True)
             .option("escape", '"').option("quote", '"').csv(path))
 
 
-def _with_positions(df: DataFrame, name: str, start: int) -> tuple[DataFrame, int]:
-    """``df`` with the row position, from ``start`` on, and the row count.
+#: A line as it is staged: its number in the file split, the parity of the
+#: quotes before it in the split, whether its own quotes are odd, and how many
+#: records start up to it if the split starts outside or inside a field.
+_LINE = "part int, file string, block bigint, line bigint, inside boolean, odd boolean, n_out bigint, n_in bigint, value string"
+
+
+def _mark_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Running line, quote and record-start counts of every file split.
+
+    The lines of a split come in order inside one task, so what is carried
+    from batch to batch is one split's counts."""
+    last, carry = None, np.zeros(4, np.int64)  # quotes, lines, starts outside, starts inside
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part, file, block, value = (batch.column(c) for c in ("part", "file", "block", "value"))
+        quotes = pc.count_substring(value, pattern='"').to_numpy(zero_copy_only=False).astype(np.int64)
+        blank = pc.is_in(value, value_set=pa.array(["", "\r"])).to_numpy(zero_copy_only=False)
+        names = file.dictionary_encode()
+        key = np.stack([part.to_numpy(), names.indices.to_numpy(), block.to_numpy()])
+        new = np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)]
+        first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+
+        def running(steps: np.ndarray, at: int) -> np.ndarray:
+            """Sums within the split, ``steps`` included."""
+            total = np.cumsum(steps)
+            total = total - (total - steps)[first]
+            return total + np.where(first == 0, carry[at], 0)
+
+        here = (part[0].as_py(), file[0].as_py(), block[0].as_py())
+        if here != last:
+            carry = np.zeros(4, np.int64)
+        sums = running(quotes, 0)
+        inside = (sums - quotes) % 2 == 1
+        lines = running(np.ones(len(new), np.int64), 1)
+        n_out, n_in = running((~inside & ~blank).astype(np.int64), 2), running((inside & ~blank).astype(np.int64), 3)
+        last = (part[-1].as_py(), file[-1].as_py(), block[-1].as_py())
+        carry = np.array([sums[-1], lines[-1], n_out[-1], n_in[-1]])
+        yield pa.RecordBatch.from_arrays(
+            [part, file, block, pa.array(lines), pa.array(inside), pa.array(quotes % 2 == 1), pa.array(n_out), pa.array(n_in), value],
+            ["part", "file", "block", "line", "inside", "odd", "n_out", "n_in", "value"])
+
+
+def read_csv_records(spark: SparkSession, paths: Sequence[str], schema: T.StructType, position: str) -> DataFrame:
+    """Header CSV files with quoted multi-line fields, read by splits.
+
+    Returns the columns of ``schema``, ``part`` (the place of the record's path
+    in ``paths``) and ``position``: the record's place over all ``paths``, the
+    files of a path in the order of their names.
+
+    A line starts a record when the quotes before it in its file are even.
+    One scan counts quotes and possible record starts per split and stages the
+    lines as Parquet in the shared checkpoint folder; prefix sums over one row
+    per split then say where every split starts.  Records of one line, and
+    lines of records over several, need no order any more: only the latter are
+    brought together, by record.
+
+    Lines end with LF or CRLF.  Fields that hold quotes or line ends must be
+    quoted, quotes in them doubled (as pandas and Spark write them).  Empty
+    lines between records are skipped, files of a header or nothing give no
+    row, short records end in nulls; a file whose quotes do not close raises
+    when its rows are read."""
+    scans = [spark.read.option("lineSep", "\n").text(p).select(
+        F.lit(i).alias("part"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), "value") for i, p in enumerate(paths)]
+    lines = staged_table(reduce(DataFrame.unionAll, scans).mapInArrow(_mark_lines, _LINE), "csv-lines")
+
+    splits = lines.groupBy("part", "file", "block").agg(
+        F.sum(F.col("odd").cast("int")).alias("odd"), F.max("n_out").alias("n_out"), F.max("n_in").alias("n_in"))
+    before = Window.partitionBy("part", "file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("part", "file")
+    splits = (splits.withColumn("starts_in", F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2 == 1)
+              .withColumn("n", F.when(F.col("starts_in"), F.col("n_in")).otherwise(F.col("n_out")))
+              .withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+              .withColumn("records", F.sum("n").over(whole))
+              .withColumn("open", F.sum("odd").over(whole) % 2 == 1))
+    # one row per file: the header is no record
+    files = splits.groupBy("part", "file").agg(F.first("records").alias("records"))
+    earlier = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("part", "file", F.coalesce(F.sum(F.greatest(F.col("records") - 1, F.lit(0))).over(earlier), F.lit(0)).alias("base"))
+    splits = materialize(splits.join(files, ["part", "file"]).select("part", "file", "block", "starts_in", "before", "base", "open"))
+
+    known = join_small(lines, splits, ["part", "file", "block"], known_rows=splits.count())
+    unclosed = F.raise_error(F.concat(F.lit("quotes do not close in "), F.col("file"))).cast("boolean")
+    known = known.select("part", "file", "block", "line", "base", "odd", "value",
+                         F.when(F.col("open"), unclosed).otherwise(F.col("inside") != F.col("starts_in")).alias("inside"),
+                         (F.col("before") + F.when(F.col("starts_in"), F.col("n_in")).otherwise(F.col("n_out"))).alias("n"))
+    alone = ~F.col("inside") & ~F.col("odd")
+    single = known.where(alone & ~F.col("value").isin("", "\r"))
+    pieces = F.sort_array(F.collect_list(F.struct("block", "line", "value")))
+    several = (known.where(~alone).groupBy("part", "file", "n").agg(F.first("base").alias("base"), pieces.alias("pieces"))
+               .select("part", "base", "n", F.array_join(F.transform("pieces", lambda p: p["value"]), "\n").alias("value")))
+    records = single.select("part", "base", "n", "value").unionByName(several).where(F.col("n") > 1)
+    options = {"quote": '"', "escape": '"', "multiLine": "true", "lineSep": "\n"}
+    row = F.from_csv(F.regexp_replace("value", "\r$", ""), schema.simpleString()[len("struct<"):-1].replace(":", " "), options)
+    return records.select(row.alias("row"), "part", (F.col("base") + F.col("n") - 2).alias(position)).select("row.*", "part", position)
+
+
+def _with_positions(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the row position over all its files.
 
     Spark packs files into tasks by size, so the order of tasks is not the
     order of files.  Inside a file the running id does rise with the rows:
     counts per (file, task) give every piece its offset, pieces ordered by
-    file path and first id."""
+    file path and first id.  The rows are read once and staged."""
     marked = df.withColumn("__file", F.input_file_name()).withColumn("__mono", F.monotonically_increasing_id())
-    marked = marked.withColumn("__task", F.shiftright("__mono", 33))
+    marked = staged_table(marked.withColumn("__task", F.shiftright("__mono", 33)), "positions")
+    pieces = marked.groupBy("__file", "__task").agg(F.count("*").alias("__n"), F.min("__mono").alias("__lo"))
     # one row per file piece
-    pieces = sorted(marked.groupBy("__file", "__task").agg(F.count("*").alias("n"), F.min("__mono").alias("lo")).collect(),
-                    key=lambda r: (r["__file"], r["lo"]))
-    offsets, at = [], start
-    for r in pieces:
-        offsets.append((r["__file"], r["__task"], at - r["lo"]))
-        at += r["n"]
-    table = df.sparkSession.createDataFrame(offsets, "__file string, __task bigint, __shift bigint")
-    out = marked.join(table, ["__file", "__task"]).withColumn(name, F.col("__mono") + F.col("__shift"))
-    return out.drop("__file", "__task", "__mono", "__shift"), at - start
+    earlier = Window.orderBy("__file", "__lo").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__lo")
+    table = materialize(pieces.select("__file", "__task", shift.alias("__shift")))
+    out = join_small(marked, table, ["__file", "__task"], known_rows=table.count())
+    return out.withColumn(name, F.col("__mono") + F.col("__shift")).drop("__file", "__task", "__mono", "__shift")
+
+
+_SPLITS = ("train", "test")
+
+
+def _split_name(part: str = "part"):
+    return F.element_at(F.array(*[F.lit(s) for s in _SPLITS]), F.col(part) + 1)
 
 
 def read_split_csvs(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -58,29 +169,22 @@ def read_split_csvs(spark: SparkSession, base: str, name: str) -> DataFrame:
     a ``split`` column; a missing file is an error.  ``doc_id`` is the row
     position (the reference's only identity): train rows first, then test
     rows, so ids are unique over both splits."""
-    out, taken = None, 0
-    for split in ("train", "test"):
-        path = f"{base.rstrip('/')}/{name}_{split}.csv"
+    paths = [f"{base.rstrip('/')}/{name}_{split}.csv" for split in _SPLITS]
+    for split, path in zip(_SPLITS, paths):
         _require(spark, path, f"{split.capitalize()} split")
-        df, n = _with_positions(read_csv(spark, path, SPLIT_CSV).withColumn("split", F.lit(split)), "doc_id", taken)
-        taken += n
-        out = df if out is None else out.unionByName(df)
-    return out
+    rows = read_csv_records(spark, paths, SPLIT_CSV, "doc_id")
+    return rows.select(*SPLIT_CSV.names, _split_name().alias("split"), "doc_id")
 
 
 def read_multiclass_raw(spark: SparkSession, base: str) -> DataFrame:
     """Raw ``train.csv`` / ``test.csv`` (``Generation``, ``label``) with a
     literal ``split`` per file and a file-order key (doc_id, pos=0), unique
     over both splits."""
-    out, taken = None, 0
-    for split in ("train", "test"):
-        path = f"{base.rstrip('/')}/{split}.csv"
+    paths = [f"{base.rstrip('/')}/{split}.csv" for split in _SPLITS]
+    for path in paths:
         _require(spark, path, "Missing split file")
-        df, n = _with_positions(read_csv(spark, path, MULTICLASS_RAW).withColumn("split", F.lit(split)), "doc_id", taken)
-        df = df.withColumn("pos", F.lit(0).cast("bigint"))
-        taken += n
-        out = df if out is None else out.unionByName(df)
-    return out
+    rows = read_csv_records(spark, paths, MULTICLASS_RAW, "doc_id")
+    return rows.select(*MULTICLASS_RAW.names, _split_name().alias("split"), "doc_id", F.lit(0).cast("bigint").alias("pos"))
 
 
 def read_nested_qa(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
@@ -88,10 +192,9 @@ def read_nested_qa(spark: SparkSession, path: str, fmt: str = "json") -> DataFra
     part 0 and an id from the file order (sources with ids keep them; a
     source that has them on some rows only is refused by the key's users)."""
     fields = [f for f in NESTED_QA.fields if f.name not in ("item_id", "part")]
-    from pyspark.sql import types as T
     schema = T.StructType(fields + [T.StructField("item_id", T.LongType(), True),
                                     T.StructField("part", T.IntegerType(), True)])
-    df, _ = _with_positions(spark.read.schema(schema).format(fmt).load(path), "__position", 0)
+    df = _with_positions(spark.read.schema(schema).format(fmt).load(path), "__position")
     return df.select(F.coalesce("item_id", "__position").alias("item_id"),
                      F.coalesce("part", F.lit(0)).alias("part"), "question", "source",
                      "human_answers", "chatgpt_answers")
