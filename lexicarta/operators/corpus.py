@@ -60,8 +60,9 @@ def length_funnel(df: DataFrame, n: int, text_col: str = "text") -> DataFrame:
 
 
 def dedupe_first(df: DataFrame, order_cols: Sequence[str], text_col: str = "text",
-                 scope: Sequence[str] = ()) -> DataFrame:
-    """Drop duplicate texts, first row (by ``order_cols``) wins.
+                 scope: Sequence[str] = (), keep: Sequence[str] | None = None) -> DataFrame:
+    """Drop duplicate texts, first row (by ``order_cols``) wins; only
+    the columns ``keep`` (all by default) travel and are returned.
 
     Grouping is on the SHA-256 of the text (plus the ``scope`` columns, e.g.
     ``['split']`` for per-split dedupe), so the shuffle key is 32 bytes while
@@ -69,7 +70,7 @@ def dedupe_first(df: DataFrame, order_cols: Sequence[str], text_col: str = "text
     declarative aggregate: map-side partial aggregation collapses a hot
     duplicate (one text repeated a billion times) before the shuffle.
     """
-    cols = df.columns
+    cols = list(keep or df.columns)
     key = F.sha2(F.col(text_col), 256)
     order = F.struct(*[F.col(c) for c in order_cols])
     grouped = (df.groupBy(*[F.col(c) for c in scope], key.alias("__text_key"))
@@ -89,34 +90,42 @@ def domain_filter(df: DataFrame, domain: str | None, allowed: Iterable[str] | No
     return df.where(F.col(source_col) == F.lit(domain))
 
 
-def prepare_qa(nested: DataFrame, min_chars: int = MIN_CHARS_QA) -> DataFrame:
-    """QA path: flatten -> clean (P2) -> min length -> first-wins dedupe.
+def _first_of_length(df: DataFrame, order_cols: Sequence[str], min_chars: int, keep: Sequence[str] | None,
+                     scope: Sequence[str] = ()) -> DataFrame:
+    """First-wins dedupe, then the length test.
 
-    The length test runs after the dedupe: length is a function of the
-    dedupe key (the cleaned text), so whole duplicate groups pass or fail
-    together and the result is the same, while a filter placed before the
-    dedupe is pushed into the scan by Catalyst with the cleaning regex
-    inlined, running it twice per row.
-    """
+    The length is a function of the dedupe key (the cleaned text), so whole
+    duplicate groups pass or fail together and the result is the same, while
+    a filter placed before the dedupe is pushed into the scan by Catalyst
+    with the cleaning regex inlined, running it twice per row.  With ``keep``
+    the text's length travels instead of the text."""
+    if keep is None:
+        return min_length(dedupe_first(df, order_cols, scope=scope), min_chars)
+    sized = df.withColumn("__length", F.length("text"))
+    firsts = dedupe_first(sized, order_cols, scope=scope, keep=[*keep, "__length"])
+    return firsts.where(F.col("__length") >= F.lit(min_chars)).drop("__length")
+
+
+def prepare_qa(nested: DataFrame, min_chars: int = MIN_CHARS_QA, keep: Sequence[str] | None = None) -> DataFrame:
+    """QA path: flatten -> clean (P2) -> first-wins dedupe -> min length.
+    ``keep`` names the columns wanted when the text is not."""
     flat = flatten_qa(nested).withColumn("text", X.clean_text_qa("text"))
-    return min_length(dedupe_first(flat, ["item_id", "label", "part", "idx"]), min_chars)
+    return _first_of_length(flat, ["item_id", "label", "part", "idx"], min_chars, keep)
 
 
 def prepare_multiclass(raw: DataFrame, min_chars: int = MIN_CHARS_MULTICLASS,
                        order_cols: Sequence[str] = ("doc_id", "pos")) -> DataFrame:
     """Multi-class path, per given split: rename, binarise, clean (P1),
-    min length, dedupe inside each split (cross-split copies survive).
-    Length is tested after the dedupe (same rows; see ``prepare_qa``)."""
+    dedupe inside each split (cross-split copies survive), min length."""
     df = rename_multiclass(raw).withColumn("text", X.clean_text("text"))
-    return min_length(dedupe_first(df, list(order_cols), scope=["split"]), min_chars)
+    return _first_of_length(df, list(order_cols), min_chars, None, scope=["split"])
 
 
 def prepare_labelled(df: DataFrame, min_chars: int = MIN_CHARS_MULTICLASS,
-                     cleaner=X.clean_text) -> DataFrame:
-    """Flat labelled corpus: clean -> min length -> first-wins by doc_id
-    (length tested after the dedupe: same rows; see ``prepare_qa``)."""
-    cleaned = df.withColumn("text", cleaner("text"))
-    return min_length(dedupe_first(cleaned, ["doc_id"]), min_chars)
+                     cleaner=X.clean_text, keep: Sequence[str] | None = None) -> DataFrame:
+    """Flat labelled corpus: clean -> first-wins by doc_id -> min length.
+    ``keep`` names the columns wanted when the text is not."""
+    return _first_of_length(df.withColumn("text", cleaner("text")), ["doc_id"], min_chars, keep)
 
 
 def split_leakage(df: DataFrame, text_col: str = "text", split_col: str = "split") -> DataFrame:

@@ -15,15 +15,19 @@ Two physical plans give the same rows:
   one boundary bucket per stratum from those counts, rank only that
   bucket's rows to get the cut-off (hash, key), and assign every row with a
   narrow comparison against a per-stratum table.  No task ever holds a
-  whole stratum.
+  whole stratum.  ``fit_split`` reads the key and the strata only and gives
+  these cut-offs as a ``SplitModel``, which is applied lazily, to the rows it
+  was fitted on, to others or to a stream, and can be saved.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import fixed as FX
@@ -97,11 +101,11 @@ def stratified_split(df: DataFrame, strata: Sequence[str] = ("label", "source"),
     """
     if n_train_rule is None and test_size is None and test_rows is None and train_rows is None:
         raise ValueError("give test_size, test_rows or train_rows")
-    tr, te = labels
-    rows = df.withColumn("__stratum", _stratum(strata)).withColumn("__h", _order_hash(key, seed))
     rule = n_train_rule or _n_train_rule(test_size, test_rows, train_rows, min_test)
 
     if method == "window":
+        tr, te = labels
+        rows = df.withColumn("__stratum", _stratum(strata)).withColumn("__h", _order_hash(key, seed))
         counts = rows.groupBy(F.col("__stratum").alias("stratum")).agg(F.count(F.lit(1)).alias("c"))
         _check_strict(counts, strict)
         alloc = allocation(counts, rule)
@@ -111,40 +115,79 @@ def stratified_split(df: DataFrame, strata: Sequence[str] = ("label", "source"),
         return out.drop("__stratum", "__h", "train_i")
     if method != "bucket":
         raise ValueError(f"unknown method {method!r}")
-
-    rows = rows.withColumn("__b", F.substring("__h", 1, int(bucket_hex)))
-    # pass 1 (eager): rows per (stratum, bucket); at most strata x 16^bucket_hex rows
-    bcnt = materialize(rows.groupBy(F.col("__stratum").alias("stratum"), F.col("__b").alias("b"))
-                       .agg(F.count(F.lit(1)).alias("cnt")))
+    return fit_split(df, strata, key=key, rule=rule, seed=seed, bucket_hex=bucket_hex, strict=strict,
+                     split_col=split_col, labels=labels).transform(df)
+
+
+@dataclass
+class SplitModel:
+    """One cut-off (hash, key) per stratum: rows up to it train.
+
+    ``cutoffs``: (stratum, hash, key), null where no row of the stratum trains.
+    Rows of strata that the fit has not seen train by the overall ``share``."""
+
+    cutoffs: DataFrame
+    strata: list[str]
+    key: str
+    seed: int
+    share: float
+    n_strata: int
+    split_col: str = "split"
+    labels: tuple[str, str] = ("train", "test")
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` (also a stream) with ``split_col``; a narrow comparison."""
+        cut = self.cutoffs.select(F.col("stratum").alias("__stratum"), F.col("hash").alias("__hcut"), F.col("key").alias("__kcut"),
+                                  F.lit(True).alias("__seen"))
+        rows = df.withColumn("__stratum", _stratum(self.strata)).withColumn("__h", _order_hash(self.key, self.seed))
+        rows = join_small(rows, cut, "__stratum", "left", known_rows=self.n_strata)
+        known = (F.col("__h") < F.col("__hcut")) | ((F.col("__h") == F.col("__hcut")) & (F.col(self.key) <= F.col("__kcut")))
+        low = F.conv(F.substring("__h", 1, 8), 16, 10).cast("double") < F.lit(self.share * 2.0 ** 32)
+        trains = F.coalesce(F.when(F.col("__seen"), known).otherwise(low), F.lit(False))
+        out = rows.withColumn(self.split_col, F.when(trains, F.lit(self.labels[0])).otherwise(F.lit(self.labels[1])))
+        return out.drop("__stratum", "__h", "__hcut", "__kcut", "__seen")
+
+    def save(self, path: str) -> None:
+        """Cut-offs as Parquet, the rest as one JSON row beside them."""
+        self.cutoffs.write.mode("overwrite").parquet(f"{path.rstrip('/')}/cutoffs")
+        fields = {k: v for k, v in vars(self).items() if k != "cutoffs"}
+        self.cutoffs.sparkSession.createDataFrame([(json.dumps(fields),)], "params string").coalesce(1).write.mode("overwrite").text(
+            f"{path.rstrip('/')}/params")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> SplitModel:
+        fields = json.loads(spark.read.text(f"{path.rstrip('/')}/params").first()[0])
+        fields["labels"] = tuple(fields["labels"])
+        return SplitModel(spark.read.parquet(f"{path.rstrip('/')}/cutoffs"), **fields)
+
+
+def fit_split(df: DataFrame, strata: Sequence[str] = ("label", "source"), *, key: str = "doc_id", rule=None,
+              test_size: float = FX.TEST_SIZE, seed: int = FX.SEED, bucket_hex: int = 4, strict: bool = False,
+              split_col: str = "split", labels: tuple[str, str] = ("train", "test")) -> SplitModel:
+    """Cut-offs of the stratified split of ``df``, of which only the key and
+    the strata are read (and checkpointed: two narrow columns).  ``rule`` gives
+    the train size as a Column of the row count; by default a ``test_size``
+    share tests."""
+    rule = rule or _n_train_rule(test_size, None, None)
+    rows = materialize(df.select(F.col(key), _stratum(strata).alias("stratum")))
+    rows = rows.withColumn("hash", _order_hash(key, seed)).withColumn("b", F.substring("hash", 1, int(bucket_hex)))
+    # at most strata x 16^bucket_hex rows
+    bcnt = materialize(rows.groupBy("stratum", "b").agg(F.count(F.lit(1)).alias("cnt")))
     counts = bcnt.groupBy("stratum").agg(F.sum("cnt").alias("c"))
     _check_strict(counts, strict)
-    alloc = allocation(counts, rule)
-    w = Window.partitionBy("stratum").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bc = (bcnt.join(F.broadcast(alloc.select("stratum", "train_i")), "stratum")
-          .withColumn("cum_incl", F.sum("cnt").over(w))
-          .withColumn("cum_before", F.col("cum_incl") - F.col("cnt")))
-    # boundary bucket: first bucket whose inclusive count reaches train_i
-    bnd = (bc.where(F.col("cum_incl") >= F.col("train_i"))
-           .groupBy("stratum")
-           .agg(F.min_by(F.struct("b", (F.col("train_i") - F.col("cum_before")).alias("need")), F.col("b")).alias("x"))
-           .select(F.col("stratum").alias("__stratum"), F.col("x.b").alias("__bstar"), F.col("x.need").alias("__need")))
-    bnd = materialize(bnd)
-    n_strata = bnd.count()
-    # pass 2 (eager): cut-off (hash, key) of the need-th row of each boundary bucket
-    cand = join_small(rows.select("__stratum", "__b", "__h", key), bnd, "__stratum", known_rows=n_strata)
-    cand = cand.where((F.col("__b") == F.col("__bstar")) & (F.col("__need") > 0))
-    rk = F.row_number().over(Window.partitionBy("__stratum").orderBy("__h", key))
-    cut = (cand.withColumn("__rk", rk).where(F.col("__rk") == F.col("__need"))
-           .select("__stratum", F.col("__h").alias("__hcut"), F.col(key).alias("__kcut")))
-    thr = materialize(bnd.join(cut, "__stratum", "left"))
-    # pass 3 (lazy): every row against its stratum's cut-off (one row per stratum)
-    out = join_small(rows, thr, "__stratum", "left", known_rows=n_strata)
-    in_train = ((F.col("__b") < F.col("__bstar"))
-                | ((F.col("__b") == F.col("__bstar")) & F.col("__hcut").isNotNull()
-                   & ((F.col("__h") < F.col("__hcut"))
-                      | ((F.col("__h") == F.col("__hcut")) & (F.col(key) <= F.col("__kcut"))))))
-    out = out.withColumn(split_col, F.when(F.coalesce(in_train, F.lit(False)), F.lit(tr)).otherwise(F.lit(te)))
-    return out.drop("__stratum", "__h", "__b", "__bstar", "__need", "__hcut", "__kcut")
+    alloc = materialize(allocation(counts, rule))
+    sizes = alloc.agg(F.count(F.lit(1)).alias("strata"), F.sum("c").alias("n"), F.sum("train_i").alias("train")).first()
+    running = Window.partitionBy("stratum").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = join_small(bcnt, alloc.select("stratum", "train_i"), "stratum", known_rows=sizes["strata"]).withColumn("upto", F.sum("cnt").over(running))
+    # boundary bucket: the first one that reaches train_i
+    need = F.struct("b", (F.col("train_i") - F.col("upto") + F.col("cnt")).alias("need"))
+    edge = materialize(upto.where(F.col("upto") >= F.col("train_i")).groupBy("stratum").agg(F.min_by(need, "b").alias("x"))
+                       .select("stratum", F.col("x.b").alias("edge"), F.col("x.need").alias("need")))
+    near = join_small(rows, edge, "stratum", known_rows=sizes["strata"]).where((F.col("b") == F.col("edge")) & (F.col("need") > 0))
+    place = F.row_number().over(Window.partitionBy("stratum").orderBy("hash", key))
+    cut = near.withColumn("place", place).where(F.col("place") == F.col("need")).select("stratum", "hash", F.col(key).alias("key"))
+    cutoffs = materialize(edge.select("stratum").join(cut, "stratum", "left"))
+    return SplitModel(cutoffs, list(strata), key, seed, (sizes["train"] or 0) / max(1, sizes["n"] or 0), sizes["strata"], split_col, tuple(labels))
 
 
 def _check_strict(counts: DataFrame, strict: bool) -> None:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..operators import corpus as C
 from ..operators import split as S
-from ..session import materialize
 from ..sources import tables as T
 
 DATASETS = ("hc3", "turingbench", "combined")
@@ -19,10 +18,14 @@ DATASETS = ("hc3", "turingbench", "combined")
 def qa_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """QA path end to end: flatten -> clean -> >= 20 -> dedupe -> split
     (label x source, 20 % test, seed 42).  The row key is the answer's
-    position (item, label, part, index)."""
-    qa = C.prepare_qa(T.nested_qa(spark, sf_dir), C.MIN_CHARS_QA)
-    qa = materialize(qa.withColumn("key", F.concat_ws("-", "item_id", "label", "part", "idx")))
-    return S.stratified_split(qa, ("label", "source"), key="key", test_size=0.2, seed=42)
+    position (item, label, part, index); the split is fitted on the key and
+    the strata and applied lazily."""
+    nested = T.nested_qa(spark, sf_dir)
+    position = ("item_id", "label", "part", "idx")
+    keyed = lambda df: df.withColumn("key", F.concat_ws("-", *position))
+    narrow = keyed(C.prepare_qa(nested, C.MIN_CHARS_QA, keep=[*position, "source"]))
+    model = S.fit_split(narrow, ("label", "source"), key="key", test_size=0.2, seed=42)
+    return model.transform(keyed(C.prepare_qa(nested, C.MIN_CHARS_QA)))
 
 
 def multiclass_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from .. import fixed as FX
 from ..functions import text as X
 from ..operators import corpus as C
 from ..operators import profile as P
-from ..session import materialize
+from ..session import materialize, staged_table
 from ..sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,11 +48,13 @@ def _qa_dataset(spark, sf):
     return qa_dataset(spark, sf)
 
 
-def labelled_prepared(spark, sf, checkpoint: bool = False):
-    """Labelled corpus -> P1 -> length >= 50 -> first-wins dedupe.  Flows
-    that scan it several times (split, fit, transform) checkpoint it once."""
-    df = C.prepare_labelled(T.labelled_corpus(spark, sf), C.MIN_CHARS_MULTICLASS)
-    return materialize(df) if checkpoint else df
+#: Columns of a split that need no text.
+NARROW = ("doc_id", "label", "source")
+
+
+def labelled_prepared(spark, sf, keep=None):
+    """Labelled corpus -> P1 -> first-wins dedupe -> length >= 50."""
+    return C.prepare_labelled(T.labelled_corpus(spark, sf), C.MIN_CHARS_MULTICLASS, keep=keep)
 
 
 def qa_prepared(spark, sf):
@@ -175,23 +177,27 @@ def q_head_sample(spark, sf):
 from ..operators import split as S  # noqa: E402
 
 
+def labelled_split_model(spark, sf):
+    """Cut-offs of the labelled corpus' split, from its narrow columns."""
+    return S.fit_split(labelled_prepared(spark, sf, keep=NARROW), ("label", "source"), key="doc_id", test_size=0.2, seed=42)
+
+
 @query("stratified_split")
 def q_stratified_split(spark, sf):
-    s = S.stratified_split(labelled_prepared(spark, sf, checkpoint=True), ("label", "source"), key="doc_id",
-                           test_size=0.2, seed=42)
-    return s.select("doc_id", "label", "source", "split")
+    s = labelled_split_model(spark, sf).transform(labelled_prepared(spark, sf, keep=NARROW))
+    return s.select(*NARROW, "split")
 
 
 @query("stratified_subsample")
 def q_stratified_subsample(spark, sf):
-    s = S.stratified_subsample(labelled_prepared(spark, sf, checkpoint=True), 100, ("label",), key="doc_id", seed=42)
-    return s.select("doc_id", "label", "source")
+    s = S.stratified_subsample(labelled_prepared(spark, sf, keep=NARROW), 100, ("label",), key="doc_id", seed=42)
+    return s.select(*NARROW)
 
 
 @query("validation_split")
 def q_validation_split(spark, sf):
-    train = labelled_split(spark, sf).where(F.col("split") == "train").drop("split")
-    v = S.validation_split(train, 0.1, ("label",), key="doc_id", seed=42)
+    s = labelled_split_model(spark, sf).transform(labelled_prepared(spark, sf, keep=NARROW))
+    v = S.validation_split(s.where(F.col("split") == "train").drop("split"), 0.1, ("label",), key="doc_id", seed=42)
     return v.select("doc_id", "label", "split")
 
 
@@ -213,11 +219,9 @@ from ..operators import vocab as V  # noqa: E402
 
 
 def labelled_split(spark, sf):
-    """Prepared corpus with its stratified split, checkpointed: every
-    feature / model flow reads it several times."""
-    s = S.stratified_split(labelled_prepared(spark, sf, checkpoint=True), ("label", "source"), key="doc_id",
-                           test_size=0.2, seed=42)
-    return materialize(s)
+    """Prepared corpus with its stratified split, written once as Parquet:
+    every feature / model flow reads parts of it several times."""
+    return staged_table(labelled_split_model(spark, sf).transform(labelled_prepared(spark, sf)), "labelled-split")
 
 
 def _train_test(spark, sf):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import fixed as FX
 from ..operators import vectors as VE
 from ..operators import vocab as V
-from ..session import materialize
+from ..session import staged_table
 from ..sources import files
 
 FEATURE_KINDS = ("tfidf", "word_ngram", "char_ngram", "token_vectors", "mean_pool")
@@ -53,9 +53,9 @@ def extract(dataset: DataFrame, kind: str, vectors: DataFrame | None = None, dim
 def run_features(spark: SparkSession, dataset: DataFrame, kinds: Iterable[str], out_dir: str,
                  vectors: DataFrame | None = None, dim: int | None = None) -> dict[str, str]:
     """Extract every requested kind and write it partitioned by split.
-    The prepared dataset is checkpointed once (cut lineage, reused by all
-    kinds and safe against executor loss)."""
-    ds = materialize(dataset.select("doc_id", "text", "label", "source", "split"))
+    The prepared dataset is written once as Parquet in the shared folder
+    (cut lineage, read in part by all kinds and safe against executor loss)."""
+    ds = staged_table(dataset.select("doc_id", "text", "label", "source", "split"), "dataset")
     written = {}
     for kind in kinds:
         path = f"{out_dir.rstrip('/')}/{kind}"

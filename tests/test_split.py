@@ -80,3 +80,36 @@ def test_shuffled_rank_per_group(spark):
     for g in ("a", "b"):
         ranks = sorted(x["shuffle_rank"] for x in r if x["g"] == g)
         assert ranks == list(range(1, len(ranks) + 1))
+
+
+def test_model_is_saved_and_splits_other_rows_and_streams(spark, corpus, scratch):
+    """Fitted rows keep their side wherever the model is applied; a stratum
+    that the fit has not seen is split by the overall share."""
+    model = S.fit_split(corpus, ("label", "source"))
+    want = _assign(S.stratified_split(corpus, ("label", "source"), method="window"))
+    assert _assign(model.transform(corpus)) == want
+    model.save(f"{scratch}/split_model")
+    loaded = S.SplitModel.load(spark, f"{scratch}/split_model")
+    assert _assign(loaded.transform(corpus.limit(37))).items() <= want.items()
+
+    new = spark.range(10_000).select(F.col("id").alias("doc_id"), F.lit(7).alias("label"), F.lit("unseen").alias("source"))
+    share = new.transform(loaded.transform).where("split = 'train'").count() / 10_000
+    assert abs(share - 0.8) < 0.02
+
+    source = f"{scratch}/split_stream"
+    narrow = corpus.select("doc_id", "label", "source")
+    narrow.write.mode("overwrite").parquet(source)
+    stream = loaded.transform(spark.readStream.schema(narrow.schema).parquet(source))
+    q = (stream.writeStream.format("parquet").option("checkpointLocation", f"{scratch}/split_stream_ckpt")
+         .option("path", f"{scratch}/split_stream_out").trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    assert _assign(spark.read.parquet(f"{scratch}/split_stream_out")) == want
+
+
+def test_fit_reads_no_text(spark):
+    """Neither the fit nor a split without text moves the text."""
+    narrow = R.labelled_prepared(spark, SF01, keep=R.NARROW)
+    plan = narrow._jdf.queryExecution().executedPlan().toString()
+    assert not any("text#" in line for line in plan.splitlines() if "Exchange" in line)
+    whole = {r["doc_id"] for r in R.labelled_prepared(spark, SF01).select("doc_id").collect()}
+    assert {r["doc_id"] for r in narrow.select("doc_id").collect()} == whole
