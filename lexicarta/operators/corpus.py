@@ -78,6 +78,17 @@ def dedupe_first(df: DataFrame, order_cols: Sequence[str], text_col: str = "text
     return grouped.select("__first.*")
 
 
+def distinct_texts(df: DataFrame, order_cols: Sequence[str], keep: Sequence[str], text_col: str = "text") -> DataFrame:
+    """One row per distinct text, without the text: the ``keep`` columns of
+    its first row, its length ``n_chars`` and its number of rows ``n_rows``."""
+    sized = df.withColumn("__key", F.sha2(F.col(text_col), 256)).withColumn("__length", F.length(text_col))
+    order = F.struct(*[F.col(c) for c in order_cols])
+    grouped = sized.groupBy("__key").agg(
+        F.min_by(F.struct(*[F.col(c) for c in keep]), order).alias("__first"),
+        F.min("__length").alias("n_chars"), F.count(F.lit(1)).alias("n_rows"))
+    return grouped.select("__first.*", "n_chars", "n_rows")
+
+
 def domain_filter(df: DataFrame, domain: str | None, allowed: Iterable[str] | None = None,
                   source_col: str = "source") -> DataFrame:
     """keep one domain; an unknown domain is rejected up front."""

@@ -50,21 +50,24 @@ def domain_label_crosstab(df: DataFrame, source_col: str = "source", label_col:
     return piv.select(source_col, *[F.col(str(v)).alias(f"n_{LABEL_NAMES.get(v, v)}") for v in labels])
 
 
-def row_funnel(raw_rows: DataFrame, flat: DataFrame, kept: DataFrame, deduped: DataFrame,
-               split: DataFrame | None = None) -> DataFrame:
+def row_funnel(raw_rows: DataFrame, firsts: DataFrame, min_chars: int, split: DataFrame | None = None) -> DataFrame:
     """A5: rows at each stage: raw -> flattened -> after length -> after
-    dedupe [-> train / test].  Each stage is one count aggregate; the union
-    of one-row aggregates is evaluated in one job."""
-    stages = [("raw", raw_rows), ("flattened", flat), ("after_length", kept), ("after_dedupe", deduped)]
-    parts = [d.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(i).alias("step"), F.lit(s).alias("stage"), "n_rows")
-             for i, (s, d) in enumerate(stages)]
+    dedupe [-> train / test].
+
+    ``firsts`` has one row per distinct text with its length and number of
+    rows (``corpus.distinct_texts``); as all rows of a text have its length,
+    three stages are sums over that one narrow table."""
+    long_enough = F.col("n_chars") >= F.lit(int(min_chars))
+    sums = firsts.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("flattened"),
+                      F.coalesce(F.sum(F.when(long_enough, F.col("n_rows"))), F.lit(0)).alias("after_length"),
+                      F.count_if(long_enough).alias("after_dedupe"))
+    steps = [F.struct(F.lit(i + 1).alias("step"), F.lit(c).alias("stage"), F.col(c).alias("n_rows")) for i, c in enumerate(sums.columns)]
+    out = raw_rows.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(0).alias("step"), F.lit("raw").alias("stage"), "n_rows")
+    out = out.unionByName(sums.select(F.inline(F.array(*steps))))
     if split is not None:
         sp = split.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
-        parts.append(sp.select(F.when(F.col("split") == "train", F.lit(4)).otherwise(F.lit(5)).alias("step"),
-                               F.col("split").alias("stage"), "n_rows"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(sp.select(F.when(F.col("split") == "train", F.lit(4)).otherwise(F.lit(5)).alias("step"),
+                                        F.col("split").alias("stage"), "n_rows"))
     return out
 
 
@@ -80,6 +83,29 @@ def corpus_summary(tagged: DataFrame, keys: Sequence[str] = ("dataset", "split")
     )
 
 
+def load_summary(df: DataFrame, keys: Sequence[str] = ("split",), text_col: str = "text", label_col: str = "label") -> DataFrame:
+    """A1-A3 of a dataset as it is loaded: (keys.., measure, value) with the
+    rows, the mean length, the rows of each label and the nulls of each column
+    that has any.  One scan: counts per (keys, label), then one row per label
+    and measure."""
+    columns = [c for c in df.columns if c not in keys]
+    nulls = [F.count_if(F.col(c).isNull()).alias(f"__null_{i}") for i, c in enumerate(columns)]
+    per_label = df.groupBy(*keys, F.col(label_col).cast("string").alias("__label")).agg(
+        F.count(F.lit(1)).alias("__n"), F.sum(F.length(text_col)).alias("__chars"), F.count(text_col).alias("__texts"), *nulls)
+    number = lambda c: F.sum(c).cast("double")
+    # one entry per label
+    labels = F.collect_list(F.when(F.col("__label").isNotNull(), F.struct(
+        F.concat(F.lit("label "), "__label").alias("measure"), F.col("__n").cast("double").alias("value"))))
+    whole = per_label.groupBy(*keys).agg(
+        labels.alias("__labels"), number("__n").alias("__rows"), (number("__chars") / number("__texts")).alias("__mean"),
+        *[number(f"__null_{i}").alias(f"__null_{i}") for i in range(len(columns))])
+    entry = lambda name, c: F.struct(F.lit(name).alias("measure"), F.col(c).alias("value"))
+    fixed = F.array(entry("rows", "__rows"), entry("mean length", "__mean"))
+    empty = F.array(*[entry(f"nulls {c}", f"__null_{i}") for i, c in enumerate(columns)])
+    all_ = F.concat("__labels", fixed, F.filter(empty, lambda e: e["value"] > 0))
+    return whole.select(*keys, F.inline(all_))
+
+
 def head_sample(df: DataFrame, n: int = 3, width: int = 200, order_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """First ``n`` texts by key, cut to ``width`` characters.  The limit is

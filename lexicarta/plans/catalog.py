@@ -5,11 +5,15 @@ registered as temp views so SQL users see the same names."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import fixed as FX
 from ..operators import corpus as C
 from ..operators import split as S
+from ..sources import files
 from ..sources import tables as T
 
 DATASETS = ("hc3", "turingbench", "combined")
@@ -44,19 +48,45 @@ def combined_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.shuffled_rank(c, key="row_key", by=["split"])
 
 
-def load_dataset(spark: SparkSession, sf_dir: str, name: str, register: bool = True) -> DataFrame:
+def load_dataset(spark: SparkSession, sf_dir: str, name: str, register: bool = True, domain: str | None = None,
+                 domains: Iterable[str] = FX.QA_DOMAINS) -> DataFrame:
+    """S5 + F2: a named dataset; ``domain`` keeps one domain of the Q&A corpus
+    in both splits, which are those of the whole corpus."""
     builders = {"hc3": qa_dataset, "turingbench": multiclass_dataset, "combined": combined_dataset}
-    if name not in builders:
-        raise ValueError(f"unknown dataset {name!r}; choose from {DATASETS}")
-    df = builders[name](spark, sf_dir)
+    _check(name, builders, domain)
+    df = C.domain_filter(builders[name](spark, sf_dir), domain, domains)
     if register:
         df.createOrReplaceTempView(name)
     return df
 
 
-def load_splits(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, DataFrame]:
+def load_splits(spark: SparkSession, sf_dir: str, name: str, domain: str | None = None,
+                domains: Iterable[str] = FX.QA_DOMAINS) -> tuple[DataFrame, DataFrame]:
     """The reference's (train, test) pair; the filter on ``split`` is a
     partition filter when the dataset is read back from a partitioned
     write."""
-    df = load_dataset(spark, sf_dir, name, register=False)
+    return pair(load_dataset(spark, sf_dir, name, False, domain, domains))
+
+
+def read_dataset(spark: SparkSession, base: str, name: str, domain: str | None = None,
+                 domains: Iterable[str] = FX.QA_DOMAINS) -> DataFrame:
+    """S1 + S5 + F2 from the processed CSV files under ``base``: ``hc3``,
+    ``turingbench`` or their union, tagged by corpus and shuffled inside each
+    split by a reproducible ``shuffle_rank``."""
+    _check(name, DATASETS, domain)
+    if name != "combined":
+        return C.domain_filter(files.read_split_csvs(spark, base, name), domain, domains)
+    c = C.combine({corpus: files.read_split_csvs(spark, base, corpus) for corpus in ("hc3", "turingbench")})
+    c = c.withColumn("row_key", F.concat_ws(":", "corpus", "doc_id"))
+    return S.shuffled_rank(c, key="row_key", by=["split"])
+
+
+def pair(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where(F.col("split") == "train"), df.where(F.col("split") == "test")
+
+
+def _check(name: str, known: Iterable[str], domain: str | None) -> None:
+    if name not in known:
+        raise ValueError(f"unknown dataset {name!r}; choose from {DATASETS}")
+    if domain is not None and name != "hc3":
+        raise ValueError(f"{name} has no domains")

@@ -620,3 +620,15 @@ FROM ({metrics_sql(src, "1")}) m JOIN ({auc_sql(src, "1", "score")}) a ON m.g =
 
 for _k in ("lr", "svm"):
     oracle(f"{_k}_tfidf_evaluate", _tfidf_evaluate(_k))
+
+
+oracle("split_csv_records", f"""SELECT CAST(row_number() OVER (ORDER BY CASE WHEN split = 'train' THEN 0 ELSE 1 END, doc_id, pos) - 1 AS BIGINT) AS doc_id,
+       split, label, source, text FROM ({MC_BIN})""")
+oracle("dataset_domain", f"SELECT item_id, label, part, idx, source, split FROM ({QA_SPLIT}) WHERE source = 'conv3'")
+oracle("load_summary", f"""WITH d AS (SELECT split, label, text, CASE WHEN doc_id % 4 <> 0 THEN source END AS source FROM ({MC_PREPARED}))
+SELECT split, 'rows' AS measure, CAST(count(*) AS DOUBLE) AS value FROM d GROUP BY split
+UNION ALL SELECT split, 'mean length', round(avg(length(text)), 6) FROM d GROUP BY split
+UNION ALL SELECT split, 'label ' || CAST(label AS VARCHAR), CAST(count(*) AS DOUBLE) FROM d WHERE label IS NOT NULL GROUP BY split, label
+UNION ALL SELECT split, 'nulls source', CAST(count(*) AS DOUBLE) FROM d WHERE source IS NULL GROUP BY split""")
+oracle("vector_table_file", f"""SELECT token, CAST(unnest(range(0, 64)) AS INTEGER) AS dim, round(CAST(unnest(vec) AS DOUBLE), 6) AS value
+FROM ({VEC_TABLE})""")

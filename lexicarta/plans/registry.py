@@ -8,6 +8,7 @@ rounded to 6 places in both so the comparison is order-insensitive.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,8 @@ from .. import fixed as FX
 from ..functions import text as X
 from ..operators import corpus as C
 from ..operators import profile as P
-from ..session import materialize, staged_table
+from ..session import ensure_checkpoint_dir, materialize, staged_table
+from ..sources import files
 from ..sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,11 +45,6 @@ def _docs_with_url(spark, sf):
                     F.concat(F.col("text"), F.lit(" URL_"), F.col("doc_id").cast("string"), F.lit(" end")).alias("text"))
 
 
-def _qa_dataset(spark, sf):
-    from .catalog import qa_dataset
-    return qa_dataset(spark, sf)
-
-
 #: Columns of a split that need no text.
 NARROW = ("doc_id", "label", "source")
 
@@ -57,10 +54,6 @@ def labelled_prepared(spark, sf, keep=None):
     return C.prepare_labelled(T.labelled_corpus(spark, sf), C.MIN_CHARS_MULTICLASS, keep=keep)
 
 
-def qa_prepared(spark, sf):
-    return C.prepare_qa(T.nested_qa(spark, sf), C.MIN_CHARS_QA)
-
-
 def multiclass_prepared(spark, sf):
     return C.prepare_multiclass(T.multiclass_raw(spark, sf), C.MIN_CHARS_MULTICLASS)
 
@@ -135,7 +128,7 @@ def q_split_leakage(spark, sf):
 
 @query("label_distribution")
 def q_label_distribution(spark, sf):
-    return P.label_distribution(labelled_prepared(spark, sf))
+    return P.label_distribution(labelled_prepared(spark, sf, keep=NARROW))
 
 
 @query("length_stats")
@@ -153,18 +146,18 @@ def q_null_counts(spark, sf):
 
 @query("domain_label_crosstab")
 def q_crosstab(spark, sf):
-    return P.domain_label_crosstab(labelled_prepared(spark, sf))
+    return P.domain_label_crosstab(labelled_prepared(spark, sf, keep=NARROW))
 
 
 @query("row_funnel")
 def q_row_funnel(spark, sf):
     nested = T.nested_qa(spark, sf)
-    items = nested.select("item_id").distinct()
+    position = ["item_id", "label", "part", "idx"]
     flat = C.flatten_qa(nested).withColumn("text", X.clean_text_qa("text"))
-    kept = C.min_length(flat, C.MIN_CHARS_QA)
-    dedup = C.dedupe_first(kept, ["item_id", "label", "part", "idx"])
-    split = _qa_dataset(spark, sf)
-    return P.row_funnel(items, flat, kept, dedup, split)
+    firsts = materialize(C.distinct_texts(flat, position, [*position, "source"]))  # no text, read by every stage
+    kept = firsts.where(F.col("n_chars") >= C.MIN_CHARS_QA).withColumn("key", F.concat_ws("-", *position))
+    split = S.fit_split(kept, ("label", "source"), key="key", test_size=0.2, seed=42).transform(kept)
+    return P.row_funnel(nested.select("item_id").distinct(), firsts, C.MIN_CHARS_QA, split)
 
 
 @query("head_sample")
@@ -625,3 +618,43 @@ def q_text_encoder(spark, sf):
     d = T.read_text_table(spark, sf, "documents").select("doc_id", "text")
     e = SC.embed_texts(d, SC.count_encoder(), "text", batch_size=64)
     return e.select("doc_id", F.col("embedding")[0].alias("n_chars"), F.col("embedding")[1].alias("n_spaces"))
+
+
+# ---------------------------------------------------------------- files and datasets
+
+def _scratch_path(spark, name):
+    """A fresh folder name in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("split_csv_records")
+def q_split_csv_records(spark, sf):
+    """The multi-class corpus written as the reference's two CSVs and read
+    again by splits; positions are the ids."""
+    base = _scratch_path(spark, "split-csvs")
+    files.write_split_csvs(C.rename_multiclass(T.multiclass_raw(spark, sf)), base, "turingbench", order=("doc_id", "pos"))
+    return files.read_split_csvs(spark, base, "turingbench").select("doc_id", "split", "label", "source", "text")
+
+
+@query("dataset_domain")
+def q_dataset_domain(spark, sf):
+    df = CAT.load_dataset(spark, sf, "hc3", register=False, domain="conv3", domains=[f"conv{i}" for i in range(5)])
+    return df.select("item_id", "label", "part", "idx", "source", "split")
+
+
+@query("load_summary")
+def q_load_summary(spark, sf):
+    """Every fourth source taken away, so that a column has nulls."""
+    df = CAT.load_dataset(spark, sf, "turingbench", register=False)
+    df = df.select("text", "label", F.when(F.col("doc_id") % 4 != 0, F.col("source")).alias("source"), "split")
+    return P.load_summary(df).select("split", "measure", r6("value").alias("value"))
+
+
+@query("vector_table_file")
+def q_vector_table_file(spark, sf):
+    """The vector table written as text lines and read again."""
+    path = _scratch_path(spark, "vectors")
+    files.write_vector_table(_vector_table(spark, sf), path)
+    v = files.read_vector_table(spark, path, VEC_DIM)
+    return v.select("token", F.posexplode("vec").alias("dim", "value")).select(
+        "token", F.col("dim").cast("int").alias("dim"), r6(F.col("value").cast("double")).alias("value"))

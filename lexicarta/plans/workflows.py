@@ -4,18 +4,19 @@ split and applies it to both splits."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed as FX
+from ..operators import scoring as SC
 from ..operators import vectors as VE
 from ..operators import vocab as V
 from ..session import staged_table
 from ..sources import files
 
-FEATURE_KINDS = ("tfidf", "word_ngram", "char_ngram", "token_vectors", "mean_pool")
+FEATURE_KINDS = ("tfidf", "word_ngram", "char_ngram", "token_vectors", "padded", "mean_pool", "encoder")
 
 
 def _vectorizer(kind: str) -> V.TermVectorizer:
@@ -29,12 +30,19 @@ def _vectorizer(kind: str) -> V.TermVectorizer:
 
 
 def extract(dataset: DataFrame, kind: str, vectors: DataFrame | None = None, dim: int | None = None,
-            max_len: int = FX.TOKEN_VECTOR_MAX_LEN) -> DataFrame:
+            max_len: int = FX.TOKEN_VECTOR_MAX_LEN, encoder: Callable | None = None) -> DataFrame:
     """Features of one kind for a dataset with a ``split`` column; the
     vocabulary is fitted on the train split only (X4).  ``max_len`` cuts the
-    token sequences only; pooling reads all tokens.  Output keeps
-    ``doc_id``, ``label`` and ``split`` beside the features."""
+    token sequences only; pooling reads all tokens.  ``padded`` gives one
+    sequence of exactly ``max_len`` vectors per row; ``encoder`` (a factory of
+    ``encode(texts) -> array[n, dim]``, see ``scoring.embed_texts``) one vector
+    per whole text.  Output keeps ``doc_id``, ``label`` and ``split`` beside
+    the features."""
     carry = ["label", "split"]
+    if kind == "encoder":
+        if encoder is None:
+            raise ValueError("encoder needs an encoder factory")
+        return SC.embed_texts(dataset.select("doc_id", *carry, "text"), encoder).drop("text")
     if kind in ("tfidf", "word_ngram", "char_ngram"):
         model = _vectorizer(kind).fit(dataset.where(F.col("split") == "train"))
         return model.transform_sparse(dataset, carry=carry)
@@ -42,6 +50,13 @@ def extract(dataset: DataFrame, kind: str, vectors: DataFrame | None = None, dim
         raise ValueError(f"{kind} needs a vector table and its dimension")
     if kind == "token_vectors":
         return VE.token_vectors(dataset, vectors, dim, max_len, carry=carry)
+    if kind == "padded":
+        # ids need only be unique inside a split
+        ids = F.struct("split", "doc_id")
+        keyed = dataset.withColumn("row", ids)
+        tokens = VE.token_vectors(keyed, vectors, dim, max_len, key="row")
+        padded = VE.padded_sequence(tokens, dim, max_len, key="row", docs=keyed)
+        return keyed.select("row", "label").join(padded, "row").select("row.doc_id", "label", "row.split", "sequence")
     if kind == "mean_pool":
         # ids need only be unique inside a split
         keys = ["doc_id", "split"]
@@ -51,7 +66,8 @@ def extract(dataset: DataFrame, kind: str, vectors: DataFrame | None = None, dim
 
 
 def run_features(spark: SparkSession, dataset: DataFrame, kinds: Iterable[str], out_dir: str,
-                 vectors: DataFrame | None = None, dim: int | None = None) -> dict[str, str]:
+                 vectors: DataFrame | None = None, dim: int | None = None, encoder: Callable | None = None,
+                 max_len: int = FX.TOKEN_VECTOR_MAX_LEN) -> dict[str, str]:
     """Extract every requested kind and write it partitioned by split.
     The prepared dataset is written once as Parquet in the shared folder
     (cut lineage, read in part by all kinds and safe against executor loss)."""
@@ -59,6 +75,6 @@ def run_features(spark: SparkSession, dataset: DataFrame, kinds: Iterable[str],
     written = {}
     for kind in kinds:
         path = f"{out_dir.rstrip('/')}/{kind}"
-        files.save_features(extract(ds, kind, vectors, dim), path)
+        files.save_features(extract(ds, kind, vectors, dim, max_len, encoder), path)
         written[kind] = path
     return written

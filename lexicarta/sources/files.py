@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.joins import join_small
-from ..schema import MULTICLASS_RAW, NESTED_QA, SPLIT_CSV
+from ..schema import MULTICLASS_RAW, NESTED_QA, SPLIT_CSV, VECTORS
 from ..session import materialize, staged_table
 
+_SPLITS = ("train", "test")
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
@@ -157,9 +159,6 @@ def _with_positions(df: DataFrame, name: str) -> DataFrame:
     return out.withColumn(name, F.col("__mono") + F.col("__shift")).drop("__file", "__task", "__mono", "__shift")
 
 
-_SPLITS = ("train", "test")
-
-
 def _split_name(part: str = "part"):
     return F.element_at(F.array(*[F.lit(s) for s in _SPLITS]), F.col(part) + 1)
 
@@ -205,18 +204,24 @@ def write_splits(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     fields on request."""
     w = df.write.mode("overwrite").partitionBy("split")
     if fmt == "csv":
-        w.option("header", True).option("escape", '"').csv(path)
+        (w.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+         .option("ignoreTrailingWhiteSpace", False).csv(path))
     else:
         w.parquet(path)
 
 
-def write_split_csvs(df: DataFrame, base: str, name: str) -> None:
+def write_split_csvs(df: DataFrame, base: str, name: str, order: Sequence[str] = ()) -> None:
     """S2 in the reference's layout: ``{name}_{split}.csv`` folders with
-    text, label, source[, question] columns."""
-    for split in ("train", "test"):
+    text, label, source[, question] columns, texts as they are (blanks at
+    their ends too).  With ``order`` the rows are dealt into ranges of these
+    columns, so that the positions given on reading follow them."""
+    for split in _SPLITS:
         cols = [c for c in ("text", "label", "source", "question") if c in df.columns]
-        (df.where(F.col("split") == split).select(*cols).write.mode("overwrite")
-         .option("header", True).option("escape", '"').csv(f"{base.rstrip('/')}/{name}_{split}.csv"))
+        rows = df.where(F.col("split") == split)
+        rows = rows.orderBy(*order) if order else rows
+        (rows.select(*cols).write.mode("overwrite").option("header", True).option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+         .csv(f"{base.rstrip('/')}/{name}_{split}.csv"))
 
 
 def read_splits(spark: SparkSession, path: str) -> DataFrame:
@@ -242,3 +247,35 @@ def save_metrics(metrics: DataFrame, path: str) -> None:
     """Metric rows as JSON; the result is a handful of rows, so one
     file is written."""
     metrics.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_vector_table(spark: SparkSession, path: str, dim: int, fmt: str = "text") -> DataFrame:
+    """A published token-vector table as (token, vec): lines ``token v1 ..
+    v_dim`` (a first line with two counts, as some tools write, is passed
+    over), or Parquet with the columns of ``VECTORS``.
+
+    The last ``dim`` fields are the vector, so a token may hold blanks; lines
+    with fewer fields raise, as do fields that are no numbers.  Of several
+    lines of one token the greatest vector is kept, so a lookup gives one row
+    per token."""
+    _require(spark, path, "Vector table")
+    if fmt == "parquet":
+        rows = spark.read.schema(VECTORS).parquet(path)
+    else:
+        fields = F.split(F.regexp_replace("value", r"[ \r]+$", ""), " ")
+        lines = spark.read.option("lineSep", "\n").text(path).where(F.trim(F.col("value")) != "").select("value", fields.alias("f"))
+        lines = lines.where((F.size("f") != 2) | F.lit(int(dim) == 1))
+        short = F.raise_error(F.concat(F.lit("not a token and "), F.lit(f"{int(dim)} numbers: "), F.substring("value", 1, 80)))
+        n = F.size("f") - F.lit(int(dim))
+        rows = lines.select(F.when(n >= 1, F.array_join(F.slice("f", F.lit(1), n), " ")).otherwise(short.cast("string")).alias("token"),
+                            F.transform(F.slice("f", n + 1, F.lit(int(dim))), lambda v: v.try_cast("float")).alias("vec"))
+        wrong = F.raise_error(F.concat(F.lit("no number in the vector of "), F.col("token"))).cast("array<float>")
+        rows = rows.select("token", F.when(F.exists("vec", lambda v: v.isNull()), wrong).otherwise(F.col("vec")).alias("vec"))
+    return rows.groupBy("token").agg(F.max("vec").alias("vec"))
+
+
+def write_vector_table(vectors: DataFrame, path: str) -> None:
+    """S12 as text lines ``token v1 .. v_dim``; floats are written so that
+    they read back as they were."""
+    line = F.concat_ws(" ", "token", F.array_join(F.transform("vec", lambda v: v.cast("string")), " "))
+    vectors.select(line.alias("value")).write.mode("overwrite").text(path)
