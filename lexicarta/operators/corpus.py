@@ -4,14 +4,18 @@ dedupe, domain filter, union of corpora, split leakage audit."""
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..fixed import MIN_CHARS_MULTICLASS, MIN_CHARS_QA  # noqa: F401  (re-exported)
 from ..functions import text as X
 from ..schema import HUMAN_LABEL
-
+from ..session import materialize
+from .joins import fits_broadcast, join_small
 
 
 def flatten_qa(nested: DataFrame) -> DataFrame:
@@ -61,21 +65,95 @@ def length_funnel(df: DataFrame, n: int, text_col: str = "text") -> DataFrame:
 
 def dedupe_first(df: DataFrame, order_cols: Sequence[str], text_col: str = "text",
                  scope: Sequence[str] = (), keep: Sequence[str] | None = None) -> DataFrame:
-    """Drop duplicate texts, first row (by ``order_cols``) wins; only
-    the columns ``keep`` (all by default) travel and are returned.
-
-    Grouping is on the SHA-256 of the text (plus the ``scope`` columns, e.g.
-    ``['split']`` for per-split dedupe), so the shuffle key is 32 bytes while
-    the row itself travels once inside ``min_by``.  ``min_by`` is a
-    declarative aggregate: map-side partial aggregation collapses a hot
-    duplicate (one text repeated a billion times) before the shuffle.
+    """Drop duplicate texts, first row (by ``order_cols``, nulls first)
+    wins; only the columns ``keep`` (all by default) travel and are returned.
+    ``scope`` columns, e.g. ``['split']``, separate texts that may stay apart.
+
+    Winners are found on fixed-width keys alone: the text's SHA-256 and the
+    order, by hash aggregates that combine a hot text map-side.  The rows that
+    lose are marked in a table of such keys (checkpointed; this is the one
+    eager step) and left out of ``df`` by ``_without``, so that texts are
+    neither sorted nor, as a rule, shuffled; they are read twice instead.
+    Rows equal in text and order are one row.  If the text is not kept, the
+    rows are narrow and are aggregated as they are.
     """
     cols = list(keep or df.columns)
-    key = F.sha2(F.col(text_col), 256)
-    order = F.struct(*[F.col(c) for c in order_cols])
-    grouped = (df.groupBy(*[F.col(c) for c in scope], key.alias("__text_key"))
-               .agg(F.min_by(F.struct(*[F.col(c) for c in cols]), order).alias("__first")))
-    return grouped.select("__first.*")
+    if text_col not in cols:
+        order = F.struct(*[F.col(c) for c in order_cols])
+        grouped = (df.groupBy(*[F.col(c) for c in scope], F.sha2(F.col(text_col), 256).alias("__text_key"))
+                   .agg(F.min_by(F.struct(*[F.col(c) for c in cols]), order).alias("__first")))
+        return grouped.select("__first.*")
+    keys = {"__digest": F.coalesce(F.unhex(F.sha2(F.col(text_col), 256)), F.lit(b""))}
+    if scope:
+        keys["__scope"] = F.to_json(F.struct(*[F.col(c) for c in scope]))
+    text_key = list(keys)
+    keys |= {f"__order{i}": c for i, c in enumerate(_order_codes(df, order_cols))}
+    codes = [k for k in keys if k not in text_key]
+    keyed = df.select(*cols, *[c.alias(k) for k, c in keys.items()])
+    rows = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    first = rows.withColumnRenamed("__n", "__rows")
+    for at in range(len(codes) - 1, -1, -1):  # least last code within equal earlier ones, then the one before it
+        later = [F.min_by(c, codes[at]).alias(c) for c in codes[at + 1:]]
+        first = first.groupBy(*text_key, *codes[:at]).agg(F.min(codes[at]).alias(codes[at]), *later, F.sum("__rows").alias("__rows"))
+    first = first.where("__rows > 1").select(*text_key, *[F.col(c).alias(f"{c}_first") for c in codes])
+    wins = reduce(and_, [F.col(c) == F.col(f"{c}_first") for c in codes])
+    marked = rows.join(first, text_key).withColumn("__repeated", wins).where(~wins | (F.col("__n") > 1))
+    marked = materialize(marked.select(*keys, "__repeated"))
+    found = marked.agg(F.count(F.lit(1)).alias("n"), F.count_if("__repeated").alias("repeated")).first()
+    kept = _without(keyed, marked.drop("__repeated"), list(keys), found["n"]).select(*cols)
+    if found["repeated"]:
+        again = marked.where("__repeated").drop("__repeated")
+        kept = kept.unionByName(join_small(keyed, again, list(keys), "left_semi", known_rows=found["repeated"])
+                                .dropDuplicates(text_key).select(*cols))
+    return kept
+
+
+def _order_codes(df: DataFrame, order_cols: Sequence[str]) -> list[Column]:
+    """The order as 64-bit numbers, without nulls (which come first): what
+    hash aggregates can take the least of.  Two neighbouring columns of at
+    most 32 bits share one.  Columns of other types are ordered as one struct."""
+    kinds = [df.schema[c].dataType for c in order_cols]
+    if not all(isinstance(k, T.IntegralType) for k in kinds):
+        return [F.struct(*[F.col(c) for c in order_cols])]
+    out, half = [], None
+    for c, kind in zip(order_cols, kinds):
+        if isinstance(kind, T.LongType):
+            out += [half] * (half is not None)
+            out.append(F.coalesce(F.col(c), F.lit(-(1 << 63))))
+            half = None
+            continue
+        code = F.coalesce(F.col(c).cast("bigint"), F.lit(-(1 << 31)))
+        if half is None:
+            half = code
+        else:
+            out.append(F.shiftleft(half, 32).bitwiseOR(code + F.lit(1 << 31)))
+            half = None
+    return out + [half] * (half is not None)
+
+
+#: Bits of a row filter per marked row, and at most.
+_FILTER_BITS, _MOST_FILTER_BITS = 16, 1 << 28
+
+
+def _without(rows: DataFrame, marked: DataFrame, keys: list[str], n_marked: int) -> DataFrame:
+    """``rows`` but those whose ``keys`` are in ``marked``.  A small table is
+    broadcast.  Of a large one a bitmap is: rows whose bit is clear stay where
+    they are, only the others are shuffled to be compared with the table."""
+    if not n_marked:
+        return rows
+    if fits_broadcast(marked, n_marked):
+        return rows.join(F.broadcast(marked), keys, "left_anti")
+    size = min(_MOST_FILTER_BITS, 1 << max(15, (_FILTER_BITS * n_marked - 1).bit_length()))
+    place = F.pmod(F.xxhash64(*keys), F.lit(size)) + 1
+    bitmap = (marked.select(F.bitmap_bucket_number(place).alias("__bucket"), F.bitmap_bit_position(place).alias("__bit"))
+              .groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__bits")))
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
+    tested = (rows.withColumn("__bucket", F.bitmap_bucket_number(place))
+              .join(F.broadcast(bitmap), "__bucket", "left").withColumn("__set", is_set))
+    far = tested.where("__set").select(*rows.columns).join(marked.hint("shuffle_hash"), keys, "left_anti")
+    return tested.where("not __set").select(*rows.columns).unionByName(far)
 
 
 def distinct_texts(df: DataFrame, order_cols: Sequence[str], keep: Sequence[str], text_col: str = "text") -> DataFrame:

@@ -71,16 +71,26 @@ def row_funnel(raw_rows: DataFrame, firsts: DataFrame, min_chars: int, split: Da
     return out
 
 
-def corpus_summary(tagged: DataFrame, keys: Sequence[str] = ("dataset", "split"),
-                   text_col: str = "text", label_col: str = "label") -> DataFrame:
-    """Per dataset and split: rows, label counts, mean length, nulls."""
-    return tagged.groupBy(*keys).agg(
+def corpus_summary(tagged: DataFrame, keys: Sequence[str] = ("dataset", "split"), text_col: str = "text",
+                   label_col: str = "label", union: str | None = None) -> DataFrame:
+    """Per dataset and split: rows, label counts, mean length, nulls.
+    ``union`` adds a dataset of this name, all others (the first key) put
+    together, from the sums of the others: the rows are read once."""
+    first, *rest = keys
+    sums = tagged.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(F.col(label_col) == 0).alias("n_label0"),
         F.count_if(F.col(label_col) == 1).alias("n_label1"),
-        F.avg(F.length(text_col)).alias("avg_chars"),
-        F.count_if(F.col(text_col).isNull()).alias("n_null_text"),
+        F.sum(F.length(text_col)).alias("__chars"),
+        F.count(text_col).alias("__texts"),
     )
+    if union is not None:
+        numbers = [c for c in sums.columns if c not in keys]
+        twice = sums.withColumn(first, F.explode(F.array(F.col(first), F.lit(union))))
+        sums = twice.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in numbers])
+    mean = F.when(F.col("__texts") > 0, F.col("__chars").cast("double") / F.col("__texts"))
+    return sums.select(first, *rest, "n_rows", "n_label0", "n_label1", mean.alias("avg_chars"),
+                       (F.col("n_rows") - F.col("__texts")).alias("n_null_text"))
 
 
 def load_summary(df: DataFrame, keys: Sequence[str] = ("split",), text_col: str = "text", label_col: str = "label") -> DataFrame:

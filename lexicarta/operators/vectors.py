@@ -12,26 +12,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed as FX
 from ..functions import text as X
 from ..session import materialize
 from .joins import join_small
+from .vocab import rank_by_ranges
 
 
 def vector_table_from_corpus(docs: DataFrame, embeddings: DataFrame, text_col: str = "text") -> DataFrame:
     """S12 stand-in: the most frequent whitespace tokens of ``docs`` (count
     desc, token asc) get the embedding whose ``vec_id`` equals their rank
-    (0-based).  The number of tokens kept is the (bounded) size of the
-    embedding table, so the top-k is a TakeOrdered, not a global sort."""
+    (0-based), as many as the embedding table has rows.  All tokens are ranked
+    by ranges, so no task or driver holds the tokens that are kept."""
     k = embeddings.count()
     toks = X.explode_tokens(docs.select("doc_id", text_col), "doc_id", X.whitespace_tokens(text_col))
     counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("n_occ"))
-    top = counts.orderBy(F.desc("n_occ"), F.asc("token")).limit(int(k))
-    ranked = top.withColumn("rank", (F.row_number().over(Window.orderBy(F.desc("n_occ"), F.asc("token"))) - 1)
-                            .cast("bigint"))
+    ranked = rank_by_ranges(counts, [F.desc("n_occ"), F.asc("token")], "rank").where(F.col("rank") < F.lit(int(k)))
     emb = embeddings.select(F.col("vec_id").alias("rank"), F.col("embedding").alias("vec"))
     # at most k rows: checkpointed, so its size check and the lookups reuse it
     return materialize(ranked.join(emb, "rank").select("token", "rank", "n_occ", "vec"))

@@ -23,7 +23,7 @@ import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import fixed as FX
@@ -147,22 +147,28 @@ def top_k_terms(stats: DataFrame, k: int) -> DataFrame:
     return above.unionByName(tied)
 
 
-def _rank_terms(kept: DataFrame) -> DataFrame:
-    """0-based rank of each term in ascending term order without a global
-    window: terms are dealt into ranges of about equal size, a rank inside
-    each range is shifted by the sizes of the ranges before it (one number
-    per range)."""
-    dealt = materialize(kept.repartitionByRange("term").withColumn("__range", F.spark_partition_id()))
+def rank_by_ranges(rows: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
+    """0-based rank (bigint) of each row in ``order`` without a global window:
+    rows are dealt into ranges of about equal size, a rank inside each range
+    is shifted by the sizes of the ranges before it (one number per range)."""
+    dealt = materialize(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
     at, shifts = 0, []
     for r in sorted(dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect()):
-        shifts += [F.lit(r["__range"]), F.lit(at)]
+        shifts.append((r["__range"], at))
         at += r["n"]
-    if not shifts:
-        return dealt.withColumn("term_idx", F.lit(0)).drop("__range")
-    if at > 2**31 - 1:
-        raise ValueError(f"{at} terms do not fit an int index; give max_features or a higher min_df")
-    inside = F.row_number().over(Window.partitionBy("__range").orderBy("term"))
-    return dealt.withColumn("term_idx", (F.create_map(*shifts)[F.col("__range")] + inside - 1).cast("int")).drop("__range")
+    shift = rows.sparkSession.createDataFrame(shifts, "__range int, __shift bigint")
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return (dealt.withColumn("__inside", inside).join(F.broadcast(shift), "__range")
+            .withColumn(out, F.col("__shift") + F.col("__inside") - 1).drop("__range", "__shift", "__inside"))
+
+
+def _rank_terms(kept: DataFrame) -> DataFrame:
+    """0-based rank of each term in ascending term order; an int, or an error
+    where the terms do not fit one."""
+    index = F.col("term_idx")
+    fits = F.when(index < F.lit(1 << 31), index.cast("int")).otherwise(
+        F.raise_error(F.lit("the terms do not fit an int index; give max_features or a higher min_df")).cast("int"))
+    return rank_by_ranges(kept, [F.asc("term")], "term_idx").withColumn("term_idx", fits)
 
 
 class TermVectorizer:

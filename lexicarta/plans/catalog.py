@@ -17,6 +17,8 @@ from ..sources import files
 from ..sources import tables as T
 
 DATASETS = ("hc3", "turingbench", "combined")
+#: The dataset that is all others together.
+UNION = "combined"
 
 
 def qa_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -606,9 +606,9 @@ def q_combined_union(spark, sf):
 
 @query("corpus_summary")
 def q_corpus_summary(spark, sf):
-    tagged = C.combine({n: CAT.load_dataset(spark, sf, n, register=False) for n in CAT.DATASETS})
+    tagged = C.combine({n: CAT.load_dataset(spark, sf, n, register=False) for n in CAT.DATASETS if n != CAT.UNION})
     tagged = tagged.withColumnRenamed("corpus", "dataset")
-    s = P.corpus_summary(tagged, ("dataset", "split"))
+    s = P.corpus_summary(tagged, ("dataset", "split"), union=CAT.UNION)
     return s.select("dataset", "split", "n_rows", "n_label0", "n_label1", r6(F.col("avg_chars")).alias("avg_chars"),
                     "n_null_text")
 
