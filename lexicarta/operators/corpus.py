@@ -15,7 +15,7 @@ from ..fixed import MIN_CHARS_MULTICLASS, MIN_CHARS_QA  # noqa: F401  (re-export
 from ..functions import text as X
 from ..schema import HUMAN_LABEL
 from ..session import materialize
-from .joins import fits_broadcast, join_small
+from .joins import fits_broadcast
 
 
 def flatten_qa(nested: DataFrame) -> DataFrame:
@@ -70,10 +70,11 @@ def dedupe_first(df: DataFrame, order_cols: Sequence[str], text_col: str = "text
     ``scope`` columns, e.g. ``['split']``, separate texts that may stay apart.
 
     Winners are found on fixed-width keys alone: the text's SHA-256 and the
-    order, by hash aggregates that combine a hot text map-side.  The rows that
-    lose are marked in a table of such keys (checkpointed; this is the one
-    eager step) and left out of ``df`` by ``_without``, so that texts are
-    neither sorted nor, as a rule, shuffled; they are read twice instead.
+    order, by hash aggregates that combine a hot text map-side.  The table of
+    repeated texts and their first rows is checkpointed (the one eager step);
+    under the bound in bytes it is broadcast and ``df`` is read again, its
+    texts neither sorted nor shuffled.  Beyond the bound the rows that lose
+    are marked, and left out by ``_without``.
     Rows equal in text and order are one row.  If the text is not kept, the
     rows are narrow and are aggregated as they are.
     """
@@ -91,21 +92,26 @@ def dedupe_first(df: DataFrame, order_cols: Sequence[str], text_col: str = "text
     codes = [k for k in keys if k not in text_key]
     keyed = df.select(*cols, *[c.alias(k) for k, c in keys.items()])
     rows = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    first = rows.withColumnRenamed("__n", "__rows")
+    first = rows.withColumn("__rows", F.col("__n"))
     for at in range(len(codes) - 1, -1, -1):  # least last code within equal earlier ones, then the one before it
-        later = [F.min_by(c, codes[at]).alias(c) for c in codes[at + 1:]]
-        first = first.groupBy(*text_key, *codes[:at]).agg(F.min(codes[at]).alias(codes[at]), *later, F.sum("__rows").alias("__rows"))
-    first = first.where("__rows > 1").select(*text_key, *[F.col(c).alias(f"{c}_first") for c in codes])
+        carried = [F.min_by(c, codes[at]).alias(c) for c in [*codes[at + 1:], "__n"]]
+        first = first.groupBy(*text_key, *codes[:at]).agg(F.min(codes[at]).alias(codes[at]), *carried, F.sum("__rows").alias("__rows"))
+    first = materialize(first.where("__rows > 1").select(
+        *text_key, *[F.col(c).alias(f"{c}_first") for c in codes], (F.col("__n") > 1).alias("__repeated")))
+    found = first.agg(F.count(F.lit(1)).alias("n"), F.count_if("__repeated").alias("repeated")).first()
     wins = reduce(and_, [F.col(c) == F.col(f"{c}_first") for c in codes])
-    marked = rows.join(first, text_key).withColumn("__repeated", wins).where(~wins | (F.col("__n") > 1))
-    marked = materialize(marked.select(*keys, "__repeated"))
-    found = marked.agg(F.count(F.lit(1)).alias("n"), F.count_if("__repeated").alias("repeated")).first()
-    kept = _without(keyed, marked.drop("__repeated"), list(keys), found["n"]).select(*cols)
-    if found["repeated"]:
-        again = marked.where("__repeated").drop("__repeated")
-        kept = kept.unionByName(join_small(keyed, again, list(keys), "left_semi", known_rows=found["repeated"])
-                                .dropDuplicates(text_key).select(*cols))
-    return kept
+    if not found["n"]:
+        return keyed.select(*cols)
+    if fits_broadcast(first, found["n"]):
+        told = keyed.join(F.broadcast(first), text_key, "left")
+        kept = told.where(F.col("__repeated").isNull() | (wins & ~F.col("__repeated")))
+        again = told.where(wins & F.col("__repeated"))
+    else:
+        marked = materialize(rows.join(first, text_key).where(~wins | F.col("__repeated")).select(*keys, (wins & F.col("__repeated")).alias("__again")))
+        kept = _without(keyed, marked.drop("__again"), list(keys))
+        again = keyed.join(marked.where("__again").drop("__again"), list(keys), "left_semi")
+    kept = kept.select(*cols)
+    return kept.unionByName(again.dropDuplicates(text_key).select(*cols)) if found["repeated"] else kept
 
 
 def _order_codes(df: DataFrame, order_cols: Sequence[str]) -> list[Column]:
@@ -135,14 +141,11 @@ def _order_codes(df: DataFrame, order_cols: Sequence[str]) -> list[Column]:
 _FILTER_BITS, _MOST_FILTER_BITS = 16, 1 << 28
 
 
-def _without(rows: DataFrame, marked: DataFrame, keys: list[str], n_marked: int) -> DataFrame:
-    """``rows`` but those whose ``keys`` are in ``marked``.  A small table is
-    broadcast.  Of a large one a bitmap is: rows whose bit is clear stay where
-    they are, only the others are shuffled to be compared with the table."""
-    if not n_marked:
-        return rows
-    if fits_broadcast(marked, n_marked):
-        return rows.join(F.broadcast(marked), keys, "left_anti")
+def _without(rows: DataFrame, marked: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` but those whose ``keys`` are in the large table ``marked``.  A
+    bitmap of it is broadcast: rows whose bit is clear stay where they are,
+    only the others are shuffled to be compared with the table."""
+    n_marked = marked.count()
     size = min(_MOST_FILTER_BITS, 1 << max(15, (_FILTER_BITS * n_marked - 1).bit_length()))
     place = F.pmod(F.xxhash64(*keys), F.lit(size)) + 1
     bitmap = (marked.select(F.bitmap_bucket_number(place).alias("__bucket"), F.bitmap_bit_position(place).alias("__bit"))
