@@ -39,8 +39,15 @@ class Staged:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def last(self, df: DataFrame) -> DataFrame:
+        """Write what all other tables were for, and delete those."""
+        out = self.write(df)
+        for number in range(1, self.count):
+            self.drop(number)
+        return out
+
     def drop(self, number: int) -> None:
-        """Delete the ``number``-th table written (1-based)."""
+        """Delete the ``number``-th table written (1-based), if it is there."""
         jvm, sc = self.spark._jvm, self.spark.sparkContext
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{number}")
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

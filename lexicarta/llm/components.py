@@ -31,11 +31,14 @@ def connected_components(edges: DataFrame, staged: Staged, max_rounds: int = 60)
     mark = None
     for _ in range(max_rounds):
         now = staged.write(_star(_star(now, True), False))
+        staged.drop(staged.count - 1)
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if (seen.n, seen.s) == mark:
             break
         mark = (seen.n, seen.s)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return staged.write(now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
-                        .unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
+    roots = staged.write(now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
+                         .unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
+    staged.drop(staged.count - 1)
+    return roots

@@ -395,12 +395,12 @@ def _links(possible: DataFrame, sets: DataFrame, share: tuple[int, int]) -> Data
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 100),
-                       id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                       id_col: str = "doc_id", text_col: str = "text", staged: Staged | None = None) -> DataFrame:
     """(doc_id, row_hash, n_shingles, group, component_id) of every document;
     ``group`` is one number per component, null without shingles.  Two sets
-    are linked when ``share[1] * intersection >= share[0] * union``."""
-    spark = docs.sparkSession
-    staged = Staged(spark)
+    are linked when ``share[1] * intersection >= share[0] * union``.  Tables
+    go to ``staged``, which has none yet."""
+    staged = staged or Staged(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        F.xxhash64(text_col).alias("row_hash"))
     wide = staged.write(_sets(docs, width, share, _frequent(docs, width)))
@@ -411,6 +411,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, share: tuple[int, int] =
 
     signatures = reps.select("cls", "signature")
     tiles = staged.write(_tiles(firsts.select(F.explode("prefix").alias("token"), "cls", F.col("n").cast("int").alias("n"))))
+    tiles_at = staged.count
     staged.drop(1)  # prefixes have become tiles
 
     def links(members: DataFrame, first: bool) -> DataFrame:
@@ -419,6 +420,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, share: tuple[int, int] =
         arrays = staged.write(_candidate_sets(docs, reps.select("cls", "doc_id").join(ends, "cls", "left_semi"), width))
         found = staged.write(_links(possible, arrays, share))
         staged.drop(staged.count - 1)
+        staged.drop(staged.count - 2)
         return found
 
     roots = connected_components(links(tiles.withColumn("root", F.col("cls")), True), staged)
@@ -426,6 +428,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, share: tuple[int, int] =
     rooted = tiles.join(roots, tiles["cls"] == roots["node"], "left").select("tile", "cls", "n", F.coalesce("root", "cls").alias("root"))
     mixed = rooted.groupBy("tile").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("tile")
     far = links(rooted.join(mixed, "tile", "left_semi"), False)
+    staged.drop(tiles_at)
     final = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(far), staged)
 
     rooted = reps.join(final, reps["cls"] == final["node"], "left").select("cls", "doc_id", F.coalesce("root", "cls").alias("root"))
@@ -439,7 +442,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """``docs`` with one document of each component: the least id's (nulls
     last).  Documents without shingles stay; repeated rows of one id and text
     are one document."""
-    found = Staged(docs.sparkSession).write(jaccard_components(docs, id_col=id_col, text_col=text_col, **options))
+    staged = Staged(docs.sparkSession)
+    found = staged.last(jaccard_components(docs, id_col=id_col, text_col=text_col, staged=staged, **options))
     first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_hash"))
     least = found.where("group is not null").groupBy("group").agg(F.min(first).alias("x")).select("x.doc_id", "x.row_hash")
     stay = least.unionByName(found.where("group is null").select("doc_id", "row_hash").distinct())

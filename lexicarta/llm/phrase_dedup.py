@@ -312,8 +312,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     staged = Staged(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                          F.xxhash64(text_col).alias("row_hash"))
-    spans = staged.write(repeated_spans(narrow, staged, width))
-    staged.drop(1)
+    spans = staged.last(repeated_spans(narrow, staged, width))
     added = ["n_words", "n_removed", "kept_sha256"]
     base = docs.drop(*[c for c in (*added, "__id", "__text", "__row_hash", "__spans") if c != text_col])
     schema = extended(base.schema, n_words=T.LongType(), n_removed=T.LongType(), kept_sha256=T.StringType())

@@ -65,10 +65,10 @@ def item_windows(items: DataFrame, window: int, k: int, id_col: str, text_col: s
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, k: int = 5, id_col: str = "doc_id", text_col: str = "text",
-                  item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+                  item_id_col: str = "item_id", item_text_col: str = "text", staged: Staged | None = None) -> DataFrame:
     """(doc_id, row_hash, n_words, n_hit, n_items, items, contaminated) of
     every document; contaminated: 20 * n_hit >= n_words > 0 with a hit."""
-    staged = Staged(docs.sparkSession)
+    staged = staged or Staged(docs.sparkSession)
     windows = staged.write(item_windows(items, window, k, item_id_col, item_text_col))
     shorter = sorted(r[0] for r in windows.select(F.size("win")).distinct().collect() if r[0] < window)  # at most window - 1 lengths
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row_hash"), F.col(text_col).alias("text"))
@@ -122,8 +122,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, k: int =
 
 def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the contaminated ones."""
-    bad = (decontaminate(docs, items, id_col=id_col, text_col=text_col, **options).where("contaminated")
-           .select("doc_id", "row_hash").distinct())
+    staged = Staged(docs.sparkSession)
+    bad = staged.last(decontaminate(docs, items, id_col=id_col, text_col=text_col, staged=staged, **options).where("contaminated")
+                      .select("doc_id", "row_hash").distinct())
     # names are qualified: the caller's columns may have any name
     same = F.col(f"d.`{id_col}`").eqNullSafe(F.col("b.doc_id")) & (F.xxhash64(F.col(f"d.`{text_col}`")) == F.col("b.row_hash"))
     return docs.alias("d").join(bad.alias("b"), same, "left_anti")

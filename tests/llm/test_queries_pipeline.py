@@ -85,3 +85,19 @@ def test_pipeline_on_odd_rows(spark):
         assert {tuple(r)[5:] for r in docs.collect()} == {tuple(extra.values())}
     assert corpus_pipeline.pack(spark, docs, SF).count() > 0
     assert corpus_pipeline.pack(spark, docs.limit(0), SF).count() == 0
+
+
+def test_stages_leave_no_tables_but_their_last(spark):
+    import os
+
+    from lexicarta.llm import ngram_join, phrase_dedup, winnow
+    from lexicarta.session import ensure_checkpoint_dir
+    root = ensure_checkpoint_dir(spark).removeprefix("file:")
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"{passage} tail {i}" if i < 6 else f"own words of {i} " * 9) for i in range(20)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    for step in (lambda: ngram_join.keep_one(docs), lambda: phrase_dedup.remove_repeats(docs), lambda: winnow.clean_documents(docs, bench)):
+        before = set(os.listdir(root))
+        step().collect()
+        new = [f for f in set(os.listdir(root)) - before if f.startswith("staged-")]
+        assert [len(os.listdir(f"{root}/{f}")) for f in new] == [1]
