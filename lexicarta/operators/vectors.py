@@ -12,13 +12,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed as FX
 from ..functions import text as X
 from ..session import materialize
-from .joins import join_small
+from .joins import MAX_BROADCAST_BYTES, fits_broadcast, join_small, row_bytes
 from .vocab import rank_by_ranges
 
 
@@ -61,8 +61,16 @@ def padded_sequence(tv: DataFrame, dim: int, max_len: int = FX.TOKEN_VECTOR_MAX_
     vectors (real tokens in order, then zero vectors).  Each document holds at
     most ``max_len`` entries, so the per-document collect is bounded.  With
     ``docs`` given, documents without tokens get all-zero sequences."""
-    g = tv.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "vec"))).alias("__s"))
-    g = g.select(key, F.transform("__s", lambda e: e["vec"]).alias("__v"))
+    return _padded(_entries(tv, key, "vec"), dim, max_len, key, docs)
+
+
+def _entries(rows: DataFrame, key: str, vec: str) -> DataFrame:
+    """(key, __s): the document's (pos, vec) entries in order."""
+    return rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", F.col(vec).alias("vec")))).alias("__s"))
+
+
+def _padded(entries: DataFrame, dim: int, max_len: int, key: str, docs: DataFrame | None) -> DataFrame:
+    g = entries.select(key, F.transform("__s", lambda e: F.coalesce(e["vec"], zeros(dim))).alias("__v"))
     if docs is not None:
         g = docs.select(key).join(g, key, "left")
     seq = F.coalesce(F.col("__v"), F.array().cast("array<array<float>>"))
@@ -70,6 +78,56 @@ def padded_sequence(tv: DataFrame, dim: int, max_len: int = FX.TOKEN_VECTOR_MAX_
     return g.select(key, F.slice(F.concat(seq, pad), 1, int(max_len)).alias("sequence"))
 
 
+def padded_documents(docs: DataFrame, vectors: DataFrame, dim: int, max_len: int = FX.TOKEN_VECTOR_MAX_LEN,
+                     key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``padded_sequence`` of every document.  The documents' first words are
+    dealt by ``key`` before their vectors are looked up, so that sequences are
+    put together where the lookup ran and only vectors beyond the broadcast
+    bound, those of the rarer words, cross the network."""
+    words = F.array_join(X.truncate(X.whitespace_tokens(text_col), max_len), " ")
+    dealt = docs.select(key, words.alias(text_col)).repartition(F.col(key))
+    toks = X.explode_tokens(dealt, key, X.whitespace_tokens(text_col))
+    near, far = lookup_parts(toks, vectors, dim)
+    entries = _entries(near, key, "__vec")
+    if far is not None:
+        rest = _entries(far, key, "__vec").withColumnRenamed("__s", "__f")
+        none = F.array().cast(entries.schema["__s"].dataType)
+        both = F.sort_array(F.concat(F.coalesce("__s", none), F.coalesce("__f", none)))
+        # <=>: documents without a key are one group on either side
+        same = F.col(key).eqNullSafe(F.col("__key"))
+        entries = (entries.join(rest.withColumnRenamed(key, "__key"), same, "full")
+                   .select(F.coalesce(key, "__key").alias(key), both.alias("__s")))
+    return _padded(entries, dim, max_len, key, docs.select(key))
+
+
+def lookup_parts(rows: DataFrame, vectors: DataFrame, dim: int) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` with the vector ``__vec`` of their ``token``, or null, in two
+    parts: those found in a broadcast (with those that have no token), and the
+    others, shuffled by token.  The second is None where the whole table fits
+    a broadcast; otherwise the most frequent tokens are broadcast (by
+    ``n_occ``, counted here where the table lacks it)."""
+    v = vectors.select("token", F.col("vec").alias("__vec"))
+    n = vectors.count()
+    if fits_broadcast(v, n, dim):
+        return rows.join(F.broadcast(v), "token", "left"), None
+    if "n_occ" in vectors.columns:
+        v = vectors.select("token", F.col("vec").alias("__vec"), F.col("n_occ").alias("__n"))
+    else:
+        counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("__n"))
+        v = materialize(v.join(counts, "token", "left").fillna(0, ["__n"]))
+    room = MAX_BROADCAST_BYTES // row_bytes(v.drop("__n").schema, dim)
+    hist = v.groupBy("__n").agg(F.count(F.lit(1)).alias("__rows"))  # a row per distinct count
+    upto = F.sum("__rows").over(Window.orderBy(F.desc("__n")))
+    least = hist.select("__n", upto.alias("__upto")).where(F.col("__upto") <= room).agg(F.min("__n")).first()[0]
+    common = F.lit(False) if least is None else F.coalesce(F.col("__n") >= F.lit(least), F.lit(False))
+    tokens = F.broadcast(v.where(common).select("token").distinct())  # every row of a token lies on one side
+    near, rare = v.join(tokens, "token", "left_semi").drop("__n"), v.join(tokens, "token", "left_anti").drop("__n")
+    found = rows.join(F.broadcast(near.withColumn("__found", F.lit(True))), "token", "left")
+    found = found.where(F.col("__found") | F.col("token").isNull()).drop("__found")
+    far = rows.where(F.col("token").isNotNull()).join(tokens, "token", "left_anti")
+    return found, far.join(rare, "token", "left")
+
+
 def mean_pool(docs: DataFrame, vectors: DataFrame, dim: int, keys: Sequence[str] = ("doc_id",), text_col: str = "text",
               mask=None) -> DataFrame:
     """(keys.., embedding array<double>): mean of the vectors of all
@@ -79,12 +137,11 @@ def mean_pool(docs: DataFrame, vectors: DataFrame, dim: int, keys: Sequence[str]
     neither above nor below.  Unknown tokens are zero vectors; a document
     without (unmasked) tokens is the zero vector.  Equal tokens are counted
     inside the document's row; their vectors are looked up and added in the
-    same task (or, beyond the broadcast bound, where the tokens' vectors lie),
-    so a document crosses the network as one vector per task and no token row
-    is shuffled by document.  ``keys`` must identify a document."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-
+    same task (or, for the rarer tokens beyond the broadcast bound, where
+    their vectors lie), so a document crosses the network as one vector per
+    task and no token row is shuffled by document or kept for a sort: each
+    component is a sum of its own, in a hash aggregate of a row per document.
+    ``keys`` must identify a document."""
     keys = list(keys)
     d = X.with_term_counts(docs.select(*keys, X.whitespace_tokens(text_col).alias("__tokens")), "__tokens", "__bag")
     # an entry without a token keeps documents without any
@@ -93,13 +150,19 @@ def mean_pool(docs: DataFrame, vectors: DataFrame, dim: int, keys: Sequence[str]
     rows = rows.withColumnRenamed("term", "token")
     if mask is not None:
         rows = rows.where(mask | F.col("token").isNull())
-    known = join_small(rows, vectors.select("token", F.col("vec").alias("__vec")), "token", "left", known_rows=vectors.count(), elements=int(dim))
-    vec = array_to_vector(F.transform(F.coalesce("__vec", zeros(dim)), lambda x: x.cast("double")))
-    counted = F.sum(F.when(F.col("token").isNotNull(), F.col("tf")).otherwise(0))
-    sums = (known.select(*keys, "token", "tf", vec.alias("__v"), F.col("tf").cast("double").alias("__w")).groupBy(*keys)
-            .agg(Summarizer.sum(F.col("__v"), F.col("__w")).alias("__s"), counted.cast("double").alias("__total")))
-    out = sums.select(*keys, vector_to_array("__s").alias("__s"), F.greatest(F.col("__total"), F.lit(FX.MEAN_POOL_EPS)).alias("__d"))
-    return out.select(*keys, F.zip_with("__s", F.array_repeat(F.col("__d"), int(dim)), lambda a, d: a / d).alias("embedding"))
+    names = [f"__s{i}" for i in range(int(dim))]
+
+    def sums(known):
+        parts = [F.sum(F.col("__vec")[i].cast("double") * F.col("tf")).alias(s) for i, s in enumerate(names)]
+        counted = F.sum(F.when(F.col("token").isNotNull(), F.col("tf")).otherwise(0))
+        return known.groupBy(*keys).agg(*parts, counted.alias("__total"))
+
+    near, far = lookup_parts(rows, vectors, dim)
+    out = sums(near)
+    if far is not None:
+        out = out.unionByName(sums(far)).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in [*names, "__total"]])
+    total = F.greatest(F.col("__total").cast("double"), F.lit(FX.MEAN_POOL_EPS))
+    return out.select(*keys, F.array(*[F.coalesce(F.col(s), F.lit(0.0)) / total for s in names]).alias("embedding"))
 
 
 def mean_pool_long(pooled: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
