@@ -482,7 +482,7 @@ def q_token_vectors(spark, sf):
 @query("padded_sequence")
 def q_padded_sequence(spark, sf):
     docs = T.read_text_table(spark, sf, "documents").select("doc_id", "text")
-    ps = VE.padded_sequence(_token_vectors(spark, sf, docs), VEC_DIM, MAX_LEN, docs=docs)
+    ps = VE.padded_documents(docs, _vector_table(spark, sf), VEC_DIM, MAX_LEN)
     total = F.aggregate(F.col("sequence"), F.lit(0.0), lambda a, v: a + _vsum(v))
     return ps.select("doc_id", F.size("sequence").alias("seq_len"), r6(total).alias("total"))
 

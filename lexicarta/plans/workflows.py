@@ -54,8 +54,7 @@ def extract(dataset: DataFrame, kind: str, vectors: DataFrame | None = None, dim
         # ids need only be unique inside a split
         ids = F.struct("split", "doc_id")
         keyed = dataset.withColumn("row", ids)
-        tokens = VE.token_vectors(keyed, vectors, dim, max_len, key="row")
-        padded = VE.padded_sequence(tokens, dim, max_len, key="row", docs=keyed)
+        padded = VE.padded_documents(keyed, vectors, dim, max_len, key="row")
         return keyed.select("row", "label").join(padded, "row").select("row.doc_id", "label", "row.split", "sequence")
     if kind == "mean_pool":
         # ids need only be unique inside a split
