@@ -2,11 +2,10 @@
 
 Fit (on the training split only):
 
-1. each document's terms are counted *inside its row* (sorted array +
-   run lengths, ``functions.text.with_term_counts``), so (doc, term, tf)
-   rows appear without a shuffle;
-2. one aggregate by ``term`` (map-side partial aggregation absorbs the Zipf
-   head) gives corpus tf and df;
+1. terms are counted as packed codes in runs of documents
+   (``functions/grams.py``), so (doc, term, tf) rows appear without a shuffle,
+   and a fit makes one row per term and run;
+2. one aggregate by ``term`` over these gives corpus tf and df;
 3. df pruning (``min_df``, ``max_df``), the ``max_features`` most frequent
    terms (ties: term ascending), ids in ascending term order, smoothed IDF;
 4. the vocabulary (at most ``max_features`` rows) is checkpointed, which
@@ -70,15 +69,13 @@ def analyze(df: DataFrame, analyzer: str, ngram_range: Sequence[int], key: str =
 def term_counts(df: DataFrame, analyzer: str = "word", ngram_range=(1, 1), key: str = "doc_id",
                 text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """(key, term, tf) for every term of every document; no shuffle.
-    Character n-grams are counted as packed codes (``functions/grams.py``)."""
+    N-grams are counted as packed codes (``functions/grams.py``)."""
+    n1, n2 = int(ngram_range[0]), int(ngram_range[1])
+    if analyzer == "word":
+        return G.word_document_counts(df, n1, n2, [key, *carry], text_col)
     if analyzer in ("char", "char_wb"):
-        return G.document_counts(df, analyzer, int(ngram_range[0]), int(ngram_range[1]), [key, *carry], text_col)
-    d = analyze(df, analyzer, ngram_range, key, text_col, carry)
-    d = X.with_term_counts(d, "__terms", "__bag")
-    # inline_outer + null filter: a plain inline makes Catalyst infer a
-    # size(array) > 0 filter below the projections, which re-evaluates the
-    # whole n-gram expression a second time
-    return d.select(key, *carry, F.inline_outer("__bag")).where(F.col("term").isNotNull())
+        return G.document_counts(df, analyzer, n1, n2, [key, *carry], text_col)
+    raise ValueError(f"analyzer must be one of {ANALYZERS}")
 
 
 def corpus_stats(tf_rows: DataFrame) -> DataFrame:
@@ -103,7 +100,7 @@ def fit_vocabulary(df: DataFrame, params: VectorizerParams, key: str = "doc_id",
     if params.analyzer in ("char", "char_wb"):
         stats = G.corpus_counts(df, params.analyzer, int(params.ngram_range[0]), int(params.ngram_range[1]), text_col)
     else:
-        stats = corpus_stats(term_counts(df, params.analyzer, params.ngram_range, key, text_col))
+        stats = G.word_corpus_counts(df, int(params.ngram_range[0]), int(params.ngram_range[1]), text_col)
     kept = stats.where((F.col("df") >= F.lit(min_doc)) & (F.col("df") <= F.lit(max_doc)))
     k = params.max_features
     if k is not None:
