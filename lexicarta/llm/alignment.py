@@ -25,9 +25,12 @@ no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -97,20 +100,28 @@ class TokenPair:
                                self.b.encode(part, num_threads=1)):
                 x, raw = x.ids, b" " + c.encode()
                 ok = b"".join(map(self.a_bytes.__getitem__, x)) == raw == b"".join(map(self.b_bytes.__getitem__, y))
-                self.table[c] = np.array(x, np.uint32).tobytes(), np.array(y, np.uint32).tobytes(), ok
+                self.table[c] = array("I", x).tobytes(), array("I", y).tobytes(), ok
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """(A ids, B ids) of space + text, or None where bytes differ."""
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here refers to itself: a collection would only walk the table
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         if len(self.table) > CACHE_ENTRIES:
             self.table.clear()
         cut = [self.chunks(t) if t else [] for t in texts]
-        self._learn(list({c for chunks in cut for c in chunks if c not in self.table}))
+        self._learn(list(set(chain.from_iterable(cut)).difference(self.table)))
         get, out = self.table.__getitem__, []
         for chunks in cut:
-            found = list(map(get, chunks))
+            a, b, same = zip(*map(get, chunks)) if chunks else ((), (), (False,))
             # a chunk whose bytes differ is shorter or longer in one of them, or holds other bytes: so is the whole
-            whole = bool(found) and all(f[2] for f in found)
-            out.append(tuple(np.frombuffer(b"".join([f[k] for f in found]), np.uint32) for k in range(2)) if whole else None)
+            out.append((np.frombuffer(b"".join(a), np.uint32), np.frombuffer(b"".join(b), np.uint32)) if all(same) else None)
         return out
 
 
