@@ -238,17 +238,21 @@ def _whole_runs(batches, width: int):
         yield held
 
 
-def _tiles(rows: DataFrame) -> DataFrame:
+def _tiles(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
     """(tile, cls, n): the members of every tile, ``rows(token, cls, n)``.
 
-    A tile is the set of classes that share a shingle of their prefixes;
-    shingles with the same members are one tile, named by a hash of them."""
+    A tile is the set of classes that share a shingle of their prefixes,
+    parted wherever the next size is too large to be linked to the one before
+    (no larger one can be, either); tiles with the same members are one tile,
+    named by a hash of them."""
+    num, den = share
 
     def gather(batches):
         for token, cls, n in _whole_runs(batches, 3):
             first = np.concatenate([[True], (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])])  # copies are neighbours
             token, cls, n = token[first], cls[first], n[first]
-            heads = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            apart = n[1:].astype(np.int64) * num > n[:-1].astype(np.int64) * den
+            heads = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | apart]))
             sizes = np.diff(np.concatenate([heads, [len(token)]]))
             name = mix(np.add.reduceat(mix(cls.view(np.uint64)), heads) + sizes.astype(np.uint64))
             once = np.zeros(len(heads), bool)
@@ -303,6 +307,7 @@ def _possible(members: DataFrame, share: tuple[int, int], first: bool) -> DataFr
                 j = np.arange(at, min(at + 2048, end))
                 most, ok = passing(n, bits[i][:, None], bits[j][None, :], i[:, None], j[None, :])
                 ok &= (j[None, :] > i[:, None]) & (root[i][:, None] != root[j][None, :])
+                ok &= n[j][None, :] * num <= n[i][:, None] * den  # the block's largest size set the end
                 p, q = np.nonzero(ok)
                 yield i[p], j[q], most[p, q]
 
@@ -410,7 +415,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, share: tuple[int, int] =
                         .join(firsts.select("cls", "signature").dropDuplicates(["cls"]), "cls"))
 
     signatures = reps.select("cls", "signature")
-    tiles = staged.write(_tiles(firsts.select(F.explode("prefix").alias("token"), "cls", F.col("n").cast("int").alias("n"))))
+    tiles = staged.write(_tiles(firsts.select(F.explode("prefix").alias("token"), "cls", F.col("n").cast("int").alias("n")), share))
     tiles_at = staged.count
     staged.drop(1)  # prefixes have become tiles
 

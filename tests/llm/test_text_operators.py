@@ -66,6 +66,23 @@ def test_words_of_long_and_odd_texts():
     assert [found[i] for i in range(len(texts))] == [(t or "").encode().split() for t in texts]
 
 
+def test_only_sizes_that_can_be_linked_share_a_tile(spark):
+    rows = spark.createDataFrame([(1, c, n) for c, n in enumerate((10, 11, 100, 124, 154, 1000))] + [(2, 0, 10), (2, 1, 11), (3, 7, 5), (3, 8, 7)],
+                                 "token bigint, cls bigint, n int")
+    tiles = {}
+    for r in ngram_join._tiles(rows, (80, 100)).collect():
+        tiles.setdefault(r.tile, set()).add(r.cls)
+    assert sorted(map(sorted, tiles.values())) == [[0, 1], [2, 3, 4]]
+
+
+def test_large_tiles_pair_only_sizes_that_can_be_linked(spark):
+    rng, size = np.random.default_rng(3), {k: int(60 * 1.12 ** k) for k in range(45)}
+    rows = [(1, k, n, k, bytearray(ngram_join._signature(rng.integers(0, 1 << 63, n).astype(np.uint64)))) for k, n in size.items()]
+    members = spark.createDataFrame(rows, "tile bigint, cls bigint, n int, root bigint, signature binary")
+    pairs = ngram_join._possible(members, (80, 100), False).collect()
+    assert all(80 * max(size[r.a], size[r.b]) <= 100 * min(size[r.a], size[r.b]) for r in pairs)
+
+
 def test_equal_words_hash_alike_and_others_do_not():
     texts = ["Word word WORD", "other\tword", "worde wor"]
     hashes = np.concatenate([w.hashes for w in iter_words(pa.array(texts), lower=True)])
