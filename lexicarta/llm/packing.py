@@ -14,13 +14,14 @@ other than the id and the text are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,28 +41,49 @@ _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigi
 _BIN = "bin_id bigint, fill int, members array<struct<doc_id:bigint, piece:int, start:bigint, length:bigint, ids_crc32:bigint, offset:int, ids:binary>>"
 
 _encoders: dict[str, ChunkEncoder] = {}
-#: Other white space than single spaces and line ends between words, or the mark that cuts are made with.
-_LOOSE_SPACE = re.compile(r"\s\s|^\s|\s$|[^\S \n]|\0")
+#: Other white space than single spaces and line ends between words, or a null.
+_LOOSE_SPACE = (r"[ \n][ \n]|\A[ \n]|[ \n]\z|[\x00\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+                r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+#: Bytes: 1 opens a chunk, 2 opens one after a letter, 4 is a letter.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[0x20, 0x0A]], _KIND[[0x2E, 0x2C]] = 1, 2
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = 4
 
 
 class ChunkEncoder:
     """Ids of a byte-level BPE file, through a table of encoded chunks.
 
     A token never crosses a single space between two non-space characters
-    (the space opens the next token), nor a single line end (a token of its
-    own), so a text cut there gives the same ids as the whole text.  The file's special tokens hold no space: their
-    strings in a text stay inside a chunk and become their one id.
+    (the space opens the next token), a single line end (a token of its
+    own), nor the place between a letter and a full stop or comma, so a text
+    cut there gives the same ids as the whole text.  The file's special
+    tokens hold none of these: their strings in a text stay inside a chunk
+    and become their one id.
+
+    Cuts are found on the bytes of a whole run of texts; Python sees each
+    distinct chunk of a run once.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.table: dict[str, bytes] = {}
+        special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        vocabulary = self.tokenizer.get_vocab()
+        #: bytes that each id stands for: a character of a byte-level token is one byte
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.n_bytes[i] = len(special[i].encode()) if i in special else len(token)
+        self.clear()
+
+    def clear(self) -> None:
+        #: entry k of the table: ids[starts[k]: starts[k] + sizes[k]]
+        self.table: dict[bytes, int] = {}
+        self.starts, self.sizes, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
+        self.used = 0
 
     def chunks(self, text: str) -> list[str]:
-        if not _LOOSE_SPACE.search(text):
-            return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+        """Chunks of a text with loose white space."""
         first, *rest = text.split(" ")
         out, open_ = [], first
         for p in rest:
@@ -73,27 +95,83 @@ class ChunkEncoder:
         out.append(open_)
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _cut(self, texts: pa.LargeStringArray) -> tuple[pa.Array, np.ndarray]:
+        """Chunks of texts without loose white space, and their number per text."""
+        _, offsets_buffer, data_buffer = texts.buffers()
+        offsets = np.frombuffer(offsets_buffer, np.int64)[texts.offset: texts.offset + len(texts) + 1]
+        data = np.frombuffer(data_buffer, np.uint8)[offsets[0]: offsets[-1]] if data_buffer is not None else np.zeros(0, np.uint8)
+        offsets = offsets - offsets[0]
+        kind = _KIND[data]
+        opens = kind == 1
+        stops = np.flatnonzero(kind == 2)
+        stops = stops[stops > 1]
+        last, lead = data[stops - 1], data[stops - 2]
+        # U+00C0 to U+023F are letters of two bytes, but for the signs of multiplication and division
+        latin = (lead >= 0xC3) & (lead <= 0xC8) & (last >= 0x80) & (last < 0xC0) & ~((lead == 0xC3) & ((last == 0x97) | (last == 0xB7)))
+        opens[stops[(kind[stops - 1] == 4) | latin]] = True
+        opens[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+        edges = np.append(np.flatnonzero(opens), len(data))
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)])
+        return chunks, np.diff(np.searchsorted(edges[:-1], offsets))
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        if not len(texts):
+            return []
         if len(self.table) > CACHE_ENTRIES:
-            self.table.clear()
-        table = self.table
-        cut = [self.chunks(t) for t in texts]
-        new = {c for chunks in cut for c in chunks if c not in table}
-        # a letter and the full stops or commas after it never share a token
-        halves = {c: (body, c[len(body):]) for c in new if (body := c.rstrip(".,")) != c and body[-1:].isalpha() and body[-1] < "\u0250"}
-        bare = {body for body, _ in halves.values()} | {tail for _, tail in halves.values()} | (new - halves.keys())
-        self._learn([c for c in bare if c not in table])
-        for c, (body, tail) in halves.items():
-            table[c] = table[body] + table[tail]
-        get = table.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in cut]
-
-    def _learn(self, chunks: list[str]) -> None:
-        for i in range(0, len(chunks), 20_000):
-            part = chunks[i: i + 20_000]
-            encoded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.table.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in encoded)))
+            self.clear()
+        loose = pc.match_substring_regex(texts, _LOOSE_SPACE)
+        kept = loose.to_numpy(zero_copy_only=False)
+        if not kept.any():
+            return self._encoded(*self._cut(texts))
+        plain = iter(self._encoded(*self._cut(texts.filter(pc.invert(loose)))))
+        cut = [self.chunks(t) for t in texts.filter(loose).to_pylist()]
+        other = iter(self._encoded(pa.array([c.encode() for chunks in cut for c in chunks], pa.large_binary()),
+                                   np.array([len(c) for c in cut]), loose=True))
+        return [next(other if k else plain) for k in kept.tolist()]
+
+    def _encoded(self, chunks: pa.Array, per_text: np.ndarray, loose: bool = False) -> list[bytes]:
+        coded = chunks.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        entry = np.fromiter(map(self.table.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(entry < 0)
+        unseen = [distinct[k] for k in new.tolist()]
+        self._learn(unseen, loose)
+        entry[new] = [self.table[c] for c in unseen]
+        entry = entry[coded.indices.to_numpy()]
+        sizes = self.sizes[entry]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.ids[np.repeat(self.starts[entry] - ends[:-1], sizes) + np.arange(ends[-1])].astype("<u4", copy=False)
+        edges = (4 * ends[np.concatenate([[0], np.cumsum(per_text)])]).tolist()
+        blob = ids.tobytes()
+        return [blob[a:b] for a, b in zip(edges, edges[1:])]
+
+    def _learn(self, chunks: list[bytes], loose: bool) -> None:
+        """Chunks of one space and what follows it are encoded many in one text."""
+        joined, alone = [], []
+        for c in chunks:
+            (joined if c[:1] == b" " and not loose else alone).append(c)
+        groups = [joined[i: i + 500] for i in range(0, len(joined), 500)] + [[c] for c in alone]
+        for i in range(0, len(groups), 2000):
+            part = groups[i: i + 2000]
+            for group, found in zip(part, self.tokenizer.encode_batch_fast([b"".join(g).decode() for g in part], add_special_tokens=False)):
+                ids = np.array(found.ids, np.uint32)
+                # a chunk's ids stand for its bytes
+                after = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([len(c) for c in group]), "left") + 1
+                self._add(group, ids, np.diff(after, prepend=0) if len(group) > 1 else np.array([len(ids)]))
+
+    def _add(self, chunks: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first, n = len(self.table), len(chunks)
+        if first + n > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros(first + n, np.int64)]) for x in (self.starts, self.sizes))
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(self.used + len(ids), np.uint32)])
+        self.ids[self.used: self.used + len(ids)] = ids
+        self.sizes[first: first + n] = sizes
+        self.starts[first: first + n] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        self.table.update(zip(chunks, range(first, first + n)))
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -106,16 +184,14 @@ def encoder(path: str) -> ChunkEncoder:
     return _encoders[path]
 
 
-def _runs(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
-    at, size, run = 0, 0, []
-    for i, t in enumerate(texts):
-        run.append(t)
-        size += len(t)
-        if size >= limit:
-            yield at, run
-            at, size, run = i + 1, 0, []
-    if run:
-        yield at, run
+def _runs(texts: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """Slices of about ``limit`` bytes, with the place of the first text."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+        yield at, texts.slice(at, to - at)
+        at = to
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, length: int = 1024, keep_ids: bool = False,
@@ -126,8 +202,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, length: int = 1024, keep_
 
     def cut(batches):
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at, run in _runs([t or "" for t in texts]):
+            ids = batch.column(0).to_pylist()
+            for at, run in _runs(batch.column(1).fill_null("")):
                 rows = [[], [], [], [], [], []]
                 for k, tokens in enumerate(encoder(tokenizer_path).encode(run)):
                     tokens += end

@@ -86,6 +86,24 @@ def test_chunk_table_gives_the_tokenizers_ids(texts):
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_chunks_are_encoded_together_and_without_their_stops():
+    """Words before a full stop share their entry, new chunks share a call."""
+    coder, calls = packing.ChunkEncoder(BPE), []
+    real = coder.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            calls.append(len(texts))
+            return real.encode_batch_fast(texts, **options)
+
+    coder.tokenizer = Counted()
+    words = [f"{a}{b}" for a in ("north", "\u00e9t\u00e9", "na\u00efve", "tele") for b in "abcdefghijklmnopqrstuvwxyz\u00e9"]
+    texts = [" ".join(words), " ".join(w + "." for w in words), " ".join(w + ",." for w in words) + "  loose <|endoftext|>."]
+    got = coder.encode(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [real.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(coder.table) < 2 * len(words) + 20 and sum(calls[:1]) <= 6
+
+
 def check_packing(rows, capacity):
     by = defaultdict(list)
     for r in rows:
