@@ -66,6 +66,21 @@ def test_words_of_long_and_odd_texts():
     assert [found[i] for i in range(len(texts))] == [(t or "").encode().split() for t in texts]
 
 
+def test_words_take_bounded_memory(monkeypatch):
+    """Beside the words found, a worker holds little more than one piece."""
+    import tracemalloc
+
+    from lexicarta.llm import common
+
+    texts = pa.array(["ab cdefgh ij\n" * 20_000] * 16)
+    monkeypatch.setattr(common, "_tables", {})
+    tracemalloc.start()
+    n = sum(len(words.hashes) for words in iter_words(texts, lower=True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 3 * 20_000 * 16 and peak < 32 << 20
+
+
 def test_only_sizes_that_can_be_linked_share_a_tile(spark):
     rows = spark.createDataFrame([(1, c, n) for c, n in enumerate((10, 11, 100, 124, 154, 1000))] + [(2, 0, 10), (2, 1, 11), (3, 7, 5), (3, 8, 7)],
                                  "token bigint, cls bigint, n int")
