@@ -17,7 +17,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import reduce
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,9 @@ FAN_IN = 8
 #: A bin is final when its free space is at most this share of the length.
 NEARLY_FULL = 0.004
 #: Entries of the per-worker table of encoded chunks; it only saves time.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 400_000
+#: Groups of chunks that the tokenizer encodes in one call; its results take some 200 bytes a token until they are read.
+GROUPS = 20
 
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 _BIN = "bin_id bigint, fill int, members array<struct<doc_id:bigint, piece:int, start:bigint, length:bigint, ids_crc32:bigint, offset:int, ids:binary>>"
@@ -77,10 +78,9 @@ class ChunkEncoder:
         self.clear()
 
     def clear(self) -> None:
-        #: entry k of the table: ids[starts[k]: starts[k] + sizes[k]]
-        self.table: dict[bytes, int] = {}
-        self.starts, self.sizes, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
-        self.used = 0
+        #: entry k of the table, an Arrow array of chunks: ids[edges[k]: edges[k + 1]]
+        self.table = pa.array([], pa.large_binary())
+        self.edges, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def chunks(self, text: str) -> list[str]:
         """Chunks of a text with loose white space."""
@@ -133,45 +133,42 @@ class ChunkEncoder:
 
     def _encoded(self, chunks: pa.Array, per_text: np.ndarray, loose: bool = False) -> list[bytes]:
         coded = chunks.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        entry = np.fromiter(map(self.table.get, distinct, repeat(-1)), np.int64, len(distinct))
+        entry = pc.index_in(coded.dictionary, value_set=self.table).fill_null(-1).to_numpy()
         new = np.flatnonzero(entry < 0)
-        unseen = [distinct[k] for k in new.tolist()]
-        self._learn(unseen, loose)
-        entry[new] = [self.table[c] for c in unseen]
+        if len(new):
+            entry = entry.copy()
+            # entries in the order in which chunks were learned
+            learned = self._learn(coded.dictionary.take(pa.array(new)).to_pylist(), loose)
+            entry[new[learned]] = len(self.table) - len(new) + np.arange(len(new))
         entry = entry[coded.indices.to_numpy()]
-        sizes = self.sizes[entry]
+        starts, sizes = self.edges[entry], self.edges[entry + 1] - self.edges[entry]
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.ids[np.repeat(self.starts[entry] - ends[:-1], sizes) + np.arange(ends[-1])].astype("<u4", copy=False)
+        ids = self.ids[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])].astype("<u4", copy=False)
         edges = (4 * ends[np.concatenate([[0], np.cumsum(per_text)])]).tolist()
         blob = ids.tobytes()
         return [blob[a:b] for a, b in zip(edges, edges[1:])]
 
-    def _learn(self, chunks: list[bytes], loose: bool) -> None:
-        """Chunks of one space and what follows it are encoded many in one text."""
+    def _learn(self, chunks: list[bytes], loose: bool) -> np.ndarray:
+        """Chunks of one space and what follows it are encoded many in one
+        text; the places of ``chunks`` in the order of the new entries."""
         joined, alone = [], []
-        for c in chunks:
-            (joined if c[:1] == b" " and not loose else alone).append(c)
-        groups = [joined[i: i + 500] for i in range(0, len(joined), 500)] + [[c] for c in alone]
-        for i in range(0, len(groups), 2000):
-            part = groups[i: i + 2000]
+        for k, c in enumerate(chunks):
+            (joined if c[:1] == b" " and not loose else alone).append(k)
+        groups = [joined[i: i + 500] for i in range(0, len(joined), 500)] + [[k] for k in alone]
+        found_ids, found_sizes = [self.ids], []
+        for i in range(0, len(groups), GROUPS):
+            part = [[chunks[k] for k in group] for group in groups[i: i + GROUPS]]
             for group, found in zip(part, self.tokenizer.encode_batch_fast([b"".join(g).decode() for g in part], add_special_tokens=False)):
                 ids = np.array(found.ids, np.uint32)
                 # a chunk's ids stand for its bytes
                 after = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([len(c) for c in group]), "left") + 1
-                self._add(group, ids, np.diff(after, prepend=0) if len(group) > 1 else np.array([len(ids)]))
-
-    def _add(self, chunks: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
-        first, n = len(self.table), len(chunks)
-        if first + n > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros(first + n, np.int64)]) for x in (self.starts, self.sizes))
-        if self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(self.used + len(ids), np.uint32)])
-        self.ids[self.used: self.used + len(ids)] = ids
-        self.sizes[first: first + n] = sizes
-        self.starts[first: first + n] = self.used + np.cumsum(sizes) - sizes
-        self.used += len(ids)
-        self.table.update(zip(chunks, range(first, first + n)))
+                found_ids.append(ids)
+                found_sizes.append(np.diff(after, prepend=0) if len(group) > 1 else np.array([len(ids)]))
+        order = np.array([*joined, *alone], np.int64)
+        self.ids = np.concatenate(found_ids)
+        self.edges = np.concatenate([self.edges, self.edges[-1] + np.cumsum(np.concatenate(found_sizes))])
+        self.table = pa.concat_arrays([self.table, pa.array([chunks[k] for k in order.tolist()], pa.large_binary())])
+        return order
 
 
 def encoder(path: str) -> ChunkEncoder:

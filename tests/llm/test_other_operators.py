@@ -1,13 +1,16 @@
 """Chat formatting, packing, URL filter, sharding and nearest neighbours."""
 
+import gc
 import hashlib
 import itertools
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from helpers_llm import docs_frame, prose, same
 from hypothesis import given, settings
@@ -104,6 +107,32 @@ def test_chunks_are_encoded_together_and_without_their_stops():
     assert len(coder.table) < 2 * len(words) + 20 and sum(calls[:1]) <= 6
 
 
+def test_chunk_table_is_small_and_learned_in_small_calls():
+    """A kept chunk takes some 60 bytes (over 150 as objects of a dict), and few tokenizer results are held at once."""
+    coder, calls = packing.ChunkEncoder(BPE), []
+    real = coder.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            calls.append(sum(map(len, texts)))
+            return real.encode_batch_fast(texts, **options)
+
+    coder.tokenizer = Counted()
+    words = [f"{k:x}q" for k in range(60_000)]
+    coder.encode(["warm up"])
+    gc.collect()
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    got = coder.encode([" ".join(words)])
+    assert np.frombuffer(got[0], "<u4").tolist() == real.encode(" ".join(words), add_special_tokens=False).ids
+    del got
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert len(coder.table) > 59_000 and held < 80 * len(coder.table)
+    assert max(calls) < 100_000
+
+
 def check_packing(rows, capacity):
     by = defaultdict(list)
     for r in rows:
