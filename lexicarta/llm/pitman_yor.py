@@ -24,9 +24,10 @@ documents are not restaurants in training and their seating is not sampled.
 Word counts cover all training rows and are exact.  Documents are grouped
 into chunks of bounded bytes; a chunk asks for each of its distinct words and
 of its distinct (context, word) rows once and gets count and probability
-back.  Rows are counted in the task and merged by (context, word); state and
-totals of restaurants meet in joins whose hot keys are salted, and no table
-of all words or contexts is broadcast.  The spelling model is broadcast:
+back.  With two preceding words the state is packed (``pitman_yor_packed``).
+With any other number rows are counted in the task and merged by (context,
+word); state and totals of restaurants meet in joins whose hot keys are
+salted.  No table of all words or contexts is broadcast.  The spelling model is broadcast:
 byte contexts are hashed into a fixed number of restaurants, at most 17 MB a
 sample.
 
@@ -479,17 +480,17 @@ def _corpus_predictive(words: DataFrame, model: Spelling, tables: float, custome
     return words.select("h", "word", "c").mapInArrow(predict, "h bigint, p double")
 
 
-def _document_state(words, owner):
+def _document_state(key, offsets, owner):
     """Per word of a run: how often its document held it before, how many
-    words came before it, and how many distinct ones."""
-    key = words.hashes ^ mix(owner.astype(np.uint64) + np.uint64(1))
+    words came before it, and how many distinct ones.  ``key`` differs by
+    word and by document."""
     order = np.argsort(key, kind="stable")
     ordered = key[order]
     first = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(order) else np.zeros(0, bool)
     start = np.flatnonzero(first)
     seen = np.empty(len(order), np.int64)
     seen[order] = np.arange(len(order)) - np.repeat(start, np.diff(np.concatenate([start, [len(order)]])))
-    offsets = words.offsets[:-1]
+    offsets = offsets[:-1]
     new = np.concatenate([[0], np.cumsum(seen == 0)])
     return seen, np.arange(len(owner)) - offsets[owner], new[:-1] - new[offsets][owner]
 
@@ -499,12 +500,21 @@ def score(docs: DataFrame, training: Column, settings: Settings = Settings(), id
 
     ``training`` marks the rows to learn from; ``base_score`` is the additive
     unigram score with pseudo-count one half."""
-    s = settings
-    spark = docs.sparkSession
-    staged = Staged(spark)
     narrow = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(training, F.lit(False)).alias("train"),
                          F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    size = narrow.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    found = narrow.agg(F.sum(F.octet_length("text")).alias("size"), F.count("*").alias("docs"), F.count_if("train").alias("train")).first()
+    if settings.context_words == 2:
+        from lexicarta.llm import pitman_yor_packed
+
+        return pitman_yor_packed.score(narrow, found.size or 0, found.docs, found.train, settings)
+    return _score_by_rows(narrow, found.size or 0, settings)
+
+
+def _score_by_rows(narrow: DataFrame, size: int, s: Settings) -> DataFrame:
+    """``score`` of (doc_id, train, text) for contexts of any number of
+    words, with one row per distinct (context, word) and chunk."""
+    spark = narrow.sparkSession
+    staged = Staged(spark)
     count = max(1, -(-size // CHUNK_BYTES))
     chunked = narrow.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).cast("int"))
     by_chunk = chunked.repartition(count, "chunk")
@@ -581,7 +591,7 @@ def score(docs: DataFrame, training: Column, settings: Settings = Settings(), id
                 at_end = np.cumsum(words.per_doc + 1) - 1
                 inside = np.ones(len(given), bool)
                 inside[at_end] = False
-                seen, before, distinct = _document_state(words, owner)
+                seen, before, distinct = _document_state(words.hashes ^ mix(owner.astype(np.uint64) + np.uint64(1)), words.offsets, owner)
                 reused = np.where(seen > 0, seen - s.document_discount, 0.0)
                 p = (reused + (s.document_strength + s.document_discount * distinct) * 10.0 ** given[inside]) / (s.document_strength + before)
                 high[own] += np.bincount(owner, weights=np.log10(p), minlength=m)
