@@ -14,8 +14,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import fixed as FX
+from ..functions import sequences as S
 from ..functions import text as X
 from ..session import materialize
 from .joins import MAX_BROADCAST_BYTES, fits_broadcast, join_small, row_bytes
@@ -61,55 +63,66 @@ def padded_sequence(tv: DataFrame, dim: int, max_len: int = FX.TOKEN_VECTOR_MAX_
     vectors (real tokens in order, then zero vectors).  Each document holds at
     most ``max_len`` entries, so the per-document collect is bounded.  With
     ``docs`` given, documents without tokens get all-zero sequences."""
-    return _padded(_entries(tv, key, "vec"), dim, max_len, key, docs)
+    entries = tv.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "vec"))).alias("__s"))
+    return _padded(entries, dim, max_len, key, docs)
 
 
-def _entries(rows: DataFrame, key: str, vec: str) -> DataFrame:
-    """(key, __s): the document's (pos, vec) entries in order."""
-    return rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", F.col(vec).alias("vec")))).alias("__s"))
+def _padded(entries: DataFrame, dim: int, max_len: int, key: str, docs: DataFrame | None) -> DataFrame:
+    g = entries if docs is None else docs.select(key).join(entries, key, "left")
+    return g.select(key, _sequence(F.col("__s"), dim, max_len).alias("sequence"))
 
 
-def _padded(entries: DataFrame, dim: int, max_len: int, key: str, docs: DataFrame | None) -> DataFrame:
-    g = entries.select(key, F.transform("__s", lambda e: F.coalesce(e["vec"], zeros(dim))).alias("__v"))
-    if docs is not None:
-        g = docs.select(key).join(g, key, "left")
-    seq = F.coalesce(F.col("__v"), F.array().cast("array<array<float>>"))
+def _sequence(entries, dim: int, max_len: int):
+    """The vectors of ordered (pos, vec) entries, zero vectors after them."""
+    known = F.transform(entries, lambda e: F.coalesce(e["vec"], zeros(dim)))
+    seq = F.coalesce(known, F.array().cast("array<array<float>>"))
     pad = F.array_repeat(zeros(dim), F.greatest(F.lit(int(max_len)) - F.size(seq), F.lit(0)))
-    return g.select(key, F.slice(F.concat(seq, pad), 1, int(max_len)).alias("sequence"))
+    return F.slice(F.concat(seq, pad), 1, int(max_len))
 
 
 def padded_documents(docs: DataFrame, vectors: DataFrame, dim: int, max_len: int = FX.TOKEN_VECTOR_MAX_LEN,
                      key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``padded_sequence`` of every document.  The documents' first words are
-    dealt by ``key`` before their vectors are looked up, so that sequences are
-    put together where the lookup ran and only vectors beyond the broadcast
-    bound, those of the rarer words, cross the network."""
+    """``padded_sequence`` of every document.  Documents are dealt and sorted
+    as their first words; their vectors come in last (``functions/sequences.py``),
+    so no sequence is sorted, spilled or shuffled.  The table is sent to the
+    workers up to the broadcast bound; only vectors beyond it, those of the
+    rarer words, cross the network, and are joined to the words before that."""
     words = F.array_join(X.truncate(X.whitespace_tokens(text_col), max_len), " ")
-    dealt = docs.select(key, words.alias(text_col)).repartition(F.col(key))
-    toks = X.explode_tokens(dealt, key, X.whitespace_tokens(text_col))
-    near, far = lookup_parts(toks, vectors, dim)
-    entries = _entries(near, key, "__vec")
-    if far is not None:
-        rest = _entries(far, key, "__vec").withColumnRenamed("__s", "__f")
-        none = F.array().cast(entries.schema["__s"].dataType)
-        both = F.sort_array(F.concat(F.coalesce("__s", none), F.coalesce("__f", none)))
-        # <=>: documents without a key are one group on either side
-        same = F.col(key).eqNullSafe(F.col("__key"))
-        entries = (entries.join(rest.withColumnRenamed(key, "__key"), same, "full")
-                   .select(F.coalesce(key, "__key").alias(key), both.alias("__s")))
-    return _padded(entries, dim, max_len, key, docs.select(key))
-
-
-def lookup_parts(rows: DataFrame, vectors: DataFrame, dim: int) -> tuple[DataFrame, DataFrame | None]:
-    """``rows`` with the vector ``__vec`` of their ``token``, or null, in two
-    parts: those found in a broadcast (with those that have no token), and the
-    others, shuffled by token.  The second is None where the whole table fits
-    a broadcast; otherwise the most frequent tokens are broadcast (by
-    ``n_occ``, counted here where the table lacks it)."""
+    texts = docs.where(F.col(key).isNotNull()).select(key, words.alias("__words"))
+    # sorted, as they are read twice: a word has the same number both times
+    bags = texts.groupBy(key).agg(F.sort_array(F.collect_list("__words")).alias("__texts"))
+    bags = bags.select(key, F.array_remove("__texts", "").alias("__texts"))
+    rows = docs.select(key).join(bags, key, "left")
+    toks = X.explode_tokens(bags, key, F.split(F.array_join("__texts", " "), " "), pos="__slot").where(F.col("token") != "")
+    near, rare, tokens = table_parts(toks, vectors, dim)
+    if rare is not None:
+        found = toks.join(tokens, "token", "left_anti").join(rare, "token")
+        far = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("__slot", "__vec"))).alias("__far"))
+        rows = rows.join(far, key, "left")
+    bound = near.where(F.col("token").isNotNull()).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("__vec"))).alias("__vecs"))
+    shared = docs.sparkSession.sparkContext.broadcast(S.packed_table(bound.toArrow(), dim))
+
+    def attach(batches):
+        table = S.Vectors(shared.value)
+        for batch in batches:
+            yield from S.sequences(batch, table, dim, max_len)
+
+    out = T.StructType([docs.schema[key], T.StructField("__pos", T.ArrayType(T.IntegerType())),
+                        T.StructField("__v", T.ArrayType(near.schema["__vec"].dataType))])
+    v = rows.select(key, "__texts", *([] if rare is None else ["__far"])).mapInArrow(attach, out)
+    mixed = F.sort_array(F.arrays_zip(F.col("__pos").alias("pos"), F.col("__v").alias("vec")))
+    return v.select(key, F.when(F.col("__pos").isNull(), F.col("__v")).otherwise(_sequence(mixed, dim, max_len)).alias("sequence"))
+
+
+def table_parts(rows: DataFrame, vectors: DataFrame, dim: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """The vector table (token, __vec) in two parts, and the tokens of the
+    first.  The first fits a broadcast; the others are None where the whole
+    table does.  Otherwise it has the most frequent tokens (by ``n_occ``,
+    counted in ``rows`` where the table lacks it)."""
     v = vectors.select("token", F.col("vec").alias("__vec"))
     n = vectors.count()
     if fits_broadcast(v, n, dim):
-        return rows.join(F.broadcast(v), "token", "left"), None
+        return v, None, None
     if "n_occ" in vectors.columns:
         v = vectors.select("token", F.col("vec").alias("__vec"), F.col("n_occ").alias("__n"))
     else:
@@ -121,7 +134,17 @@ def lookup_parts(rows: DataFrame, vectors: DataFrame, dim: int) -> tuple[DataFra
     least = hist.select("__n", upto.alias("__upto")).where(F.col("__upto") <= room).agg(F.min("__n")).first()[0]
     common = F.lit(False) if least is None else F.coalesce(F.col("__n") >= F.lit(least), F.lit(False))
     tokens = F.broadcast(v.where(common).select("token").distinct())  # every row of a token lies on one side
-    near, rare = v.join(tokens, "token", "left_semi").drop("__n"), v.join(tokens, "token", "left_anti").drop("__n")
+    return v.join(tokens, "token", "left_semi").drop("__n"), v.join(tokens, "token", "left_anti").drop("__n"), tokens
+
+
+def lookup_parts(rows: DataFrame, vectors: DataFrame, dim: int) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` with the vector ``__vec`` of their ``token``, or null, in two
+    parts: those found in a broadcast (with those that have no token), and the
+    others, shuffled by token.  The second is None where the whole table fits
+    a broadcast."""
+    near, rare, tokens = table_parts(rows, vectors, dim)
+    if rare is None:
+        return rows.join(F.broadcast(near), "token", "left"), None
     found = rows.join(F.broadcast(near.withColumn("__found", F.lit(True))), "token", "left")
     found = found.where(F.col("__found") | F.col("token").isNull()).drop("__found")
     far = rows.where(F.col("token").isNotNull()).join(tokens, "token", "left_anti")
