@@ -4,6 +4,8 @@ and no row of a single word is made in between."""
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,11 +17,10 @@ RUN_TEXTS, RUN_BYTES = 10_000, 8 << 20
 def packed_table(table: pa.Table, dim: int) -> tuple[bytes, bytes]:
     """``table(token, vecs)``, a row per token: the tokens with their numbers
     of vectors, and the vectors, after them a zero vector and null."""
-    bags = _whole(table.column(1))
-    vecs = pc.struct_field(bags.flatten(), 0)
-    vecs = pa.concat_arrays([vecs, pa.array([[0.0] * dim, None], vecs.type)])
-    tokens = pa.table({"token": _whole(table.column(0)), "n": pa.array(_lengths(bags))})
-    return _written(tokens), _written(pa.table({"vec": vecs}))
+    bags = table.column(1)
+    ends = pa.array([[0.0] * dim, None], bags.type.value_type.field(0).type)
+    vecs = pa.concat_arrays([*(pc.struct_field(c.flatten(), 0) for c in bags.chunks), ends])
+    return _written(pa.table({"token": _whole(table.column(0)), "n": pa.array(_lengths(bags))})), _written(pa.table({"vec": vecs}))
 
 
 class Vectors:
@@ -36,10 +37,10 @@ class Vectors:
 
 
 def _written(table: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
+    sink = io.BytesIO()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
-    return sink.getvalue().to_pybytes()
+    return sink.getvalue()
 
 
 def _whole(column) -> pa.Array:
